@@ -60,12 +60,12 @@ def crc_bucket(id_col: str, mod: int) -> Column:
     return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(mod))
 
 
-def row_slices(batch: pa.RecordBatch, text: str = "text") -> Iterator[pa.RecordBatch]:
-    """Slices of a batch with about SLICE_BYTES of text each, one row at least."""
+def row_slices(batch: pa.RecordBatch, text: str = "text", size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about ``size`` bytes of text each, one row at least."""
     sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False))
     start = 0
     while start < batch.num_rows:
         base = sizes[start - 1] if start else 0
-        end = max(start + 1, int(np.searchsorted(sizes, base + SLICE_BYTES, side="right")))
+        end = max(start + 1, int(np.searchsorted(sizes, base + size, side="right")))
         yield batch.slice(start, end - start)
         start = end

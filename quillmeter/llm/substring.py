@@ -4,17 +4,17 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from itertools import count
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmeter.llm.common import row_slices, shuffle_width, text_or_empty, words, written
-from quillmeter.llm.wordhash import run_hashes, sliding, word_hashes
+from quillmeter.llm.wordhash import Words, run_hashes, sliding
 
 #: Words of a seed: the least seed hash of a window stands for the window, so that equal windows choose equal seeds.
 SEED_WORDS = 5
@@ -26,6 +26,10 @@ NO_ID = (1 << 63) - 1
 
 FIRST_SCHEMA = "uid long, doc_id long, ord long, n_words long, kept_sha256 string, text string, spans array<struct<o:long,a:int,b:int>>"
 SPAN_SCHEMA = "o long, uid long, ord long, a int, n int, words binary"
+_SPAN_NAMES = ["o", "uid", "ord", "a", "n", "words"]
+_SPANS = pa.list_(pa.struct([("o", pa.int64()), ("a", pa.int32()), ("b", pa.int32())]))
+#: Bytes of text for which numpy vectors are made at once.
+VECTOR_BYTES = 2 << 20
 
 
 def _text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -35,21 +39,29 @@ def _text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def window_seeds(h: np.ndarray, window: int) -> np.ndarray:
     """For each window of words the least hash of the seeds inside it (48 bits)."""
     k = min(SEED_WORDS, window)
-    return sliding(np.minimum, run_hashes(h, k) >> np.uint64(16), window - k + 1) if len(h) >= window else np.empty(0, np.uint64)
+    return sliding(np.minimum, run_hashes(h, k) >> np.uint64(16), window - k + 1)
+
+
+def _slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield from row_slices(batch, text, VECTOR_BYTES)
 
 
 def _seeds(own: DataFrame, window: int) -> DataFrame:
     """(seed, ord): the distinct seeds of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in row_slices(batch):
-                ords, out = part.column("ord").to_numpy(zero_copy_only=False), []
-                for t in part.column("text"):
-                    s = window_seeds(word_hashes(words(t.as_py())), window)
-                    out.append(np.unique(s[np.concatenate(([True], s[1:] != s[:-1]))]) if len(s) else s)
-                seeds = np.concatenate(out) if out else np.empty(0, np.uint64)
-                yield pa.RecordBatch.from_arrays([pa.array(seeds.view(np.int64)), pa.array(np.repeat(ords, [len(s) for s in out]))], ["seed", "ord"])
+        for part in _slices(batches):
+            w, ords = Words(part.column("text")), part.column("ord").to_numpy()
+            seed, row = window_seeds(w.hashes, window).view(np.int64), w.rows(window)
+            keep = row >= 0
+            keep[1:] &= (seed[1:] != seed[:-1]) | (row[1:] != row[:-1])
+            seed, row = seed[keep], row[keep]
+            order = np.lexsort((seed, row))
+            seed, row = seed[order], row[order]
+            new = np.ones(len(seed), bool)
+            new[1:] = (seed[1:] != seed[:-1]) | (row[1:] != row[:-1])
+            yield pa.RecordBatch.from_arrays([pa.array(seed[new]), pa.array(ords[row[new]])], ["seed", "ord"])
 
     return own.select("ord", "text").mapInArrow(run, "seed long, ord long")
 
@@ -58,89 +70,94 @@ def _first_pass(own: DataFrame, owners: DataFrame, window: int) -> DataFrame:
     """Documents without a repeated seed are finished; the others get spans (owner, first window, end window)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        uid = count(TaskContext.get().partitionId() << 36)
-        for batch in batches:
-            for part in row_slices(batch):
-                rows = []
-                for doc_id, ord_, text, pairs in zip(*(part.column(c).to_pylist() for c in ("doc_id", "ord", "text", "owners")), strict=True):
-                    w, spans = words(text), []
-                    if pairs:
-                        keys = np.array([p["seed"] for p in pairs], np.uint64)
-                        vals = np.array([p["o"] for p in pairs], np.int64)
-                        order = np.argsort(keys, kind="stable")
-                        keys, vals = keys[order], vals[order]
-                        s = window_seeds(word_hashes(w), window)
-                        at = np.minimum(np.searchsorted(keys, s), len(keys) - 1)
-                        o = np.where(keys[at] == s, vals[at], -1)
-                        cuts = np.flatnonzero(np.concatenate(([True], o[1:] != o[:-1], [True]))) if len(o) else []
-                        spans = [{"o": int(o[a]), "a": int(a), "b": int(b)} for a, b in zip(cuts, cuts[1:], strict=False) if keys[at[a]] == s[a]]
-                    done = not spans
-                    rows.append((next(uid), doc_id, ord_, len(w), hashlib.sha256(b" ".join(w)).hexdigest() if done else None, None if done else text, spans))
-                yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows], schema=schema)
-
-    names = ["uid", "doc_id", "ord", "n_words", "kept_sha256", "text", "spans"]
-    span = pa.list_(pa.struct([("o", pa.int64()), ("a", pa.int32()), ("b", pa.int32())]))
-    schema = pa.schema(list(zip(names, [pa.int64()] * 4 + [pa.string()] * 2 + [span], strict=True)))
+        uid = TaskContext.get().partitionId() << 36
+        for part in _slices(batches):
+            w, text = Words(part.column("text")), part.column("text")
+            pairs, sha, left, spans = part.column("owners"), [], [], []
+            flat, at = pairs.flatten(), np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(pairs), 0).to_numpy())))
+            seeds, owner = flat.field("seed").to_numpy(), flat.field("o").to_numpy()
+            for i in range(part.num_rows):
+                found, (a, b), (p, q) = [], w.first[i : i + 2], at[i : i + 2]
+                if q > p and b - a >= window:
+                    order = np.argsort(seeds[p:q])
+                    keys, s = seeds[p:q][order], window_seeds(w.hashes[a:b], window).view(np.int64)
+                    k = np.minimum(np.searchsorted(keys, s), q - p - 1)
+                    o = np.where(keys[k] == s, owner[p:q][order][k], -1)
+                    hit = keys[k] == s
+                    cuts = np.flatnonzero(np.concatenate(([True], (o[1:] != o[:-1]) | (hit[1:] != hit[:-1]), [True])))
+                    found = [{"o": int(o[x]), "a": int(x), "b": int(y)} for x, y in zip(cuts, cuts[1:], strict=False) if hit[x]]
+                spans.append(found)
+                sha.append(None if found else hashlib.sha256(w.joined(i)).hexdigest())
+                left.append(text[i].as_py() if found else None)
+            uids = np.arange(uid, uid + part.num_rows)
+            uid += part.num_rows
+            cols = [pa.array(uids), part.column("doc_id"), part.column("ord"), pa.array(np.diff(w.first)), pa.array(sha, pa.string()), pa.array(left, pa.string()), pa.array(spans, _SPANS)]
+            yield pa.RecordBatch.from_arrays(cols, ["uid", "doc_id", "ord", "n_words", "kept_sha256", "text", "spans"])
+
     return own.join(owners.hint("shuffle_hash"), "ord", "left").select("doc_id", "ord", "text", "owners").mapInArrow(run, FIRST_SCHEMA)
 
 
+def _flat_spans(spans: pa.ListArray) -> tuple[np.ndarray, ...]:
+    """Of all spans of a column: row, owner, first window, end window."""
+    flat = spans.flatten()
+    row = np.repeat(np.arange(len(spans)), pc.list_value_length(spans).to_numpy())
+    return row, flat.field("o").to_numpy(), flat.field("a").to_numpy().astype(np.int64), flat.field("b").to_numpy().astype(np.int64)
+
+
 def _window_rows(open_: DataFrame, window: int) -> DataFrame:
-    """(h, ord): the windows in the spans of each document, by hash."""
+    """(h, ord): the distinct windows in the spans of each document, by hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in row_slices(batch):
-                for ord_, text, spans in zip(*(part.column(c).to_pylist() for c in ("ord", "text", "spans")), strict=True):
-                    h = run_hashes(word_hashes(words(text)), window).view(np.int64)
-                    h = np.unique(np.concatenate([h[s["a"] : s["b"]] for s in spans]))
-                    yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.full(len(h), ord_, np.int64))], ["h", "ord"])
+        for part in _slices(batches):
+            w, ords = Words(part.column("text")), part.column("ord").to_numpy()
+            row, _, a, b = _flat_spans(part.column("spans"))
+            inside = np.zeros(len(w.starts) + 1, np.int32)
+            np.add.at(inside, w.first[row] + a, 1)
+            np.add.at(inside, w.first[row] + b, -1)
+            at = np.flatnonzero(np.cumsum(inside[:-1]))
+            h, row = run_hashes(w.hashes, window)[at].view(np.int64), w.rows(1)[at]
+            order = np.lexsort((h, row))
+            h, row = h[order], row[order]
+            new = np.ones(len(h), bool)
+            new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
+            yield pa.RecordBatch.from_arrays([pa.array(h[new]), pa.array(ords[row[new]])], ["h", "ord"])
 
     return open_.select("ord", "text", "spans").mapInArrow(run, "h long, ord long")
 
 
 def _span_rows(open_: DataFrame, window: int) -> DataFrame:
-    """The words of each span whose owner comes before the document: only there can a word be removed."""
+    """(o, uid, ord, a, n, words): the words of each span; ``a`` is the first one's place, ``n`` their number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in row_slices(batch):
-                rows = []
-                for uid, ord_, text, spans in zip(*(part.column(c).to_pylist() for c in ("uid", "ord", "text", "spans")), strict=True):
-                    w = words(text)
-                    for s in spans:
-                        if s["o"] < ord_:
-                            run_ = w[s["a"] : s["b"] + window - 1]
-                            rows.append((s["o"], uid, ord_, s["a"], len(run_), b" ".join(run_)))
-                yield _batch(rows)
+        for part in _slices(batches):
+            w = Words(part.column("text"))
+            row, o, a, b = _flat_spans(part.column("spans"))
+            end = b + window - 1
+            runs = [w.slice(x, y) for x, y in zip(w.first[row] + a, w.first[row] + end, strict=True)]
+            uid, ord_ = (part.column(c).to_numpy()[row] for c in ("uid", "ord"))
+            yield pa.RecordBatch.from_arrays([pa.array(o), pa.array(uid), pa.array(ord_), pa.array(a.astype(np.int32)), pa.array((end - a).astype(np.int32)), pa.array(runs, pa.binary())], _SPAN_NAMES)
 
     return open_.select("uid", "ord", "text", "spans").mapInArrow(run, SPAN_SCHEMA)
 
 
-def _passages(open_: DataFrame, confirmed: DataFrame, window: int) -> DataFrame:
-    """Runs of confirmed windows in the document where they come first. ``a`` is unused, ``uid`` null."""
+def _passages(spans: DataFrame, confirmed: DataFrame, window: int) -> DataFrame:
+    """Runs of confirmed windows in the document where they come first. ``uid`` and ``a`` aren't used."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in row_slices(batch):
-                rows = []
-                for ord_, text, spans, hs in zip(*(part.column(c).to_pylist() for c in ("ord", "text", "spans", "hs")), strict=True):
-                    w = words(text)
-                    good = np.isin(run_hashes(word_hashes(w), window).view(np.int64), np.array(hs, np.int64))
-                    for s in spans:
-                        edge = np.flatnonzero(np.diff(np.concatenate(([0], good[s["a"] : s["b"]].view(np.int8), [0])))) + s["a"]
-                        for a, b in zip(edge[::2], edge[1::2], strict=True):
-                            run_ = w[a : b + window - 1]
-                            rows.append((s["o"], None, ord_, 0, len(run_), b" ".join(run_)))
-                yield _batch(rows)
+        for part in _slices(batches, "words"):
+            w, rows = Words(part.column("words")), []
+            for i, (o, ord_) in enumerate(zip(part.column("o").to_pylist(), part.column("ord").to_pylist(), strict=True)):
+                a, b = w.first[i : i + 2]
+                hs = part.column("hs")[i].values.to_numpy()
+                good = np.isin(run_hashes(w.hashes[a:b], window).view(np.int64), hs)
+                edge = np.flatnonzero(np.diff(np.concatenate(([0], good.view(np.int8), [0])))) + a
+                rows += [(o, None, ord_, 0, y - x + window - 1, w.slice(x, y + window - 1)) for x, y in zip(edge[::2], edge[1::2], strict=True)]
+            cols = list(zip(*rows, strict=True)) if rows else [()] * 6
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], _SPAN_NAMES)
 
     lists = confirmed.groupBy("ord").agg(F.collect_list("h").alias("hs"))
-    return open_.select("ord", "text", "spans").join(lists, "ord").select("ord", "text", "spans", "hs").mapInArrow(run, SPAN_SCHEMA)
-
-
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-    cols = list(zip(*rows, strict=True)) if rows else [()] * 6
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["o", "uid", "ord", "a", "n", "words"])
+    return spans.join(lists.hint("shuffle_hash"), "ord").select(*_SPAN_NAMES, "hs").mapInArrow(run, SPAN_SCHEMA)
 
 
 class Automaton:
@@ -154,9 +171,8 @@ class Automaton:
         self.ready = False
 
     def add(self, passage: bytes, ord_: int) -> None:
-        w = passage.split()
-        mine = run_hashes(word_hashes(w), self.window) % np.uint64(self.parts) == self.part
-        ids = tuple(self.numbers.setdefault(x, len(self.numbers) + 1) for x in w)
+        mine = run_hashes(Words(pa.array([passage], pa.binary())).hashes, self.window) % np.uint64(self.parts) == self.part
+        ids = tuple(self.numbers.setdefault(x, len(self.numbers) + 1) for x in passage.split())
         for i in np.flatnonzero(mine).tolist():
             self.trie.add_word(ids[i : i + self.window], len(self.first))
         self.first.append(ord_)
@@ -238,9 +254,9 @@ def dedup_substrings(docs: DataFrame, window: int = 13, id_col: str = "doc_id",
     first = written(_first_pass(own, owners, window), "first")
     open_ = first.where("text is not null")
     windows = _window_rows(open_, window).groupBy("h").agg(F.min("ord").alias("ord"), F.count("*").alias("n"))
-    passages = written(_passages(open_, windows.where("n > 1").select("h", "ord"), window), "passages")
-    spans = written(_span_rows(open_, window), "spans")
-    gone = written(_located(spans, passages, window), "gone").groupBy("uid").agg(F.collect_list(F.struct("a", "b")).alias("gone"))
+    spans = _span_rows(open_, window)
+    passages = written(_passages(spans, windows.where("n > 1").select("h", "ord"), window), "passages")
+    gone = written(_located(spans.where("o < ord"), passages, window), "gone").groupBy("uid").agg(F.collect_list(F.struct("a", "b")).alias("gone"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

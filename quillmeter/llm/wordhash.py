@@ -1,30 +1,31 @@
-"""Hashes of word runs in numpy: each distinct word is hashed once per worker, runs are combined in vectors."""
+r"""Words ``[^\x20\x09-\x0D]+`` of whole Arrow columns and hashes of word runs, in numpy vectors.
+
+A word's hash is a polynomial over random byte values modulo 2^64, mixed; prefix sums give all words' hashes at once.
+"""
 
 from __future__ import annotations
 
+from functools import cached_property
+
 import numpy as np
+import pyarrow as pa
 import xxhash
 
-#: Distinct words that a worker remembers; beyond it forgets all and begins anew. Bounds memory, not results.
-REMEMBERED = 1_000_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 _SHIFT = np.uint64(32)
+_BASE = 0xBF58476D1CE4E5B9
+#: Bytes whose words are hashed at once, and powers of the base and of its inverse up to there.
+_CHUNK = 1 << 18
+_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+_VALUE = np.array([xxhash.xxh64_intdigest(bytes([b]), 42) for b in range(256)], np.uint64)
 
 
-class _Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word, 42)
-        return value
-
-
-_WORDS = _Words()
+def _powers(base: int) -> np.ndarray:
+    return np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(_CHUNK - 1, base, np.uint64))))
 
 
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
+_POWER, _INVERSE = _powers(_BASE), _powers(pow(_BASE, -1, 1 << 64))
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -51,4 +52,69 @@ def sliding(op: np.ufunc, x: np.ndarray, size: int) -> np.ndarray:
     while have < size:
         step = min(have, size - have)
         x, have = op(x[:-step], x[step:]), have + step
-    return x[:n]
+    return x[: max(n, 0)]
+
+
+class Words:
+    """The words of each value of a string or binary column without nulls.
+
+    ``starts`` and ``ends`` are their byte ranges in ``data``; the words of row i are first[i] to first[i + 1].
+    """
+
+    def __init__(self, column: pa.Array):
+        self.data, offsets = _bytes_of(column)
+        space = _SPACE[self.data]
+        start = ~space
+        start[1:] &= space[:-1]
+        heads = offsets[:-1][offsets[:-1] < offsets[1:]]
+        start[heads] = ~space[heads]
+        end = ~space
+        end[:-1] &= space[1:]
+        tails = offsets[1:][offsets[:-1] < offsets[1:]] - 1
+        end[tails] = ~space[tails]
+        self.starts, self.ends = np.flatnonzero(start), np.flatnonzero(end) + 1
+        self.first = np.searchsorted(self.starts, offsets)
+
+    def rows(self, size: int) -> np.ndarray:
+        """For each run of ``size`` words of the column its row, -1 if it crosses rows."""
+        n = max(len(self.starts) - size + 1, 0)
+        row = np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
+        return np.where(row[:n] == row[size - 1 : size - 1 + n], row[:n], -1)
+
+    def joined(self, i: int) -> bytes:
+        """The words of row i, joined by one space."""
+        a, b = self.first[i], self.first[i + 1]
+        return b" ".join(self.slice(a, b).split()) if b > a else b""
+
+    def slice(self, a: int, b: int) -> bytes:
+        """The bytes from word a to before word b."""
+        return self.data[self.starts[a] : self.ends[b - 1]].tobytes() if b > a else b""
+
+    @cached_property
+    def hashes(self) -> np.ndarray:
+        out, i, n = np.empty(len(self.starts), np.uint64), 0, len(self.starts)
+        while i < n:
+            at = self.starts[i]
+            j = int(np.searchsorted(self.ends, at + _CHUNK, side="right"))
+            if j <= i:  # a word longer than a chunk
+                out[i] = xxhash.xxh64_intdigest(self.data[at : self.ends[i]].tobytes(), 42)
+                i += 1
+                continue
+            seg = self.data[at : self.ends[j - 1]]
+            total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_VALUE[seg] * _POWER[: len(seg)])))
+            a, b = self.starts[i:j] - at, self.ends[i:j] - at
+            out[i:j] = mixed((total[b] - total[a]) * _INVERSE[a])
+            i = j
+        return out
+
+
+def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all values, one after the other, and the n + 1 places where they start and end."""
+    wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
+    n, kind = len(column), np.int64 if wide else np.int32
+    _, offsets, data = column.buffers()
+    if not n or offsets is None:
+        return np.empty(0, np.uint8), np.zeros(n + 1, np.int64)
+    at = np.frombuffer(offsets, kind)[column.offset : column.offset + n + 1].astype(np.int64)
+    flat = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None and at[-1] > at[0] else np.empty(0, np.uint8)
+    return flat, at - at[0]
