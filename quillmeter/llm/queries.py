@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quillmeter.llm import packing, simhash, substring, token_counts
+from quillmeter.llm import chat, fingerprints, language, packing, simhash, substring, token_counts
+from quillmeter.llm.common import crc_bucket
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +28,24 @@ def op3_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.dedup_substrings(_table(spark, sf_dir, "documents"))
 
 
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "\\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(extra)
+    return chat.read_back(chat.windows(turns, public_tokenizers.path("byte_bpe_50k.json")))
+
+
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_pairs(_table(spark, sf_dir, "documents"))
+
+
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(crc_bucket("doc_id", 4) == 2, F.lit(False))
+    model = language.train(docs, ~held_out)
+    return language.predict(docs.select("doc_id", "text", held_out.alias("held_out")), model).drop("text")
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -34,6 +54,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_token_counts": op2_token_counts,
     "op3_substring": op3_substring,
+    "op4_chat": op4_chat,
+    "op5_fingerprints": op5_fingerprints,
+    "op6_language": op6_language,
     "op7_packing": op7_packing,
 }
 
