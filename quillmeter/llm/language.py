@@ -68,8 +68,8 @@ def train(docs: DataFrame, where: Column, id_col: str = "doc_id", text_col: str
     return langs, np.vstack((np.log(p / p.sum(axis=0)), np.log(n[FEATURES:] / max(n[FEATURES:].sum(), 1)))).astype(np.float32)
 
 
-def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str = "text") -> DataFrame:
-    """All columns of ``docs`` with ``lang_pred`` and ``score``, the prediction's posterior probability.
+def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str = "text", keep_text: bool = True) -> DataFrame:
+    """All columns of ``docs`` (but the text's if it isn't kept) with ``lang_pred`` and ``score``, its posterior probability.
 
     ``und`` with score 0 if the text is null or has no letter, or if nothing was learned. Input columns of these two
     names are replaced. Of equal posteriors the first language by name wins.
@@ -77,7 +77,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str
     langs, table = model
     shared = docs.sparkSession.sparkContext.broadcast(table)
     names = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    keep = docs.select(names)
+    keep, out = docs.select(names), [c for c in names if keep_text or c != text_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         logs = shared.value
@@ -96,8 +96,8 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str
                     post = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
                     for i, b, s in zip(good, best.tolist(), post.tolist(), strict=True):
                         pred[i], score[i] = langs[b], s
-                cols = [*part.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64())]
-                yield pa.RecordBatch.from_arrays(cols, [*names, "lang_pred", "score"])
+                cols = [*(part.column(c) for c in out), pa.array(pred, pa.string()), pa.array(score, pa.float64())]
+                yield pa.RecordBatch.from_arrays(cols, [*out, "lang_pred", "score"])
 
-    kinds = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in keep.schema)
+    kinds = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in keep.select(out).schema)
     return keep.mapInArrow(run, f"{kinds}, lang_pred string, score double")

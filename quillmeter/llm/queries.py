@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmeter.llm import chat, fingerprints, language, packing, simhash, substring, token_counts
+from quillmeter.llm import chat, decontamination, fingerprints, language, packing, simhash, substring, suffix_tree, token_counts, toxicity
 from quillmeter.llm.common import crc_bucket
 
 
@@ -43,13 +43,27 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = F.coalesce(crc_bucket("doc_id", 4) == 2, F.lit(False))
     model = language.train(docs, ~held_out)
-    return language.predict(docs.select("doc_id", "text", held_out.alias("held_out")), model).drop("text")
+    return language.predict(docs.select("doc_id", "text", held_out.alias("held_out")), model, keep_text=False)
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contained_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    chain = toxicity.train_chain(docs, _table(spark, sf_dir, "labels"), {"low_quality": 1 - F.col("quality"), "toxic": F.col("toxic")})
+    return toxicity.predict(docs, chain)
+
+
+def op10_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree.scores(_table(spark, sf_dir, "documents"), crc_bucket("doc_id", 10) == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_token_counts": op2_token_counts,
@@ -58,6 +72,22 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_fingerprints": op5_fingerprints,
     "op6_language": op6_language,
     "op7_packing": op7_packing,
+    "op8_decontamination": op8_decontamination,
+    "op9_toxicity": op9_toxicity,
+    "op10_suffix_tree": op10_suffix_tree,
 }
 
-ORACLE: dict[str, str] = {}
+#: An item's shingles, and those of every document, by position; runs of all words of items under five.
+_OP8 = r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), x -> x <> '') AS w FROM documents WHERE doc_id IS NOT NULL),
+b AS (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), x -> x <> '') AS w FROM benchmark),
+i AS (SELECT DISTINCT item_id, least(len(w), 5) AS size, unnest([array_to_string(w[k:k + least(len(w), 5) - 1], ' ') FOR k IN range(1, len(w) - least(len(w), 5) + 2)]) AS g FROM b WHERE len(w) > 0),
+n AS (SELECT item_id, count(*) AS n FROM i GROUP BY item_id),
+s AS (SELECT DISTINCT size FROM i),
+t AS (SELECT DISTINCT doc_id, size, unnest([array_to_string(w[k:k + size - 1], ' ') FOR k IN range(1, len(w) - size + 2)]) AS g FROM d, s WHERE len(w) >= size)
+SELECT t.doc_id, i.item_id, any_value(n.n)::BIGINT AS n_shingles, count(*)::BIGINT AS n_shared, count(*) / any_value(n.n) AS containment
+FROM t JOIN i ON t.g = i.g AND t.size = i.size JOIN n ON n.item_id = i.item_id
+GROUP BY t.doc_id, i.item_id HAVING count(*) >= 0.8 * any_value(n.n)
+"""
+
+ORACLE: dict[str, str] = {"op8_decontamination": _OP8}

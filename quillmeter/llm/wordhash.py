@@ -61,8 +61,10 @@ class Words:
     ``starts`` and ``ends`` are their byte ranges in ``data``; the words of row i are first[i] to first[i + 1].
     """
 
-    def __init__(self, column: pa.Array):
+    def __init__(self, column: pa.Array, lower: bool = False):
         self.data, offsets = _bytes_of(column)
+        if lower:  # A-Z alone
+            self.data = np.where((self.data >= 65) & (self.data <= 90), self.data + np.uint8(32), self.data)
         space = _SPACE[self.data]
         start = ~space
         start[1:] &= space[:-1]
@@ -108,6 +110,47 @@ class Words:
         return out
 
 
+class Index:
+    """Places of 64-bit keys: a table over the top bits of the mixed keys, then a few steps through the sorted ones."""
+
+    def __init__(self, keys: np.ndarray):
+        m = mixed(keys.astype(np.uint64))
+        self.order = np.argsort(m)
+        self.sorted = m[self.order]
+        bits = max(int(4 * len(keys)).bit_length(), 4)
+        self.shift = np.uint64(64 - bits)
+        self.start = np.searchsorted(self.sorted, np.arange(1 << bits, dtype=np.uint64) << self.shift)
+        self.steps = int(np.diff(np.append(self.start, len(keys))).max(initial=0))
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """For each key its place among the keys at the start, or -1."""
+        out = np.full(len(keys), -1, np.int64)
+        if not len(self.sorted) or not len(keys):
+            return out
+        m = mixed(keys.astype(np.uint64))
+        at, left = self.start[m >> self.shift], np.arange(len(keys))
+        for _ in range(self.steps):
+            at = np.minimum(at, len(self.sorted) - 1)
+            value = self.sorted[at]
+            hit = value == m
+            out[left[hit]] = self.order[at[hit]]
+            more = value < m
+            left, m, at = left[more], m[more], at[more] + 1
+            if not len(left):
+                break
+        return out
+
+
+def counted(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys and how often they come (or the sums of their counts)."""
+    if counts is None:
+        return np.unique(keys, return_counts=True)
+    order = np.argsort(keys)
+    keys, counts = keys[order], counts[order]
+    heads = np.flatnonzero(np.concatenate((np.ones(min(len(keys), 1), bool), keys[1:] != keys[:-1])))
+    return keys[heads], np.add.reduceat(counts, heads) if len(heads) else counts
+
+
 def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all values, one after the other, and the n + 1 places where they start and end."""
     wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
