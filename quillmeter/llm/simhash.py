@@ -108,3 +108,14 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     moved = roots.join(least, "root").select(F.col("node").alias("fp"), "component_id")
     named = written(groups.join(moved, "fp", "left").select("fp", "n_same", F.coalesce("component_id", "rep").alias("component_id")), "named")
     return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_same")
+
+
+def one_of_each_group(docs: DataFrame, text_col: str = "text", size: int = 3, max_distance: int = 2) -> DataFrame:
+    """The rows of ``docs`` with the smallest ``doc_id`` of each near-duplicate group; all other rows go.
+
+    Rows of one id are one document, of which one row stays. Rows without an id can't be named in a group and stay.
+    """
+    groups = simhash_groups(docs, "doc_id", text_col, size, max_distance)
+    kept = groups.where("doc_id = component_id").select("doc_id").distinct()
+    named = docs.join(kept.hint("shuffle_hash"), "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"])
+    return named.union(docs.where("doc_id is null"))

@@ -24,7 +24,7 @@ PATTERNS = 200_000
 #: Rows without an id come after all others.
 NO_ID = (1 << 63) - 1
 
-FIRST_SCHEMA = "uid long, doc_id long, ord long, n_words long, kept_sha256 string, text string, spans array<struct<o:long,a:int,b:int>>"
+FIRST_SCHEMA = "uid long, doc_id long, ord long, n_words long, kept_sha256 string, text string, spans array<struct<o:long,a:int,b:int>>, carried {}"
 SPAN_SCHEMA = "o long, uid long, ord long, a int, n int, words binary"
 _SPAN_NAMES = ["o", "uid", "ord", "a", "n", "words"]
 _SPANS = pa.list_(pa.struct([("o", pa.int64()), ("a", pa.int32()), ("b", pa.int32())]))
@@ -32,8 +32,9 @@ _SPANS = pa.list_(pa.struct([("o", pa.int64()), ("a", pa.int32()), ("b", pa.int3
 VECTOR_BYTES = 2 << 20
 
 
-def _text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("ord"), text_or_empty(text_col).alias("text"))
+def _text(docs: DataFrame, id_col: str, text_col: str, carry: list[str]) -> DataFrame:
+    doc_id, carried = F.col(id_col).cast("long"), F.struct(*carry) if carry else F.struct(F.lit(True).alias("none"))
+    return docs.select(doc_id.alias("doc_id"), F.coalesce(doc_id, F.lit(NO_ID)).alias("ord"), text_or_empty(text_col).alias("text"), carried.alias("carried"))
 
 
 def window_seeds(h: np.ndarray, window: int) -> np.ndarray:
@@ -66,8 +67,11 @@ def _seeds(own: DataFrame, window: int) -> DataFrame:
     return own.select("ord", "text").mapInArrow(run, "seed long, ord long")
 
 
-def _first_pass(own: DataFrame, owners: DataFrame, window: int) -> DataFrame:
-    """Documents without a repeated seed are finished; the others get spans (owner, first window, end window)."""
+def _first_pass(own: DataFrame, owners: DataFrame, window: int, keep_text: bool) -> DataFrame:
+    """Documents without a repeated seed are finished; the others get spans (owner, first window, end window).
+
+    Texts go along only where a later step needs them.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         uid = TaskContext.get().partitionId() << 36
@@ -88,13 +92,14 @@ def _first_pass(own: DataFrame, owners: DataFrame, window: int) -> DataFrame:
                     found = [{"o": int(o[x]), "a": int(x), "b": int(y)} for x, y in zip(cuts, cuts[1:], strict=False) if hit[x]]
                 spans.append(found)
                 sha.append(None if found else hashlib.sha256(w.joined(i)).hexdigest())
-                left.append(text[i].as_py() if found else None)
+                left.append(text[i].as_py() if found or keep_text else None)
             uids = np.arange(uid, uid + part.num_rows)
             uid += part.num_rows
-            cols = [pa.array(uids), part.column("doc_id"), part.column("ord"), pa.array(np.diff(w.first)), pa.array(sha, pa.string()), pa.array(left, pa.string()), pa.array(spans, _SPANS)]
-            yield pa.RecordBatch.from_arrays(cols, ["uid", "doc_id", "ord", "n_words", "kept_sha256", "text", "spans"])
+            cols = [pa.array(uids), part.column("doc_id"), part.column("ord"), pa.array(np.diff(w.first)), pa.array(sha, pa.string()), pa.array(left, pa.string()), pa.array(spans, _SPANS), part.column("carried")]
+            yield pa.RecordBatch.from_arrays(cols, ["uid", "doc_id", "ord", "n_words", "kept_sha256", "text", "spans", "carried"])
 
-    return own.join(owners.hint("shuffle_hash"), "ord", "left").select("doc_id", "ord", "text", "owners").mapInArrow(run, FIRST_SCHEMA)
+    joined = own.join(owners.hint("shuffle_hash"), "ord", "left").select("doc_id", "ord", "text", "owners", "carried")
+    return joined.mapInArrow(run, FIRST_SCHEMA.format(joined.schema["carried"].dataType.simpleString()))
 
 
 def _flat_spans(spans: pa.ListArray) -> tuple[np.ndarray, ...]:
@@ -232,11 +237,11 @@ def _located(spans: DataFrame, passages: DataFrame, window: int) -> DataFrame:
     return met.mapInArrow(run, "uid long, a int, b int")
 
 
-def dedup_substrings(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
-    """One row per document: ``doc_id, n_words, n_removed, kept_sha256`` (and ``kept_text`` if asked for).
+def dedup_substrings(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False, carry: list[str] | None = None) -> DataFrame:
+    """One row per document: ``doc_id, n_words, n_removed, kept_sha256``, with ``keep_text`` also ``kept_text``, and ``carried``.
 
     A word goes if a window of ``window`` words that covers it also starts in a document with a smaller id. Kept words
-    are joined by one space; with ``keep_text`` a text that loses nothing stays as it is.
+    are joined by one space; a kept text that loses nothing stays as it is. ``carried`` holds the columns ``carry``.
 
     1. Each window is stood for by the least hash of its five-word seeds. Seeds that two documents have are repeated;
        a seed's owner is its smallest document. 2. Windows over repeated seeds are counted by hash; those in two
@@ -247,12 +252,12 @@ def dedup_substrings(docs: DataFrame, window: int = 13, id_col: str = "doc_id",
     Null texts count as empty. Rows without an id come after all others and don't affect each other, nor do rows with
     equal ids. Each input row gives a row. Other columns are not read. An empty table gives an empty result.
     """
-    own = _text(docs, id_col, text_col)
+    own = _text(docs, id_col, text_col, carry or [])
     seeds = _seeds(own, window)
     repeated = written(seeds.groupBy("seed").agg(F.min("ord").alias("o"), F.count("*").alias("n")).where("n > 1").select("seed", "o"), "seeds")
     owners = seeds.join(repeated, "seed").groupBy("ord").agg(F.collect_list(F.struct("seed", "o")).alias("owners"))
-    first = written(_first_pass(own, owners, window), "first")
-    open_ = first.where("text is not null")
+    first = written(_first_pass(own, owners, window, keep_text), "first")
+    open_ = first.where("size(spans) > 0")
     windows = _window_rows(open_, window).groupBy("h").agg(F.min("ord").alias("ord"), F.count("*").alias("n"))
     spans = _span_rows(open_, window)
     passages = written(_passages(spans, windows.where("n > 1").select("h", "ord"), window), "passages")
@@ -270,13 +275,11 @@ def dedup_substrings(docs: DataFrame, window: int = 13, id_col: str = "doc_id",
                     left = b" ".join([x for x, k in zip(w, keep.tolist(), strict=True) if k])
                     out.append((int(len(w) - keep.sum()), hashlib.sha256(left).hexdigest(), (text if keep.all() else left.decode()) if keep_text else None))
                 n, sha, kept = zip(*out, strict=True) if out else ((), (), ())
-                yield pa.RecordBatch.from_arrays([part.column("uid"), part.column("doc_id"), part.column("n_words"), pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(kept, pa.string())], names)
-
-    names = ["uid", "doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"]
-    cut = open_.select("uid", "doc_id", "n_words", "text").join(gone.hint("shuffle_hash"), "uid", "left").select("uid", "doc_id", "n_words", "text", "gone")
-    cut = cut.mapInArrow(run, "uid long, doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
-    cols = ["doc_id", "n_words", "n_removed", "kept_sha256"]
-    done = first.where("text is null").select(*cols[:2], F.lit(0).cast("long").alias("n_removed"), "kept_sha256")
-    if not keep_text:
-        return done.union(cut.select(cols))
-    return cut.select(*cols, "kept_text")
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "n_words", "carried")), pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(kept, pa.string())], names)
+
+    names = ["doc_id", "n_words", "carried", "n_removed", "kept_sha256", "kept_text"]
+    cut = open_.join(gone.hint("shuffle_hash"), "uid", "left").select("doc_id", "n_words", "carried", "text", "gone")
+    cut = cut.mapInArrow(run, f"doc_id long, n_words long, carried {first.schema['carried'].dataType.simpleString()}, n_removed long, kept_sha256 string, kept_text string")
+    done = first.where("size(spans) = 0").select("doc_id", "n_words", "carried", F.lit(0).cast("long").alias("n_removed"), "kept_sha256", F.col("text").alias("kept_text"))
+    every = done.union(cut)
+    return every.select("doc_id", "n_words", "n_removed", "kept_sha256", *["kept_text"] * keep_text, *["carried"] * bool(carry))
