@@ -2,81 +2,171 @@
 
 from __future__ import annotations
 
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import HashingTF, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+import re
+from collections.abc import Iterator
+from itertools import chain
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmeter.llm.common import written
+from quillmeter.llm.common import row_slices, text_or_empty, written
 
-#: Hashed word features, labelled rows that training takes at most (about), folds, and the models' regularisation.
-FEATURES, TRAIN_ROWS, FOLDS, PENALTY, ROUNDS = 1 << 17, 20_000, 3, 1e-3, 40
+#: Hashed word features, labelled rows that training takes at most (about), folds, regularisation, training steps,
+#: and the chi-square statistic that a feature needs.
+FEATURES, TRAIN_ROWS, FOLDS, PENALTY, STEPS, DEPENDENCE = 1 << 18, 20_000, 3, 1e-4, 200, 15.0
+#: Distinct words that a worker remembers; beyond it forgets all and begins anew.
+REMEMBERED = 1_000_000
+#: Letters of the beginnings of words that are features.
+STEMS = (5, 7)
+_WORD = re.compile(r"[^\W\d_]+|[^\w\s]+")
 
 
-def with_words(docs: DataFrame, text_col: str) -> DataFrame:
-    """Adds ``tf``: which hashed words (runs of letters, in lower case) a text holds. A null text holds none."""
-    words = F.regexp_extract_all(F.lower(F.coalesce(F.col(text_col).cast("string"), F.lit(""))), F.lit(r"(\p{L}+)"), 1)
-    return HashingTF(numFeatures=FEATURES, binary=True, inputCol="words", outputCol="tf").transform(docs.withColumn("words", words)).drop("words")
+class _Features(dict):
+    """A word's features: the word itself and its beginnings, which inflected and joined forms share."""
 
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        parts = [word, *(f"{word[:n]}*" for n in STEMS if len(word) >= n)]
+        value = self[word] = tuple(xxhash.xxh32_intdigest(p.encode("utf-8", "surrogatepass"), 42) % FEATURES for p in parts)
+        return value
 
-def _inputs(rows: DataFrame, earlier: list[str]) -> DataFrame:
-    return VectorAssembler(inputCols=["tf", *earlier], outputCol="inputs").transform(rows)
 
+_FEATURES = _Features()
 
-def _probability(model, rows: DataFrame, earlier: list[str], name: str) -> DataFrame:
-    keep = rows.columns
-    if isinstance(model, float):
-        return rows.withColumn(name, F.lit(model))
-    out = model.transform(_inputs(rows, earlier))
-    return out.select(*keep, vector_to_array("probability")[1].alias(name))
 
+def features(text: str) -> np.ndarray:
+    """The distinct hashed words of a whole text (runs of letters in lower case, and of symbols) and their beginnings."""
+    return np.unique(np.fromiter(chain.from_iterable(map(_FEATURES.__getitem__, set(_WORD.findall(text.lower())))), np.int32))
 
-def _fit(rows: DataFrame, label: str, earlier: list[str]):
-    """A model, or the one label's value if the rows have no two labels (0 without any row)."""
-    seen = [r[0] for r in rows.select(label).distinct().collect()]
-    if len(seen) < 2:
-        return float(seen[0]) if seen else 0.0
-    return LogisticRegression(featuresCol="inputs", labelCol=label, regParam=PENALTY, maxIter=ROUNDS, standardization=False).fit(_inputs(rows, earlier).select("inputs", label))
 
+def _flat(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    size = np.array([len(r) for r in rows], np.int64)
+    return np.concatenate(rows) if rows else np.empty(0, np.int32), np.concatenate(([0], np.cumsum(size)))
 
-def train_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], id_col: str = "doc_id", text_col: str = "text") -> list:
+
+def probability(model: np.ndarray, rows: list[np.ndarray], earlier: np.ndarray) -> np.ndarray:
+    """model: FEATURES weights, one for each earlier category's probability, and the intercept."""
+    flat, at = _flat(rows)
+    sums = np.concatenate((np.zeros(1), np.cumsum(model[flat])))
+    z = sums[at[1:]] - sums[at[:-1]] + earlier @ model[FEATURES:-1] + model[-1]
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def telling(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
+    """Which features' presence depends on the label, by the chi-square statistic of their fourfold table."""
+    flat, at = _flat(rows)
+    n, ones = len(y), y.sum()
+    have = np.bincount(flat, minlength=FEATURES).astype(float)
+    both = np.bincount(flat, np.repeat(y, np.diff(at)), FEATURES)
+    spread = np.maximum(have * (n - have) * ones * (n - ones), 1e-9)
+    return n * (both * n - have * ones) ** 2 / spread > DEPENDENCE
+
+
+def fit(rows: list[np.ndarray], earlier: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Logistic regression over the telling features by full-batch Adam steps: the same rows give the same model."""
+    if len(y):
+        use = telling(rows, y)
+        rows = [r[use[r]] for r in rows]
+    flat, at = _flat(rows)
+    size, row = np.diff(at), np.repeat(np.arange(len(rows)), np.diff(at))
+    w = np.zeros(FEATURES + earlier.shape[1] + 1)
+    if not len(y):
+        w[-1] = -30.0
+        return w
+    m, v = np.zeros_like(w), np.zeros_like(w)
+    for t in range(1, STEPS + 1):
+        r = (probability(w, rows, earlier) - y) / len(y) if size.any() else (1 / (1 + np.exp(-w[-1])) - y) / len(y)
+        g = np.concatenate((np.bincount(flat, r[row], FEATURES), earlier.T @ r, [r.sum()])) + PENALTY * np.append(w[:-1], 0)
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        w -= 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+    return w
+
+
+def _models(rows: DataFrame, label: str, earlier: list[str], folds: int) -> list[np.ndarray]:
+    """The model of all rows, then one without each fold; each is fitted in its own task, on at most about TRAIN_ROWS rows."""
+
+    def one(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        part = part[part.fold != key[0]].sort_values("id", kind="stable")
+        w = fit([np.asarray(x, np.int32) for x in part.words], part[earlier].to_numpy(float).reshape(len(part), len(earlier)), part[label].to_numpy(float))
+        return pd.DataFrame({"model": [key[0]], "w": [w]})
+
+    each = rows.where(F.col(label).isNotNull()).select("id", "fold", "words", label, *earlier, F.explode(F.sequence(F.lit(-1), F.lit(folds - 1))).alias("model"))
+    found = {r.model: np.array(r.w) for r in each.groupBy("model").applyInPandas(one, "model int, w array<double>").collect()}
+    none = fit([], np.zeros((0, len(earlier))), np.zeros(0))
+    return [found.get(k, none) for k in range(-1, folds)]
+
+
+def train_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], id_col: str = "doc_id", text_col: str = "text") -> list[tuple[str, np.ndarray]]:
     """(category, model) in the order of ``categories``, whose values say from a labels row 0, 1 or null (not known).
 
     Training takes all labelled rows up to about TRAIN_ROWS, beyond that a share by a hash of the id. The earlier
     categories' probabilities, with which a model is trained, come from models that did not see the row: each category
-    is also learned FOLDS times without one fold. Labels are joined by id; labels without a document are left out.
+    is also learned FOLDS times without one fold. Labels are joined by id; those without a document are left out, and of
+    repeated ids one row counts. Without any label a category's probability is nearly 0.
     """
     own = labels.select(F.col(id_col).cast("long").alias("id"), *(c.cast("double").alias(f"y_{k}") for k, c in categories.items())).where("id is not null").dropDuplicates(["id"])
     n = own.count()
     taken = own.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, TRAIN_ROWS / max(n, 1))))
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    rows = with_words(texts.join(taken.hint("shuffle_hash"), "id"), "text").drop("text").withColumn("fold", F.pmod(F.xxhash64("id", F.lit(7)), F.lit(FOLDS)))
-    rows = written(rows, "labelled")
-    chain, earlier = [], []
+    kinds = ["id long", *(f"y_{k} double" for k in categories)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in row_slices(batch):
+                words = pa.array([features(t) for t in part.column("text").to_pylist()], pa.list_(pa.int32()))
+                names = [k.split()[0] for k in kinds]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), words], [*names, "words"])
+
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
+    # about TRAIN_ROWS rows of numbers: broadcast
+    rows = texts.join(F.broadcast(taken), "id").select(*(k.split()[0] for k in kinds), "text").mapInArrow(run, f"{', '.join(kinds)}, words array<int>")
+    rows = written(rows.dropDuplicates(["id"]).withColumn("fold", F.pmod(F.xxhash64("id", F.lit(7)), F.lit(FOLDS)).cast("int")), "labelled")
+    models_of, earlier = [], []
     for k in categories:
-        name, known = f"p_{k}", rows.where(f"y_{k} is not null")
-        chain.append((k, _fit(known, f"y_{k}", earlier)))
-        if len(chain) < len(categories):
-            parts = None
-            for fold in range(FOLDS):
-                model = _fit(known.where(F.col("fold") != fold), f"y_{k}", earlier)
-                part = _probability(model, rows.where(F.col("fold") == fold), earlier, name)
-                parts = part if parts is None else parts.union(part)
-            rows = written(parts, "labelled")
-        earlier = [*earlier, name]
-    return chain
-
-
-def predict(docs: DataFrame, chain: list, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        last = len(models_of) == len(categories) - 1
+        models = _models(rows, f"y_{k}", earlier, 0 if last else FOLDS)
+        models_of.append((k, models[0]))
+        if not last:
+            rows = written(_out_of_fold(rows, models[1:], earlier, f"p_{k}"), "labelled")
+        earlier = [*earlier, f"p_{k}"]
+    return models_of
+
+
+def _out_of_fold(rows: DataFrame, models: list[np.ndarray], earlier: list[str], name: str) -> DataFrame:
+    shared = rows.sparkSession.sparkContext.broadcast(models)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in batches:
+            words = [np.asarray(x, np.int32) for x in part.words]
+            p = [probability(shared.value[f], [w], e[None, :])[0] for f, w, e in zip(part.fold, words, part[earlier].to_numpy(float).reshape(len(part), len(earlier)), strict=True)]
+            yield part.assign(**{name: np.array(p, float)})
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+    return rows.mapInPandas(run, f"{kinds}, {name} double")
+
+
+def predict(docs: DataFrame, chain: list[tuple[str, np.ndarray]], threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: ``doc_id``, ``p_<category>`` and ``is_<category>`` (p >= threshold) along the chain.
 
     A null or empty text has no words and gets the intercepts' probabilities. Repeated rows and rows without an id are
     scored like others. Other columns are not read. An empty table gives an empty result.
     """
-    rows = with_words(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), "text").drop("text")
-    earlier: list[str] = []
-    for k, model in chain:
-        rows = _probability(model, rows, earlier, f"p_{k}")
-        earlier.append(f"p_{k}")
-    return rows.select("doc_id", *earlier, *((F.col(p) >= threshold).alias(f"is_{p[2:]}") for p in earlier))
+    shared = docs.sparkSession.sparkContext.broadcast([m for _, m in chain])
+    names = [f"p_{k}" for k, _ in chain]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in row_slices(batch, size=1 << 20):
+                rows = [features(t) for t in part.column("text").to_pylist()]
+                earlier = np.zeros((len(rows), 0))
+                for model in shared.value:
+                    earlier = np.column_stack((earlier, probability(model, rows, earlier)))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(earlier[:, i]) for i in range(len(names)))], ["doc_id", *names])
+
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
+    out = own.mapInArrow(run, ", ".join(["doc_id long", *(f"{n} double" for n in names)]))
+    return out.select("doc_id", *names, *((F.col(n) >= threshold).alias(f"is_{n[2:]}") for n in names))
