@@ -54,7 +54,8 @@ def probability(model: np.ndarray, rows: list[np.ndarray], earlier: np.ndarray)
     flat, at = _flat(rows)
     sums = np.concatenate((np.zeros(1), np.cumsum(model[flat])))
     z = sums[at[1:]] - sums[at[:-1]] + earlier @ model[FEATURES:-1] + model[-1]
-    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    with np.errstate(over="ignore"):
+        return 1 / (1 + np.exp(-z))
 
 
 def telling(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
@@ -76,7 +77,7 @@ def fit(rows: list[np.ndarray], earlier: np.ndarray, y: np.ndarray) -> np.ndarra
     size, row = np.diff(at), np.repeat(np.arange(len(rows)), np.diff(at))
     w = np.zeros(FEATURES + earlier.shape[1] + 1)
     if not len(y):
-        w[-1] = -30.0
+        w[-1] = -np.inf
         return w
     m, v = np.zeros_like(w), np.zeros_like(w)
     for t in range(1, STEPS + 1):
@@ -107,7 +108,7 @@ def train_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, Column
     Training takes all labelled rows up to about TRAIN_ROWS, beyond that a share by a hash of the id. The earlier
     categories' probabilities, with which a model is trained, come from models that did not see the row: each category
     is also learned FOLDS times without one fold. Labels are joined by id; those without a document are left out, and of
-    repeated ids one row counts. Without any label a category's probability is nearly 0.
+    repeated ids one row counts. Without any label a category's probability is 0.
     """
     own = labels.select(F.col(id_col).cast("long").alias("id"), *(c.cast("double").alias(f"y_{k}") for k, c in categories.items())).where("id is not null").dropDuplicates(["id"])
     n = own.count()
