@@ -58,12 +58,14 @@ def train(docs: DataFrame, where: Column, id_col: str = "doc_id", text_col: str
 
     rows = docs.where(where).select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null")
     sums = rows.mapInArrow(run, "lang string, feature long, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n"))
-    table = sums.toPandas()
-    langs = sorted(set(table.lang))
+    table = sums.toArrow()  # at most FEATURES + 1 rows for each language
+    names = table.column("lang").to_pylist()
+    langs = sorted(set(names))
     if len(langs) > MAX_LANGS:
         raise ValueError(f"more than {MAX_LANGS} languages")
     n = np.zeros((FEATURES + 1, len(langs)))
-    n[table.feature.to_numpy(np.int64), [langs.index(x) for x in table.lang]] = table.n.to_numpy(float)
+    place = {x: i for i, x in enumerate(langs)}
+    n[table.column("feature").to_numpy().astype(np.int64), [place[x] for x in names]] = table.column("n").to_numpy()
     p = n[:FEATURES] + ADDED
     return langs, np.vstack((np.log(p / p.sum(axis=0)), np.log(n[FEATURES:] / max(n[FEATURES:].sum(), 1)))).astype(np.float32)
 

@@ -115,11 +115,11 @@ class Index:
 
     def __init__(self, keys: np.ndarray):
         m = mixed(keys.astype(np.uint64))
-        self.order = np.argsort(m)
+        self.order = np.argsort(m).astype(np.int32)
         self.sorted = m[self.order]
-        bits = max(int(4 * len(keys)).bit_length(), 4)
+        bits = max(int(2 * len(keys)).bit_length(), 4)
         self.shift = np.uint64(64 - bits)
-        self.start = np.searchsorted(self.sorted, np.arange(1 << bits, dtype=np.uint64) << self.shift)
+        self.start = np.searchsorted(self.sorted, np.arange(1 << bits, dtype=np.uint64) << self.shift).astype(np.int32)
         self.steps = int(np.diff(np.append(self.start, len(keys))).max(initial=0))
 
     def find(self, keys: np.ndarray) -> np.ndarray:
