@@ -19,8 +19,8 @@ from quillmeter.llm.wordhash import Words, run_hashes, sliding
 #: Words of a seed: the least seed hash of a window stands for the window, so that equal windows choose equal seeds.
 SEED_WORDS = 5
 #: Words that one automaton scans, and patterns that it holds, before its group is split.
-SCAN_WORDS = 2_000_000
-PATTERNS = 200_000
+SCAN_WORDS = 50_000
+PATTERNS = 100_000
 #: Rows without an id come after all others.
 NO_ID = (1 << 63) - 1
 
@@ -204,11 +204,11 @@ def _located(spans: DataFrame, passages: DataFrame, window: int) -> DataFrame:
     """(uid, a, b): the covered ranges. Passages and spans of an owner meet in one group; large groups are split.
 
     A group with many words to scan is dealt over salts, each with a copy of the patterns; one with many patterns is cut
-    into parts, each with a copy of the words. Rows come sorted, patterns first: a task holds one automaton at a time
+    into parts, each with a copy of the words. Copied patterns stay fewer than the words to scan. Rows come sorted, patterns first: a task holds one automaton at a time
     and streams the words.
     """
     sizes = spans.select("o", F.col("n").alias("scan"), F.lit(0).alias("pats")).union(passages.select("o", F.lit(0), F.col("n") - window + 1))
-    sizes = sizes.groupBy("o").agg(F.ceil(F.sum("scan") / SCAN_WORDS).alias("salts"), F.ceil(F.sum("pats") / PATTERNS).alias("parts"))
+    sizes = sizes.groupBy("o").agg(F.ceil(F.sum("scan") / F.greatest(F.lit(SCAN_WORDS), 2 * F.sum("pats"))).alias("salts"), F.ceil(F.sum("pats") / PATTERNS).alias("parts"))
     large = written(sizes.where("salts > 1 or parts > 1"), "large")
     up_to = lambda c: F.sequence(F.lit(0), F.greatest(F.coalesce(c, F.lit(1)), F.lit(1)).cast("int") - 1)
     parts = F.greatest(F.coalesce("parts", F.lit(1)), F.lit(1)).cast("int").alias("parts")
