@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Rows up to which a side without an equi-join key is sent to all tasks.
@@ -41,6 +41,34 @@ def calendar_matches(events: DataFrame, time: str, rules: DataFrame) -> DataFram
     return events.alias("_e").join(_small(rules).alias("_r"), cond).select("_e.*", F.col("_r.rule"))
 
 
+def best_scored(rows: DataFrame, id_: str, candidates: DataFrame, label: str, points: list[tuple[Column, int]], least: int) -> DataFrame:
+    """(id, label, score): the candidate with the most points, ``least`` at least; none if two labels share the top score.
+
+    points: conditions between a row and a candidate, and what each adds. Candidates are few, and counted first.
+    """
+    score = sum((F.when(c, n).otherwise(0) for c, n in points), F.lit(0))
+    met = rows.join(_small(candidates), score >= least).select(id_, F.col(label).alias("label"), score.alias("score"))
+    per = met.groupBy(id_, "score").agg(F.count_distinct("label").alias("_k"), F.min("label").alias("label"))
+    return last_of(per.select(id_, F.col("score").alias("_s"), "score", "_k", "label"), [id_], [F.col("_s")]).where("_k = 1").select(id_, "label", "score")
+
+
+def common_prefix(rows: DataFrame, group: str, order: str, signature: str, parents: DataFrame, parent: str) -> DataFrame:
+    """(group, shared, own): how many leading rows of a group equal its parent's, and how many follow.
+
+    Rows of a group are numbered in a total order and meet the parent's row of the same number; the first one that
+    differs or has no partner ends the prefix. A group without a parent shares nothing. Null signatures are equal.
+    """
+    at = F.row_number().over(Window.partitionBy(group).orderBy(order))
+    placed = rows.select(group, F.col(signature).alias("_s"), at.alias("_at"))
+    theirs = placed.select(F.col(group).alias("_p"), "_at", F.col("_s").alias("_ps"), F.lit(True).alias("_met"))
+    mine = placed.join(parents.select(group, F.col(parent).alias("_p")), group, "left")
+    both = mine.join(theirs, ["_p", "_at"], "left")
+    same = F.coalesce("_met", F.lit(False)) & F.col("_s").eqNullSafe(F.col("_ps"))
+    ends = both.groupBy(group).agg(F.count("*").alias("_n"), F.min(F.when(~same, F.col("_at"))).alias("_end"))
+    shared = F.coalesce(F.col("_end") - 1, F.col("_n")).cast("long")
+    return ends.select(group, shared.alias("shared"), (F.col("_n") - shared).alias("own"))
+
+
 def only_value(rows: DataFrame, key: str, value: str) -> DataFrame:
     """(key, value) for keys with just one distinct value; keys with several are left out."""
     return rows.groupBy(key).agg(F.min(value).alias(value), F.count_distinct(value).alias("_k")).where("_k = 1").drop("_k")

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmeter.functions import numbers, text
-from quillmeter.operators import joins, windows
+from quillmeter.functions import digests, numbers, text
+from quillmeter.operators import joins, packing, windows
 from quillmeter.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -329,3 +329,46 @@ def source_upsert(spark, sf):
     old = rows.where("c_custkey % 3 <> 0").select("c_custkey", F.col("c_acctbal").alias("value"))
     new = rows.where("c_custkey % 2 = 0").select("c_custkey", (-F.col("c_acctbal")).alias("value"))
     return joins.merge_latest(old, new, ["c_custkey"], ["value"])
+
+
+@query("""WITH m AS (SELECT event_id, n_name, CASE WHEN user_id % 25 = n_nationkey THEN 10 ELSE 0 END + CASE WHEN day(ts) % 5 = n_regionkey THEN 2 ELSE 0 END + CASE WHEN hour(ts) = n_nationkey THEN 1 ELSE 0 END AS score FROM events JOIN nation ON true),
+t AS (SELECT *, max(score) OVER (PARTITION BY event_id) AS top FROM m WHERE score >= 3)
+SELECT event_id, min(n_name) AS label, any_value(score)::INTEGER AS score FROM t WHERE score = top GROUP BY event_id HAVING count(DISTINCT n_name) = 1""")
+def scored_match(spark, sf):
+    nation = table(spark, sf, "nation").select("n_nationkey", "n_regionkey", "n_name")
+    events = table(spark, sf, "events").select("event_id", "user_id", "ts")
+    points = [(F.col("user_id") % 25 == F.col("n_nationkey"), 10), (F.day("ts") % 5 == F.col("n_regionkey"), 2), (F.hour("ts") == F.col("n_nationkey"), 1)]
+    return joins.best_scored(events, "event_id", nation, "n_name", points, 3)
+
+
+@query("""WITH r AS (SELECT conv_id, role || ':' || left(text, 3) AS s, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS p FROM conversations),
+b AS (SELECT c.conv_id, c.p, c.s IS NOT DISTINCT FROM o.s AND o.p IS NOT NULL AS same FROM r c LEFT JOIN r o ON o.conv_id = c.conv_id - 1 AND o.p = c.p),
+e AS (SELECT conv_id, count(*) AS n, min(p) FILTER (NOT same) AS stop FROM b GROUP BY 1)
+SELECT conv_id, coalesce(stop - 1, n) AS shared, n - coalesce(stop - 1, n) AS own FROM e""")
+def prefix_split(spark, sf):
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", F.concat("role", F.lit(":"), F.left("text", F.lit(3))).alias("s"))
+    parents = rows.select("conv_id").distinct().withColumn("parent", F.col("conv_id") - 1)
+    return joins.common_prefix(rows, "conv_id", "turn", "s", parents, "parent")
+
+
+#: Python checks these rows: SQL has no fold that starts anew, and no keyed hash.
+@query(None)
+def pack_items(spark, sf):
+    docs = table(spark, sf, "documents").select("source", "doc_id", (F.octet_length("text") + 1).alias("size"))
+    return packing.greedy_batches(docs, "source", ["doc_id"], "size", 50, (2 << 20) - 2)
+
+
+@query(None)
+def pack_days(spark, sf):
+    days = table(spark, sf, "events").groupBy("event_type", _day().alias("day")).agg(F.count("*").alias("n"))
+    return packing.greedy_batches(days, "event_type", ["day"], "n", 200, 1000)
+
+
+@query(None)
+def hmac_ids(spark, sf):
+    return table(spark, sf, "customer").select("c_custkey", digests.hmac_sha256(b"install-key", F.col("c_name")).alias("opaque_id"))
+
+
+@query("SELECT event_id, '{\"k\":' || json_extract(props, '$.k')::VARCHAR || '}' AS canonical FROM events")
+def canonical_json(spark, sf):
+    return table(spark, sf, "events").select("event_id", digests.canonical_json(F.col("props")).alias("canonical"))
