@@ -7,8 +7,8 @@ import json
 import os
 import re
 from array import array
+from collections.abc import Callable
 from functools import lru_cache
-from itertools import chain
 
 import regex
 
@@ -37,6 +37,19 @@ def load(path: str) -> Encoder:
     return Encoder(path)
 
 
+class _Memory(dict):
+    """Ids by piece; a piece that isn't there is encoded when it is asked for."""
+
+    def __init__(self, encode: Callable[[str], bytes]):
+        self.encode = encode
+
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        ids = self[piece] = self.encode(piece)
+        return ids
+
+
 class Encoder:
     """Ids of texts as packed unsigned integers, without added special tokens, truncation or padding.
 
@@ -47,7 +60,7 @@ class Encoder:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.memory: dict = {}
+        self.memory = _Memory(self._piece)
         self.parts: dict[str, bytes] = {}
         self.cut = self.split = None
         if path.endswith(".model"):
@@ -76,26 +89,14 @@ class Encoder:
             ids = self.parts[part] = array(self.typecode, [t.id for t in self._merge(part.encode().decode("latin-1").translate(_BYTE_CHARS))]).tobytes()
         return ids
 
-    def remember(self, pieces: list[str]) -> None:
-        """Encode the distinct pieces that aren't in memory yet."""
-        known = set(pieces)
-        new = known.difference(self.memory)
-        if len(self.memory) + len(new) > REMEMBERED:
-            self.memory.clear()
-            new = known
-        rest = []
-        for p in new:
-            if _COMMON.fullmatch(p) and "<|" not in p:
-                self.memory[p] = b"".join(map(self._part, self.split(p)))
-            else:
-                rest.append(p)
-        for p, ids in zip(rest, self._encode(rest), strict=True):
-            self.memory[p] = array(self.typecode, ids).tobytes()
+    def _piece(self, piece: str) -> bytes:
+        if _COMMON.fullmatch(piece) and "<|" not in piece:
+            return b"".join(map(self._part, self.split(piece)))
+        return array(self.typecode, self._encode([piece])[0]).tobytes()
 
     def packed(self, texts: list[str]) -> list[bytes]:
         """For each text its ids, as machine integers of ``typecode`` one after the other."""
         cut = [self.cut(t) if self.cut else None for t in texts]
-        self.remember(list(chain.from_iterable(c for c in cut if c is not None)))
         whole = iter(self._encode([t for t, c in zip(texts, cut, strict=True) if c is None]))
         get = self.memory.__getitem__
         return [array(self.typecode, next(whole)).tobytes() if c is None else b"".join(map(get, c)) for c in cut]
