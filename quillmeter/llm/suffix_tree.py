@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -12,20 +13,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmeter.llm.common import row_slices, text_or_empty, written
-from quillmeter.llm.wordhash import Index, Words, counted
+from quillmeter.llm.wordhash import Index, Words
 
-#: Bounds of what is broadcast: frequent tokens, contexts of one length, next symbols of all contexts of one length.
-#: Thresholds on counts follow from them and from the corpus; tokens below the threshold take the way of a join.
-HEAD, CONTEXTS, ENTRIES = 1 << 18, 1 << 14, 1 << 19
+#: Sizes of what is broadcast: frequent tokens, values of frequent word runs, 64-bit words of a filter. They are shortcuts
+#: of fixed size that no result depends on: what they leave out takes the way of a join.
+HEAD, HOT, FILTER = 1 << 18, 1 << 19, 1 << 20
 #: A context needs so many occurrences, a next symbol so many after it; taken from each next symbol's count.
 LEAST_CONTEXT, LEAST_NEXT, DISCOUNT = 50, 2, 0.75
 ADDED = 0.1
 DEPTH = 2
 #: Hash of the end token, no word's.
 END = -1
-_REST = (1 << 20) - 1
 _VECTOR_BYTES = 2 << 20
 _HELD_ROWS = 1 << 21
+_LN10 = float(np.log(10))
 
 
 def _tokens(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -39,27 +40,90 @@ def _tokens(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return out, first
 
 
-def _summed(own: DataFrame, keys_of: Callable[[pa.RecordBatch], np.ndarray], name: str) -> DataFrame:
-    """(key, n): how often each key comes; tasks add up their rows before the shuffle."""
+def _freed(df: DataFrame, name: str) -> DataFrame:
+    """``written``, and the driver collects its garbage: Spark then deletes the files of shuffles that nothing refers to."""
+    table = written(df, name)
+    del df
+    table.sparkSession._jvm.System.gc()
+    return table
+
+
+def _pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Spark's xxhash64(a, b) of two columns of longs."""
+    p1, p2, p3, p4, p5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    turned = lambda x, k: (x << np.uint64(k)) | (x >> np.uint64(64 - k))
+    h = np.full(len(a), 42, np.uint64)
+    for x in (a, b):
+        h = h + p5 + np.uint64(8)
+        h ^= turned(x.view(np.uint64) * p2, 31) * p1
+        h = turned(h, 27) * p1 + p4
+        h = (h ^ (h >> np.uint64(33))) * p2
+        h = (h ^ (h >> np.uint64(29))) * p3
+        h ^= h >> np.uint64(32)
+    return h.view(np.int64)
+
+
+def _runs(tokens: np.ndarray, first: np.ndarray, depth: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each length of context: where it ends before a token, its key there, the shorter key and that of context and token.
+
+    A row's first token follows an end token; longer contexts don't reach beyond that. A context of one token has the
+    token's hash as key, a longer one the key of its last token after the rest. The key of context and token is a hash
+    of the context's key and of the same key one token shorter, at last the token's own.
+    """
+    starts = first[:-1]
+    at, key = np.arange(len(tokens)), tokens
+    context = np.empty(len(tokens), np.int64)
+    context[1:] = tokens[:-1]
+    context[starts] = END
+    for d in range(1, depth + 1):
+        shorter, key = key, _pair_hash(context, key)
+        yield at, context, shorter, key
+        if d < depth:
+            place = np.full(len(tokens), -1, np.int64)
+            place[at] = np.arange(len(at))
+            before = np.full(len(tokens), -1, np.int64)
+            before[1:] = place[:-1]
+            before[starts] = -1
+            longer = np.flatnonzero(before >= 0)
+            context, key, at = key[before[longer]], key[place[longer]], longer
+
+
+def _summed(own: DataFrame, columns_of: Callable[[pa.RecordBatch], list[np.ndarray]], names: list[str], name: str, least: int = 1) -> DataFrame:
+    """(names, n): how often each row of ``names`` comes, if ``least`` times; tasks add up their rows, by a key, before the shuffle.
+
+    columns_of: the key alone, where it is the one name, or a key and the columns that make it up.
+    """
+
+    def merged(blocks: list[list[np.ndarray]]) -> list[np.ndarray]:
+        key, n, *more = (np.concatenate(x) for x in zip(*blocks, strict=True))
+        order = np.argsort(key)
+        key = key[order]
+        heads = np.flatnonzero(np.concatenate((np.ones(min(len(key), 1), bool), key[1:] != key[:-1])))
+        return [key[heads], np.add.reduceat(n[order], heads) if len(heads) else n, *(x[order[heads]] for x in more)]
+
+    def out(block: list[np.ndarray]) -> pa.RecordBatch:
+        key, n, *more = block
+        if more:  # sorted by the first column, rows take less room in the shuffle
+            order = np.argsort(more[0])
+            n, more = n[order], [x[order] for x in more]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (*(more or [key]), n)], [*names, "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, n = [], []
+        held = []
         for batch in batches:
             for part in row_slices(batch, size=_VECTOR_BYTES):
-                k, c = counted(keys_of(part))
-                keys.append(k)
-                n.append(c)
-                if sum(map(len, keys)) > _HELD_ROWS:
-                    k, c = counted(np.concatenate(keys), np.concatenate(n))
-                    keys, n = [k], [c]
-                    if len(k) > _HELD_ROWS // 2:
-                        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(c)], ["key", "n"])
-                        keys, n = [], []
-        if keys:
-            k, c = counted(np.concatenate(keys), np.concatenate(n))
-            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(c)], ["key", "n"])
-
-    return written(own.select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), name)
+                key, *more = columns_of(part)
+                held.append(merged([[key, np.ones(len(key), np.int64), *more]]))
+                if sum(len(b[0]) for b in held) > _HELD_ROWS:
+                    held = [merged(held)]
+                    if len(held[0][0]) > _HELD_ROWS // 2:
+                        yield out(held[0])
+                        held = []
+        if held:
+            yield out(merged(held))
+
+    rows = own.select("text").mapInArrow(run, ", ".join(f"{c} long" for c in [*names, "n"]))
+    return _freed(rows.groupBy(*names).agg(F.sum("n").alias("n")).where(F.col("n") >= least), name)
 
 
 def _level(n: Column) -> Column:
@@ -78,9 +142,28 @@ def _most_frequent(table: DataFrame, most: int, least: int) -> tuple[DataFrame,
     return table.where(_level(F.col("n")) >= level), level
 
 
-def _columns(table: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    rows = table.select("key", "n").toArrow()
-    return tuple(rows.column(c).to_numpy().astype(np.int64) for c in ("key", "n"))
+def _columns(table: DataFrame, *names: str) -> list[np.ndarray]:
+    rows = table.select(*names).toArrow()
+    return [rows.column(c).to_numpy() for c in names]
+
+
+def _filter(keys: DataFrame) -> np.ndarray:
+    """A Bloom filter of the column ``key``, of FILTER words with up to three bits of each key; never misses a key."""
+    bits = " | ".join(f"shiftleft(1L, cast(shiftrightunsigned(key, {k}) & 63 as int))" for k in (24, 32, 40))
+    slots = keys.select(F.col("key").bitwiseAND(FILTER - 1).alias("slot"), F.expr(bits).alias("bits"))
+    out = np.zeros(FILTER, np.uint64)
+    at, bits = _columns(slots.groupBy("slot").agg(F.bit_or("bits").alias("bits")), "slot", "bits")  # at most FILTER rows
+    out[at] = bits.view(np.uint64)
+    return out
+
+
+def _maybe(words: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Whether the filter may hold each key."""
+    word, key = words[key & (len(words) - 1)], key.view(np.uint64)
+    inside = np.ones(len(key), bool)
+    for k in (24, 32, 40):
+        inside &= (word >> ((key >> np.uint64(k)) & np.uint64(63))) & np.uint64(1) == 1
+    return inside
 
 
 @dataclass
@@ -95,177 +178,177 @@ class Level:
 
 @dataclass
 class Model:
+    """Tables of the whole model, and its most frequent tokens.
+
+    tokens: (key, n, base, more), log10 probability in the root and what a token adds as a context; states and entries
+    for each length of context; runs: (key, n, more), what a run of tokens adds to a score.
+    """
+
     head: Index
     head_log: np.ndarray
-    levels: list[Level]
-
-    def states(self, ids: np.ndarray, first: np.ndarray, depth: int) -> np.ndarray:
-        """For each token the key of the ``depth`` tokens before it; -1 if one isn't frequent or the row starts later.
-
-        A row's first token follows an end token. Keys of longer contexts come in base 2^20.
-        """
-        end = self.head.find(np.array([END]).view(np.uint64))[0]
-        before = np.empty(len(ids), np.int64)
-        before[1:] = ids[:-1]
-        starts = first[:-1]
-        before[starts] = end
-        if depth == 1:
-            return before
-        older = np.full(len(ids), -1, np.int64)
-        older[1:] = before[:-1]
-        older[starts] = -1
-        return np.where((before >= 0) & (older >= 0), (older << 20) | before, -1)
-
-    def logs(self, ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """log10 probability of each token from the longest suffix state; of tokens that aren't frequent without the root's."""
-        known = ids >= 0
-        value = np.where(known, self.head_log[ids], 0.0)
-        base = value
-        for d, level in enumerate(self.levels, 1):
-            key = self.states(ids, first, d)
-            at = np.full(len(ids), -1, np.int64)
-            some = np.flatnonzero(key >= 0)
-            at[some] = level.contexts.find(key[some])
-            some = np.flatnonzero(at >= 0)
-            value = value.copy()
-            value[some] += level.backoff[at[some]]
-            some = some[known[some]]
-            hit = level.entries.find((at[some] << 20) | ids[some])
-            value[some[hit >= 0]] = level.logp[hit[hit >= 0]]
-        return base, value
-
-
-def _retained(keys: np.ndarray, n: np.ndarray, total: np.ndarray, contexts: np.ndarray, parent: np.ndarray) -> Level:
-    """Contexts whose next symbols diverge from the parent state's, with smoothed distributions.
-
-    keys: context place << 20 | next symbol, sorted; parent: the parent state's probability of that symbol. A context
-    stays if its counts are likelier, by over one nat for each next symbol it would keep, than under its parent. The
-    mass of dropped symbols and the discount go to the parent's distribution over all other symbols.
+    head_more: np.ndarray
+    tokens: DataFrame
+    states: list[DataFrame]
+    entries: list[DataFrame]
+    runs: DataFrame
+
+    @cached_property
+    def levels(self) -> list[Level]:
+        """States of a small model, to look at: contexts by place, next symbols by place << 20 | place in the head."""
+        out, symbols = [], self.tokens.select(F.col("key").alias("shorter"), F.col("key").alias("symbol"))
+        for states, entries in zip(self.states, self.entries, strict=True):
+            key, backoff = _columns(states, "context", "backoff")
+            contexts = Index(key)
+            at, symbol, logp = _columns(entries.join(states, "context").join(symbols, "shorter"), "context", "symbol", "state")
+            symbols = entries.join(symbols, "shorter").select(F.col("key").alias("shorter"), "symbol")
+            out.append(Level(contexts, backoff / _LN10, Index((contexts.find(at) << 20) | self.head.find(symbol)), logp / _LN10))
+        return out
+
+
+def _retained(entries: DataFrame, contexts: DataFrame) -> DataFrame:
+    """(context, total, backoff) for every context with a next symbol; the back-off weight is a logarithm.
+
+    entries: (context, n, parent), parent being the logarithm of the symbol's probability in the parent state. A context
+    is a state if its counts are likelier, by over one nat for each next symbol it would keep, than under its parent;
+    all others have a null weight. The mass of dropped symbols and the discount go to the parent's distribution over
+    all other symbols.
     """
-    ctx = keys >> 20
-    k = np.bincount(ctx, minlength=len(contexts))
-    rest = np.maximum(total - np.bincount(ctx, n, len(contexts)), 0)
-    rest_parent = np.maximum(1 - np.bincount(ctx, parent, len(contexts)), 1e-12)
-    gain = np.bincount(ctx, n * np.log(n / total[ctx] / parent), len(contexts))
-    gain += np.where(rest > 0, rest * np.log(np.maximum(rest, 1e-12) / total / rest_parent), 0)
-    stay = (k > 0) & (gain > k)
-    p = (n - DISCOUNT) / total[ctx]
-    backoff = np.log10(np.maximum(1 - np.bincount(ctx, p, len(contexts)), 1e-12) / rest_parent)
-    new = np.cumsum(stay) - 1
-    keep = stay[ctx]
-    return Level(Index(contexts[stay]), backoff[stay], Index((new[ctx[keep]] << 20) | (keys[keep] & _REST)), np.log10(p[keep]))
+    n = F.col("n").cast("double")
+    sums = entries.groupBy("context").agg(F.count("*").alias("k"), F.sum(n).alias("kept"), F.sum(n * (F.ln(n) - F.col("parent"))).alias("gain"), F.sum(F.exp("parent")).alias("mass"))
+    total = F.col("total").cast("double")
+    rest, over = total - F.col("kept"), F.greatest(1 - F.col("mass"), F.lit(1e-12))
+    gain = F.col("gain") - F.col("kept") * F.ln(total) + F.when(rest > 0, rest * F.ln(rest / total / over)).otherwise(0.0)
+    left = F.greatest(1 - (F.col("kept") - DISCOUNT * F.col("k")) / total, F.lit(1e-12))
+    return sums.join(contexts, "context").select("context", "total", F.when(gain > F.col("k"), F.ln(left / over)).alias("backoff"))
 
 
 def train(own: DataFrame, depth: int = DEPTH) -> tuple[Model, DataFrame, int, int, int]:
-    """Model, token counts (key, n), number of tokens and of distinct ones, the counts' level of the model's tokens."""
+    """Model, token counts (key, n), number of tokens and of distinct ones, the counts' level of the model's tokens.
+
+    Contexts, next symbols, states and their values are written tables of any size. A filter of the contexts only
+    spares tasks to send runs that follow none of them; the join with the contexts decides.
+    """
     sc = own.sparkSession.sparkContext
-    counts = _summed(own, lambda part: _tokens(part)[0], "counts")
+    counts = _summed(own, lambda part: [_tokens(part)[0]], ["key"], "counts")
     n_tokens, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    top, level = _most_frequent(counts, HEAD, 1)
-    head_key, head_n = _columns(top)  # at most HEAD rows
-    order = np.lexsort((head_key, -head_n))
-    head_key, head_n = head_key[order], head_n[order]
-    head_log = np.log10((head_n + ADDED) / (n_tokens + ADDED * (distinct + 1)))
-    model = Model(Index(head_key), np.append(head_log, 0.0), [])
-    # contexts of the next length, as keys; at first single tokens, the most frequent ones
-    contexts = np.flatnonzero(head_n[:CONTEXTS] >= LEAST_CONTEXT).astype(np.int64)
+    root = F.ln((F.col("n") + ADDED) / F.lit(n_tokens + ADDED * (distinct + 1)))
+    parent = counts.where(F.col("n") >= LEAST_NEXT).select(F.col("key").alias("shorter"), root.alias("parent"), (F.col("key") == END).alias("last"))
+    # every token but the end is followed by one, so its count is its contexts' total
+    contexts = counts.where(F.col("n") >= LEAST_CONTEXT).select(F.col("key").alias("context"), F.col("n").alias("total"))
+    levels = []
     for d in range(1, depth + 1):
-        if not len(contexts):
-            break
-        shared = sc.broadcast((model, Index(contexts)))
+        shared = sc.broadcast(_filter(contexts.select(F.col("context").alias("key"))))
 
-        def keys_of(part: pa.RecordBatch, shared=shared, d=d) -> np.ndarray:
-            model, index = shared.value
+        def columns_of(part: pa.RecordBatch, shared=shared, d=d) -> list[np.ndarray]:
             tokens, first = _tokens(part)
-            ids = model.head.find(tokens.view(np.uint64))
-            key = model.states(ids, first, d)
-            some = np.flatnonzero(key >= 0)
-            at = index.find(key[some])
-            some, at = some[at >= 0], at[at >= 0]
-            return (at << 20) | np.where(ids[some] >= 0, ids[some], _REST)
-
-        pairs = _summed(own, keys_of, "pairs")
-        places, sums = _columns(pairs.groupBy(F.shiftright("key", 20).alias("key")).agg(F.sum("n").alias("n")))  # one row per context
-        total = np.ones(len(contexts))
-        total[places] = sums
-        keys, n = _columns(_most_frequent(pairs.where(F.col("key").bitwiseAND(_REST) != _REST), ENTRIES, LEAST_NEXT)[0])  # at most ENTRIES rows
-        order = np.argsort(keys)
-        keys, n = keys[order], n[order].astype(float)
-        # the parent state's probability: drop the oldest token of the context
-        at, symbol = keys >> 20, keys & _REST
-        parent = 10 ** model.head_log[symbol]
-        for lower, lev in enumerate(model.levels, 1):
-            suffix = contexts[at] & ((1 << (20 * lower)) - 1)
-            c = lev.contexts.find(suffix)
-            inside = c >= 0
-            e = np.full(len(keys), -1, np.int64)
-            e[inside] = lev.entries.find((c[inside] << 20) | symbol[inside])
-            parent = np.where(e >= 0, 10 ** lev.logp[e] if len(lev.logp) else parent, np.where(inside, parent * 10 ** (lev.backoff[c] if len(lev.backoff) else 0), parent))
-        model.levels.append(_retained(keys, n, total, contexts, parent))
-        # longer contexts: frequent symbols after contexts of this length
-        good = np.flatnonzero((n >= LEAST_CONTEXT) & (contexts[at] < 1 << 20))
-        good = good[np.argsort(-n[good], kind="stable")][:CONTEXTS]
-        contexts = (contexts[at[good]] << 20) | symbol[good]
+            *_, (_, context, shorter, key) = _runs(tokens, first, d)
+            some = np.flatnonzero(_maybe(shared.value, context))
+            return [key[some], context[some], shorter[some]]
+
+        pairs = _summed(own, columns_of, ["context", "shorter"], "pairs", LEAST_NEXT)
+        # every next symbol comes as often after the shorter context, which is as frequent: it has an entry there
+        entries = _freed(pairs.join(parent, "shorter"), "entries")
+        states = _freed(_retained(entries, contexts), "states")
+        kept = F.col("backoff").isNotNull()
+        state = F.when(kept, F.ln((F.col("n") - DISCOUNT) / F.col("total"))).otherwise(F.col("parent"))
+        more = F.when(kept, state - F.col("parent") - F.col("backoff")).otherwise(0.0)
+        key = F.xxhash64("context", "shorter").alias("key")
+        table = entries.join(states, "context").select(key, "context", "shorter", "n", "last", state.alias("state"), more.alias("more"))
+        levels.append((states.where(kept), table))
+        parent = table.select(F.col("key").alias("shorter"), F.col("state").alias("parent"), "last")
+        contexts = entries.where((F.col("n") >= LEAST_CONTEXT) & ~F.col("last")).select(key.alias("context"), F.col("n").alias("total"))
+    # a context's back-off weight goes with its own last token
+    weight = lambda d: levels[d][0].select(F.col("context").alias("key"), "backoff")
+    none = F.lit(0.0)
+    tokens = counts.join(weight(0), "key", "left") if levels else counts.withColumn("backoff", none)
+    tokens = _freed(tokens.select("key", "n", (root / _LN10).alias("base"), (F.coalesce("backoff", none) / _LN10).alias("more")), "tokens")
+    runs = counts.select("key", "n", none.alias("more")).where("false")
+    for d, (_, table) in enumerate(levels):
+        longer = table.join(weight(d + 1), "key", "left") if d + 1 < depth else table.withColumn("backoff", none)
+        runs = runs.union(longer.select("key", "n", ((F.col("more") + F.coalesce("backoff", none)) / _LN10).alias("more")).where("more <> 0"))
+    top, level = _most_frequent(tokens, HEAD, 1)
+    key, base, more = _columns(top, "key", "base", "more")  # at most HEAD rows
+    model = Model(Index(key), np.append(base, 0.0), np.append(more, 0.0), tokens, *([x[i] for x in levels] for i in (0, 1)), _freed(runs, "runs"))
     return model, counts, n_tokens, distinct, level
 
 
-PART_SCHEMA = "uid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, tail_key array<long>, tail_n array<long>"
+PART_SCHEMA = "uid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, tail_key array<long>, tail_n array<long>, run_key array<long>, run_n array<long>"
+
+
+def _lists(key: np.ndarray, row: np.ndarray, rows: int) -> list[pa.ListArray]:
+    """Two list columns: the distinct keys of each row and how often they come."""
+    order = np.lexsort((key, row))
+    key, row = key[order], row[order]
+    heads = np.flatnonzero(np.concatenate((np.ones(min(len(key), 1), bool), (key[1:] != key[:-1]) | (row[1:] != row[:-1]))))
+    n = np.diff(np.append(heads, len(key)))
+    at = np.searchsorted(row[heads], np.arange(rows + 1)).astype(np.int32)
+    return [pa.ListArray.from_arrays(pa.array(at), pa.array(x.astype(np.int64))) for x in (key[heads], n)]
 
 
-def _parts(own: DataFrame, model: Model) -> DataFrame:
-    shared = own.sparkSession.sparkContext.broadcast(model)
+def _parts(own: DataFrame, model: Model, depth: int) -> tuple[DataFrame, DataFrame]:
+    """What tasks know of each document's score with the most frequent values, its other keys, and the other runs' table."""
+    top, level = _most_frequent(model.runs, HOT, 1)
+    hot_key, hot_more = _columns(top, "key", "more")  # at most HOT rows
+    rest = model.runs.where(_level(F.col("n")) < level)
+    shared = own.sparkSession.sparkContext.broadcast((model.head, model.head_log, model.head_more, Index(hot_key), np.append(hot_more, 0.0), _filter(rest)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, uid = shared.value, TaskContext.get().partitionId() << 36
+        (head, head_log, head_more, hot, hot_more, others), uid = shared.value, TaskContext.get().partitionId() << 36
         for batch in batches:
             for part in row_slices(batch, size=_VECTOR_BYTES):
                 tokens, first = _tokens(part)
-                ids = model.head.find(tokens.view(np.uint64))
-                base, value = model.logs(ids, first)
-                sums = [np.add.reduceat(x, first[:-1]) for x in (base, value, (ids >= 0).astype(np.int64))]
+                ids = head.find(tokens)
                 row = np.repeat(np.arange(part.num_rows), np.diff(first))
-                far = np.flatnonzero(ids < 0)
-                key, row = tokens[far], row[far]
-                order = np.lexsort((key, row))
-                key, row = key[order], row[order]
-                heads = np.flatnonzero(np.concatenate((np.ones(min(len(key), 1), bool), (key[1:] != key[:-1]) | (row[1:] != row[:-1]))))
-                n = np.diff(np.append(heads, len(key)))
-                at = np.searchsorted(row[heads], np.arange(part.num_rows + 1)).astype(np.int32)
-                lists = [pa.ListArray.from_arrays(pa.array(at), pa.array(x.astype(np.int64))) for x in (key[heads], n)]
+                base = head_log[ids]  # the last value, for tokens that aren't frequent, is zero
+                value = base + head_more[ids]
+                far_key, far_row = [], []
+                for at, _, _, key in _runs(tokens, first, depth):
+                    place = hot.find(key)
+                    value[at] += hot_more[place]
+                    far = np.flatnonzero(place < 0)
+                    far = far[_maybe(others, key[far])]
+                    far_key.append(key[far])
+                    far_row.append(row[at[far]])
+                sums = [np.add.reduceat(x, first[:-1]) for x in (base, value, (ids >= 0).astype(np.int64))]
+                tail = np.flatnonzero(ids < 0)
+                lists = _lists(tokens[tail], row[tail], part.num_rows)
+                lists += _lists(np.concatenate([tokens[:0], *far_key]), np.concatenate([row[:0], *far_row]), part.num_rows)
                 uids = np.arange(uid, uid + part.num_rows)
                 uid += part.num_rows
                 cols = [pa.array(uids), part.column("doc_id"), part.column("held_out"), pa.array(np.diff(first)), pa.array(sums[2]), pa.array(sums[0]), pa.array(sums[1]), *lists]
-                yield pa.RecordBatch.from_arrays(cols, ["uid", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "tail_key", "tail_n"])
+                yield pa.RecordBatch.from_arrays(cols, ["uid", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "tail_key", "tail_n", "run_key", "run_n"])
 
-    return written(own.mapInArrow(run, PART_SCHEMA), "parts")
+    return _freed(own.mapInArrow(run, PART_SCHEMA), "parts"), rest
 
 
 def scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH) -> DataFrame:
     """One row per document: ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``.
 
     Tokens are words in lower case (A-Z) and one end per text. The tree's root holds the smoothed frequencies of all
-    tokens. Contexts of one and two tokens are states if they are frequent and their next symbols pass the divergence
-    test; a token is scored in the longest state that ends before it. Counts cover every text that isn't held out.
+    tokens. Every context of one and two tokens with 50 occurrences is a state if its next symbols, those that come
+    twice or more, pass the divergence test; a token is scored in the longest state that ends before it. Counts cover
+    every text that isn't held out.
 
-    The most frequent tokens, contexts and next symbols, of fixed numbers at any corpus size, are broadcast. A
-    document's other tokens are joined to the full table of counts; for them the states only add their back-off
-    weights. Tokens are compared by 64-bit hashes of their bytes.
+    Tables hold all tokens and states. The most frequent tokens' and runs' values, of fixed numbers at any corpus size,
+    are broadcast; a document's other keys are joined to the tables. Tokens and runs are compared by 64-bit hashes.
 
     A null text counts as empty and has one token, the end. A null id isn't held out by a null condition. Repeated rows
     are scored and learned from like others. Other columns are not read. An empty table gives an empty result.
     """
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), text_or_empty(text_col).alias("text"))
-    model, counts, n_tokens, distinct, level = train(own.where("not held_out"), depth)
-    parts = _parts(own, model)
-    rare = counts.where(_level(F.col("n")) < level)
-    far = parts.where(F.size("tail_key") > 0).select("uid", F.explode(F.arrays_zip("tail_key", "tail_n")).alias("t")).select("uid", F.col("t.tail_key").alias("key"), F.col("t.tail_n").alias("times"))
-    c = F.coalesce(F.col("n"), F.lit(0))
-    log = F.log10((c + ADDED) / F.lit(n_tokens + ADDED * (distinct + 1)))
-    sums = far.join(rare, "key", "left").groupBy("uid").agg(F.sum(F.col("times") * log).alias("far_log"), F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("far_known"))
-    whole = parts.drop("tail_key", "tail_n").join(sums, "uid", "left")
-    more = F.coalesce("far_log", F.lit(0.0))
+    model, _, n_tokens, distinct, level = train(own.where("not held_out"), depth)
+    parts, runs = _parts(own, model, depth)
+    rare = model.tokens.where(_level(F.col("n")) < level).select("key", "base", "more", F.lit(True).alias("known"))
+    values = rare.union(runs.select("key", F.lit(0.0), "more", F.lit(False)))
+    pairs = lambda key, n, token: F.transform(F.arrays_zip(key, n), lambda t: F.struct(t[key].alias("key"), t[n].alias("times"), F.lit(token).alias("token")))
+    far = parts.select("uid", F.explode(F.concat(pairs("tail_key", "tail_n", True), pairs("run_key", "run_n", False))).alias("t")).select("uid", "t.*")
+    unseen = F.when(F.col("token"), F.log10(F.lit(ADDED) / F.lit(n_tokens + ADDED * (distinct + 1)))).otherwise(0.0)
+    base, times = F.coalesce("base", unseen), F.col("times")
+    met = far.join(values, "key", "left")
+    sums = met.groupBy("uid").agg(F.sum(times * base).alias("far_log"), F.sum(times * (base + F.coalesce("more", F.lit(0.0)))).alias("far_score"), F.sum(F.when(F.col("known"), times).otherwise(0)).alias("far_known"))
+    whole = parts.drop("tail_key", "tail_n", "run_key", "run_n").join(sums, "uid", "left")
+    zero = F.lit(0.0)
     return whole.select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("far_known", F.lit(0))).cast("long").alias("n_known"),
-        F.lit(n_tokens).cast("long").alias("train_tokens"), (F.col("base") + more).alias("base_score"), (F.col("score") + more).alias("score"),
+        F.lit(n_tokens).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("far_log", zero)).alias("base_score"), (F.col("score") + F.coalesce("far_score", zero)).alias("score"),
     )
-

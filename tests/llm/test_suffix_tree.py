@@ -62,3 +62,74 @@ def test_empty(spark):
     assert suffix_tree.scores(corpus.table(spark, []), crc_bucket("doc_id", 10) == 0).count() == 0
     one = suffix_tree.scores(corpus.table(spark, [(1, None, "x", "y", 1)]).selectExpr("doc_id", "text", "1 AS key", "2 AS uid", "3 AS n"), crc_bucket("doc_id", 10) == 3).first()
     assert one.n_tokens == 1
+
+
+def chains(n=400):
+    rng = random.Random(11)
+    names = [f"w{i}" for i in range(12)]
+    follow = {(a, b): rng.sample(names, 3) for a in names for b in names}
+    data = []
+    for i in range(n):
+        w = [rng.choice(names), rng.choice(names)]
+        for _ in range(rng.randrange(5, 90)):
+            w.append(rng.choice(follow[w[-2], w[-1]]) if rng.random() < 0.9 else f"rare{rng.randrange(3000)}" if rng.random() < 0.5 else rng.choice(names))
+            if w[-1] not in names:
+                w.append(rng.choice(names))
+                w.append(rng.choice(names))
+        data.append((i, " ".join(w), "en", "s", 1))
+    return [*data, (None, None, "en", "s", 1)]
+
+
+def brute_scores(data):
+    """Scores by dictionaries of whole contexts, without a bound."""
+    held = [i is not None and zlib.crc32(str(i).encode()) % 10 == 0 for i, *_ in data]
+    rows = [tokens(t) for _, t, *_ in data]
+    c = Counter(x for r, h in zip(rows, held, strict=True) if not h for x in r)
+    n, v = sum(c.values()), len(c)
+    root = lambda x: math.log((c[x] + 0.1) / (n + 0.1 * (v + 1)))
+    runs = lambda r, d: [((None, *r)[j : j + d], x) for j, x in enumerate((None, *r)[d:])]
+    seen = [Counter(p for r, h in zip(rows, held, strict=True) if not h for p in runs(tuple(r), d)) for d in (1, 2)]
+    states = [{}, {}]
+    kept = [Counter(), Counter()]
+    for d in (0, 1):
+        total, entries = Counter(), {}
+        for (ctx, x), k in seen[d].items():
+            total[ctx] += k
+            if k >= 2:
+                entries.setdefault(ctx, {})[x] = k
+        for ctx, e in entries.items():
+            if total[ctx] < 50:
+                continue
+            q = {x: log_in(states[:d], ctx[1:], x, root) for x in e}
+            rest, mass = total[ctx] - sum(e.values()), max(1 - sum(map(math.exp, q.values())), 1e-12)
+            gain = sum(k * (math.log(k / total[ctx]) - q[x]) for x, k in e.items()) + (rest * math.log(rest / total[ctx] / mass) if rest > 0 else 0)
+            kept[d][gain > len(e)] += 1
+            if gain > len(e):
+                p = {x: (k - 0.75) / total[ctx] for x, k in e.items()}
+                states[d][ctx] = (math.log(max(1 - sum(p.values()), 1e-12) / mass), {x: math.log(y) for x, y in p.items()})
+    out = []
+    for (i, *_), r in zip(data, rows, strict=True):
+        full = (None, *r)
+        out.append((i, round(sum(log_in(states, full[max(0, j - 1) : j + 1], x, root) for j, x in enumerate(r)) / math.log(10), 5)))
+    return out, kept
+
+
+def log_in(states, ctx, x, root):
+    value = root(x)
+    for d, level in enumerate(states, 1):
+        if len(ctx) >= d and ctx[len(ctx) - d :] in level:
+            backoff, p = level[ctx[len(ctx) - d :]]
+            value = p.get(x, value + backoff)
+    return value
+
+
+def test_scores_match_brute_force_beyond_broadcasts(spark, monkeypatch):
+    data = chains()
+    want, kept = brute_scores(data)
+    assert kept[0][True] >= 10 and kept[1][True] >= 100
+    # the broadcasts are shortcuts: with next to none of them no state or next symbol is lost
+    for sizes in ((suffix_tree.HEAD, suffix_tree.HOT, suffix_tree.FILTER), (5, 4, 8)):
+        for name, size in zip(("HEAD", "HOT", "FILTER"), sizes, strict=True):
+            monkeypatch.setattr(suffix_tree, name, size, raising=False)
+        got = suffix_tree.scores(corpus.table(spark, data), crc_bucket("doc_id", 10) == 0).collect()
+        assert sorted(((r.doc_id, round(r.score, 5)) for r in got), key=str) == sorted(want, key=str)
