@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -17,16 +16,46 @@ SLICE_BYTES = 8 << 20
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where it is unset, a local master gets a folder in the current warehouse's place; any other master gets an error, as
+    executors would write to disks of their own.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints"
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
 
 
+def _tables(spark: SparkSession) -> str:
+    """Where this application writes its tables."""
+    return f"{shared_root(spark)}/quillmeter/{spark.sparkContext.applicationId}"
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_root(spark)}/quillmeter/{name}-{uuid.uuid4().hex}"
+    return f"{_tables(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _deleted(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes the files of ``written`` tables, when all that was made of them is written itself."""
+    for table in tables:
+        spark = table.sparkSession
+        for folder in {path.rpartition("/")[0] for path in table.inputFiles()}:
+            if f"/quillmeter/{spark.sparkContext.applicationId}/" in folder:
+                _deleted(spark, folder)
+
+
+def clean(spark: SparkSession) -> None:
+    """Deletes every table that this application's operators have written; call it when their results are saved."""
+    _deleted(spark, _tables(spark))
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmeter.llm.common import row_slices, text_or_empty, written
+from quillmeter.llm.common import drop, row_slices, shuffle_width, text_or_empty, written
 from quillmeter.llm.wordhash import Index, Words
 
 #: Sizes of what is broadcast: frequent tokens, values of frequent word runs, 64-bit words of a filter. They are shortcuts
@@ -21,7 +21,10 @@ HEAD, HOT, FILTER = 1 << 18, 1 << 19, 1 << 20
 #: A context needs so many occurrences, a next symbol so many after it; taken from each next symbol's count.
 LEAST_CONTEXT, LEAST_NEXT, DISCOUNT = 50, 2, 0.75
 ADDED = 0.1
-DEPTH = 2
+#: Tokens of the longest context.
+DEPTH = 4
+#: Values of keys that a task holds at once while it looks up keys.
+BUCKET_ROWS = 1 << 20
 #: Hash of the end token, no word's.
 END = -1
 _VECTOR_BYTES = 2 << 20
@@ -180,13 +183,15 @@ class Level:
 class Model:
     """Tables of the whole model, and its most frequent tokens.
 
-    tokens: (key, n, base, more), log10 probability in the root and what a token adds as a context; states and entries
+    unknown: log10 probability of a token that training has not seen. tokens: (key, n, base, more), log10 probability in
+    the root and what a token adds as a context; states and entries
     for each length of context; runs: (key, n, more), what a run of tokens adds to a score.
     """
 
     head: Index
     head_log: np.ndarray
     head_more: np.ndarray
+    unknown: float
     tokens: DataFrame
     states: list[DataFrame]
     entries: list[DataFrame]
@@ -222,8 +227,8 @@ def _retained(entries: DataFrame, contexts: DataFrame) -> DataFrame:
     return sums.join(contexts, "context").select("context", "total", F.when(gain > F.col("k"), F.ln(left / over)).alias("backoff"))
 
 
-def train(own: DataFrame, depth: int = DEPTH) -> tuple[Model, DataFrame, int, int, int]:
-    """Model, token counts (key, n), number of tokens and of distinct ones, the counts' level of the model's tokens.
+def train(own: DataFrame, depth: int = DEPTH) -> tuple[Model, int, int]:
+    """Model, number of tokens, the counts' level that the model's most frequent tokens start at.
 
     Contexts, next symbols, states and their values are written tables of any size. A filter of the contexts only
     spares tasks to send runs that follow none of them; the join with the contexts decides.
@@ -237,7 +242,10 @@ def train(own: DataFrame, depth: int = DEPTH) -> tuple[Model, DataFrame, int, in
     contexts = counts.where(F.col("n") >= LEAST_CONTEXT).select(F.col("key").alias("context"), F.col("n").alias("total"))
     levels = []
     for d in range(1, depth + 1):
-        shared = sc.broadcast(_filter(contexts.select(F.col("context").alias("key"))))
+        may_follow = _filter(contexts.select(F.col("context").alias("key")))
+        if not may_follow.any():  # no context is as long
+            break
+        shared = sc.broadcast(may_follow)
 
         def columns_of(part: pa.RecordBatch, shared=shared, d=d) -> list[np.ndarray]:
             tokens, first = _tokens(part)
@@ -248,6 +256,7 @@ def train(own: DataFrame, depth: int = DEPTH) -> tuple[Model, DataFrame, int, in
         pairs = _summed(own, columns_of, ["context", "shorter"], "pairs", LEAST_NEXT)
         # every next symbol comes as often after the shorter context, which is as frequent: it has an entry there
         entries = _freed(pairs.join(parent, "shorter"), "entries")
+        drop(pairs)
         states = _freed(_retained(entries, contexts), "states")
         kept = F.col("backoff").isNotNull()
         state = F.when(kept, F.ln((F.col("n") - DISCOUNT) / F.col("total"))).otherwise(F.col("parent"))
@@ -264,91 +273,200 @@ def train(own: DataFrame, depth: int = DEPTH) -> tuple[Model, DataFrame, int, in
     tokens = _freed(tokens.select("key", "n", (root / _LN10).alias("base"), (F.coalesce("backoff", none) / _LN10).alias("more")), "tokens")
     runs = counts.select("key", "n", none.alias("more")).where("false")
     for d, (_, table) in enumerate(levels):
-        longer = table.join(weight(d + 1), "key", "left") if d + 1 < depth else table.withColumn("backoff", none)
+        longer = table.join(weight(d + 1), "key", "left") if d + 1 < len(levels) else table.withColumn("backoff", none)
         runs = runs.union(longer.select("key", "n", ((F.col("more") + F.coalesce("backoff", none)) / _LN10).alias("more")).where("more <> 0"))
+    drop(counts)
     top, level = _most_frequent(tokens, HEAD, 1)
     key, base, more = _columns(top, "key", "base", "more")  # at most HEAD rows
-    model = Model(Index(key), np.append(base, 0.0), np.append(more, 0.0), tokens, *([x[i] for x in levels] for i in (0, 1)), _freed(runs, "runs"))
-    return model, counts, n_tokens, distinct, level
+    unknown = float(np.log10(ADDED / (n_tokens + ADDED * (distinct + 1))))
+    model = Model(Index(key), np.append(base, 0.0), np.append(more, 0.0), unknown, tokens, *([x[i] for x in levels] for i in (0, 1)), _freed(runs, "runs"))
+    return model, n_tokens, level
+
+
+#: Rows that meet in a bucket of keys, and then in a block of documents, in this order of ``kind``.
+VALUES, INFO, TOKENS, RUNS = range(4)
+_ROWS = pa.schema(
+    [
+        ("bucket", pa.int32()), ("kind", pa.int32()), ("block", pa.int64()),  # where a row goes
+        ("key", pa.int64()), ("base", pa.float64()), ("more", pa.float64()), ("known", pa.int64()),  # VALUES: what a key adds
+        ("keys", pa.list_(pa.int64())), ("docs", pa.list_(pa.int32())),  # TOKENS, RUNS: keys of a block's documents
+        ("sums", pa.list_(pa.list_(pa.float64()))),  # of the documents in docs: base, score, known tokens
+        ("ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int64())),  # INFO
+    ]
+)
+_ROWS_DDL = "bucket int, kind int, block long, key long, base double, more double, known long, keys array<long>, docs array<int>, sums array<array<double>>, ids array<long>, held array<boolean>, sizes array<long>"
+SCORE_SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+
+
+_POSITIVE = (1 << 63) - 1
+
+
+def _batch(n: int, **columns: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([columns[f.name].cast(f.type) if f.name in columns else pa.nulls(n, f.type) for f in _ROWS], schema=_ROWS)
+
 
+def _same(value: int, n: int) -> pa.Array:
+    return pa.array(np.full(n, value, np.int64))
 
-PART_SCHEMA = "uid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, tail_key array<long>, tail_n array<long>, run_key array<long>, run_n array<long>"
 
+def _list(values: np.ndarray | pa.Array) -> pa.Array:
+    """One row with all values."""
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values if isinstance(values, pa.Array) else pa.array(values))
 
-def _lists(key: np.ndarray, row: np.ndarray, rows: int) -> list[pa.ListArray]:
-    """Two list columns: the distinct keys of each row and how often they come."""
-    order = np.lexsort((key, row))
-    key, row = key[order], row[order]
-    heads = np.flatnonzero(np.concatenate((np.ones(min(len(key), 1), bool), (key[1:] != key[:-1]) | (row[1:] != row[:-1]))))
-    n = np.diff(np.append(heads, len(key)))
-    at = np.searchsorted(row[heads], np.arange(rows + 1)).astype(np.int32)
-    return [pa.ListArray.from_arrays(pa.array(at), pa.array(x.astype(np.int64))) for x in (key[heads], n)]
 
+def _by_bucket(key: np.ndarray, doc: np.ndarray, kind: int, block: int, buckets: int) -> pa.RecordBatch:
+    """A row for each bucket: its keys, and whose they are in ascending order."""
+    bucket = (key & _POSITIVE) % buckets
+    order = np.argsort(bucket << 32 | doc)
+    at = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    some = np.flatnonzero(np.diff(at))
+    ends = pa.array(np.append(at[some], at[-1]).astype(np.int32))
+    keys, docs = (pa.ListArray.from_arrays(ends, pa.array(x[order])) for x in (key, doc.astype(np.int32)))
+    return _batch(len(some), bucket=pa.array(some), kind=_same(kind, len(some)), block=_same(block, len(some)), keys=keys, docs=docs)
 
-def _parts(own: DataFrame, model: Model, depth: int) -> tuple[DataFrame, DataFrame]:
-    """What tasks know of each document's score with the most frequent values, its other keys, and the other runs' table."""
-    top, level = _most_frequent(model.runs, HOT, 1)
+
+def _asked(own: DataFrame, model: Model, level: int, depth: int, buckets: int) -> tuple[DataFrame, DataFrame]:
+    """Blocks of documents with what the broadcast values give, and their other keys by bucket; and those keys' values."""
+    top, hot_level = _most_frequent(model.runs, HOT, 1)
     hot_key, hot_more = _columns(top, "key", "more")  # at most HOT rows
-    rest = model.runs.where(_level(F.col("n")) < level)
-    shared = own.sparkSession.sparkContext.broadcast((model.head, model.head_log, model.head_more, Index(hot_key), np.append(hot_more, 0.0), _filter(rest)))
+    tail = model.tokens.where(_level(F.col("n")) < level).select("key", "base", "more", F.lit(1).alias("known"))
+    rest = model.runs.where(_level(F.col("n")) < hot_level).select("key", F.lit(0.0), "more", F.lit(0))
+    may_be = [_filter(x) for x in (tail, rest)]
+    shared = own.sparkSession.sparkContext.broadcast((model.head, model.head_log, model.head_more, Index(hot_key), np.append(hot_more, 0.0), *may_be))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (head, head_log, head_more, hot, hot_more, others), uid = shared.value, TaskContext.get().partitionId() << 36
+        (head, head_log, head_more, hot, hot_more, others, other_runs), block = shared.value, TaskContext.get().partitionId() << 36
         for batch in batches:
             for part in row_slices(batch, size=_VECTOR_BYTES):
                 tokens, first = _tokens(part)
                 ids = head.find(tokens)
                 row = np.repeat(np.arange(part.num_rows), np.diff(first))
-                base = head_log[ids]  # the last value, for tokens that aren't frequent, is zero
+                base = head_log[ids]  # the last value, for tokens that aren't among the frequent ones, is zero
                 value = base + head_more[ids]
                 far_key, far_row = [], []
                 for at, _, _, key in _runs(tokens, first, depth):
                     place = hot.find(key)
                     value[at] += hot_more[place]
                     far = np.flatnonzero(place < 0)
-                    far = far[_maybe(others, key[far])]
+                    far = far[_maybe(other_runs, key[far])]
                     far_key.append(key[far])
                     far_row.append(row[at[far]])
-                sums = [np.add.reduceat(x, first[:-1]) for x in (base, value, (ids >= 0).astype(np.int64))]
                 tail = np.flatnonzero(ids < 0)
-                lists = _lists(tokens[tail], row[tail], part.num_rows)
-                lists += _lists(np.concatenate([tokens[:0], *far_key]), np.concatenate([row[:0], *far_row]), part.num_rows)
-                uids = np.arange(uid, uid + part.num_rows)
-                uid += part.num_rows
-                cols = [pa.array(uids), part.column("doc_id"), part.column("held_out"), pa.array(np.diff(first)), pa.array(sums[2]), pa.array(sums[0]), pa.array(sums[1]), *lists]
-                yield pa.RecordBatch.from_arrays(cols, ["uid", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "tail_key", "tail_n", "run_key", "run_n"])
+                unseen = ~_maybe(others, tokens[tail])  # surely: they are asked for in no bucket
+                base[tail[unseen]] = value[tail[unseen]] = unknown
+                tail = tail[~unseen]
+                sums = [np.add.reduceat(x, first[:-1]) for x in (base, value, (ids >= 0).astype(float))]
+                yield _batch(
+                    1, bucket=_same(block % buckets, 1), kind=_same(INFO, 1), block=_same(block, 1), docs=_list(np.arange(part.num_rows)),
+                    sums=_list(pa.ListArray.from_arrays(pa.array(part.num_rows * np.arange(4), pa.int32()), pa.array(np.concatenate(sums)))),
+                    ids=_list(part.column("doc_id")), held=_list(part.column("held_out")), sizes=_list(np.diff(first)),
+                )
+                yield _by_bucket(tokens[tail], row[tail], TOKENS, block, buckets)
+                yield _by_bucket(np.concatenate([tokens[:0], *far_key]), np.concatenate([row[:0], *far_row]), RUNS, block, buckets)
+                block += 1
+
+    unknown = model.unknown
+    return own.mapInArrow(run, _ROWS_DDL), tail.union(rest)
+
+
+def _looked_up(unknown: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows in order of bucket and kind: takes a bucket's values, then sums up what its keys add to each document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, table = None, [], None
+        for batch in batches:
+            kind, bucket = batch.column("kind").to_numpy(), batch.column("bucket").to_numpy()
+            heads = np.flatnonzero(np.concatenate((np.ones(min(len(kind), 1), bool), (np.diff(kind) != 0) | (np.diff(bucket) != 0))))
+            for a, b in zip(heads, np.append(heads[1:], len(kind)), strict=True):
+                part = batch.slice(a, b - a)
+                if bucket[a] != now:
+                    now, held, table = bucket[a], [], None
+                if kind[a] == VALUES:
+                    held.append([part.column(c).to_numpy() for c in ("key", "base", "more", "known")])
+                    continue
+                if kind[a] == INFO:
+                    yield part
+                    continue
+                if table is None:
+                    key, *values = (np.concatenate(x) for x in zip(*held, strict=True)) if held else (np.empty(0, np.int64), *np.zeros((3, 0)))
+                    order = np.argsort(key)
+                    table, held = (key[order], *(np.append(x[order].astype(float), 0.0) for x in values)), []
+                yield _added(part, table, unknown if kind[a] == TOKENS else 0.0)
+
+    return run
+
+
+def _added(part: pa.RecordBatch, table: tuple[np.ndarray, ...], missing: float) -> pa.RecordBatch:
+    known_keys, base, more, known = table
+    keys, docs = part.column("keys"), part.column("docs").flatten().to_numpy()
+    key, size = keys.flatten().to_numpy(), keys.value_lengths().to_numpy()
+    at = np.searchsorted(known_keys, key)
+    found = at < len(known_keys)
+    found[found] = known_keys[at[found]] == key[found]
+    at[~found] = len(known_keys)  # where the values end with zeros
+    plain = base[at] + missing * ~found
+    row = np.repeat(np.arange(len(size)), size)
+    heads = np.flatnonzero(np.concatenate((np.ones(min(len(docs), 1), bool), (np.diff(docs) != 0) | (np.diff(row) != 0))))
+    sums = [np.add.reduceat(x, heads) for x in (plain, plain + more[at], known[at])]
+    ends = np.searchsorted(row[heads], np.arange(part.num_rows + 1)).astype(np.int32)
+    each = np.diff(ends)
+    # per row the three lists of sums, one after the other
+    flat, at3 = np.empty(3 * len(heads)), np.repeat(3 * ends[:-1], each) + np.arange(len(heads)) - np.repeat(ends[:-1], each)
+    for k, x in enumerate(sums):
+        flat[at3 + k * np.repeat(each, each)] = x
+    inner = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(np.repeat(each, 3)))).astype(np.int32)), pa.array(flat))
+    outer = pa.ListArray.from_arrays(pa.array((3 * np.arange(part.num_rows + 1)).astype(np.int32)), inner)
+    return _batch(part.num_rows, bucket=part.column("bucket"), kind=part.column("kind"), block=part.column("block"), docs=pa.ListArray.from_arrays(pa.array(ends), pa.array(docs[heads])), sums=outer)
+
+
+def _combined(n_tokens: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows in order of block and kind: a block's documents, then what the buckets add to them."""
+
+    def out(info: dict, sums: np.ndarray) -> pa.RecordBatch:
+        cols = [info["ids"], info["held"], info["sizes"], pa.array(np.rint(sums[2]).astype(np.int64)), _same(n_tokens, sums.shape[1]), pa.array(sums[0]), pa.array(sums[1])]
+        return pa.RecordBatch.from_arrays(cols, [c.split()[0] for c in SCORE_SCHEMA.split(", ")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        info, sums = None, None
+        for batch in batches:
+            for i, kind in enumerate(batch.column("kind").to_pylist()):
+                docs, mine = (batch.column(c)[i].values for c in ("docs", "sums"))
+                added = mine.flatten().to_numpy().reshape(3, -1)
+                if kind == INFO:
+                    if info:
+                        yield out(info, sums)
+                    info, sums = {c: batch.column(c)[i].values for c in ("ids", "held", "sizes")}, added.copy()
+                else:
+                    sums[:, docs.to_numpy()] += added
+        if info:
+            yield out(info, sums)
 
-    return _freed(own.mapInArrow(run, PART_SCHEMA), "parts"), rest
+    return run
 
 
 def scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH) -> DataFrame:
     """One row per document: ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``.
 
     Tokens are words in lower case (A-Z) and one end per text. The tree's root holds the smoothed frequencies of all
-    tokens. Every context of one and two tokens with 50 occurrences is a state if its next symbols, those that come
+    tokens. Every context of up to ``depth`` tokens with 50 occurrences is a state if its next symbols, those that come
     twice or more, pass the divergence test; a token is scored in the longest state that ends before it. Counts cover
     every text that isn't held out.
 
     Tables hold all tokens and states. The most frequent tokens' and runs' values, of fixed numbers at any corpus size,
-    are broadcast; a document's other keys are joined to the tables. Tokens and runs are compared by 64-bit hashes.
+    are broadcast. Other keys are dealt by hash into buckets, a row of keys for each block of documents and bucket;
+    there they meet their values, a bounded number at once, and what they add comes back to the block. Tokens and runs
+    are compared by 64-bit hashes: of n different ones about n * n / 2^65 pairs share a hash and then their counts.
 
     A null text counts as empty and has one token, the end. A null id isn't held out by a null condition. Repeated rows
     are scored and learned from like others. Other columns are not read. An empty table gives an empty result.
     """
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), text_or_empty(text_col).alias("text"))
-    model, _, n_tokens, distinct, level = train(own.where("not held_out"), depth)
-    parts, runs = _parts(own, model, depth)
-    rare = model.tokens.where(_level(F.col("n")) < level).select("key", "base", "more", F.lit(True).alias("known"))
-    values = rare.union(runs.select("key", F.lit(0.0), "more", F.lit(False)))
-    pairs = lambda key, n, token: F.transform(F.arrays_zip(key, n), lambda t: F.struct(t[key].alias("key"), t[n].alias("times"), F.lit(token).alias("token")))
-    far = parts.select("uid", F.explode(F.concat(pairs("tail_key", "tail_n", True), pairs("run_key", "run_n", False))).alias("t")).select("uid", "t.*")
-    unseen = F.when(F.col("token"), F.log10(F.lit(ADDED) / F.lit(n_tokens + ADDED * (distinct + 1)))).otherwise(0.0)
-    base, times = F.coalesce("base", unseen), F.col("times")
-    met = far.join(values, "key", "left")
-    sums = met.groupBy("uid").agg(F.sum(times * base).alias("far_log"), F.sum(times * (base + F.coalesce("more", F.lit(0.0)))).alias("far_score"), F.sum(F.when(F.col("known"), times).otherwise(0)).alias("far_known"))
-    whole = parts.drop("tail_key", "tail_n", "run_key", "run_n").join(sums, "uid", "left")
-    zero = F.lit(0.0)
-    return whole.select(
-        "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("far_known", F.lit(0))).cast("long").alias("n_known"),
-        F.lit(n_tokens).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("far_log", zero)).alias("base_score"), (F.col("score") + F.coalesce("far_score", zero)).alias("score"),
-    )
+    model, n_tokens, level = train(own.where("not held_out"), depth)
+    drop(*model.states, *model.entries)
+    width = shuffle_width(docs.sparkSession)
+    buckets = max(width, -(-(model.runs.count() + model.tokens.count()) // BUCKET_ROWS))
+    asked, values = _asked(own, model, level, depth, buckets)
+    given = values.select("*", (F.col("key").bitwiseAND(_POSITIVE) % buckets).cast("int").alias("bucket"), F.lit(VALUES).alias("kind"))
+    dealt = asked.unionByName(given, allowMissingColumns=True).repartitionById(buckets, "bucket").sortWithinPartitions(F.col("bucket") * 4 + F.col("kind"))
+    sums = dealt.mapInArrow(_looked_up(model.unknown), _ROWS_DDL).select("block", "kind", "docs", "sums", "ids", "held", "sizes")
+    return sums.repartition(width, "block").sortWithinPartitions("block", "kind").mapInArrow(_combined(n_tokens), SCORE_SCHEMA)
