@@ -17,13 +17,13 @@ from quillmeter.llm.wordhash import Index, Words
 
 #: Sizes of what is broadcast: frequent tokens, values of frequent word runs, 64-bit words of a filter. They are shortcuts
 #: of fixed size that no result depends on: what they leave out takes the way of a join.
-HEAD, HOT, FILTER = 1 << 18, 1 << 19, 1 << 20
+HEAD, HOT, FILTER = 1 << 18, 1 << 20, 1 << 21
 #: A context needs so many occurrences, a next symbol so many after it; taken from each next symbol's count.
 LEAST_CONTEXT, LEAST_NEXT, DISCOUNT = 50, 2, 0.75
 ADDED = 0.1
 #: Tokens of the longest context.
 DEPTH = 4
-#: Values of keys that a task holds at once while it looks up keys.
+#: Keys with their values that make a bucket: a task holds them while it looks up keys.
 BUCKET_ROWS = 1 << 20
 #: Hash of the end token, no word's.
 END = -1
@@ -283,56 +283,36 @@ def train(own: DataFrame, depth: int = DEPTH) -> tuple[Model, int, int]:
     return model, n_tokens, level
 
 
-#: Rows that meet in a bucket of keys, and then in a block of documents, in this order of ``kind``.
-VALUES, INFO, TOKENS, RUNS = range(4)
-_ROWS = pa.schema(
-    [
-        ("bucket", pa.int32()), ("kind", pa.int32()), ("block", pa.int64()),  # where a row goes
-        ("key", pa.int64()), ("base", pa.float64()), ("more", pa.float64()), ("known", pa.int64()),  # VALUES: what a key adds
-        ("keys", pa.list_(pa.int64())), ("docs", pa.list_(pa.int32())),  # TOKENS, RUNS: keys of a block's documents
-        ("sums", pa.list_(pa.list_(pa.float64()))),  # of the documents in docs: base, score, known tokens
-        ("ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int64())),  # INFO
-    ]
-)
-_ROWS_DDL = "bucket int, kind int, block long, key long, base double, more double, known long, keys array<long>, docs array<int>, sums array<array<double>>, ids array<long>, held array<boolean>, sizes array<long>"
+#: Rows that meet in a bucket of keys, and then in a block of documents, in this order of ``kind``. ``a`` and ``b`` hold
+#: numbers as bytes: keys and what they add (a row of VALUES for each column, RUN_VALUES more alone), or keys and their
+#: documents (TOKENS, RUNS), or documents and what is added to each (INFO and results).
+VALUES, RUN_VALUES, INFO, TOKENS, RUNS = range(5)
+_ROWS = "bucket int, kind int, block long, a binary, b binary, ids array<long>, held array<boolean>, sizes array<long>"
+_KINDS = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("block", pa.int64()), ("a", pa.binary()), ("b", pa.binary()), ("ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int64()))])
 SCORE_SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-_POSITIVE = (1 << 63) - 1
+def _rows(n: int, **columns: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in _KINDS], schema=_KINDS)
 
 
-def _batch(n: int, **columns: pa.Array) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([columns[f.name].cast(f.type) if f.name in columns else pa.nulls(n, f.type) for f in _ROWS], schema=_ROWS)
+def _by_bucket(key: np.ndarray, own: np.ndarray, order: np.ndarray | None, kind: int, block: int, buckets: int) -> pa.RecordBatch:
+    """A row for each bucket: its keys, and their columns of ``own`` (a number for each key, or several), ordered by ``order``."""
+    bucket = (key & ((1 << 63) - 1)) % buckets
+    by = np.argsort(bucket if order is None else bucket << 32 | order)
+    at = np.searchsorted(bucket[by], np.arange(buckets + 1))
+    some = np.flatnonzero(np.diff(at)).tolist()
+    key, own = key[by], own[by]
+    return _rows(len(some), bucket=some, kind=[kind] * len(some), block=[block] * len(some), a=[key[at[i] : at[i + 1]].tobytes() for i in some], b=[own[at[i] : at[i + 1]].tobytes() for i in some])
 
 
-def _same(value: int, n: int) -> pa.Array:
-    return pa.array(np.full(n, value, np.int64))
-
-
-def _list(values: np.ndarray | pa.Array) -> pa.Array:
-    """One row with all values."""
-    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values if isinstance(values, pa.Array) else pa.array(values))
-
-
-def _by_bucket(key: np.ndarray, doc: np.ndarray, kind: int, block: int, buckets: int) -> pa.RecordBatch:
-    """A row for each bucket: its keys, and whose they are in ascending order."""
-    bucket = (key & _POSITIVE) % buckets
-    order = np.argsort(bucket << 32 | doc)
-    at = np.searchsorted(bucket[order], np.arange(buckets + 1))
-    some = np.flatnonzero(np.diff(at))
-    ends = pa.array(np.append(at[some], at[-1]).astype(np.int32))
-    keys, docs = (pa.ListArray.from_arrays(ends, pa.array(x[order])) for x in (key, doc.astype(np.int32)))
-    return _batch(len(some), bucket=pa.array(some), kind=_same(kind, len(some)), block=_same(block, len(some)), keys=keys, docs=docs)
-
-
-def _asked(own: DataFrame, model: Model, level: int, depth: int, buckets: int) -> tuple[DataFrame, DataFrame]:
-    """Blocks of documents with what the broadcast values give, and their other keys by bucket; and those keys' values."""
+def _asked(own: DataFrame, model: Model, level: int, depth: int, buckets: int) -> DataFrame:
+    """Blocks of documents with what the broadcast values give, their other keys by bucket, and those keys' values."""
     top, hot_level = _most_frequent(model.runs, HOT, 1)
     hot_key, hot_more = _columns(top, "key", "more")  # at most HOT rows
-    tail = model.tokens.where(_level(F.col("n")) < level).select("key", "base", "more", F.lit(1).alias("known"))
-    rest = model.runs.where(_level(F.col("n")) < hot_level).select("key", F.lit(0.0), "more", F.lit(0))
-    may_be = [_filter(x) for x in (tail, rest)]
-    shared = own.sparkSession.sparkContext.broadcast((model.head, model.head_log, model.head_more, Index(hot_key), np.append(hot_more, 0.0), *may_be))
+    tail, rest = model.tokens.where(_level(F.col("n")) < level), model.runs.where(_level(F.col("n")) < hot_level)
+    shared = own.sparkSession.sparkContext.broadcast((model.head, model.head_log, model.head_more, Index(hot_key), np.append(hot_more, 0.0), _filter(tail), _filter(rest)))
+    unknown = model.unknown
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (head, head_log, head_more, hot, hot_more, others, other_runs), block = shared.value, TaskContext.get().partitionId() << 36
@@ -343,7 +323,7 @@ def _asked(own: DataFrame, model: Model, level: int, depth: int, buckets: int) -
                 row = np.repeat(np.arange(part.num_rows), np.diff(first))
                 base = head_log[ids]  # the last value, for tokens that aren't among the frequent ones, is zero
                 value = base + head_more[ids]
-                far_key, far_row = [], []
+                far_key, far_row = [tokens[:0]], [row[:0]]
                 for at, _, _, key in _runs(tokens, first, depth):
                     place = hot.find(key)
                     value[at] += hot_more[place]
@@ -355,89 +335,105 @@ def _asked(own: DataFrame, model: Model, level: int, depth: int, buckets: int) -
                 unseen = ~_maybe(others, tokens[tail])  # surely: they are asked for in no bucket
                 base[tail[unseen]] = value[tail[unseen]] = unknown
                 tail = tail[~unseen]
-                sums = [np.add.reduceat(x, first[:-1]) for x in (base, value, (ids >= 0).astype(float))]
-                yield _batch(
-                    1, bucket=_same(block % buckets, 1), kind=_same(INFO, 1), block=_same(block, 1), docs=_list(np.arange(part.num_rows)),
-                    sums=_list(pa.ListArray.from_arrays(pa.array(part.num_rows * np.arange(4), pa.int32()), pa.array(np.concatenate(sums)))),
-                    ids=_list(part.column("doc_id")), held=_list(part.column("held_out")), sizes=_list(np.diff(first)),
-                )
-                yield _by_bucket(tokens[tail], row[tail], TOKENS, block, buckets)
-                yield _by_bucket(np.concatenate([tokens[:0], *far_key]), np.concatenate([row[:0], *far_row]), RUNS, block, buckets)
+                sums = np.stack([np.add.reduceat(x, first[:-1]) for x in (base, value, (ids >= 0).astype(float))], axis=1)
+                docs = np.arange(part.num_rows, dtype=np.int32)
+                info = {c: [part.column(name).to_pylist()] for c, name in (("ids", "doc_id"), ("held", "held_out"))}
+                yield _rows(1, bucket=[block % buckets], kind=[INFO], block=[block], a=[docs.tobytes()], b=[sums.tobytes()], sizes=[np.diff(first)], **info)
+                yield _by_bucket(tokens[tail], row[tail].astype(np.int32), row[tail], TOKENS, block, buckets)
+                far = np.concatenate(far_row)
+                yield _by_bucket(np.concatenate(far_key), far.astype(np.int32), far, RUNS, block, buckets)
                 block += 1
 
-    unknown = model.unknown
-    return own.mapInArrow(run, _ROWS_DDL), tail.union(rest)
+    def packed(kind: int, columns: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                own = np.stack([batch.column(c).to_numpy() for c in columns], axis=1)
+                yield _by_bucket(batch.column("key").to_numpy(), own, None, kind, 0, buckets)
+
+        return run
+
+    values = tail.select("key", "base", "more").mapInArrow(packed(VALUES, ["base", "more"]), _ROWS)
+    return own.mapInArrow(run, _ROWS).union(values).union(rest.select("key", "more").mapInArrow(packed(RUN_VALUES, ["more"]), _ROWS))
+
+
+class _Values:
+    """A bucket's keys and what each adds: to the base score, to the score, to the known tokens; missing keys add nothing."""
+
+    def __init__(self):
+        self.parts, self.keys, self.adds = [], None, None
+
+    def take(self, kind: int, a: bytes, b: bytes) -> None:
+        key, more = np.frombuffer(a, np.int64), np.frombuffer(b, np.float64)
+        if kind == VALUES:
+            base, more = more.reshape(-1, 2).T
+            self.parts.append((key, np.stack((base, base + more, np.ones(len(key))))))
+        else:
+            self.parts.append((key, np.stack((np.zeros(len(key)), more, np.zeros(len(key))))))
+
+    def find(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if self.keys is None:
+            keys = np.concatenate([np.empty(0, np.int64), *(k for k, _ in self.parts)])
+            order = np.argsort(keys)
+            self.keys = keys[order]
+            self.adds = np.concatenate((np.concatenate([np.empty((3, 0)), *(x for _, x in self.parts)], axis=1)[:, order], np.zeros((3, 1))), axis=1)
+            self.parts = []
+        at = np.searchsorted(self.keys, key)
+        found = at < len(self.keys)
+        found[found] = self.keys[at[found]] == key[found]
+        at[~found] = len(self.keys)
+        return self.adds[:, at], found
 
 
 def _looked_up(unknown: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Rows in order of bucket and kind: takes a bucket's values, then sums up what its keys add to each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held, table = None, [], None
+        now, values = None, None
         for batch in batches:
-            kind, bucket = batch.column("kind").to_numpy(), batch.column("bucket").to_numpy()
-            heads = np.flatnonzero(np.concatenate((np.ones(min(len(kind), 1), bool), (np.diff(kind) != 0) | (np.diff(bucket) != 0))))
-            for a, b in zip(heads, np.append(heads[1:], len(kind)), strict=True):
-                part = batch.slice(a, b - a)
-                if bucket[a] != now:
-                    now, held, table = bucket[a], [], None
-                if kind[a] == VALUES:
-                    held.append([part.column(c).to_numpy() for c in ("key", "base", "more", "known")])
+            keep, made = [], {c: [] for c in ("kind", "block", "a", "b")}
+            for i, (bucket, kind) in enumerate(zip(batch.column("bucket").to_pylist(), batch.column("kind").to_pylist(), strict=True)):
+                if bucket != now:
+                    now, values = bucket, _Values()
+                if kind == INFO:
+                    keep.append(i)
                     continue
-                if kind[a] == INFO:
-                    yield part
+                a, b = batch.column("a")[i].as_buffer(), batch.column("b")[i].as_buffer()
+                if kind < INFO:
+                    values.take(kind, a, b)
                     continue
-                if table is None:
-                    key, *values = (np.concatenate(x) for x in zip(*held, strict=True)) if held else (np.empty(0, np.int64), *np.zeros((3, 0)))
-                    order = np.argsort(key)
-                    table, held = (key[order], *(np.append(x[order].astype(float), 0.0) for x in values)), []
-                yield _added(part, table, unknown if kind[a] == TOKENS else 0.0)
+                docs = np.frombuffer(b, np.int32)
+                adds, found = values.find(np.frombuffer(a, np.int64))
+                if kind == TOKENS:
+                    adds[:2, ~found] = unknown
+                heads = np.flatnonzero(np.concatenate((np.ones(1, bool), np.diff(docs) != 0)))
+                for name, x in (("kind", kind), ("block", batch.column("block")[i].as_py()), ("a", docs[heads].tobytes()), ("b", np.add.reduceat(adds, heads, axis=1).T.tobytes())):
+                    made[name].append(x)
+            if keep:
+                yield batch.take(pa.array(keep))
+            if made["kind"]:
+                yield _rows(len(made["kind"]), **made)
 
     return run
 
 
-def _added(part: pa.RecordBatch, table: tuple[np.ndarray, ...], missing: float) -> pa.RecordBatch:
-    known_keys, base, more, known = table
-    keys, docs = part.column("keys"), part.column("docs").flatten().to_numpy()
-    key, size = keys.flatten().to_numpy(), keys.value_lengths().to_numpy()
-    at = np.searchsorted(known_keys, key)
-    found = at < len(known_keys)
-    found[found] = known_keys[at[found]] == key[found]
-    at[~found] = len(known_keys)  # where the values end with zeros
-    plain = base[at] + missing * ~found
-    row = np.repeat(np.arange(len(size)), size)
-    heads = np.flatnonzero(np.concatenate((np.ones(min(len(docs), 1), bool), (np.diff(docs) != 0) | (np.diff(row) != 0))))
-    sums = [np.add.reduceat(x, heads) for x in (plain, plain + more[at], known[at])]
-    ends = np.searchsorted(row[heads], np.arange(part.num_rows + 1)).astype(np.int32)
-    each = np.diff(ends)
-    # per row the three lists of sums, one after the other
-    flat, at3 = np.empty(3 * len(heads)), np.repeat(3 * ends[:-1], each) + np.arange(len(heads)) - np.repeat(ends[:-1], each)
-    for k, x in enumerate(sums):
-        flat[at3 + k * np.repeat(each, each)] = x
-    inner = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(np.repeat(each, 3)))).astype(np.int32)), pa.array(flat))
-    outer = pa.ListArray.from_arrays(pa.array((3 * np.arange(part.num_rows + 1)).astype(np.int32)), inner)
-    return _batch(part.num_rows, bucket=part.column("bucket"), kind=part.column("kind"), block=part.column("block"), docs=pa.ListArray.from_arrays(pa.array(ends), pa.array(docs[heads])), sums=outer)
-
-
 def _combined(n_tokens: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Rows in order of block and kind: a block's documents, then what the buckets add to them."""
 
     def out(info: dict, sums: np.ndarray) -> pa.RecordBatch:
-        cols = [info["ids"], info["held"], info["sizes"], pa.array(np.rint(sums[2]).astype(np.int64)), _same(n_tokens, sums.shape[1]), pa.array(sums[0]), pa.array(sums[1])]
+        cols = [pa.array(info["ids"], pa.int64()), pa.array(info["held"], pa.bool_()), pa.array(info["sizes"], pa.int64()), pa.array(np.rint(sums[:, 2]).astype(np.int64)), pa.array(np.full(len(sums), n_tokens, np.int64)), pa.array(sums[:, 0]), pa.array(sums[:, 1])]
         return pa.RecordBatch.from_arrays(cols, [c.split()[0] for c in SCORE_SCHEMA.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         info, sums = None, None
         for batch in batches:
             for i, kind in enumerate(batch.column("kind").to_pylist()):
-                docs, mine = (batch.column(c)[i].values for c in ("docs", "sums"))
-                added = mine.flatten().to_numpy().reshape(3, -1)
+                docs, added = np.frombuffer(batch.column("a")[i].as_buffer(), np.int32), np.frombuffer(batch.column("b")[i].as_buffer(), np.float64).reshape(-1, 3)
                 if kind == INFO:
                     if info:
                         yield out(info, sums)
-                    info, sums = {c: batch.column(c)[i].values for c in ("ids", "held", "sizes")}, added.copy()
+                    info, sums = {c: batch.column(c)[i].as_py() for c in ("ids", "held", "sizes")}, added.copy()
                 else:
-                    sums[:, docs.to_numpy()] += added
+                    sums[docs] += added
         if info:
             yield out(info, sums)
 
@@ -463,10 +459,7 @@ def scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col:
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), text_or_empty(text_col).alias("text"))
     model, n_tokens, level = train(own.where("not held_out"), depth)
     drop(*model.states, *model.entries)
-    width = shuffle_width(docs.sparkSession)
-    buckets = max(width, -(-(model.runs.count() + model.tokens.count()) // BUCKET_ROWS))
-    asked, values = _asked(own, model, level, depth, buckets)
-    given = values.select("*", (F.col("key").bitwiseAND(_POSITIVE) % buckets).cast("int").alias("bucket"), F.lit(VALUES).alias("kind"))
-    dealt = asked.unionByName(given, allowMissingColumns=True).repartitionById(buckets, "bucket").sortWithinPartitions(F.col("bucket") * 4 + F.col("kind"))
-    sums = dealt.mapInArrow(_looked_up(model.unknown), _ROWS_DDL).select("block", "kind", "docs", "sums", "ids", "held", "sizes")
-    return sums.repartition(width, "block").sortWithinPartitions("block", "kind").mapInArrow(_combined(n_tokens), SCORE_SCHEMA)
+    buckets = max(1, -(-(model.runs.count() + model.tokens.count()) // BUCKET_ROWS))
+    dealt = _asked(own, model, level, depth, buckets).repartitionById(buckets, "bucket").sortWithinPartitions("bucket", "kind")
+    sums = dealt.mapInArrow(_looked_up(model.unknown), _ROWS).select("block", "kind", "a", "b", "ids", "held", "sizes")
+    return sums.repartition(shuffle_width(docs.sparkSession), "block").sortWithinPartitions("block", "kind").mapInArrow(_combined(n_tokens), SCORE_SCHEMA)
