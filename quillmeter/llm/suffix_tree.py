@@ -17,7 +17,7 @@ from quillmeter.llm.wordhash import Index, Words
 
 #: Sizes of what is broadcast: frequent tokens, values of frequent word runs, 64-bit words of a filter. They are shortcuts
 #: of fixed size that no result depends on: what they leave out takes the way of a join.
-HEAD, HOT, FILTER = 1 << 18, 1 << 20, 1 << 21
+HEAD, HOT, FILTER = 1 << 18, 1 << 19, 1 << 20
 #: A context needs so many occurrences, a next symbol so many after it; taken from each next symbol's count.
 LEAST_CONTEXT, LEAST_NEXT, DISCOUNT = 50, 2, 0.75
 ADDED = 0.1
@@ -151,11 +151,15 @@ def _columns(table: DataFrame, *names: str) -> list[np.ndarray]:
 
 
 def _filter(keys: DataFrame) -> np.ndarray:
-    """A Bloom filter of the column ``key``, of FILTER words with up to three bits of each key; never misses a key."""
+    """A Bloom filter of the column ``key`` with up to three bits of each key: a word for every four, FILTER at most.
+
+    It never misses a key.
+    """
+    words = min(FILTER, 1 << max(3, (keys.count() // 4).bit_length()))
     bits = " | ".join(f"shiftleft(1L, cast(shiftrightunsigned(key, {k}) & 63 as int))" for k in (24, 32, 40))
-    slots = keys.select(F.col("key").bitwiseAND(FILTER - 1).alias("slot"), F.expr(bits).alias("bits"))
-    out = np.zeros(FILTER, np.uint64)
-    at, bits = _columns(slots.groupBy("slot").agg(F.bit_or("bits").alias("bits")), "slot", "bits")  # at most FILTER rows
+    slots = keys.select(F.col("key").bitwiseAND(words - 1).alias("slot"), F.expr(bits).alias("bits"))
+    out = np.zeros(words, np.uint64)
+    at, bits = _columns(slots.groupBy("slot").agg(F.bit_or("bits").alias("bits")), "slot", "bits")  # at most a row for each word
     out[at] = bits.view(np.uint64)
     return out
 
@@ -257,6 +261,7 @@ def train(own: DataFrame, depth: int = DEPTH) -> tuple[Model, int, int]:
         # every next symbol comes as often after the shorter context, which is as frequent: it has an entry there
         entries = _freed(pairs.join(parent, "shorter"), "entries")
         drop(pairs)
+        shared.destroy()  # pairs are written; nothing asks for the filter again
         states = _freed(_retained(entries, contexts), "states")
         kept = F.col("backoff").isNotNull()
         state = F.when(kept, F.ln((F.col("n") - DISCOUNT) / F.col("total"))).otherwise(F.col("parent"))
