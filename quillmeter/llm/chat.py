@@ -105,14 +105,14 @@ class Conversation:
 def windows(turns: DataFrame, tokenizer: str, budget: int = 1024, history_budget: int = 256) -> DataFrame:
     """Training windows of conversations (conv_id, turn, role, text): one row per window, see WINDOW_SCHEMA.
 
-    Turns' tokens are counted by the tokenizer and summed up in order; a window ends before the turn whose prefix sum
-    would pass ``budget``. It starts with the conversation's system turn (if that comes first) and with the latest
+    Formatted turns' tokens, marks and escapes included, are counted by the tokenizer and summed up in order; a window
+    ends before the turn whose prefix sum would pass ``budget``. It starts with the conversation's system turn (if that comes first) and with the latest
     turns before it within ``history_budget``; these ``n_repeated`` turns are outside the loss, so every assistant text
     is a target in exactly one window. A turn over the budget has a window of its own.
 
     Rows are dealt by conversation, sorted by turn, and streamed: a task holds one window, however long a conversation
-    is. A null text is empty, a null role is "", rows without conv_id are one conversation; rows with equal turns are
-    ordered by role and text. Other columns are not read. An empty table gives an empty result.
+    is. A null text is empty, a null role is "", rows without conv_id are one conversation, a null turn comes first; rows
+    with equal turns are ordered by role and text, and repeated rows are turns like others. Other columns are not read. An empty table gives an empty result.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,7 +120,9 @@ def windows(turns: DataFrame, tokenizer: str, budget: int = 1024, history_budget
         for batch in batches:
             for part in row_slices(batch, size=1 << 20):
                 rows, texts = [], part.column("text").to_pylist()
-                for conv, role, text, n in zip(part.column("conv_id").to_pylist(), part.column("role").to_pylist(), texts, encoder.counts(texts), strict=True):
+                roles = part.column("role").to_pylist()
+                sizes = encoder.counts([formatted(*turn)[0] for turn in zip(roles, texts, strict=True)])
+                for conv, role, text, n in zip(part.column("conv_id").to_pylist(), roles, texts, sizes, strict=True):
                     if now is None or now.conv_id != conv:
                         if now:
                             rows.append(now.close())
@@ -148,7 +150,8 @@ DIGEST_SCHEMA = "conv_id long, n_turns long, turns_sha256 string, loss_chars lon
 def read_back(made: DataFrame) -> DataFrame:
     """One row per conversation, from the formatted windows alone: digests of its turns and of the text under the loss.
 
-    Windows come in order within a partition, as ``windows`` makes them; digests are carried from row to row.
+    Windows are dealt by conversation and sorted, wherever they come from; digests are carried from row to row. Other
+    columns are not read. An empty table gives an empty result.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,7 +176,8 @@ def read_back(made: DataFrame) -> DataFrame:
         if state:
             yield _digests([(now, *_ended(state))])
 
-    return made.select("conv_id", "window", "n_repeated", "text", "loss").mapInArrow(run, DIGEST_SCHEMA)
+    own = made.select("conv_id", "window", "n_repeated", "text", "loss").repartition(shuffle_width(made.sparkSession), "conv_id")
+    return own.sortWithinPartitions("conv_id", "window").mapInArrow(run, DIGEST_SCHEMA)
 
 
 def _ended(state: list) -> tuple:

@@ -4,7 +4,7 @@ import public_tokenizers
 from hypothesis import given
 from hypothesis import strategies as st
 
-from quillmeter.llm import chat
+from quillmeter.llm import chat, tokenizing
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 SCHEMA = "conv_id long, turn long, role string, text string"
@@ -41,3 +41,20 @@ def test_windows_and_read_back(spark):
 
 def test_empty(spark):
     assert chat.read_back(chat.windows(spark.createDataFrame([], SCHEMA), PATH)).count() == 0
+
+
+def test_odd_rows_and_windows_read_from_a_table(spark, tmp_path):
+    data = [(None, 0, None, "no id"), (None, 1, "assistant", "told"), (3, 1, "user", "again"), (3, 1, "user", "again"), (3, 1, "assistant", "tie"), (3, None, "system", "first")]
+    data += [(5, t, "assistant" if t % 2 else "user", "word " * 30) for t in range(40)] + [(6, 0, "user", "long " * 500), (6, 1, "assistant", "ok")]
+    turns = spark.createDataFrame(data, SCHEMA).selectExpr("*", "1 AS window", "2 AS n_tokens", "'x' AS loss")
+    chat.windows(turns, PATH, budget=120, history_budget=40).repartition(7).write.parquet(f"{tmp_path}/windows")
+    stored = spark.read.parquet(f"{tmp_path}/windows")
+    rows = {r.conv_id: tuple(r)[1:5] for r in chat.read_back(stored).collect()}
+    sorted_data = sorted(((-1 if c is None else c), (-1 if t is None else t), r or "", x) for c, t, r, x in data)
+    assert {(-1 if c is None else c): v for c, v in rows.items()} == {c: v for c, *v in map(lambda x: (x[0], *x[1:]), brute(sorted_data)) for v in [tuple(v)]}
+    # the budget holds for the formatted text: only a window with one new turn (and what repeats) may pass it
+    encoder = tokenizing.load(PATH)
+    for r in stored.collect():
+        n = encoder.counts([r.text])[0]
+        assert n <= r.n_tokens
+        assert n <= 120 or len(chat.parsed(r.text)) - r.n_repeated == 1
