@@ -50,10 +50,10 @@ def _flat(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def probability(model: np.ndarray, rows: list[np.ndarray], earlier: np.ndarray) -> np.ndarray:
-    """model: FEATURES weights, one for each earlier category's probability, and the intercept."""
+    """model: the features' weights, one for each earlier category's probability, and the intercept."""
     flat, at = _flat(rows)
     sums = np.concatenate((np.zeros(1), np.cumsum(model[flat])))
-    z = sums[at[1:]] - sums[at[:-1]] + earlier @ model[FEATURES:-1] + model[-1]
+    z = sums[at[1:]] - sums[at[:-1]] + earlier @ model[len(model) - 1 - earlier.shape[1] : -1] + model[-1]
     with np.errstate(over="ignore"):
         return 1 / (1 + np.exp(-z))
 
@@ -70,22 +70,24 @@ def telling(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
 
 def fit(rows: list[np.ndarray], earlier: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Logistic regression over the telling features by full-batch Adam steps: the same rows give the same model."""
-    if len(y):
-        use = telling(rows, y)
-        rows = [r[use[r]] for r in rows]
+    whole = np.zeros(FEATURES + earlier.shape[1] + 1)
+    if not len(y):
+        whole[-1] = -np.inf
+        return whole
+    use = telling(rows, y)
+    kept, place = np.flatnonzero(use), np.cumsum(use) - 1  # the others' weights stay zero
+    rows = [place[r[use[r]]] for r in rows]
     flat, at = _flat(rows)
     size, row = np.diff(at), np.repeat(np.arange(len(rows)), np.diff(at))
-    w = np.zeros(FEATURES + earlier.shape[1] + 1)
-    if not len(y):
-        w[-1] = -np.inf
-        return w
+    w = np.zeros(len(kept) + earlier.shape[1] + 1)
     m, v = np.zeros_like(w), np.zeros_like(w)
     for t in range(1, STEPS + 1):
         r = (probability(w, rows, earlier) - y) / len(y) if size.any() else (1 / (1 + np.exp(-w[-1])) - y) / len(y)
-        g = np.concatenate((np.bincount(flat, r[row], FEATURES), earlier.T @ r, [r.sum()])) + PENALTY * np.append(w[:-1], 0)
+        g = np.concatenate((np.bincount(flat, r[row], len(kept)), earlier.T @ r, [r.sum()])) + PENALTY * np.append(w[:-1], 0)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    return w
+    whole[kept], whole[FEATURES:] = w[: len(kept)], w[len(kept) :]
+    return whole
 
 
 def _models(rows: DataFrame, label: str, earlier: list[str], folds: int) -> list[np.ndarray]:
@@ -107,10 +109,12 @@ def train_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, Column
 
     Training takes all labelled rows up to about TRAIN_ROWS, beyond that a share by a hash of the id. The earlier
     categories' probabilities, with which a model is trained, come from models that did not see the row: each category
-    is also learned FOLDS times without one fold. Labels are joined by id; those without a document are left out, and of
-    repeated ids one row counts. Without any label a category's probability is 0.
+    is also learned FOLDS times without one fold. Labels are joined by id; those without a document are left out. Of
+    repeated ids one row counts: of labels the one with the smallest values (nulls first), of documents the one whose
+    features come first in order. Without any label a category's probability is 0.
     """
-    own = labels.select(F.col(id_col).cast("long").alias("id"), *(c.cast("double").alias(f"y_{k}") for k, c in categories.items())).where("id is not null").dropDuplicates(["id"])
+    own = labels.select(F.col(id_col).cast("long").alias("id"), F.struct(*(c.cast("double").alias(f"y_{k}") for k, c in categories.items())).alias("y")).where("id is not null")
+    own = own.groupBy("id").agg(F.min("y").alias("y")).select("id", "y.*")
     n = own.count()
     taken = own.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, TRAIN_ROWS / max(n, 1))))
     kinds = ["id long", *(f"y_{k} double" for k in categories)]
@@ -125,7 +129,8 @@ def train_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, Column
     texts = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
     # about TRAIN_ROWS rows of numbers: broadcast
     rows = texts.join(F.broadcast(taken), "id").select(*(k.split()[0] for k in kinds), "text").mapInArrow(run, f"{', '.join(kinds)}, words array<int>")
-    rows = written(rows.dropDuplicates(["id"]).withColumn("fold", F.pmod(F.xxhash64("id", F.lit(7)), F.lit(FOLDS)).cast("int")), "labelled")
+    rows = rows.groupBy(*(k.split()[0] for k in kinds)).agg(F.min("words").alias("words"))
+    rows = written(rows.withColumn("fold", F.pmod(F.xxhash64("id", F.lit(7)), F.lit(FOLDS)).cast("int")), "labelled")
     models_of, earlier = [], []
     for k in categories:
         last = len(models_of) == len(categories) - 1
