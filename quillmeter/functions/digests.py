@@ -22,6 +22,30 @@ def hmac_sha256(key: bytes, message: Column) -> Column:
     return F.sha2(F.concat(_pad(key, 0x5C), inner), 256)
 
 
+def ended(*parts: Column) -> Column:
+    """SHA-256 in hex of texts that each end with a zero byte; null if one is null."""
+    zero = F.unhex(F.lit("00"))
+    return F.sha2(F.concat(*[x for p in parts for x in (p.cast("binary"), zero)]), 256)
+
+
+def billing_identity(provider: Column, kind: Column, value: Column) -> Column:
+    """SHA-256 of ``provider:kind:value`` in lower case without outer blanks; null if the value is blank."""
+    low = lambda c: F.translate(F.trim(c), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.when(F.trim(value) != "", F.sha2(F.concat(low(provider), F.lit(":"), low(kind), F.lit(":"), low(value)), 256))
+
+
+def account_identity(provider: Column, account: Column, organization: Column, mail: Column) -> Column:
+    """The identity of the first that is named: account, then organization, then mail address; empty if none is."""
+    each = ((F.lit("account"), account), (F.lit("organization"), organization), (F.lit("email"), mail))
+    return F.coalesce(*[billing_identity(provider, k, v) for k, v in each], F.lit(""))
+
+
+def evidence_ref(domain: str, *parts: Column) -> Column:
+    """``sha256:`` and the digest of a domain and parts with zero bytes between them."""
+    zero = F.unhex(F.lit("00"))
+    return F.concat(F.lit("sha256:"), F.sha2(F.concat(F.lit(domain).cast("binary"), *[x for p in parts for x in (zero, p.cast("binary"))]), 256))
+
+
 def framed(parts: list[Column], width: int = 8) -> Column:
     """Bytes of texts, each after its length as a big-endian number of ``width`` bytes: no two lists look the same."""
     frame = lambda c: F.concat(F.unhex(F.lpad(F.hex(F.octet_length(c).cast("long")), 2 * width, "0")), c.cast("binary"))

@@ -2,29 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmeter.functions import digests, numbers, text
-from quillmeter.operators import joins, packing, windows
+from quillmeter.operators import joins, packing, posture, windows
+from quillmeter.operators.sets import digest_of_sets
+from quillmeter.plans.registry import ORACLE, QUERIES, query
 from quillmeter.sources.tables import table
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE: dict[str, str] = {}
-
-
-def query(sql: str | None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE[f.__name__] = sql
-        return f
-
-    return add
-
 
 def _day(c: str = "ts"):
     return F.to_date(c)
@@ -52,21 +37,28 @@ def token_estimate_docs(spark, sf):
     return docs.groupBy("lang", "source").agg(F.count("*").alias("documents"), F.sum(text.token_estimate(F.col("text"))).alias("tokens"))
 
 
-@query(r"""SELECT kind, count(*) AS n FROM (SELECT CASE WHEN contains(lower(url), '/memory/') THEN 'memory' WHEN regexp_matches(lower(url), '\.mdx?$') THEN 'md' WHEN regexp_matches(lower(url), '\.html?$') THEN 'html'
-WHEN regexp_matches(lower(url), '\.(py|rs|go|java|js|ts|c|cpp|h)$') THEN 'code' ELSE 'other' END AS kind FROM pages) GROUP BY kind""")
+@query(r"""SELECT CASE WHEN regexp_matches(p, '(^|[/\\])MEMORY\.md$') OR contains(p, 'AutoMem/') OR contains(p, '/memory/') OR contains(p, '\memory\') THEN 'memory_notes' WHEN lower(p) LIKE '%.md' OR lower(p) LIKE '%.markdown' THEN 'doc_reads_md'
+WHEN lower(p) LIKE '%.html' OR lower(p) LIKE '%.htm' THEN 'doc_reads_html' ELSE 'code_reads' END AS kind, count(*) AS n, min(page_id) AS first_page FROM (SELECT page_id, split_part(url, '?', 1) ||
+CASE page_id % 8 WHEN 0 THEN '/MEMORY.md' WHEN 1 THEN '/memory.MD' WHEN 2 THEN '/AutoMem/x' WHEN 3 THEN '\memory\y.html' WHEN 4 THEN '/a.Markdown' WHEN 5 THEN '/b.HTM' WHEN 6 THEN '/x.mdx' ELSE '' END AS p FROM pages) GROUP BY kind""")
 def path_class(spark, sf):
-    return table(spark, sf, "pages").groupBy(text.path_class(F.col("url")).alias("kind")).agg(F.count("*").alias("n"))
+    ends = F.array(*map(F.lit, ("/MEMORY.md", "/memory.MD", "/AutoMem/x", "\\memory\\y.html", "/a.Markdown", "/b.HTM", "/x.mdx", "")))
+    path = F.concat(F.split_part("url", F.lit("?"), F.lit(1)), F.element_at(ends, (F.col("page_id") % 8 + 1).cast("int")))
+    return table(spark, sf, "pages").groupBy(text.path_class(path).alias("kind")).agg(F.count("*").alias("n"), F.min("page_id").alias("first_page"))
 
 
-@query(r"""SELECT sha256(regexp_replace(trim(regexp_replace(lower(text), '[ \t\r\n]+', ' ', 'g')), '[^ ]*[0-9][^ ]*', '<dynamic>', 'g')) AS template, count(*) AS n, min(doc_id) AS first_doc FROM documents GROUP BY 1""")
+@query(rf"""WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '{text.WHITE}+'), lambda x: x <> '') AS w FROM documents),
+u AS (SELECT doc_id, list_transform(w[1:4096], lambda x: CASE WHEN regexp_matches(x, '^[^A-Za-z0-9]*[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') OR regexp_matches(regexp_replace(x, '^[^A-Za-z0-9]+|[^A-Za-z0-9]+$', '', 'g'),
+'^([0-9A-Fa-f]{{8}}-[0-9A-Fa-f]{{4}}-[0-9A-Fa-f]{{4}}-[0-9A-Fa-f]{{4}}-[0-9A-Fa-f]{{12}}|[0-9]{{4,}}|[0-9A-Fa-f]{{16,}})$') THEN '<dynamic>' ELSE x END) AS w FROM t)
+SELECT sha256(nullif(left(lower(array_to_string(w, ' ')), 4096), '')) AS template, count(*) AS n, min(doc_id) AS first_doc FROM u GROUP BY 1""")
 def template_normalize(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", F.sha2(text.template(F.col("text")), 256).alias("template"))
     return docs.groupBy("template").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
 
 
-@query("""SELECT slug, count(*) AS n FROM (SELECT left(regexp_replace(lower(trim(p_type)), '[^a-z0-9._-]', '-', 'g'), 64) AS slug FROM part) WHERE regexp_matches(slug, '^[a-z0-9]') GROUP BY slug""")
+@query("""SELECT slug, count(*) AS n FROM (SELECT CASE WHEN p_partkey % 10 = 0 THEN '__all__' ELSE left(regexp_replace(lower(trim(p_type)), '[^a-z0-9._-]', '-', 'g'), 64) END AS slug FROM part) WHERE regexp_matches(slug, '^[a-z0-9]') GROUP BY slug""")
 def model_slug(spark, sf):
-    return table(spark, sf, "part").select(text.slug(F.col("p_type")).alias("slug")).where("slug is not null").groupBy("slug").agg(F.count("*").alias("n"))
+    name = F.when(F.col("p_partkey") % 10 == 0, " __ALL__ ").otherwise(F.col("p_type"))
+    return table(spark, sf, "part").select(text.slug(name).alias("slug")).where("slug is not null").groupBy("slug").agg(F.count("*").alias("n"))
 
 
 @query("SELECT CASE upper(trim(c_mktsegment)) WHEN 'BUILDING' THEN 'desktop' WHEN 'MACHINERY' THEN 'cli' WHEN 'FURNITURE' THEN 'web' ELSE 'other' END AS surface, count(*) AS n FROM customer GROUP BY 1")
@@ -75,28 +67,34 @@ def surface_map(spark, sf):
     return table(spark, sf, "customer").groupBy(surface.alias("surface")).agg(F.count("*").alias("n"))
 
 
-@query(r"""SELECT array_to_string(list_transform(list_filter(regexp_split_to_array(trim(event_type), '[_\- ]+'), lambda w: w <> ''), lambda w: upper(left(w, 1)) || substr(w, 2)), ' ') AS label, count(*) AS n FROM events GROUP BY 1""")
+@query("""SELECT CASE user_id % 4 WHEN 0 THEN 'Team Standard' WHEN 1 THEN 'A_b ' || upper(left(event_type, 1)) || substr(event_type, 2) WHEN 2 THEN 'Max' ELSE upper(left(event_type, 1)) || substr(event_type, 2) || '-x' END AS label, count(*) AS n FROM events GROUP BY 1""")
 def plan_label(spark, sf):
-    return table(spark, sf, "events").groupBy(text.title_label(F.col("event_type")).alias("label")).agg(F.count("*").alias("n"))
+    name = F.expr("CASE user_id % 4 WHEN 0 THEN ' TEAM_standard ' WHEN 1 THEN concat('a_b  ', event_type) WHEN 2 THEN 'max' ELSE concat(event_type, '-x') END")
+    return table(spark, sf, "events").groupBy(text.plan_label(name).alias("label")).agg(F.count("*").alias("n"))
 
 
-@query("""SELECT coalesce(o_orderpriority, 'other') AS category, count(*) AS results, sum(l_quantity)::BIGINT AS quantity FROM lineitem LEFT JOIN (SELECT * FROM orders WHERE o_orderstatus <> 'F') o ON l_orderkey = o_orderkey GROUP BY 1""")
+@query("""WITH c AS (SELECT o_custkey, o_orderpriority, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS r FROM orders WHERE o_orderstatus <> 'F')
+SELECT coalesce(o_orderpriority, 'other') AS category, count(*) AS results, sum(event_id)::BIGINT AS total FROM events LEFT JOIN (SELECT * FROM c WHERE r = 1) ON user_id = o_custkey GROUP BY 1""")
 def call_result_join(spark, sf):
-    calls = joins.last_of(table(spark, sf, "orders").where("o_orderstatus <> 'F'").select("o_orderkey", "o_orderdate", "o_orderpriority"), ["o_orderkey"], [F.col("o_orderdate")])
-    joined = table(spark, sf, "lineitem").join(calls, F.col("l_orderkey") == F.col("o_orderkey"), "left")
-    return joined.groupBy(F.coalesce("o_orderpriority", F.lit("other")).alias("category")).agg(F.count("*").alias("results"), F.sum("l_quantity").cast("long").alias("quantity"))
-
-
-@query("""WITH a AS (SELECT o_custkey AS k, min(o_orderpriority) AS v FROM orders GROUP BY 1 HAVING count(DISTINCT o_orderpriority) = 1),
-b AS (SELECT user_id AS k, min(event_type) AS v FROM events GROUP BY 1 HAVING count(DISTINCT event_type) = 1)
-SELECT CASE WHEN a.v IS NOT NULL THEN 'orders' WHEN b.v IS NOT NULL THEN 'events' ELSE 'segment' END AS origin, coalesce(a.v, b.v, c_mktsegment) AS account, count(*) AS n
-FROM customer LEFT JOIN a ON a.k = c_custkey LEFT JOIN b ON b.k = c_custkey GROUP BY 1, 2""")
+    calls = table(spark, sf, "orders").where("o_orderstatus <> 'F'").select("o_custkey", "o_orderdate", "o_orderkey", "o_orderpriority")
+    last = joins.last_of(calls, ["o_custkey"], [F.col("o_orderdate"), F.col("o_orderkey")])
+    joined = table(spark, sf, "events").join(last, F.col("user_id") == F.col("o_custkey"), "left")
+    return joined.groupBy(F.coalesce("o_orderpriority", F.lit("other")).alias("category")).agg(F.count("*").alias("results"), F.sum("event_id").alias("total"))
+
+
+@query("""WITH o AS (SELECT user_id AS k, min(event_type) AS v, count(DISTINCT event_type) AS n FROM events WHERE event_id % 5 = 0 GROUP BY 1),
+u AS (SELECT o_custkey AS k, min(o_orderpriority) AS v, count(DISTINCT o_orderpriority) AS n, count(*) FILTER (o_orderkey % 11 = 0) AS gaps FROM orders WHERE o_orderkey % 7 = 0 GROUP BY 1),
+s AS (SELECT c_custkey, c_mktsegment, coalesce(o.n, 0) AS no, o.v AS ov, CASE WHEN u.k IS NULL THEN 0 WHEN u.gaps > 0 OR u.n > 1 THEN 2 ELSE 1 END AS nu, u.v AS uv, coalesce(p.n, 0) AS np, p.v AS pv
+FROM customer LEFT JOIN o ON o.k = c_custkey LEFT JOIN u ON u.k = c_custkey LEFT JOIN o p ON p.k = c_custkey - 1 AND c_custkey % 3 = 0),
+r AS (SELECT CASE WHEN no > 1 OR nu > 1 OR (no = 1 AND nu = 1 AND ov <> uv) THEN 'conflict' WHEN no = 1 THEN 'observation' WHEN nu = 1 THEN 'usage' WHEN np > 1 THEN 'conflict' WHEN np = 1 THEN 'lineage' WHEN c_mktsegment = 'BUILDING' THEN 'login' ELSE 'none' END AS origin, * FROM s)
+SELECT origin, CASE origin WHEN 'observation' THEN ov WHEN 'usage' THEN uv WHEN 'lineage' THEN pv WHEN 'login' THEN c_mktsegment END AS account, count(*) AS n FROM r GROUP BY 1, 2""")
 def account_precedence(spark, sf):
-    a = joins.only_value(table(spark, sf, "orders"), "o_custkey", "o_orderpriority").select(F.col("o_custkey").alias("c_custkey"), F.col("o_orderpriority").alias("a"))
-    b = joins.only_value(table(spark, sf, "events"), "user_id", "event_type").select(F.col("user_id").alias("c_custkey"), F.col("event_type").alias("b"))
-    rows = table(spark, sf, "customer").join(a, "c_custkey", "left").join(b, "c_custkey", "left")
-    origin = F.when(F.col("a").isNotNull(), "orders").when(F.col("b").isNotNull(), "events").otherwise("segment")
-    return rows.groupBy(origin.alias("origin"), F.coalesce("a", "b", "c_mktsegment").alias("account")).agg(F.count("*").alias("n"))
+    seen = table(spark, sf, "events").where("event_id % 5 = 0").select(F.col("user_id").alias("c_custkey"), F.col("event_type").alias("account"))
+    used = table(spark, sf, "orders").where("o_orderkey % 7 = 0").select(F.col("o_custkey").alias("c_custkey"), F.when(F.col("o_orderkey") % 11 != 0, F.col("o_orderpriority")).alias("account"))
+    parents = seen.select((F.col("c_custkey") + 1).alias("c_custkey"), "account").where("c_custkey % 3 = 0")
+    login = F.when(F.col("c_mktsegment") == "BUILDING", F.col("c_mktsegment"))
+    rows = joins.account_of(table(spark, sf, "customer"), "c_custkey", "account", seen, used, parents, login)
+    return rows.groupBy("origin", "account").agg(F.count("*").alias("n"))
 
 
 @query("""WITH m AS (SELECT doc_id, strlen(b.text) AS n, min(item_id) AS item_id, count(DISTINCT item_id) AS k FROM documents d JOIN benchmark b ON contains(d.text, b.text) WHERE strlen(b.text) >= 24 GROUP BY 1, 2)
@@ -139,13 +137,20 @@ def recent_volume(spark, sf):
     return rows.agg(F.count("*").alias("n"), F.round(F.sum(F.col("value").cast("decimal(18,6)")), 2).cast("decimal(18,2)").alias("total")).select(F.col("w.start").alias("hour"), "n", "total")
 
 
-@query("""WITH r AS (SELECT * FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 7 DAY)
-SELECT count(*) AS sessions, count(*) FILTER (value > 50) AS deep, CASE WHEN count(*) > 0 THEN floor(median(floor(value)))::BIGINT END AS median_value FROM r HAVING count(*) > 0""")
+@query("""WITH n AS (SELECT max(ts) - INTERVAL 1 DAY AS now FROM events), r AS (SELECT event_id, ts, CASE WHEN event_id % 5 > 0 THEN event_id % 1000 END AS first_turn, CASE WHEN event_id % 3 > 0 THEN (value * 9000)::BIGINT END AS peak,
+CASE WHEN event_id % 2 = 0 THEN event_id % 4 END AS compactions, event_id % 7 AS reread FROM events, n WHERE ts BETWEEN now - INTERVAL 7 DAY AND now + INTERVAL 5 MINUTE),
+p AS (SELECT peak, ts, event_id FROM r WHERE peak IS NOT NULL ORDER BY ts DESC, event_id DESC LIMIT 14)
+SELECT count(*) AS sessions, floor(median(first_turn))::BIGINT AS typical_first_turn, count(peak) AS peak_sessions, count(*) FILTER (peak > 200000) AS evidenced, CASE WHEN count(peak) > 0 THEN count(*) FILTER (peak > 200000) END AS deep,
+CASE WHEN count(peak) > 0 AND count(peak) = count(*) FILTER (peak > 200000) THEN count(*) FILTER (peak > 1000000) END AS over_window, sum(compactions)::BIGINT AS compactions, sum(reread)::BIGINT AS reread,
+(SELECT string_agg(peak::VARCHAR, ',' ORDER BY ts, event_id) FROM p) AS peaks FROM r HAVING count(*) > 0""")
 def posture_summary(spark, sf):
     events = table(spark, sf, "events")
-    last = events.agg(F.max("ts").alias("last"))
-    rows = events.join(F.broadcast(last)).where(F.col("ts") >= F.col("last") - F.expr("interval 7 days"))  # one row
-    return rows.agg(F.count("*").alias("sessions"), F.count_if(F.col("value") > 50).alias("deep"), F.floor(F.median(F.floor("value"))).alias("median_value")).where("sessions > 0")
+    rows = events.select(
+        "event_id", "ts", F.when(F.col("event_id") % 5 > 0, F.col("event_id") % 1000).alias("first_turn"), F.when(F.col("event_id") % 3 > 0, F.round(F.col("value") * 9000).cast("long")).alias("peak"),
+        F.when(F.col("event_id") % 2 == 0, F.col("event_id") % 4).alias("compactions"), (F.col("event_id") % 7).alias("reread"),
+    )
+    now = events.agg((F.max("ts") - F.expr("interval 1 day")).alias("now"))  # one row
+    return posture.summary(rows, now, "ts", "event_id").withColumn("peaks", F.array_join("peaks", ","))
 
 
 @query("""SELECT l_suppkey, l_returnflag FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY n DESC, l_returnflag DESC) AS r FROM (SELECT l_suppkey, l_returnflag, count(*) AS n FROM lineitem GROUP BY 1, 2)) WHERE r = 1""")
@@ -154,18 +159,27 @@ def dominant_model(spark, sf):
     return joins.last_of(n.withColumn("flag", F.col("l_returnflag")).drop("l_returnflag"), ["l_suppkey"], [F.col("n"), F.col("flag")]).select("l_suppkey", F.col("flag").alias("l_returnflag"))
 
 
-@query("SELECT user_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1")
+@query("""WITH b AS (SELECT user_id, date_trunc('hour', ts) AS start, CASE WHEN user_id % 4 > 0 THEN max(ts) END AS active FROM events GROUP BY 1, 2),
+l AS (SELECT user_id, arg_max(start, (coalesce(active, start), start)) AS start FROM b GROUP BY 1),
+m AS (SELECT e.user_id, event_type, count(*) AS n FROM events e JOIN l ON l.user_id = e.user_id AND date_trunc('hour', e.ts) = l.start GROUP BY 1, 2)
+SELECT user_id, event_type FROM m QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY n DESC, event_type) = 1""")
 def latest_model(spark, sf):
-    return joins.last_of(table(spark, sf, "events").select("user_id", "ts", "event_id", "event_type"), ["user_id"], [F.col("ts"), F.col("event_id")]).select("user_id", "event_type")
+    events = table(spark, sf, "events").withColumn("start", F.date_trunc("hour", "ts"))
+    buckets = events.groupBy("user_id", "start").agg(F.max("ts").alias("active")).withColumn("active", F.when(F.col("user_id") % 4 > 0, F.col("active")))
+    last = joins.last_of(buckets.select("user_id", "start", F.coalesce("active", "start").alias("o")), ["user_id"], [F.col("o"), F.col("start")]).select("user_id", "start")
+    n = events.join(last, ["user_id", "start"]).groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
+    return windows.newest(n, ["user_id"], [F.desc("n"), F.asc("event_type")], 1).select("user_id", "event_type")
 
 
-@query("""WITH c AS (SELECT max(ts) - INTERVAL 1 DAY AS cut FROM events), o AS (SELECT user_id, max(ts) AS seen FROM events, c WHERE ts < cut GROUP BY 1), n AS (SELECT user_id, max(ts) AS seen FROM events, c WHERE ts >= cut GROUP BY 1)
-SELECT n.user_id, n.seen::TIMESTAMP AS last_seen, o.seen::TIMESTAMP AS before FROM n LEFT JOIN o USING (user_id) WHERE o.seen IS NULL OR n.seen > o.seen ORDER BY n.seen DESC, n.user_id LIMIT 100""")
+@query("""WITH c AS (SELECT max(ts) - INTERVAL 1 HOUR AS now FROM events), o AS (SELECT user_id, max(ts) AS seen FROM events, c WHERE ts < now - INTERVAL 30 MINUTE GROUP BY 1), n AS (SELECT user_id, max(ts) AS seen FROM events, c WHERE ts >= now - INTERVAL 60 MINUTE GROUP BY 1)
+SELECT n.user_id, n.seen::TIMESTAMP AS last_seen, o.seen::TIMESTAMP AS before FROM n LEFT JOIN o USING (user_id), c WHERE (o.seen IS NULL OR n.seen > o.seen) AND n.seen BETWEEN now - INTERVAL 15 MINUTE AND now + INTERVAL 5 MINUTE ORDER BY n.seen DESC, n.user_id LIMIT 100""")
 def active_sessions(spark, sf):
     events = table(spark, sf, "events")
-    cut = F.broadcast(events.agg((F.max("ts") - F.expr("interval 1 day")).alias("cut")))  # one row
-    rows = events.join(cut).groupBy("user_id").agg(F.max(F.when(F.col("ts") >= F.col("cut"), F.col("ts"))).alias("last_seen"), F.max(F.when(F.col("ts") < F.col("cut"), F.col("ts"))).alias("before"))
-    return rows.where("last_seen is not null and (before is null or last_seen > before)").orderBy(F.desc("last_seen"), "user_id").limit(100)
+    now = events.agg((F.max("ts") - F.expr("interval 1 hour")).alias("now"))  # one row
+    timed = events.join(F.broadcast(now))
+    state = timed.where("ts < now - interval 30 minutes").groupBy("user_id").agg(F.max("ts").alias("seen"))
+    fresh = timed.where("ts >= now - interval 60 minutes").groupBy("user_id").agg(F.max("ts").alias("seen"))
+    return posture.active(fresh, state, now, "user_id", "seen").orderBy(F.desc("last_seen"), "user_id").limit(100)
 
 
 @query("""SELECT CAST(ts AS DATE) AS day, event_type AS surface, user_id % 5 AS model, CASE WHEN count(k) > 0 THEN least(sum(k), 1000000000000000)::BIGINT END AS tokens, count(*) AS n
@@ -188,9 +202,13 @@ def chunk_rows(spark, sf):
     return windows.chunks(table(spark, sf, "customer").select("c_custkey"), ["c_custkey"], 200)
 
 
-@query("SELECT o_orderstatus, count(*) AS kept FROM orders WHERE o_orderdate >= TIMESTAMP '1995-01-01' OR o_orderdate IS NULL GROUP BY 1")
+@query("""SELECT o_orderstatus, count(*) AS kept FROM (SELECT o_orderstatus, CASE WHEN o_orderkey % 3 > 0 THEN o_orderdate END AS a, CASE WHEN o_orderkey % 4 > 1 THEN o_orderdate + INTERVAL 90 DAY END AS b, CASE WHEN o_orderkey % 6 = 1 THEN o_orderdate + INTERVAL 1 YEAR END AS c FROM orders)
+WHERE greatest(a, b, c) >= TIMESTAMP '1997-01-01' OR greatest(a, b, c) IS NULL GROUP BY 1""")
 def cutoff_filter(spark, sf):
-    return table(spark, sf, "orders").where("o_orderdate >= timestamp'1995-01-01' or o_orderdate is null").groupBy("o_orderstatus").agg(F.count("*").alias("kept"))
+    t = F.col("o_orderdate")
+    times_ = [F.when(F.col("o_orderkey") % 3 > 0, t), F.when(F.col("o_orderkey") % 4 > 1, t + F.expr("interval 90 days")), F.when(F.col("o_orderkey") % 6 == 1, t + F.expr("interval 1 year"))]
+    last = F.greatest(*times_)  # skips nulls
+    return table(spark, sf, "orders").where(last.isNull() | (last >= F.lit("1997-01-01").cast("timestamp"))).groupBy("o_orderstatus").agg(F.count("*").alias("kept"))
 
 
 @query("SELECT count(*) AS kept FROM (SELECT CASE WHEN event_id % 7 = 0 THEN NULL ELSE ts END AS t FROM events) WHERE t IS NULL OR t >= TIMESTAMP '2024-01-10'")
@@ -236,10 +254,11 @@ def loss_report(spark, sf):
     return joins.closed_domain(counts, "reason", ["click", "purchase", "timeout", "refused"], "n")
 
 
-@query("""SELECT c_nationkey, sha256(string_agg(h, '' ORDER BY h)) AS digest, count(*) AS n FROM (SELECT DISTINCT c_nationkey, sha256(c_name || chr(1)) AS h FROM customer) GROUP BY c_nationkey""")
+@query("""WITH k AS (SELECT DISTINCT c_nationkey, c_name AS k, left(sha256(c_name), 4) AS bucket FROM customer),
+b AS (SELECT c_nationkey, bucket, sha256(unhex(string_agg(printf('%016x', strlen(k)) || hex(encode(k)), '' ORDER BY k))) AS h, count(*) AS n FROM k GROUP BY 1, 2)
+SELECT c_nationkey, sha256(unhex(string_agg(printf('%016x', 64) || hex(encode(h)), '' ORDER BY h))) AS digest, sum(n)::BIGINT AS n FROM b GROUP BY 1""")
 def inventory_digest(spark, sf):
-    rows = table(spark, sf, "customer").select("c_nationkey", F.sha2(F.concat("c_name", F.lit("\x01")), 256).alias("h")).distinct()
-    return rows.groupBy("c_nationkey").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("digest"), F.count("*").alias("n"))
+    return digest_of_sets(table(spark, sf, "customer"), "c_nationkey", "c_name")
 
 
 @query("""WITH x AS (SELECT user_id, event_id, json_extract_string(props, '$.k')::BIGINT AS k FROM events), y AS (SELECT *, lag(k) OVER (PARTITION BY user_id ORDER BY event_id) AS p FROM x)
@@ -249,16 +268,20 @@ def cumulative_reset(spark, sf):
     return windows.counter_deltas(rows, "user_id", ["event_id"], "k").groupBy("user_id").agg(F.sum("delta").alias("used"))
 
 
-@query("""SELECT user_id, count(*) AS n FROM (SELECT *, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS gap FROM events) WHERE gap IS NULL OR gap > 3600000000 GROUP BY user_id""")
+@query("""SELECT user_id, count(*) AS n FROM (SELECT *, epoch_us(t) - lag(epoch_us(t)) OVER (PARTITION BY user_id ORDER BY t, event_id) AS gap FROM
+(SELECT user_id, event_id, ts AS t FROM events UNION ALL SELECT user_id, event_id + 1000000, ts + to_microseconds((event_id % 4) * 40000) FROM events WHERE event_id % 3 = 0)) WHERE gap IS NULL OR gap > 100000 GROUP BY user_id""")
 def compaction_pairs(spark, sf):
-    return windows.without_echoes(table(spark, sf, "events"), "user_id", "ts", "event_id", 3600).groupBy("user_id").agg(F.count("*").alias("n"))
+    events = table(spark, sf, "events").select("user_id", "event_id", "ts")
+    echo = events.where("event_id % 3 = 0").select("user_id", (F.col("event_id") + 1_000_000).alias("event_id"), F.timestamp_micros(F.unix_micros(F.col("ts").cast("timestamp")) + F.col("event_id") % 4 * 40_000).alias("ts"))
+    return windows.without_echoes(events.union(echo), "user_id", "ts", "event_id", 0.1).groupBy("user_id").agg(F.count("*").alias("n"))
 
 
-@query("""SELECT l_suppkey, round(sum(l_quantity::DECIMAL(18,2) * 5 + l_extendedprice::DECIMAL(18,2) * 0.5::DECIMAL(3,2) + l_discount::DECIMAL(18,2) * 6.25::DECIMAL(4,2)) / 1000000, 6)::DECIMAL(18,6) AS cost FROM lineitem GROUP BY 1""")
+@query("""SELECT l_suppkey, (sum((i - c) * 500 + c * 50 + w * 625 + o * 3000) / 100000000::DECIMAL(28, 8))::DECIMAL(28, 8) AS cost FROM (SELECT l_suppkey, floor(l_extendedprice)::DECIMAL(18, 0) AS i, floor(l_extendedprice / 3)::DECIMAL(18, 0) AS c, l_linenumber::DECIMAL(18, 0) AS w, floor(l_quantity)::DECIMAL(18, 0) AS o FROM lineitem) GROUP BY 1""".replace(
+    "(sum((i - c) * 500 + c * 50 + w * 625 + o * 3000) / 100000000::DECIMAL(28, 8))::DECIMAL(28, 8)", "(sum((i - c) * 500 + c * 50 + w * 625 + o * 3000)::DECIMAL(28, 0)::DECIMAL(38, 8) * 0.00000001::DECIMAL(9, 8))::DECIMAL(28, 8)"))
 def cost_estimate(spark, sf):
-    d = lambda c: F.col(c).cast("decimal(18,2)")
-    cost = d("l_quantity") * F.lit(5) + d("l_extendedprice") * F.lit("0.5").cast("decimal(3,2)") + d("l_discount") * F.lit("6.25").cast("decimal(4,2)")
-    return table(spark, sf, "lineitem").groupBy("l_suppkey").agg(F.round(F.sum(cost).cast("double") / 1_000_000, 6).cast("decimal(18,6)").alias("cost"))
+    whole = lambda c: F.floor(c).cast("long")
+    cost = numbers.token_cost(whole(F.col("l_extendedprice")), whole(F.col("l_extendedprice") / 3), F.col("l_linenumber").cast("long"), whole(F.col("l_quantity")))
+    return table(spark, sf, "lineitem").groupBy("l_suppkey").agg(F.sum(cost).cast("decimal(28,8)").alias("cost"))
 
 
 @query(r"""SELECT doc_id, sha256(regexp_replace(regexp_replace(regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', '[mail]', 'g'), '([Bb]earer|[Tt]oken:?|[Pp]assword:?) +[^ \n]+', '\1 [redacted]', 'g'), '[A-Za-z0-9_]{32,}', '[key]', 'g')) AS redacted_sha256 FROM documents""")
@@ -311,10 +334,9 @@ def window_filter(spark, sf):
     return table(spark, sf, "documents").where("n_chars between 100 and 5000 and lang is not null").groupBy("lang", "source").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
 
 
-@query("""SELECT c_custkey, (('0x' || substr(sha256(c_name), 1, 15))::BIGINT) % 300 AS phase FROM customer""")
+@query("""SELECT c_custkey, (('0x' || substr(sha256('cadence.phase:v1' || c_name), 1, 16))::UBIGINT % 300)::BIGINT AS phase FROM customer""")
 def cadence_phase(spark, sf):
-    # fifteen hex digits fit a long on both sides
-    return table(spark, sf, "customer").select("c_custkey", (F.conv(F.substr(F.sha2("c_name", 256), F.lit(1), F.lit(15)), 16, 10).cast("long") % 300).alias("phase"))
+    return table(spark, sf, "customer").select("c_custkey", numbers.phase(F.col("c_name"), 300, "cadence.phase:v1").alias("phase"))
 
 
 @query("""SELECT source, sum(ceil(length(text) / 4))::BIGINT AS tokens FROM documents GROUP BY source ORDER BY tokens DESC, source LIMIT 10""")
@@ -323,52 +345,79 @@ def top_files(spark, sf):
     return rows.orderBy(F.desc("tokens"), "source").limit(10)
 
 
-@query("""SELECT c_custkey, coalesce(n.v, o.v) AS value FROM (SELECT c_custkey, c_acctbal AS v FROM customer WHERE c_custkey % 3 <> 0) o FULL JOIN (SELECT c_custkey, -c_acctbal AS v FROM customer WHERE c_custkey % 2 = 0) n USING (c_custkey)""")
+@query("""WITH o AS (SELECT c_custkey, max(o_totalprice) AS p, bool_or(o_orderstatus = 'P') AS d, count(*) AS n FROM (SELECT o_custkey AS c_custkey, * FROM orders) WHERE o_orderdate < TIMESTAMP '2000-01-01' GROUP BY 1),
+n AS (SELECT c_custkey, max(o_totalprice) FILTER (o_orderstatus <> 'F') AS p, bool_or(o_orderstatus = 'P') AS d, count(*) AS n FROM (SELECT o_custkey AS c_custkey, * FROM orders) WHERE o_orderdate >= TIMESTAMP '2000-01-01' GROUP BY 1)
+SELECT c_custkey, coalesce(n.p, o.p)::DECIMAL(18, 2) AS price, coalesce(n.d, false) OR coalesce(o.d, false) AS discovered, coalesce(n.n, o.n) AS n FROM o FULL JOIN n USING (c_custkey)""")
 def source_upsert(spark, sf):
-    rows = table(spark, sf, "customer")
-    old = rows.where("c_custkey % 3 <> 0").select("c_custkey", F.col("c_acctbal").alias("value"))
-    new = rows.where("c_custkey % 2 = 0").select("c_custkey", (-F.col("c_acctbal")).alias("value"))
-    return joins.merge_latest(old, new, ["c_custkey"], ["value"])
+    rows, split = table(spark, sf, "orders").withColumn("c_custkey", F.col("o_custkey")), F.lit("2000-01-01").cast("timestamp")
+
+    def side(part, price):
+        return part.groupBy("c_custkey").agg(F.max(price).cast("decimal(18,2)").alias("price"), F.bool_or(F.col("o_orderstatus") == "P").alias("discovered"), F.count("*").alias("n"))
+
+    old = side(rows.where(F.col("o_orderdate") < split), F.col("o_totalprice"))
+    new = side(rows.where(F.col("o_orderdate") >= split), F.when(F.col("o_orderstatus") != "F", F.col("o_totalprice")))
+    return joins.merge_latest(old, new, ["c_custkey"], ["price", "n"], either=["discovered"])
 
 
 @query("""WITH m AS (SELECT event_id, n_name, CASE WHEN user_id % 25 = n_nationkey THEN 10 ELSE 0 END + CASE WHEN day(ts) % 5 = n_regionkey THEN 2 ELSE 0 END + CASE WHEN hour(ts) = n_nationkey THEN 1 ELSE 0 END AS score FROM events JOIN nation ON true),
 t AS (SELECT *, max(score) OVER (PARTITION BY event_id) AS top FROM m WHERE score >= 3)
 SELECT event_id, min(n_name) AS label, any_value(score)::INTEGER AS score FROM t WHERE score = top GROUP BY event_id HAVING count(DISTINCT n_name) = 1""")
+
 def scored_match(spark, sf):
     nation = table(spark, sf, "nation").select("n_nationkey", "n_regionkey", "n_name")
     events = table(spark, sf, "events").select("event_id", "user_id", "ts")
-    points = [(F.col("user_id") % 25 == F.col("n_nationkey"), 10), (F.day("ts") % 5 == F.col("n_regionkey"), 2), (F.hour("ts") == F.col("n_nationkey"), 1)]
-    return joins.best_scored(events, "event_id", nation, "n_name", points, 3)
+    user, day, hour = F.col("user_id") % 25, F.day("ts") % 5, F.hour("ts")
+    points = [(user == F.col("n_nationkey"), 10), (day == F.col("n_regionkey"), 2), (hour == F.col("n_nationkey"), 1)]
+    # three points need the first signal, or both others
+    meet = [([user], [F.col("n_nationkey")]), ([day, hour], [F.col("n_regionkey"), F.col("n_nationkey")])]
+    return joins.best_scored(events, "event_id", nation, "n_name", points, 3, meet)
 
 
-@query("""WITH r AS (SELECT conv_id, role || ':' || left(text, 3) AS s, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS p FROM conversations),
-b AS (SELECT c.conv_id, c.p, c.s IS NOT DISTINCT FROM o.s AND o.p IS NOT NULL AS same FROM r c LEFT JOIN r o ON o.conv_id = c.conv_id - 1 AND o.p = c.p),
+@query("""WITH c AS (SELECT conv_id, turn, role, text FROM conversations UNION ALL SELECT conv_id + 1000000, turn, role, CASE WHEN turn < conv_id % 5 THEN text ELSE text || '!' END FROM conversations),
+r AS (SELECT conv_id, role || chr(1) || text AS s, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS p FROM c),
+b AS (SELECT c.conv_id, c.p, c.s IS NOT DISTINCT FROM o.s AND o.p IS NOT NULL AS same FROM r c LEFT JOIN r o ON o.conv_id = c.conv_id - 1000000 AND o.p = c.p),
 e AS (SELECT conv_id, count(*) AS n, min(p) FILTER (NOT same) AS stop FROM b GROUP BY 1)
 SELECT conv_id, coalesce(stop - 1, n) AS shared, n - coalesce(stop - 1, n) AS own FROM e""")
 def prefix_split(spark, sf):
-    rows = table(spark, sf, "conversations").select("conv_id", "turn", F.concat("role", F.lit(":"), F.left("text", F.lit(3))).alias("s"))
-    parents = rows.select("conv_id").distinct().withColumn("parent", F.col("conv_id") - 1)
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    forked = F.when(F.col("turn") < F.col("conv_id") % 5, F.col("text")).otherwise(F.concat("text", F.lit("!")))
+    rows = rows.union(rows.select((F.col("conv_id") + 1_000_000).alias("conv_id"), "turn", "role", forked.alias("text")))
+    rows = rows.select("conv_id", "turn", F.sha2(digests.framed([F.col("role"), F.col("text")]), 256).alias("s"))
+    parents = rows.select("conv_id").distinct().withColumn("parent", F.col("conv_id") - 1_000_000)
     return joins.common_prefix(rows, "conv_id", "turn", "s", parents, "parent")
 
 
-#: Python checks these rows: SQL has no fold that starts anew, and no keyed hash.
 @query(None)
 def pack_items(spark, sf):
     docs = table(spark, sf, "documents").select("source", "doc_id", (F.octet_length("text") + 1).alias("size"))
     return packing.greedy_batches(docs, "source", ["doc_id"], "size", 50, (2 << 20) - 2)
 
 
-@query(None)
+@query("""WITH RECURSIVE d AS (SELECT event_type AS g, CAST(ts AS DATE) + (user_id % 9 * 40)::INTEGER AS day, count(*) AS n FROM events GROUP BY 1, 2),
+o AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY day) AS r FROM d),
+f AS (SELECT g, r, day, n, 0 AS batch, DATE '2023-12-01' AS start, n AS total FROM o WHERE r = 1
+UNION ALL SELECT o.g, o.r, o.day, o.n, CASE WHEN x THEN f.batch + 1 ELSE f.batch END, CASE WHEN x THEN o.day ELSE f.start END, CASE WHEN x THEN o.n ELSE f.total + o.n END
+FROM f JOIN o ON o.g = f.g AND o.r = f.r + 1, LATERAL (SELECT f.total + o.n > 60 OR o.day - f.start + 1 > 200 AS x)),
+b AS (SELECT g, batch, min(start) AS first_day, sum(n)::BIGINT AS n, count(*) AS days FROM f GROUP BY 1, 2)
+SELECT g AS event_type, batch, first_day, coalesce(lead(first_day) OVER (PARTITION BY g ORDER BY batch) - 1, DATE '2025-06-30') AS last_day, n, days FROM b""")
 def pack_days(spark, sf):
-    days = table(spark, sf, "events").groupBy("event_type", _day().alias("day")).agg(F.count("*").alias("n"))
-    return packing.greedy_batches(days, "event_type", ["day"], "n", 200, 1000)
+    day = F.date_add(F.to_date("ts"), (F.col("user_id") % 9 * 40).cast("int"))
+    days = table(spark, sf, "events").groupBy("event_type", day.alias("day")).agg(F.count("*").alias("n"))
+    return packing.day_batches(days, "event_type", "day", "n", F.lit("2023-12-01").cast("date"), F.lit("2025-06-30").cast("date"), most_rows=60)
 
 
-@query(None)
+@query(f"""SELECT c_custkey, sha256(unhex('{bytes(b ^ 0x5C for b in b"install-key".ljust(64, bytes(1))).hex()}') || unhex(sha256(unhex('{bytes(b ^ 0x36 for b in b"install-key".ljust(64, bytes(1))).hex()}') || encode(c_name)))) AS opaque_id FROM customer""")
 def hmac_ids(spark, sf):
     return table(spark, sf, "customer").select("c_custkey", digests.hmac_sha256(b"install-key", F.col("c_name")).alias("opaque_id"))
 
 
-@query("SELECT event_id, '{\"k\":' || json_extract(props, '$.k')::VARCHAR || '}' AS canonical FROM events")
+@query("""SELECT event_id, CASE WHEN event_id % 5 = 0 THEN NULL WHEN event_id % 5 = 1 THEN '{"a":[{"b":"x, y: ' || event_type || '","c":null},true],"k":' || event_id || ',"é":-1}' ELSE '{"k":' || json_extract(props, '$.k')::VARCHAR || '}' END AS canonical FROM events""")
 def canonical_json(spark, sf):
-    return table(spark, sf, "events").select("event_id", digests.canonical_json(F.col("props")).alias("canonical"))
+    made = F.expr("""CASE WHEN event_id % 5 = 0 THEN concat('{"k":1,"k":', event_id, '}') WHEN event_id % 5 = 1 THEN concat(' {"é" : -1, "k":', event_id, ', "a": [ {"c":null , "b":"x, y: ', event_type, '"}, true ] }') ELSE props END""")
+    return table(spark, sf, "events").select("event_id", digests.canonical_json(made).alias("canonical"))
+
+
+# further queries, by subject
+from quillmeter.plans import scalars, transcripts  # noqa: E402
+
+__all__ = ["ORACLE", "QUERIES", "scalars", "transcripts"]
