@@ -95,6 +95,12 @@ def contained_items(docs: DataFrame, items: DataFrame, containment: float = CONT
 
 
 def clean_documents(docs: DataFrame, items: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
-    """The rows of ``docs`` whose ``doc_id`` holds no item; rows without an id stay."""
-    bad = contained_items(docs, items, containment).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(docs.columns)
+    """The rows of ``docs`` whose text holds no item.
+
+    Rows are told apart by id and whole text, so rows without an id are searched too, and of rows with one id only those
+    go whose own text holds an item. Repeated rows share their fate. Null and empty texts hold nothing; an empty table
+    gives an empty result.
+    """
+    key = F.xxhash64(F.col("doc_id"), F.col("doc_id").isNull(), F.coalesce(F.col("text").cast("string"), F.lit("")))
+    bad = contained_items(docs.select(key.alias("doc_id"), "text"), items, containment).select(F.col("doc_id").alias("_bad")).distinct()
+    return docs.withColumn("_key", key).join(bad, F.col("_key") == F.col("_bad"), "left_anti").select(docs.columns)

@@ -67,3 +67,46 @@ def test_empty_and_clashing_columns(spark):
     data = [(1, "a b c d", "x", "y", 1), (2, "a b c d", "x", "y", 1)]
     docs = corpus.table(spark, data).selectExpr("doc_id", "text", "1 AS fp", "2 AS rep", "3 AS u", "4 AS d0", "5 AS cell")
     assert {r.component_id for r in simhash.simhash_groups(docs).collect()} == {1}
+
+
+def shingles(text):
+    w = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    w = re.findall(r"[^\x20\x09-\x0D]+", w)
+    return frozenset(tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1)))
+
+
+def near_groups(rows):
+    """The smallest id of each group of texts that a five-word Jaccard similarity of 0.8 or more connects."""
+    sets = [shingles(r[1]) for r in rows]
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                root[find(i)] = find(j)
+    least = {}
+    for i, r in enumerate(rows):
+        least[find(i)] = min(least.get(find(i), r[0]), r[0])
+    return sorted(least.values())
+
+
+def test_near_copies_meet_beyond_two_bits(spark):
+    rng = random.Random(3)
+    data, i = [], 0
+    for _ in range(30):
+        w = corpus.prose(rng, rng.choice([6, 25, 80, 300])).split()
+        for edits in range(6):  # a chain of edits: each is near the one before
+            data.append((i, " ".join(w), "en", "s", 1))
+            w[rng.randrange(len(w))] = f"edit{i}"
+            i += 1
+    data += [(i + k, t, "en", "s", 1) for k, t in enumerate(["", None, " ", "one", "ONE", "two"])]
+    rng.shuffle(data)
+    want = near_groups(data)
+    got = [r.doc_id for r in simhash.one_of_each_group(corpus.table(spark, data)).collect()]
+    assert 30 < len(want) < len(data) - 40
+    assert sorted(got) == want
