@@ -17,7 +17,9 @@ from quillmeter.llm.wordhash import Index, Words
 
 #: Sizes of what is broadcast: frequent tokens, values of frequent word runs, 64-bit words of a filter. They are shortcuts
 #: of fixed size that no result depends on: what they leave out takes the way of a join.
-HEAD, HOT, FILTER = 1 << 18, 1 << 19, 1 << 20
+HEAD, HOT, FILTER = 1 << 18, 1 << 21, 1 << 20
+#: Of so many runs the most frequent one is broadcast, as far as HOT goes.
+HOT_SHARE = 8
 #: A context needs so many occurrences, a next symbol so many after it; taken from each next symbol's count.
 LEAST_CONTEXT, LEAST_NEXT, DISCOUNT = 50, 2, 0.75
 ADDED = 0.1
@@ -66,29 +68,32 @@ def _pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
-def _runs(tokens: np.ndarray, first: np.ndarray, depth: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each length of context: where it ends before a token, its key there, the shorter key and that of context and token.
+def _runs(tokens: np.ndarray, first: np.ndarray, filters: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each length of context: where one ends before a token, its key there, the shorter key and that of context and token.
 
-    A row's first token follows an end token; longer contexts don't reach beyond that. A context of one token has the
-    token's hash as key, a longer one the key of its last token after the rest. The key of context and token is a hash
-    of the context's key and of the same key one token shorter, at last the token's own.
+    filters: for each length a filter of the contexts, which all others but a few don't pass. A row's first token
+    follows an end token; longer contexts don't reach beyond that. A context of one token has the token's hash as key, a
+    longer one the key of its last token after the rest. The key of context and token is a hash of the context's key and
+    of the same key one token shorter, at last the token's own.
     """
     starts = first[:-1]
-    at, key = np.arange(len(tokens)), tokens
-    context = np.empty(len(tokens), np.int64)
+    key, context = tokens, np.empty(len(tokens), np.int64)
     context[1:] = tokens[:-1]
     context[starts] = END
-    for d in range(1, depth + 1):
-        shorter, key = key, _pair_hash(context, key)
-        yield at, context, shorter, key
-        if d < depth:
+    at = np.arange(len(tokens))
+    for d, words in enumerate(filters):
+        if d:  # a context is what ended one token before; its shorter form is one too, so that key is known here
             place = np.full(len(tokens), -1, np.int64)
             place[at] = np.arange(len(at))
             before = np.full(len(tokens), -1, np.int64)
             before[1:] = place[:-1]
             before[starts] = -1
-            longer = np.flatnonzero(before >= 0)
+            longer = np.flatnonzero((before >= 0) & (place >= 0))
             context, key, at = key[before[longer]], key[place[longer]], longer
+        some = np.flatnonzero(_maybe(words, context))
+        at, context, shorter = at[some], context[some], key[some]
+        key = _pair_hash(context, shorter)
+        yield at, context, shorter, key
 
 
 def _summed(own: DataFrame, columns_of: Callable[[pa.RecordBatch], list[np.ndarray]], names: list[str], name: str, least: int = 1) -> DataFrame:
@@ -187,7 +192,7 @@ class Level:
 class Model:
     """Tables of the whole model, and its most frequent tokens.
 
-    unknown: log10 probability of a token that training has not seen. tokens: (key, n, base, more), log10 probability in
+    unknown: log10 probability of a token that training has not seen. filters: of the contexts, by length. tokens: (key, n, base, more), log10 probability in
     the root and what a token adds as a context; states and entries
     for each length of context; runs: (key, n, more), what a run of tokens adds to a score.
     """
@@ -196,6 +201,7 @@ class Model:
     head_log: np.ndarray
     head_more: np.ndarray
     unknown: float
+    filters: list[np.ndarray]
     tokens: DataFrame
     states: list[DataFrame]
     entries: list[DataFrame]
@@ -244,24 +250,23 @@ def train(own: DataFrame, depth: int = DEPTH) -> tuple[Model, int, int]:
     parent = counts.where(F.col("n") >= LEAST_NEXT).select(F.col("key").alias("shorter"), root.alias("parent"), (F.col("key") == END).alias("last"))
     # every token but the end is followed by one, so its count is its contexts' total
     contexts = counts.where(F.col("n") >= LEAST_CONTEXT).select(F.col("key").alias("context"), F.col("n").alias("total"))
-    levels = []
-    for d in range(1, depth + 1):
+    levels, filters = [], []
+    for _ in range(depth):
         may_follow = _filter(contexts.select(F.col("context").alias("key")))
         if not may_follow.any():  # no context is as long
             break
-        shared = sc.broadcast(may_follow)
+        filters.append(may_follow)
+        shared = sc.broadcast(filters)
 
-        def columns_of(part: pa.RecordBatch, shared=shared, d=d) -> list[np.ndarray]:
-            tokens, first = _tokens(part)
-            *_, (_, context, shorter, key) = _runs(tokens, first, d)
-            some = np.flatnonzero(_maybe(shared.value, context))
-            return [key[some], context[some], shorter[some]]
+        def columns_of(part: pa.RecordBatch, shared=shared) -> list[np.ndarray]:
+            *_, (_, context, shorter, key) = _runs(*_tokens(part), shared.value)
+            return [key, context, shorter]
 
         pairs = _summed(own, columns_of, ["context", "shorter"], "pairs", LEAST_NEXT)
         # every next symbol comes as often after the shorter context, which is as frequent: it has an entry there
         entries = _freed(pairs.join(parent, "shorter"), "entries")
         drop(pairs)
-        shared.destroy()  # pairs are written; nothing asks for the filter again
+        shared.destroy()  # pairs are written; nothing asks for these filters again
         states = _freed(_retained(entries, contexts), "states")
         kept = F.col("backoff").isNotNull()
         state = F.when(kept, F.ln((F.col("n") - DISCOUNT) / F.col("total"))).otherwise(F.col("parent"))
@@ -284,7 +289,7 @@ def train(own: DataFrame, depth: int = DEPTH) -> tuple[Model, int, int]:
     top, level = _most_frequent(tokens, HEAD, 1)
     key, base, more = _columns(top, "key", "base", "more")  # at most HEAD rows
     unknown = float(np.log10(ADDED / (n_tokens + ADDED * (distinct + 1))))
-    model = Model(Index(key), np.append(base, 0.0), np.append(more, 0.0), unknown, tokens, *([x[i] for x in levels] for i in (0, 1)), _freed(runs, "runs"))
+    model = Model(Index(key), np.append(base, 0.0), np.append(more, 0.0), unknown, filters, tokens, *([x[i] for x in levels] for i in (0, 1)), _freed(runs, "runs"))
     return model, n_tokens, level
 
 
@@ -311,16 +316,16 @@ def _by_bucket(key: np.ndarray, own: np.ndarray, order: np.ndarray | None, kind:
     return _rows(len(some), bucket=some, kind=[kind] * len(some), block=[block] * len(some), a=[key[at[i] : at[i + 1]].tobytes() for i in some], b=[own[at[i] : at[i + 1]].tobytes() for i in some])
 
 
-def _asked(own: DataFrame, model: Model, level: int, depth: int, buckets: int) -> DataFrame:
+def _asked(own: DataFrame, model: Model, level: int, buckets: int) -> DataFrame:
     """Blocks of documents with what the broadcast values give, their other keys by bucket, and those keys' values."""
-    top, hot_level = _most_frequent(model.runs, HOT, 1)
-    hot_key, hot_more = _columns(top, "key", "more")  # at most HOT rows
+    top, hot_level = _most_frequent(model.runs, min(HOT, 1 + model.runs.count() // HOT_SHARE), 1)
+    hot_key, hot_more = _columns(top, "key", "more")  # a share of the rows, HOT at most
     tail, rest = model.tokens.where(_level(F.col("n")) < level), model.runs.where(_level(F.col("n")) < hot_level)
-    shared = own.sparkSession.sparkContext.broadcast((model.head, model.head_log, model.head_more, Index(hot_key), np.append(hot_more, 0.0), _filter(tail), _filter(rest)))
+    shared = own.sparkSession.sparkContext.broadcast((model.head, model.head_log, model.head_more, Index(hot_key), np.append(hot_more, 0.0), _filter(tail), _filter(rest), model.filters))
     unknown = model.unknown
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (head, head_log, head_more, hot, hot_more, others, other_runs), block = shared.value, TaskContext.get().partitionId() << 36
+        (head, head_log, head_more, hot, hot_more, others, other_runs, filters), block = shared.value, TaskContext.get().partitionId() << 36
         for batch in batches:
             for part in row_slices(batch, size=_VECTOR_BYTES):
                 tokens, first = _tokens(part)
@@ -329,7 +334,7 @@ def _asked(own: DataFrame, model: Model, level: int, depth: int, buckets: int) -
                 base = head_log[ids]  # the last value, for tokens that aren't among the frequent ones, is zero
                 value = base + head_more[ids]
                 far_key, far_row = [tokens[:0]], [row[:0]]
-                for at, _, _, key in _runs(tokens, first, depth):
+                for at, _, _, key in _runs(tokens, first, filters):
                     place = hot.find(key)
                     value[at] += hot_more[place]
                     far = np.flatnonzero(place < 0)
@@ -465,6 +470,6 @@ def scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col:
     model, n_tokens, level = train(own.where("not held_out"), depth)
     drop(*model.states, *model.entries)
     buckets = max(1, -(-(model.runs.count() + model.tokens.count()) // BUCKET_ROWS))
-    dealt = _asked(own, model, level, depth, buckets).repartitionById(buckets, "bucket").sortWithinPartitions("bucket", "kind")
+    dealt = _asked(own, model, level, buckets).repartitionById(buckets, "bucket").sortWithinPartitions("bucket", "kind")
     sums = dealt.mapInArrow(_looked_up(model.unknown), _ROWS).select("block", "kind", "a", "b", "ids", "held", "sizes")
     return sums.repartition(shuffle_width(docs.sparkSession), "block").sortWithinPartitions("block", "kind").mapInArrow(_combined(n_tokens), SCORE_SCHEMA)
