@@ -18,7 +18,7 @@ FEATURES = 1 << FEATURE_BITS
 #: Languages whose counts a task holds before it hands them on.
 HELD_LANGS = 64
 #: Positions of a text that are counted at once.
-BLOCK = 1 << 18
+BLOCK = 1 << 16
 _LETTER = re.compile(r"[^\W\d_]")
 _STEP = np.uint32(0x9E3779B1)
 _VECTOR_BYTES = 1 << 20
