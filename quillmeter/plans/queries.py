@@ -418,6 +418,6 @@ def canonical_json(spark, sf):
 
 
 # further queries, by subject
-from quillmeter.plans import attribution, cloud, provider, scalars, state, transcripts, usage  # noqa: E402
+from quillmeter.plans import attribution, cloud, evidence, provider, scalars, state, transcripts, usage  # noqa: E402
 
-__all__ = ["ORACLE", "QUERIES", "attribution", "cloud", "provider", "scalars", "state", "transcripts", "usage"]
+__all__ = ["ORACLE", "QUERIES", "attribution", "cloud", "evidence", "provider", "scalars", "state", "transcripts", "usage"]
