@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -13,15 +13,35 @@ def hourly_volume(events: DataFrame) -> DataFrame:
     return events.groupBy(F.window("ts", "1 hour").alias("w")).agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("hour"), "n", "total")
 
 
+def _versions(spark: SparkSession, root: str) -> list[int]:
+    """The complete versions of a state, oldest first."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(path):
+        return []
+    found = [f.getPath() for f in files.listStatus(path) if f.getPath().getName()[1:].isdigit()]
+    return sorted(int(p.getName()[1:]) for p in found if files.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+
+
+def current(spark: SparkSession, root: str) -> DataFrame:
+    """The newest version of a state."""
+    return spark.read.parquet(f"{root}/v{_versions(spark, root)[-1]}")
+
+
 def upsert(root: str, merge: Callable[[DataFrame | None, DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function: version k of the state is written beside version k - 1, so a repeated batch is harmless.
+    """A foreachBatch function: version k of the state is written beside the one before, so a repeated batch is harmless.
 
-    Late rows change the state like others. The newest version is the state.
+    Late rows change the state like others. The newest version is the state; versions that no repeated batch can need
+    are deleted. ``merge`` gets None where there is no state yet.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        old = spark.read.parquet(f"{root}/v{batch_id - 1}") if batch_id else None
+        before = [v for v in _versions(spark, root) if v < batch_id]
+        old = spark.read.parquet(f"{root}/v{before[-1]}") if before else None
         merge(old, batch).write.mode("overwrite").parquet(f"{root}/v{batch_id}")
+        for version in before[:-1]:
+            path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/v{version}")
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
     return run
