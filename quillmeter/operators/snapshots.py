@@ -29,9 +29,9 @@ def changed(fresh: DataFrame, stored: DataFrame, key: str, parts: list[str]) ->
 
 
 def policies() -> list[tuple[bool, ...]]:
-    """The combinations of kept parts that can be asked for: display labels need attribution, artifacts need titles."""
+    """The 20 combinations of kept parts that can be asked for: display labels need titles and attribution."""
     every = [tuple(bool(i >> b & 1) for b in range(5)) for i in range(32)]
-    return [p for p in every if (p[3] or not p[4]) and (p[0] or not p[2] or p[1])][:20]
+    return [p for p in every if not p[4] or (p[0] and p[3])]
 
 
 def projected(rows: DataFrame, columns: dict[str, str], kept: dict[str, Column]) -> DataFrame:
