@@ -19,7 +19,7 @@ REMEMBERED = 500_000
 _SPACED = re.compile(r"[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+")
 #: Characters whose kind, case and composition no Unicode version or library treats differently.
 _COMMON = re.compile("[ \n\t\r]*[!-~\xa1-\u012f\u0131-\u017f]*")
-_OTHER_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
+_OTHER_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 
 def version(path: str) -> str:
@@ -127,9 +127,10 @@ def _rules(config: dict):
         pattern = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")  # fixed by this kind
         return (lambda text: None if _OTHER_SPACE.search(text) else _SPACED.findall(text)), pattern.findall
     steps = [n.get("type") for n in norm.get("normalizers", [])]
+    blanks = {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "} in norm.get("normalizers", [])  # any other replacement may join words
     kinds = pre.get("pretokenizers") or [{}]
     drops = kinds[0].get("type") == "Split" and kinds[0].get("invert") and kinds[0].get("behavior") == "Removed"
-    if drops and [k.get("type") for k in kinds[1:]] == ["ByteLevel"] and not kinds[1]["use_regex"] and not kinds[1]["add_prefix_space"] and steps == ["NFC", "Replace", "Lowercase"]:
+    if drops and [k.get("type") for k in kinds[1:]] == ["ByteLevel"] and not kinds[1]["use_regex"] and not kinds[1]["add_prefix_space"] and steps == ["NFC", "Replace", "Lowercase"] and blanks:
         pattern = regex.compile(kinds[0]["pattern"]["Regex"])
         return _ascii_cut, lambda piece: pattern.findall(piece.lower())
     return None, None
