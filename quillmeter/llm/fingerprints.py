@@ -7,7 +7,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,7 +18,9 @@ BINS, BITS, SHINGLE = 512, 4, 5
 _EDGES = np.arange(BINS, dtype=np.uint64) << np.uint64(64 - (BINS - 1).bit_length())
 #: Row t holds for each bin the t-th bin that it asks when it is empty: a universal hash of bin and attempt.
 _TRIES = 4096
-_PROBE = (mixed(np.arange(1, _TRIES * BINS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(BINS)).astype(np.int16).reshape(_TRIES, BINS)
+_PROBE = np.empty((_TRIES, BINS), np.int16)
+for _t in range(0, _TRIES, 64):  # in pieces: each worker makes this table
+    _PROBE[_t : _t + 64] = (mixed(np.arange(_t * BINS + 1, (_t + 64) * BINS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(BINS)).astype(np.int16).reshape(64, BINS)
 _SALT = np.arange(1, BINS + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)
 _NO_WORD = mixed(np.array([1], np.uint64))
 NO_ID = -(1 << 63)
@@ -73,6 +74,8 @@ def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     n = 4 * width
     found = own.agg(F.percentile_approx(F.col("ord").cast("double"), [i / n for i in range(1, n)], 10 * n).alias("q")).first().q or [0.0]
     splits = [float("-inf"), *sorted(set(found)), float("inf")]
+    from pyspark.ml.feature import Bucketizer  # on the driver alone: workers need not load it
+
     cut = Bucketizer(splits=splits, inputCol="place", outputCol="at")
     own = cut.transform(own.withColumn("place", F.col("ord").cast("double"))).select(F.col("at").cast("int").alias("bucket"), "ord", "doc_id", "text")
     tie = F.xxhash64("text")
