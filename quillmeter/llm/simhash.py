@@ -17,8 +17,9 @@ from quillmeter.llm.common import drop, row_slices, text_or_empty, words, writte
 from quillmeter.llm.components import connected_components
 from quillmeter.llm.wordhash import Words, run_hashes
 
-#: Bits of a fingerprint that each pivot beside the zero pivot sets; 16 such pivots cover the 64 bits.
-PIVOT_BITS = 4
+#: Bits of a fingerprint that each pivot beside the zero pivot sets; 32 such pivots cover the 64 bits. Small blocks keep
+#: most of a fingerprint in its coordinates: two unlike ones share a cell about once in 10^10 pairs.
+PIVOT_BITS = 2
 N_PIVOTS = 64 // PIVOT_BITS
 SEED = 42
 
@@ -50,7 +51,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def pivot_table(fps: DataFrame, fp: str = "fp") -> DataFrame:
-    """Adds the Hamming distances of ``fp`` to the pivots: ``d0`` to zero, ``d1``..``d16`` to four ones each."""
+    """Adds the Hamming distances of ``fp`` to the pivots: ``d0`` to zero, ``d1``..``d32`` to two ones each."""
     masks = [0, *(((1 << PIVOT_BITS) - 1) << (PIVOT_BITS * j) for j in range(N_PIVOTS))]
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
     return fps.withColumns({f"d{j}": F.bit_count(F.col(fp).bitwiseXOR(F.lit(m))) for j, m in enumerate(signed)})
@@ -60,24 +61,26 @@ def cells(table: DataFrame, max_distance: int) -> DataFrame:
     """(fp, move, cell): the packed pivot coordinates of a fingerprint, move 0, and those of its neighbours one bit away.
 
     A flipped bit of block j moves d0 and every distance by one, d(j) against the others. So the vector of distances
-    is known from the number of ones in each block, (d0 + 4 - dj) / 2, three bits each. Moves that leave the range of
-    a block are left out.
+    is known from the number of ones in each block, (d0 + 2 - dj) / 2, two bits each. Moves that leave the range of a
+    block are left out.
     """
     ones = table.select("fp", *(F.shiftright(F.col("d0") + PIVOT_BITS - F.col(f"d{j + 1}"), 1).cast("long").alias(f"n{j}") for j in range(N_PIVOTS)))
-    packed = ones.select("*", reduce(Column.__add__, (F.shiftleft(F.col(f"n{j}"), 3 * j) for j in range(N_PIVOTS))).alias("cell"))
+    packed = ones.select("*", reduce(Column.bitwiseOR, (F.shiftleft(F.col(f"n{j}"), 2 * j) for j in range(N_PIVOTS))).alias("cell"))
     moves = [F.col("cell")]
     for j in range(N_PIVOTS if max_distance else 0):
-        moves += [F.when(F.col(f"n{j}") < PIVOT_BITS, F.col("cell") + (1 << 3 * j)), F.when(F.col(f"n{j}") > 0, F.col("cell") - (1 << 3 * j))]
+        n = F.col(f"n{j}")
+        to = lambda m, n=n, j=j: F.col("cell").bitwiseXOR(F.shiftleft(n.bitwiseXOR(m), 2 * j))
+        moves += [F.when(n < PIVOT_BITS, to(n + 1)), F.when(n > 0, to(n - 1))]
     return packed.select("fp", F.posexplode(F.array(*moves)).alias("move", "cell")).where("cell is not null")
 
 
 def linked_pairs(fps: DataFrame, max_distance: int = 2) -> DataFrame:
     """(a, b) with a < b: the pairs of different fingerprints of ``fps`` (fp, distinct) at most 2 bits apart, each once.
 
-    Hamming distances to 17 pivots are tabulated for every fingerprint. By the triangle inequality two linked
+    Hamming distances to 33 pivots are tabulated for every fingerprint. By the triangle inequality two linked
     fingerprints differ by at most ``max_distance`` in every coordinate; they even lie at most one step each from a
     common cell of pivot space. An equi-join on cells thus forms no pair whose largest coordinate difference is over
-    the limit; it loses none below it. The survivors are verified on the fingerprints. A fingerprint enters at most 33
+    the limit; it loses none below it. The survivors are verified on the fingerprints. A fingerprint enters at most 65
     cells, whatever the input.
     """
     if not 0 <= max_distance <= 2:
