@@ -8,7 +8,7 @@ import pytest
 from conftest import ROOT
 
 
-@pytest.mark.parametrize("missing", ["ahocorasick", "quillmeter.llm", "quillmeter.llm.queries", "corpus_pipeline"])
+@pytest.mark.parametrize("missing", ["ahocorasick", "quillmeter.llm", "corpus_pipeline"])
 def test_base_queries_stay_without(missing):
     code = f"""
 import sys
