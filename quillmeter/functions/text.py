@@ -147,7 +147,7 @@ def template(text: Column, most: int = 4096) -> Column:
 
 def slash_skill(prompt: Column) -> Column:
     """The name after a slash that a prompt begins with, in lower case; null for reserved and odd names."""
-    first = F.try_element_at(tokens(prompt), F.lit(1))
+    first = F.regexp_extract(prompt, f"^{WHITE}*([^{WHITE[1:]}+)", 1)
     name = ascii_lower(F.regexp_replace(F.substr(first, F.lit(2)), "[:,.]+$", ""))
     return F.when(first.startswith("/") & name.rlike("^[a-z0-9_.-]{1,64}$") & ~name.isin(*RESERVED_SKILLS), name)
 
@@ -164,7 +164,8 @@ def prompt_label(prompt: Column, most_bytes: int = 96) -> Column:
     whole = trimmed(prompt)
     at = F.instr(ascii_lower(whole), "its prompt is:")
     said = trimmed(F.when(at > 0, F.substr(whole, at + len("its prompt is:"))).otherwise(whole))
-    safe = F.transform(tokens(said), lambda t: F.when(is_local_path(t), "[path]").otherwise(t))
+    # every token takes two bytes at least
+    safe = F.transform(F.slice(tokens(said), 1, most_bytes // 2 + 1), lambda t: F.when(is_local_path(t), "[path]").otherwise(t))
     start = F.struct(F.lit("").alias("label"), F.lit(False).alias("full"))
 
     def add(now: Column, t: Column) -> Column:

@@ -21,10 +21,11 @@ def launch_events(files: DataFrame, name: str, body: str, schema: str, kinds: di
     A file holds one object of just the nine keys, in 4 KiB at most, and is named by its content's digest. kinds: the agent
     kind by capture source. The first reason in order counts.
     """
-    v = F.try_parse_json(body)
+    files, v = files.withColumn("_v", F.try_parse_json(body)), F.col("_v")
+    files = files.withColumns({f"_{k}": json.string_at(v, f"$.{k}") for k in LAUNCH_KEYS})
     keys = F.map_keys(F.try_variant_get(v, "$", "map<string,variant>"))
     wanted = F.array(*map(F.lit, LAUNCH_KEYS))
-    said = {k: json.string_at(v, f"$.{k}") for k in LAUNCH_KEYS}
+    said = {k: F.col(f"_{k}") for k in LAUNCH_KEYS}
     ref = lambda k: F.coalesce(said[k].rlike("^[A-Za-z0-9_.:-]{1,128}$"), F.lit(False))
     kind = F.try_element_at(F.create_map(*[F.lit(x) for pair in kinds.items() for x in pair]), said["capture_source"])
     pr = json.at(v, "$.pr_ref")
@@ -49,7 +50,7 @@ def launch_events(files: DataFrame, name: str, body: str, schema: str, kinds: di
     judged = files.withColumn("reason", reason)
     good = F.col("reason").isNull()
     fields = {"controller": said["controller_session_ref"], "worker": said["worker_session_ref"], "workflow": said["workflow_ref"], "agent_kind": kind}
-    return judged.select("*", *[F.when(good, c).alias(k) for k, c in fields.items()])
+    return judged.select("*", *[F.when(good, c).alias(k) for k, c in fields.items()]).drop("_v", *(f"_{k}" for k in LAUNCH_KEYS))
 
 
 def field_names(value: Column) -> Column:

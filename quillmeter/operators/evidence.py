@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmeter.functions import json, times
+from quillmeter.functions.values import bound
 
 #: Efforts that count.
 EFFORTS = ("low", "medium", "high", "xhigh", "max")
@@ -24,8 +25,12 @@ def attributes(value: Column, path: str) -> Column:
     items = F.coalesce(json.items_at(value, path), F.array().cast("array<variant>"))
     pairs = F.transform(items, lambda a: F.named_struct(F.lit("k"), json.string_at(a, "$.key"), F.lit("v"), any_text(json.at(a, "$.value"))))
     good = F.filter(pairs, lambda p: p["k"].isNotNull() & p["v"].isNotNull())
-    names = F.array_distinct(F.transform(good, lambda p: p["k"]))
-    return F.map_from_arrays(names, F.transform(names, lambda n: F.element_at(F.filter(good, lambda p: p["k"] == n), -1)["v"]))
+
+    def last_of_each(found: Column) -> Column:
+        last = F.filter(found, lambda p, i: F.size(F.filter(F.slice(found, i + 2, F.size(found)), lambda q: q["k"] == p["k"])) == 0)
+        return F.map_from_entries(last)
+
+    return bound(good, last_of_each)
 
 
 def log_records(bodies: DataFrame, value: str, name: str) -> DataFrame:
@@ -34,7 +39,8 @@ def log_records(bodies: DataFrame, value: str, name: str) -> DataFrame:
     resources = bodies.select(*by, F.posexplode(json.items_at(F.col(value), "$.resourceLogs")).alias("r", "res"))
     scopes = resources.select(*by, "r", attributes(F.col("res"), "$.resource.attributes").alias("_own"), F.posexplode(json.items_at(F.col("res"), "$.scopeLogs")).alias("s", "sc"))
     records = scopes.select(*by, "r", "s", "_own", F.posexplode(json.items_at(F.col("sc"), "$.logRecords")).alias("l", "rec")).where(json.string_at(F.col("rec"), "$.body.stringValue") == name)
-    mine = attributes(F.col("rec"), "$.attributes")
+    records = records.withColumn("_mine", attributes(F.col("rec"), "$.attributes"))
+    mine = F.col("_mine")
     kept = F.map_filter("_own", lambda k, v: ~F.array_contains(F.map_keys(mine), k))
     nano = F.coalesce(json.string_at(F.col("rec"), "$.timeUnixNano"), json.string_at(F.col("rec"), "$.observedTimeUnixNano")).try_cast("long")
     return records.select(*by, F.struct("r", "s", "l").alias("place"), times.nanos_text(nano).alias("at"), F.map_concat(kept, mine).alias("attributes"))

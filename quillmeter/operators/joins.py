@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillmeter.functions.values import bound
+
 def last_of(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """For each key the last row in a total order, by one grouped maximum."""
     cols = [c for c in rows.columns if c not in keys]
@@ -14,11 +14,6 @@ def last_of(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return rows.groupBy(*keys).agg(best).select(*keys, *[F.col(f"_best.{c}") for c in cols])
 
 
-def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use`` of a value that is computed once for a row: inside a lambda a plain column would be computed at each step."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
 def _run_hashes(parts: Column, size: int, first: int, last: Column) -> Column:
     """Hashes of each ``size`` neighbours, from place ``first`` to where the last one starts."""
     return F.when(last >= first, F.transform(F.sequence(F.lit(first), last), lambda i: F.xxhash64(F.array_join(F.slice(parts, i, size), "\0"))))
@@ -30,7 +25,7 @@ def _anchors(signatures: DataFrame, text: str) -> DataFrame:
     A text that contains the signature has the words inside it as whole words, and the characters at some place.
     """
     n = F.size(F.split(F.col(text), " "))
-    inner = lambda k: _bound(F.split(F.col(text), " "), lambda w: F.array_min(_run_hashes(w, k, 2, F.size(w) - k)))
+    inner = lambda k: bound(F.split(F.col(text), " "), lambda w: F.array_min(_run_hashes(w, k, 2, F.size(w) - k)))
     size = F.when(n >= 5, 3).when(n >= 3, 1).otherwise(0)
     key = F.when(n >= 5, inner(3)).when(n >= 3, inner(1)).otherwise(F.xxhash64(F.array_join(F.slice(F.split(F.col(text), ""), 1, 8), "\0")))
     return signatures.withColumns({"size": size, "key": key})
@@ -40,7 +35,7 @@ def _keys(texts: DataFrame, text: str, sizes: list[int]) -> Column:
     """What a text offers for signatures of these sizes to meet: runs of words, and of eight characters for size 0."""
 
     def offers(k: int) -> Column:
-        hashes = _bound(F.split(F.col(text), " " if k else ""), lambda w: _run_hashes(w, k or 8, 1, F.size(w) - (k or 8) + 1))
+        hashes = bound(F.split(F.col(text), " " if k else ""), lambda w: _run_hashes(w, k or 8, 1, F.size(w) - (k or 8) + 1))
         return F.transform(F.array_distinct(hashes), lambda h: F.struct(F.lit(k).alias("size"), h.alias("key")))
 
     return F.flatten(F.array_compact(F.array(*[offers(k) for k in sizes])))

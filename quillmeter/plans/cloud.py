@@ -46,7 +46,7 @@ WHEN 4 THEN '{"cursor":null,"next_cursor":"x"}' WHEN 5 THEN '{"nextCursor":null}
 @query("""SELECT event_id, CASE event_id % 8 WHEN 0 THEN 'next' WHEN 1 THEN 'terminal' WHEN 2 THEN 'next' WHEN 5 THEN 'ambiguous' WHEN 7 THEN 'ambiguous' END AS state, CASE event_id % 8 WHEN 0 THEN 'c' || event_id WHEN 2 THEN 'n' || event_id END AS next,
 CASE event_id % 8 WHEN 3 THEN 'conflict' WHEN 4 THEN 'conflict' WHEN 6 THEN 'invalid' END AS error FROM events""")
 def cloud_cursors(spark, sf):
-    return table(spark, sf, "events").select("event_id", cloud.cursor(F.try_parse_json(F.expr(_CURSORS))).alias("c")).select("event_id", "c.*")
+    return table(spark, sf, "events").select("event_id", F.try_parse_json(F.expr(_CURSORS)).alias("v")).select("event_id", cloud.cursor(F.col("v")).alias("c")).select("event_id", "c.*")
 
 
 @query("""SELECT c_custkey, c_custkey % 4 > 0 AND c_custkey % 6 > 0 AND c_custkey % 5 > 0 AND c_custkey % 7 > 0 AS valid FROM customer""")

@@ -393,7 +393,7 @@ def pack_items(spark, sf):
     return packing.greedy_batches(docs, "source", ["doc_id"], "size", 50, (2 << 20) - 2)
 
 
-@query("""WITH RECURSIVE d AS (SELECT event_type AS g, CAST(ts AS DATE) + (user_id % 9 * 40)::INTEGER AS day, count(*) AS n FROM events GROUP BY 1, 2),
+@query("""WITH RECURSIVE d AS (SELECT event_type AS g, CAST(ts AS DATE) + (user_id % 9 * 40)::INTEGER AS day, count(*) % 50 + 1 AS n FROM events GROUP BY 1, 2),
 o AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY day) AS r FROM d),
 f AS (SELECT g, r, day, n, 0 AS batch, DATE '2023-12-01' AS start, n AS total FROM o WHERE r = 1
 UNION ALL SELECT o.g, o.r, o.day, o.n, CASE WHEN x THEN f.batch + 1 ELSE f.batch END, CASE WHEN x THEN o.day ELSE f.start END, CASE WHEN x THEN o.n ELSE f.total + o.n END
@@ -402,7 +402,7 @@ b AS (SELECT g, batch, min(start) AS first_day, sum(n)::BIGINT AS n, count(*) AS
 SELECT g AS event_type, batch, first_day, coalesce(lead(first_day) OVER (PARTITION BY g ORDER BY batch) - 1, DATE '2025-06-30') AS last_day, n, days FROM b""")
 def pack_days(spark, sf):
     day = F.date_add(F.to_date("ts"), (F.col("user_id") % 9 * 40).cast("int"))
-    days = table(spark, sf, "events").groupBy("event_type", day.alias("day")).agg(F.count("*").alias("n"))
+    days = table(spark, sf, "events").groupBy("event_type", day.alias("day")).agg((F.count("*") % 50 + 1).alias("n"))  # no day is over a batch's size
     return packing.day_batches(days, "event_type", "day", "n", F.lit("2023-12-01").cast("date"), F.lit("2025-06-30").cast("date"), most_rows=60)
 
 
