@@ -160,7 +160,9 @@ def _filter(keys: DataFrame) -> np.ndarray:
 
     It never misses a key.
     """
-    words = min(FILTER, 1 << max(3, (keys.count() // 4).bit_length()))
+    n = keys.count()
+    words = min(FILTER, 1 << max(3, (n // 4).bit_length()))
+    keys = keys.coalesce(max(4, n // (8 * words)))  # a task sends a row for each word at most: none with few keys
     bits = " | ".join(f"shiftleft(1L, cast(shiftrightunsigned(key, {k}) & 63 as int))" for k in (24, 32, 40))
     slots = keys.select(F.col("key").bitwiseAND(words - 1).alias("slot"), F.expr(bits).alias("bits"))
     out = np.zeros(words, np.uint64)
