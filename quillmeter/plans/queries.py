@@ -387,10 +387,15 @@ def prefix_split(spark, sf):
     return joins.common_prefix(rows, "conv_id", "turn", "s", parents, "parent")
 
 
-@query(None)
+@query("""WITH RECURSIVE d AS (SELECT coalesce(source, '') AS g, source, doc_id, coalesce(strlen(text), 0) + 1 AS n, row_number() OVER (PARTITION BY source ORDER BY sha256(coalesce(text, '')), doc_id) AS r FROM documents),
+f AS (SELECT g, source, doc_id, r, n, 0 AS batch, 1 AS k, n AS total FROM d WHERE r = 1
+UNION ALL SELECT d.g, d.source, d.doc_id, d.r, d.n, CASE WHEN x THEN f.batch + 1 ELSE f.batch END, CASE WHEN x THEN 1 ELSE f.k + 1 END, CASE WHEN x THEN d.n ELSE f.total + d.n END
+FROM f JOIN d ON d.g = f.g AND d.r = f.r + 1, LATERAL (SELECT f.k >= 50 OR f.total + d.n > 2097150 AS x))
+SELECT source, doc_id, n::BIGINT AS size, batch::BIGINT AS batch FROM f""")
 def pack_items(spark, sf):
-    docs = table(spark, sf, "documents").select("source", "doc_id", (F.octet_length("text") + 1).alias("size"))
-    return packing.greedy_batches(docs, "source", ["doc_id"], "size", 50, (2 << 20) - 2)
+    body = F.coalesce("text", F.lit(""))
+    docs = table(spark, sf, "documents").select("source", "doc_id", (F.octet_length(body) + 1).cast("long").alias("size"), F.sha2(body, 256).alias("fingerprint"))
+    return packing.greedy_batches(docs, "source", ["fingerprint", "doc_id"], "size", 50, (2 << 20) - 2).drop("fingerprint")
 
 
 @query("""WITH RECURSIVE d AS (SELECT event_type AS g, CAST(ts AS DATE) + (user_id % 9 * 40)::INTEGER AS day, count(*) % 50 + 1 AS n FROM events GROUP BY 1, 2),
