@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quillmeter.functions import digests, numbers, text
 from quillmeter.operators import joins, packing, posture, windows
+from quillmeter.operators import transcripts as transcripts_ops
 from quillmeter.operators.sets import digest_of_sets
 from quillmeter.plans.registry import ORACLE, QUERIES, query
 from quillmeter.sources.tables import table
@@ -118,17 +119,17 @@ def quota_overlay(spark, sf):
     return top.select("user_id", F.col("value").alias("used"), numbers.quota_state(F.col("value")).alias("state"))
 
 
-@query("""WITH h AS (SELECT user_id, date_trunc('hour', ts) AS hour, count(*) AS n FROM events GROUP BY 1, 2),
-r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY hour DESC) AS r FROM h)
-SELECT user_id, count(*) AS hours, sum(n)::BIGINT AS events, min(hour)::TIMESTAMP AS oldest FROM r WHERE r <= 24 GROUP BY user_id""")
+@query("""WITH h AS (SELECT user_id, date_trunc('hour', ts)::TIMESTAMP AS hour, count(*) AS n, ts < TIMESTAMP '2024-01-20' AS old, ts >= TIMESTAMP '2024-01-12' AS fresh FROM events GROUP BY ALL),
+o AS (SELECT user_id, hour, sum(n)::BIGINT AS n, 'plan' || (user_id % 3) AS plan, user_id % 5 AS product FROM h WHERE old GROUP BY ALL), f AS (SELECT user_id, hour, sum(n)::BIGINT * 2 AS n, CASE WHEN user_id % 2 = 0 THEN 'new' END AS plan, NULL::BIGINT AS product FROM h WHERE fresh GROUP BY ALL),
+m AS (SELECT user_id, hour, coalesce(f.n, o.n) AS n, coalesce(f.plan, o.plan) AS plan, coalesce(f.product, o.product) AS product FROM o FULL JOIN f USING (user_id, hour)), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY hour DESC) AS r FROM m)
+SELECT user_id, count(*) AS hours, sum(n)::BIGINT AS events, min(hour) AS oldest, max(plan) AS plan, max(product) AS product FROM r WHERE r <= 24 GROUP BY user_id""")
 def merge_detected_uses(spark, sf):
-    events = table(spark, sf, "events")
-    split = F.lit("2024-01-15").cast("timestamp")
-    hours = lambda rows, n: rows.groupBy("user_id", F.date_trunc("hour", "ts").alias("hour")).agg(F.count("*").alias(n))
-    both = hours(events.where(F.col("ts") < split), "old").join(hours(events.where(F.col("ts") >= split), "fresh"), ["user_id", "hour"], "full_outer")
-    rows = both.select("user_id", "hour", numbers.saturating_total(F.col("old"), F.col("fresh")).alias("n"))
-    kept = windows.newest(rows, ["user_id"], [F.desc("hour")], 24)
-    return kept.groupBy("user_id").agg(F.count("*").alias("hours"), F.sum("n").alias("events"), F.min("hour").alias("oldest"))
+    events = table(spark, sf, "events").withColumn("hour", F.date_trunc("hour", "ts").cast("timestamp_ntz"))
+    hours = lambda rows: rows.groupBy("user_id", "hour").agg(F.count("*").alias("n"))
+    old = hours(events.where("ts < timestamp'2024-01-20'")).withColumns({"plan": F.concat(F.lit("plan"), F.col("user_id") % 3), "product": F.col("user_id") % 5})
+    fresh = hours(events.where("ts >= timestamp'2024-01-12'")).select("user_id", "hour", (F.col("n") * 2).alias("n"), F.when(F.col("user_id") % 2 == 0, "new").alias("plan"), F.lit(None).cast("long").alias("product"))
+    kept = windows.newest(joins.merge_latest(old, fresh, ["user_id", "hour"], ["n", "plan", "product"]), ["user_id"], [F.desc("hour")], 24)
+    return kept.groupBy("user_id").agg(F.count("*").alias("hours"), F.sum(numbers.saturating_total(F.col("n"))).alias("events"), F.min("hour").alias("oldest"), F.max("plan").alias("plan"), F.max("product").alias("product"))
 
 
 @query("SELECT date_trunc('hour', ts)::TIMESTAMP AS hour, count(*) AS n, round(sum(value::DECIMAL(18,6)), 2)::DECIMAL(18,2) AS total FROM events GROUP BY 1")
@@ -248,10 +249,11 @@ def union_latest(spark, sf):
     return joins.last_of(both, ["user_id"], [F.col("v"), F.col("event_id")]).select("user_id", "value")
 
 
-@query("""SELECT reason, count(event_id) AS n FROM (VALUES ('click'), ('purchase'), ('timeout'), ('refused')) d(reason) LEFT JOIN events ON event_type = reason GROUP BY reason""")
+@query("""WITH c AS (SELECT event_type AS reason, count(*) AS n, count(*) FILTER (event_id % 3 = 0) AS sent FROM events GROUP BY 1) SELECT reason, greatest(coalesce(c.n, 0) - coalesce(c.sent, 0), 0) AS n FROM (VALUES ('click'), ('purchase'), ('timeout'), ('refused')) d(reason) LEFT JOIN c USING (reason)""")
 def loss_report(spark, sf):
-    counts = table(spark, sf, "events").groupBy(F.col("event_type").alias("reason")).agg(F.count("*").alias("n"))
-    return joins.closed_domain(counts, "reason", ["click", "purchase", "timeout", "refused"], "n")
+    events = table(spark, sf, "events").groupBy(F.col("event_type").alias("reason")).agg(F.count("*").alias("counted"), F.count_if(F.col("event_id") % 3 == 0).alias("acknowledged"))
+    left = events.select("reason", F.greatest(F.col("counted") - F.col("acknowledged"), F.lit(0)).alias("n"))
+    return joins.closed_domain(left, "reason", ["click", "purchase", "timeout", "refused"], "n")
 
 
 @query("""WITH k AS (SELECT DISTINCT c_nationkey, c_name AS k, left(sha256(c_name), 4) AS bucket FROM customer),
@@ -301,16 +303,17 @@ def sessions_page(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", "o_totalprice").where(after).orderBy(F.desc("o_totalprice"), F.desc("o_orderkey")).limit(50)
 
 
-@query("""SELECT event_type, count(*) AS n FROM events WHERE ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-20' AND value >= 10 AND contains(lower(props), 'k') GROUP BY 1""")
+@query("""SELECT event_id, event_type, value FROM events WHERE ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-20' AND event_type IN ('click', 'error') AND value >= 10 AND user_id % 4 = 1 AND contains(lower(props), '"k": 7') ORDER BY value DESC, event_id LIMIT 25""")
 def impact_filter(spark, sf):
-    rows = table(spark, sf, "events").where("ts >= timestamp'2024-01-05' and ts < timestamp'2024-01-20' and value >= 10 and contains(lower(props), 'k')")
-    return rows.groupBy("event_type").agg(F.count("*").alias("n"))
+    rows = table(spark, sf, "events").where("ts >= timestamp'2024-01-05' and ts < timestamp'2024-01-20' and event_type in ('click', 'error') and value >= 10 and user_id % 4 = 1")
+    rows = rows.where(F.lower("props").contains('"k": 7'))
+    return rows.orderBy(F.desc("value"), "event_id").limit(25).select("event_id", "event_type", "value")
 
 
-@query("""WITH r AS (SELECT conv_id, turn, sum(ceil(length(text) / 4)) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS upto FROM conversations) SELECT conv_id, count(*) AS turns, max(upto)::BIGINT AS tokens FROM r WHERE upto <= 400 GROUP BY 1""")
+@query("""WITH r AS (SELECT conv_id, turn, sum(ceil(length(text) / 4)) OVER (PARTITION BY conv_id ORDER BY turn DESC ROWS UNBOUNDED PRECEDING) AS upto FROM conversations WHERE role IN ('user', 'assistant') AND conv_id % 4 < 3) SELECT conv_id, count(*) AS turns, max(upto)::BIGINT AS tokens FROM r WHERE upto <= 400 GROUP BY 1""")
 def context_budget(spark, sf):
-    rows = table(spark, sf, "conversations").select("conv_id", "turn", text.token_estimate(F.col("text")).alias("t"))
-    upto = F.sum("t").over(windows.Window.partitionBy("conv_id").orderBy("turn").rowsBetween(windows.Window.unboundedPreceding, 0))
+    rows = table(spark, sf, "conversations").where("role in ('user', 'assistant') and conv_id % 4 < 3").select("conv_id", "turn", text.token_estimate(F.col("text")).alias("t"))
+    upto = F.sum("t").over(windows.Window.partitionBy("conv_id").orderBy(F.desc("turn")).rowsBetween(windows.Window.unboundedPreceding, 0))
     return rows.withColumn("upto", upto).where("upto <= 400").groupBy("conv_id").agg(F.count("*").alias("turns"), F.max("upto").alias("tokens"))
 
 
@@ -329,9 +332,18 @@ def fact_trim(spark, sf):
     return rows.where("n = 1 or (n <= 24 and size <= 120)").groupBy("user_id").agg(F.count("*").alias("facts"), F.max("size").alias("bytes"))
 
 
-@query("SELECT lang, source, count(*) AS n, min(doc_id) AS first_doc FROM documents WHERE n_chars BETWEEN 100 AND 5000 AND lang IS NOT NULL GROUP BY 1, 2")
+@query("""SELECT event_type, count(*) AS n, min(ts::DATE) AS first_day FROM (SELECT event_type, ts - to_days((event_id % 120)::INTEGER) AS ts FROM events) WHERE ts::DATE BETWEEN DATE '2024-01-25' - 91 AND DATE '2024-01-25' GROUP BY 1""")
 def window_filter(spark, sf):
-    return table(spark, sf, "documents").where("n_chars between 100 and 5000 and lang is not null").groupBy("lang", "source").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
+    day = F.date_sub(F.to_date("ts"), (F.col("event_id") % 120).cast("int"))
+    rows = transcripts_ops.in_window(table(spark, sf, "events").select("event_type", day.alias("day")), F.lit("2024-01-25").cast("date"))
+    return rows.groupBy("event_type").agg(F.count("*").alias("n"), F.min("day").alias("first_day"))
+
+
+@query("SELECT count(*) AS kept, count(DISTINCT user_id) AS sessions FROM (SELECT user_id, CASE WHEN event_id % 7 > 0 THEN ts - to_days((event_id % 200)::INTEGER) END AS t FROM events) WHERE t >= TIMESTAMP '2024-01-20' - INTERVAL 90 DAY")
+def watermark_retention(spark, sf):
+    t = F.when(F.col("event_id") % 7 > 0, F.timestamp_add("DAY", (-(F.col("event_id") % 200)).cast("int"), F.col("ts")))
+    rows = table(spark, sf, "events").select("user_id", t.alias("t")).where(F.col("t") >= F.lit("2024-01-20").cast("timestamp_ntz") - F.expr("interval 90 days"))
+    return rows.agg(F.count("*").alias("kept"), F.count_distinct("user_id").alias("sessions"))
 
 
 @query("""SELECT c_custkey, (('0x' || substr(sha256('cadence.phase:v1' || c_name), 1, 16))::UBIGINT % 300)::BIGINT AS phase FROM customer""")
