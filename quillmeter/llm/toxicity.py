@@ -51,7 +51,10 @@ def _flat(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 def probability(model: np.ndarray, rows: list[np.ndarray], earlier: np.ndarray) -> np.ndarray:
     """model: the features' weights, one for each earlier category's probability, and the intercept."""
-    flat, at = _flat(rows)
+    return _probability(model, *_flat(rows), earlier)
+
+
+def _probability(model: np.ndarray, flat: np.ndarray, at: np.ndarray, earlier: np.ndarray) -> np.ndarray:
     sums = np.concatenate((np.zeros(1), np.cumsum(model[flat])))
     z = sums[at[1:]] - sums[at[:-1]] + earlier @ model[len(model) - 1 - earlier.shape[1] : -1] + model[-1]
     with np.errstate(over="ignore"):
@@ -82,7 +85,7 @@ def fit(rows: list[np.ndarray], earlier: np.ndarray, y: np.ndarray) -> np.ndarra
     w = np.zeros(len(kept) + earlier.shape[1] + 1)
     m, v = np.zeros_like(w), np.zeros_like(w)
     for t in range(1, STEPS + 1):
-        r = (probability(w, rows, earlier) - y) / len(y) if size.any() else (1 / (1 + np.exp(-w[-1])) - y) / len(y)
+        r = (_probability(w, flat, at, earlier) - y) / len(y) if size.any() else (1 / (1 + np.exp(-w[-1])) - y) / len(y)
         g = np.concatenate((np.bincount(flat, r[row], len(kept)), earlier.T @ r, [r.sum()])) + PENALTY * np.append(w[:-1], 0)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
