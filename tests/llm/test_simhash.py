@@ -5,6 +5,7 @@ import xxhash
 
 import corpus
 from quillmeter.llm import simhash
+from quillmeter.llm.components import connected_components
 
 
 def brute_fingerprint(text, size=3):
@@ -110,3 +111,12 @@ def test_near_copies_meet_beyond_two_bits(spark):
     got = [r.doc_id for r in simhash.one_of_each_group(corpus.table(spark, data)).collect()]
     assert 30 < len(want) < len(data) - 40
     assert sorted(got) == want
+
+
+def test_components_of_a_long_chain(spark):
+    nodes = list(range(120))
+    random.Random(6).shuffle(nodes)
+    edges = [*zip(nodes, nodes[1:], strict=False), (500, 501), (501, 502), (502, 500), (7, 7), (None, 3)]
+    got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == dict.fromkeys(range(120), 0) | {500: 500, 501: 500, 502: 500}
+    assert connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
