@@ -72,7 +72,7 @@ def token_counts(docs: DataFrame, tokenizer: str, cache: CountCache | None = Non
     cache = cache or CountCache(spark)
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), normalised(text_col).alias("text")).withColumn("digest", digest(F.col("text")))
     keyed = own.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "digest")
-    # a digest's smallest id; among rows without ids, one of them all
+    # a digest's smallest id; where no row has one, all its rows stand, and each is encoded
     stands = keyed.join(cache.read(version), "digest", "left_anti").groupBy("digest").agg(F.min(F.coalesce("doc_id", F.lit(1 << 62))).alias("stand"))
     mine = own.withColumn("stand", F.coalesce("doc_id", F.lit(1 << 62)))
     misses = mine.join(stands.hint("shuffle_hash"), ["digest", "stand"], "left_semi")
