@@ -84,6 +84,13 @@ def words(text: str, lower: bool = False) -> list[bytes]:
     return (data.lower() if lower else data).split()
 
 
+def free_name(docs: DataFrame, name: str) -> str:
+    """A column name that ``docs`` doesn't have."""
+    while name.lower() in map(str.lower, docs.columns):
+        name = f"_{name}"
+    return name
+
+
 def crc_bucket(id_col: str, mod: int) -> Column:
     """crc32 of the id as text, modulo ``mod``; null for a null id."""
     return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(mod))

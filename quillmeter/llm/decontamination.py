@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmeter.llm.common import written
+from quillmeter.llm.common import free_name, written
 
 #: Words of a shingle, least share of an item's shingles, and sketch rows up to which the index is broadcast.
 SHINGLE, CONTAINMENT, BROADCAST_ROWS = 5, 0.8, 200_000
@@ -102,5 +102,6 @@ def clean_documents(docs: DataFrame, items: DataFrame, containment: float = CONT
     gives an empty result.
     """
     key = F.xxhash64(F.col("doc_id"), F.col("doc_id").isNull(), F.coalesce(F.col("text").cast("string"), F.lit("")))
-    bad = contained_items(docs.select(key.alias("doc_id"), "text"), items, containment).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.withColumn("_key", key).join(bad, F.col("_key") == F.col("_bad"), "left_anti").select(docs.columns)
+    name = free_name(docs, "key")
+    bad = contained_items(docs.select(key.alias("doc_id"), "text"), items, containment).select(F.col("doc_id").alias(name)).distinct()
+    return docs.withColumn(name, key).join(bad, name, "left_anti").select(docs.columns)

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmeter.llm import fingerprints as fingerprints_
-from quillmeter.llm.common import drop, row_slices, text_or_empty, words, written
+from quillmeter.llm.common import drop, free_name, row_slices, text_or_empty, words, written
 from quillmeter.llm.components import connected_components
 from quillmeter.llm.wordhash import Words, run_hashes
 
@@ -194,8 +194,9 @@ def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     empty table gives an empty result.
     """
     key = F.xxhash64(F.col(id_col).cast("long"), F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.col(id_col).isNull())
-    keyed = docs.select("*", key.alias("_key"))
-    own = keyed.select(F.col("_key").alias("key"), F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
+    name = free_name(docs, "key")
+    keyed = docs.select("*", key.alias(name))
+    own = keyed.select(F.col(name).alias("key"), F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
     rows = written(sketches(own), "sketches")
     classes = written(rows.groupBy(F.col("same").alias("c")).agg(F.min(rank).alias("rep"), F.min("n").alias("n"), F.min(F.struct("fp", "bands")).alias("s")).select("c", "rep", "n", "s.fp", "s.bands"), "classes")
@@ -212,6 +213,6 @@ def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     links = written(_verified(met, texts, similarity), "links")
     roots = connected_components(links)
     grouped = classes.select("c", "rep").join(roots.select(F.col("node").alias("c"), "root"), "c", "left")
-    kept = written(grouped.groupBy(F.coalesce("root", "c").alias("root")).agg(F.min("rep").alias("rep")).select(F.col("rep.key").alias("_key")), "kept")
+    kept = written(grouped.groupBy(F.coalesce("root", "c").alias("root")).agg(F.min("rep").alias("rep")).select(F.col("rep.key").alias(name)), "kept")
     drop(classes, met, links)
-    return keyed.join(kept.hint("shuffle_hash"), "_key", "left_semi").dropDuplicates(["_key"]).select(docs.columns)
+    return keyed.join(kept.hint("shuffle_hash"), name, "left_semi").dropDuplicates([name]).select(docs.columns)

@@ -48,3 +48,14 @@ def test_empty(spark):
     docs, bench = corpus.table(spark), spark.createDataFrame([], "item_id long, text string")
     assert decontamination.contained_items(docs, bench).count() == 0
     assert decontamination.contained_items(corpus.table(spark, []), spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")).count() == 0
+
+
+def test_each_row_is_judged_by_its_own_text(spark):
+    leak = "one two three four five six seven eight"
+    data = [(1, f"before {leak} after", "en", "s", 1), (1, "the same id without it", "en", "s", 1), (None, leak, "en", "s", 1), (None, "clean", "en", "s", 1), (None, None, "en", "s", 1), (2, "", "en", "s", 1)]
+    docs = corpus.table(spark, data).selectExpr("*", "1 AS item_id", "'x' AS w", "2 AS _bad")
+    items = spark.createDataFrame([(0, leak)], "item_id long, text string")
+    got = decontamination.clean_documents(docs, items)
+    assert got.columns == docs.columns
+    assert sorted((r.doc_id, r.text) for r in got.collect() if r.text and r.doc_id) == [(1, "the same id without it")]
+    assert got.count() == 4
