@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -18,14 +19,14 @@ SLICE_BYTES = 8 << 20
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Where it is unset, a local master gets a folder in the current warehouse's place; any other master gets an error, as
-    executors would write to disks of their own.
+    Where it is unset, a local master (as in tests) gets a new temporary folder, as all its tasks are on one machine; any
+    other master gets an error, as executors would write to disks of their own.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints"
+        root = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
 
