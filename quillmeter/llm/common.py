@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -97,6 +98,13 @@ def crc_bucket(id_col: str, mod: int) -> Column:
     return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(mod))
 
 
+def give_back() -> None:
+    """Returns memory that a worker has freed to the system: it is used again for other operators, and its heap only grows."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc's
+        trim(0)
+
+
 def row_slices(batch: pa.RecordBatch, text: str = "text", size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about ``size`` bytes of text each, one row at least."""
     sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False))
@@ -106,3 +114,5 @@ def row_slices(batch: pa.RecordBatch, text: str = "text", size: int = SLICE_BYTE
         end = max(start + 1, int(np.searchsorted(sizes, base + size, side="right")))
         yield batch.slice(start, end - start)
         start = end
+    if batch.num_rows and sizes[-1] > SLICE_BYTES:
+        give_back()
