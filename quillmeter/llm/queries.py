@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmeter.llm import chat, decontamination, fingerprints, language, packing, simhash, substring, suffix_tree, token_counts, toxicity
+from quillmeter.llm import alignment, chat, decontamination, fingerprints, language, packing, simhash, substring, suffix_tree, token_counts, toxicity
 from quillmeter.llm.common import crc_bucket
 
 
@@ -64,6 +64,10 @@ def op10_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_tree.scores(_table(spark, sf_dir, "documents"), crc_bucket("doc_id", 10) == 0)
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_token_counts": op2_token_counts,
@@ -75,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_toxicity": op9_toxicity,
     "op10_suffix_tree": op10_suffix_tree,
+    "op12_alignment": op12_alignment,
 }
 
 #: An item's shingles, and those of every document, by position; runs of all words of items under five.
