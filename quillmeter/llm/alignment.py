@@ -3,34 +3,38 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
-from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmeter.llm import tokenizing
 from quillmeter.llm.common import give_back, row_slices, shuffle_width, text_or_empty, written
+from quillmeter.llm.wordhash import _bytes_of
 
-#: Text bytes and distinct units of a block. A block's pairs are looked up once, whatever its documents repeat.
-BLOCK_BYTES = 24 << 20
-BLOCK_UNITS = 150_000
-#: Units that a worker remembers; beyond it forgets all and begins anew. Bounds memory, not results.
-REMEMBERED = 150_000
-#: Links that are expanded at once.
+#: Text bytes of a block of documents. A block's pairs are looked up once, whatever its documents repeat.
+BLOCK_BYTES = 8 << 20
+#: Bytes of units that a library gets at once.
+CHUNK_BYTES = 1 << 16
+#: Links that are expanded at once, and links of a group from which its repeated ids are counted before they are paired.
 EXPANDED = 1 << 20
+LARGE_GROUP = 256
 #: A pair's partial counts are dealt over so many salts first.
 SALTS = 16
 
 #: Neither vocabulary has a token across these cuts: white space begins, but no carriage return, and none stood before.
-_UNIT = re.compile(r"[ \n\t]*[^ \n\t]+|[ \n\t]+")
 _CUT = re.compile(r"(?<=[^ \n\t\r])(?=[ \n\t])")
+_UNIT_SPACE = np.isin(np.arange(256), [*b" \n\t"])
+#: Texts with other white space are cut by the expression above, or not at all.
+_ODD = re.compile("[\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 PART_SCHEMA = "kind int, block long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, codes binary, times binary, sizes binary, pair long, n long, best boolean"
 _NAMES = [c.split()[0] for c in PART_SCHEMA.split(", ")]
@@ -38,58 +42,64 @@ _PAIR, _UNITS, _DOC = 0, 1, 2
 OUT_SCHEMA = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 
 
-class Unit(NamedTuple):
-    """What a unit adds to its text: numbers of tokens, groups and links; its groups as text; pairs and their links."""
-
-    n_a: int
-    n_b: int
-    n_groups: int
-    n_links: int
-    groups: str
-    pairs: np.ndarray
-    times: np.ndarray
-
-
 class Vocabularies:
-    """Ids and byte lengths of units by a byte-level vocabulary (A) and a sentencepiece model (B)."""
+    """Ids of units by a byte-level vocabulary (A) and a sentencepiece model (B), and the bytes of ids."""
 
     def __init__(self, path_a: str, path_b: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import sentencepiece
         from tokenizers import Tokenizer
 
-        self.cached = tokenizing.load(path_a)
-        self.plain = Tokenizer.from_file(path_a)
-        self.plain.no_truncation()
-        self.plain.no_padding()
-        self.plain.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.a = Tokenizer.from_file(path_a)
+        self.a.no_truncation()
+        self.a.no_padding()
+        self.a.encode_special_tokens = True  # their strings in a text are ordinary text
         byte = {c: b for b, c in tokenizing._BYTE_CHARS.items()} | {chr(b): b for b in tokenizing._PRINTED}
-        self.bytes_a = {i: bytes(byte[c] for c in t) if all(c in byte for c in t) else t.encode() for t, i in self.plain.get_vocab(with_added_tokens=True).items()}
+        found = {i: bytes(byte[c] for c in t) if all(c in byte for c in t) else t.encode() for t, i in self.a.get_vocab(with_added_tokens=True).items()}
+        self.bytes_a = [found.get(i, b"") for i in range(max(found) + 1)]
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.space = self.b.piece_to_id("▁")
-        self.cuts = self.cached.cut is not None and not any(re.search("[^▁]▁|[\n\t]", p) for p in pieces)
-        self.len_a = np.zeros(max(self.bytes_a) + 1, np.int64)
-        for i, b in self.bytes_a.items():
-            self.len_a[i] = len(b)
-        self.len_b = np.array([len(b) for b in self.bytes_b], np.int64)
+        with open(path_a) as f:
+            config = json.load(f)
+        level = tokenizing._rules(config)[0] is not None and config["pre_tokenizer"].get("type") == "ByteLevel"
+        self.cuts = level and not any(re.search("[^▁]▁|[\n\t]", p) for p in pieces)
+        self.quick = _by_ranks(config, byte) if level else None
+        self.len_a, self.len_b = (np.array([len(x) for x in t], np.int64) for t in (self.bytes_a, self.bytes_b))
+        # an id as text with what may follow it: another id of its side, the other side, another group
+        self.text_a, self.text_b = (np.array([[f"{i}{e}".encode() for e in ends] for i in range(len(t))], object) for t, ends in ((self.bytes_a, ",|"), (self.bytes_b, ",;")))
 
     def units(self, text: str) -> list[str]:
         """A text that starts with a blank, cut where both vocabularies' tokens end; whole where that isn't sure."""
-        if not self.cuts or tokenizing._OTHER_SPACE.search(text):
-            return [text]
-        return _CUT.split(text) if "\r" in text else _UNIT.findall(text)
+        return _CUT.split(text) if self.cuts and not tokenizing._OTHER_SPACE.search(text) else [text]
+
+    def ids_a(self, text: str, common: bool = False) -> list[int]:
+        if common and self.quick:
+            return self.quick(text)
+        return self.a.encode(text, add_special_tokens=False).ids
 
-    def ids_a(self, units: list[str]) -> list[list[int] | np.ndarray]:
-        get, kind = self.cached.memory.__getitem__, self.cached.typecode
-        odd = {u for u in units if "<|" in u or tokenizing._OTHER_SPACE.search(u)}
-        return [self.plain.encode(u, add_special_tokens=False).ids if u in odd else np.frombuffer(get(u), kind) for u in units]
+    def ids_b(self, text: str) -> list[int]:
+        """The model adds a blank; it stands for the text's own first one, or goes again."""
+        if text[:1] != " ":
+            return self.b.encode(text, num_threads=1)[1:]
+        return self.b.encode(text[1:], num_threads=1) or [self.space]
 
-    def ids_b(self, units: list[str]) -> list[list[int]]:
-        """The model adds a blank; it stands for the unit's own first one, or goes again."""
-        found = self.b.encode([u.removeprefix(" ") for u in units], num_threads=1)
-        return [ids if u[:1] == " " and len(u) > 1 else [self.space] if u == " " else ids[1:] for u, ids in zip(units, found, strict=True)]
+
+def _by_ranks(config: dict, byte: dict[str, int]) -> Callable[[str], list[int]] | None:
+    """An encoder by ranks for a byte-level vocabulary whose ids rise in the order of its merges: the same ids, sooner."""
+    import tiktoken
+
+    model = config["model"]
+    vocab = model["vocab"]
+    made = [vocab.get("".join(m.split(" ") if isinstance(m, str) else m), -1) for m in model["merges"]]
+    single = [i for t, i in vocab.items() if len(t) == 1]
+    if model.get("ignore_merges") or made != sorted(set(made)) or len(single) != 256 or made[0] < max(single):
+        return None
+    merged = set(made)
+    ranks = {bytes(byte[c] for c in t): i for t, i in vocab.items() if len(t) == 1 or i in merged}
+    pattern = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"  # fixed by this kind
+    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
 
 @lru_cache(maxsize=2)
@@ -97,10 +107,10 @@ def load(path_a: str, path_b: str) -> Vocabularies:
     return Vocabularies(path_a, path_b)
 
 
-def _per_group(group: np.ndarray, ids: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (group, id), and how often each comes, so that a group of many repeats stays small."""
-    keys, n = np.unique(group * width + ids, return_counts=True)
-    return keys // width, keys % width, n
+def _sums(values: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Sums of the runs at[i] to at[i + 1]; empty ones are 0."""
+    total = np.concatenate((np.zeros(1, np.int64), np.cumsum(values, dtype=np.int64)))
+    return total[at[1:]] - total[at[:-1]]
 
 
 def _starts(values: np.ndarray, n: int) -> np.ndarray:
@@ -108,8 +118,14 @@ def _starts(values: np.ndarray, n: int) -> np.ndarray:
     return np.searchsorted(values, np.arange(n + 1))
 
 
-def _expanded(ga: np.ndarray, a: np.ndarray, na: np.ndarray, at: np.ndarray, b: np.ndarray, nb: np.ndarray, unit: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
-    """(unit, pair, links) of each distinct A id with each distinct B id of its group, some rows at once; links of a unit's pair may come in several."""
+def _per_group(group: np.ndarray, ids: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (group, id), and how often each comes."""
+    keys, n = np.unique(group * width + ids, return_counts=True)
+    return keys // width, keys % width, n
+
+
+def _expanded(ga: np.ndarray, a: np.ndarray, na: np.ndarray, at: np.ndarray, b: np.ndarray, nb: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """(group, pair, links) of each A row with each B row of its group, some at once; B rows at[g] to at[g + 1] are those of g."""
     size = (at[1:] - at[:-1])[ga]
     ends, i = np.cumsum(size), 0
     while i < len(ga):
@@ -117,102 +133,167 @@ def _expanded(ga: np.ndarray, a: np.ndarray, na: np.ndarray, at: np.ndarray, b:
         j = max(i + 1, int(np.searchsorted(ends, base + EXPANDED, side="right")))
         rows = np.repeat(np.arange(i, j), size[i:j])
         place = at[ga[rows]] + np.arange(len(rows)) - (ends[rows] - size[rows] - base)
-        yield unit[ga[rows]], a[rows] << 32 | b[place], na[rows] * nb[place]
+        yield ga[rows], a[rows] << 32 | b[place], na[rows] * nb[place]
         i = j
 
 
-def _summed(unit: np.ndarray, pair: np.ndarray, links: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    order = np.lexsort((pair, unit))
-    unit, pair, links = unit[order], pair[order], links[order]
-    head = np.flatnonzero(np.concatenate((np.ones(min(len(unit), 1), bool), (unit[1:] != unit[:-1]) | (pair[1:] != pair[:-1]))))
-    return unit[head], pair[head], np.add.reduceat(links, head) if len(head) else links
+def _links(in_a: np.ndarray, a: np.ndarray, in_b: np.ndarray, b: np.ndarray, groups: int) -> tuple[np.ndarray, ...]:
+    """(group, pair, links) of all groups; a pair may come several times in a group, but hardly in a large one."""
+    large = np.bincount(in_a, minlength=groups) * np.bincount(in_b, minlength=groups) > LARGE_GROUP
+    parts = []
+    for some, counted in ((~large, lambda g, x: (g, x, np.ones(len(g), np.int64))), (large, lambda g, x: _per_group(g, x, 1 << 32))):
+        of_a, of_b = some[in_a], some[in_b]
+        if of_a.any():
+            ga, da, ka = counted(in_a[of_a], a[of_a])
+            gb, db, kb = counted(in_b[of_b], b[of_b])
+            parts += _expanded(ga, da, ka, _starts(gb, groups), db, kb)
+    return tuple(np.concatenate(c) for c in zip(*parts, strict=True)) if parts else (np.empty(0, np.int64),) * 3
 
 
-def aligned(units: list[str], v: Vocabularies) -> list[Unit | None]:
-    """What each unit adds; None where its tokens' bytes aren't its own.
+class Units:
+    """Different units aligned, in arrays: tokens, groups and links of each, its groups as text, its pairs and their links.
 
     All units' tokens stand in one row: cumulative byte lengths are their ends, ends in both rows are the common cuts,
     and a token's group is the first cut at or behind its end. Units end at common cuts, so no group joins two of them.
+    ``good`` is False for units whose tokens' bytes aren't their own.
     """
-    ids_a, ids_b = v.ids_a(units), v.ids_b(units)
-    same = [
-        b"".join([v.bytes_a[i] for i in (x.tolist() if isinstance(x, np.ndarray) else x)]) == u and b"".join([v.bytes_b[i] for i in y]) == u
-        for u, x, y in zip((u.encode() for u in units), ids_a, ids_b, strict=True)
-    ]
-    good = [i for i, ok in enumerate(same) if ok]
-    out: list[Unit | None] = [None] * len(units)
-    if not good:
-        return out
-    n_a, n_b = (np.array([len(x[i]) for i in good], np.int64) for x in (ids_a, ids_b))
-    a, b = (np.concatenate([np.asarray(x[i], np.int64) for i in good]) for x in (ids_a, ids_b))
-    ends_a, ends_b = np.cumsum(v.len_a[a]), np.cumsum(v.len_b[b])
-    cuts = np.intersect1d(ends_a, ends_b, assume_unique=True)
-    in_a, in_b = np.searchsorted(cuts, ends_a), np.searchsorted(cuts, ends_b)  # labels of groups
-    first_a, first_b = np.concatenate(([0], np.cumsum(n_a))), np.concatenate(([0], np.cumsum(n_b)))
-    unit = np.repeat(np.arange(len(good)), n_a)[_starts(in_a, len(cuts))[:-1]]  # of each group
-    groups = _starts(unit, len(good))
-    ga, da, ka = _per_group(in_a, a, len(v.len_a))
-    gb, db, kb = _per_group(in_b, b, len(v.len_b))
-    parts = [_summed(*x) for x in _expanded(ga, da, ka, _starts(gb, len(cuts)), db, kb, unit)]
-    owner, pairs, times = _summed(*(np.concatenate(c) for c in zip(*parts, strict=True))) if len(parts) > 1 else parts[0]
-    at = _starts(owner, len(good))
-    links = np.add.reduceat(times, at[:-1])
-    words_a, words_b = list(map(str, a.tolist())), list(map(str, b.tolist()))
-    split_a, split_b = _starts(in_a, len(cuts)).tolist(), _starts(in_b, len(cuts)).tolist()
-    texts = [",".join(words_a[p:q]) + "|" + ",".join(words_b[r:s]) for p, q, r, s in zip(split_a, split_a[1:], split_b, split_b[1:], strict=False)]
-    for k, i in enumerate(good):
-        x, y, p, q = groups[k], groups[k + 1], at[k], at[k + 1]
-        out[i] = Unit(int(first_a[k + 1] - first_a[k]), int(first_b[k + 1] - first_b[k]), int(y - x), int(links[k]), ";".join(texts[x:y]), pairs[p:q].copy(), times[p:q].copy())
+
+    def __init__(self, units: list[str], v: Vocabularies):
+        self.good = np.ones(len(units), bool)
+        a, b, self.n_a, self.n_b = self._encoded(units, v)
+        ends_a, ends_b = np.cumsum(v.len_a[a]), np.cumsum(v.len_b[b])
+        cuts = np.intersect1d(ends_a, ends_b, assume_unique=True)
+        in_a, in_b = np.searchsorted(cuts, ends_a), np.searchsorted(cuts, ends_b)  # labels of groups
+        first_a, first_b = _starts(in_a, len(cuts)), _starts(in_b, len(cuts))
+        unit = np.repeat(np.arange(len(units)), self.n_a)[first_a[:-1]]  # of each group
+        at = _starts(unit, len(units))
+        self.n_groups = np.diff(at)
+        self.n_links = _sums(np.diff(first_a) * np.diff(first_b), at)
+        # ids as text, group by group: A's, then B's
+        row = np.empty(len(a) + len(b), object)
+        last_a, last_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+        last_a[first_a[1:] - 1] = 1
+        last_b[first_b[1:] - 1] = 1
+        row[np.arange(len(a)) + first_b[in_a]] = v.text_a[a, last_a]
+        row[np.arange(len(b)) + first_a[in_b + 1]] = v.text_b[b, last_b]
+        row, ends = row.tolist(), np.concatenate(([0], np.cumsum(self.n_a + self.n_b))).tolist()
+        self.text = [b"".join(row[p:q]) for p, q in zip(ends, ends[1:], strict=False)]
+        group, pair, links = _links(in_a, a, in_b, b, len(cuts))
+        self.pairs, place = np.unique(pair, return_inverse=True)
+        keys, where = np.unique(unit[group] * max(len(self.pairs), 1) + place, return_inverse=True)
+        self.times = np.bincount(where, links, len(keys)).astype(np.int64) if links.sum() < 1 << 53 else _exact(where, links, len(keys))
+        self.place = keys % max(len(self.pairs), 1)
+        self.start = _starts(keys // max(len(self.pairs), 1), len(units))
+
+    def _encoded(self, units: list[str], v: Vocabularies) -> tuple[np.ndarray, ...]:
+        data = [u.encode() for u in units]
+        size = np.array([len(d) for d in data], np.int64)
+        kind = [2 if _ODD.search(u) or u[-1] in " \n\t" or not v.cuts else 0 if tokenizing._COMMON.fullmatch(u) else 1 for u in units]
+        ids: list = [None] * len(units)
+        parts_a, parts_b, n_a, n_b = [], [], np.zeros(len(units), np.int64), np.zeros(len(units), np.int64)
+        at, found = 0, []
+        while at < len(units):
+            end, total = at, 0
+            while end < len(units) and (end == at or kind[end] == kind[at] and kind[at] < 2 and total < CHUNK_BYTES):
+                total += size[end]
+                end += 1
+            found.append((at, end))
+            at = end
+        for at, end in found:
+            for p, q in ((at, end), *((i, i + 1) for i in range(at, end) if end - at > 1)):
+                text, own = "".join(units[p:q]), b"".join(data[p:q])
+                a, b = v.ids_a(text, kind[p] == 0), v.ids_b(text)
+                same = b"".join([v.bytes_a[i] for i in a]) == own and b"".join([v.bytes_b[i] for i in b]) == own
+                if same:
+                    a, b = np.array(a, np.int64), np.array(b, np.int64)
+                    ends, ea, eb = np.cumsum(size[p:q]), np.cumsum(v.len_a[a]), np.cumsum(v.len_b[b])
+                    xa, xb = np.searchsorted(ea, ends), np.searchsorted(eb, ends)
+                    same = bool((ea[xa] == ends).all() and (eb[xb] == ends).all())
+                if same:
+                    n_a[p:q], n_b[p:q] = np.diff(xa, prepend=-1), np.diff(xb, prepend=-1)
+                    parts_a.append(a)
+                    parts_b.append(b)
+                    if q - p > 1:
+                        break
+                elif q - p == 1:
+                    self.good[p] = False
+        none = [np.empty(0, np.int64)]
+        return np.concatenate(parts_a or none), np.concatenate(parts_b or none), n_a, n_b
+
+
+def _exact(where: np.ndarray, links: np.ndarray, n: int) -> np.ndarray:
+    out = np.zeros(n, np.int64)
+    np.add.at(out, where, links)
     return out
 
 
-class _Block:
-    """The units, pairs and document counts of a run of documents."""
-
-    def __init__(self):
-        self.bytes = 0
-        self.codes: dict[str, int] = {}
-        self.index: dict[int, int] = {}
-        self.pairs: list[np.ndarray] = []
-        self.times: list[np.ndarray] = []
-        self.start = [0]
-        self.numbers: list[tuple[int, int, int, int]] = []
-        self.n = np.zeros(1024, np.int64)
-
-    def code(self, text: str, unit: Unit) -> int:
-        code = self.codes[text] = len(self.codes)
-        self.pairs.append(np.array([self.index.setdefault(p, len(self.index)) for p in unit.pairs.tolist()], np.int64))
-        self.times.append(unit.times)
-        self.start.append(self.start[-1] + len(unit.pairs))
-        self.numbers.append(unit[:4])
-        return code
-
-    def count(self, docs: list[np.ndarray]) -> None:
-        """Counts the documents of each pair; a document is its distinct codes."""
-        while len(self.n) < len(self.index):
-            self.n = np.concatenate((self.n, np.zeros_like(self.n)))
-        if not docs:
-            return
-        start = np.array(self.start)
-        flat = np.concatenate(self.pairs)
-        self.pairs, self.times = [flat], [np.concatenate(self.times)]
-        codes = np.concatenate(docs)
-        size = start[codes + 1] - start[codes]
-        row = np.repeat(np.repeat(np.arange(len(docs)), [len(d) for d in docs]), size)
-        place = np.repeat(start[codes] - np.cumsum(size) + size, size) + np.arange(len(row))
-        pair = np.unique(row * len(self.index) + flat[place]) % max(len(self.index), 1)
-        self.n[: len(self.index)] += np.bincount(pair, minlength=len(self.index))
-
-    def rows(self, block: int) -> Iterator[pa.RecordBatch]:
-        if not self.codes:
-            return
-        keys = np.fromiter(self.index, np.int64, len(self.index))
-        order = np.argsort(keys)
-        place = np.empty_like(order)
-        place[order] = np.arange(len(order))
-        yield _batch(len(keys), kind=_PAIR, block=block, pair=keys[order], n=self.n[order])
-        arrays = (np.diff(self.start), place[np.concatenate(self.pairs)], np.concatenate(self.times))
-        yield _batch(1, kind=_UNITS, block=block, sizes=[arrays[0].astype("<i4").tobytes()], codes=[arrays[1].astype("<i4").tobytes()], times=[arrays[2].astype("<i8").tobytes()])
+def _cut(texts: pa.Array, v: Vocabularies) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """Of texts that start with a blank and have common white space alone: each text's first unit, units' codes, different units."""
+    data, offsets = _bytes_of(texts)
+    space = _UNIT_SPACE[data]
+    head = space.copy()
+    head[1:] &= ~space[:-1]
+    head[offsets[:-1]] = True
+    starts = np.append(np.flatnonzero(head), len(data))
+    units = pa.Array.from_buffers(pa.binary(), len(starts) - 1, [None, pa.py_buffer(starts.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
+    return np.searchsorted(starts, offsets), units.indices.to_numpy().astype(np.int64), [u.decode() for u in units.dictionary.to_pylist()]
+
+
+class Block:
+    """The documents of a slice: which have tokens, the codes of their units, and how many hold each pair."""
+
+    def __init__(self, texts: pa.Array, v: Vocabularies):
+        odd = [i for i, t in enumerate(texts.to_pylist()) if t and (_ODD.search(t) or not v.cuts)]
+        full = pc.greater(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+        plain = full.copy()
+        plain[odd] = False
+        spaced = pc.binary_join_element_wise(pa.scalar(" "), texts, "")
+        first, codes, units = _cut(spaced.filter(pa.array(plain)), v) if plain.any() else (np.zeros(1, np.int64), np.empty(0, np.int64), [])
+        number = dict(zip(units, range(len(units)), strict=True)) if odd else {}
+        more = [np.array([number.setdefault(u, len(number)) for u in v.units(" " + texts[i].as_py())], np.int64) for i in odd]
+        units += list(number)[len(units) :]
+        self.rows = np.concatenate((np.flatnonzero(plain), odd)).astype(np.int64)
+        self.first = np.concatenate((first, first[-1] + np.cumsum([len(m) for m in more]))).astype(np.int64)
+        self.codes = np.concatenate((codes, *more))
+        order = np.argsort([bool(_ODD.search(u)) * 2 + (not tokenizing._COMMON.fullmatch(u)) for u in units], kind="stable")  # alike ones in a row: they are encoded together
+        place = np.empty(len(units), np.int64)
+        place[order] = np.arange(len(units))
+        self.codes = place[self.codes]
+        self.units = Units([units[i] for i in order.tolist()], v)
+        bad = _sums(~self.units.good[self.codes], self.first)
+        self.has = bad == 0
+        # each document's different units; then its different pairs
+        own = np.repeat(np.arange(len(self.rows)), np.diff(self.first))
+        keys, self.times = np.unique(own * max(len(units), 1) + self.codes, return_counts=True)
+        doc, self.code = np.divmod(keys, max(len(units), 1))
+        self.at = _starts(doc, len(self.rows))
+        doc, code = doc[self.has[doc]], self.code[self.has[doc]]
+        size, kinds = np.diff(self.units.start)[code], max(len(self.units.pairs), 1)
+        self.n = np.zeros(len(self.units.pairs), np.int64)
+        ends, i = np.cumsum(size), 0
+        while i < len(code):  # documents at once with some expanded pairs
+            j = int(np.searchsorted(ends, (ends[i - 1] if i else 0) + 4 * EXPANDED, side="right"))
+            j = int(np.searchsorted(doc, doc[max(i, min(j, len(code)) - 1)], side="right"))
+            row = np.repeat(doc[i:j], size[i:j])
+            where = np.repeat(self.units.start[code[i:j]] - np.cumsum(size[i:j]) + size[i:j], size[i:j]) + np.arange(len(row))
+            self.n += np.bincount(np.unique(row * kinds + self.units.place[where]) % kinds, minlength=len(self.n))
+            i = j
+
+    def batches(self, number: int, doc_id: pa.Array) -> Iterator[pa.RecordBatch]:
+        u, rows = self.units, self.rows[self.has]
+        sums = {c: _sums(getattr(u, c)[self.codes], self.first)[self.has] for c in ("n_a", "n_b", "n_groups", "n_links")}
+        codes, first, text = self.codes.tolist(), self.first.tolist(), u.text
+        sha = [hashlib.sha256(b"".join([text[c] for c in codes[first[k] : first[k + 1]]])[:-1]).hexdigest() for k in np.flatnonzero(self.has).tolist()]
+        own = [(self.at[k], self.at[k + 1]) for k in np.flatnonzero(self.has).tolist()]
+        packed = {c: [x[p:q].astype("<i4").tobytes() for p, q in own] for c, x in (("codes", self.code), ("times", self.times))}
+        if len(rows):
+            yield _batch(len(self.n), kind=_PAIR, block=number, pair=u.pairs, n=self.n)
+            yield _batch(1, kind=_UNITS, block=number, sizes=[np.diff(u.start).astype("<i4").tobytes()], codes=[u.place.astype("<i4").tobytes()], times=[u.times.astype("<i8").tobytes()])
+            yield _batch(len(rows), kind=_DOC, block=number, doc_id=doc_id.take(pa.array(rows)), groups_sha256=sha, **sums, **packed)
+        none = np.setdiff1d(np.arange(len(doc_id)), rows)
+        if len(none):
+            zero = {c: 0 for c in sums}
+            yield _batch(len(none), kind=_DOC, block=number, doc_id=doc_id.take(pa.array(none)), groups_sha256=[""] * len(none), codes=[b""] * len(none), times=[b""] * len(none), **zero)
 
 
 _KINDS = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_()}
@@ -230,39 +311,14 @@ def _batch(rows: int, schema: str = PART_SCHEMA, **cols) -> pa.RecordBatch:
 
 
 def _first_pass(own: DataFrame, path_a: str, path_b: str) -> DataFrame:
-    """Rows of three kinds: a block's pairs with their documents, its units, and its documents as codes of units."""
+    """Rows of three kinds: a block's pairs with the number of documents that hold them, its units, and its documents as codes of units."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, known = load(path_a, path_b), {}
-        number, block = TaskContext.get().partitionId() << 24, _Block()
+        v, number = load(path_a, path_b), TaskContext.get().partitionId() << 32
         for batch in batches:
-            for part in row_slices(batch, size=2 << 20):
-                cut = [v.units(" " + t) if t else [] for t in part.column("text").to_pylist()]
-                new = list({u for c in cut for u in c if u not in known})
-                if len(known) + len(new) > REMEMBERED:
-                    known, new = {}, list({u for c in cut for u in c})
-                known.update(zip(new, aligned(new, v), strict=True))
-                docs, rows = [], []
-                for doc_id, units in zip(part.column("doc_id").to_pylist(), cut, strict=True):
-                    if not units or any(known[u] is None for u in units):
-                        rows.append((doc_id, 0, 0, 0, 0, "", b"", b""))
-                        continue
-                    code = block.codes
-                    own = np.array([code[u] if u in code else block.code(u, known[u]) for u in units], np.int64)
-                    sha = hashlib.sha256(";".join([known[u].groups for u in units]).encode()).hexdigest()
-                    n = [sum(c) for c in zip(*(block.numbers[c] for c in own.tolist()), strict=True)]
-                    codes, times = np.unique(own, return_counts=True)
-                    docs.append(codes)
-                    rows.append((doc_id, *n, sha, codes.astype("<i4").tobytes(), times.astype("<i4").tobytes()))
-                block.count(docs)
-                block.bytes += part.column("text").nbytes
-                cols = dict(zip(("doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "codes", "times"), zip(*rows, strict=True), strict=True))
-                yield _batch(len(rows), kind=_DOC, block=number, **cols)
-                if block.bytes >= BLOCK_BYTES or len(block.codes) >= BLOCK_UNITS:
-                    yield from block.rows(number)
-                    number, block = number + 1, _Block()
-        yield from block.rows(number)
-        known.clear()
+            for part in row_slices(batch, size=BLOCK_BYTES):
+                yield from Block(part.column("text"), v).batches(number, part.column("doc_id"))
+                number += 1
         give_back()
 
     return own.mapInArrow(run, PART_SCHEMA)
@@ -283,8 +339,8 @@ def _last_pass(parts: DataFrame) -> DataFrame:
                         pairs[c].append(part.column(c).to_numpy(zero_copy_only=False).astype(np.int64))
                 elif kinds[a] == _UNITS:
                     sizes, codes, times = (np.frombuffer(part.column(c)[0].as_py(), t) for c, t in (("sizes", "<i4"), ("codes", "<i4"), ("times", "<i8")))
-                    at = np.concatenate(([0], np.cumsum(sizes[:-1], dtype=np.int64)))
-                    unit = {c: np.add.reduceat(np.concatenate(x)[codes] * times, at) for c, x in pairs.items()}
+                    at = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
+                    unit = {c: _sums(np.concatenate(x)[codes] * times, at) for c, x in pairs.items()}
                     pairs = {"n": [], "best": []}
                 else:
                     sums = {"n": [], "best": []}
@@ -307,9 +363,9 @@ def align(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", tex
     ``n_best`` are the links whose pair has the highest count of all pairs with its A id, ``count_sum`` is the sum of
     the counts over all links.
 
-    1. A text is cut where both vocabularies' tokens must end (before white space), and each different unit is aligned
-    once; a group's repeated ids are counted, not paired. A run of documents is a block: it keeps its units' pairs and
-    the number of its documents for each pair. 2. Blocks' counts are added up by salted pairs, then by pairs; the
+    1. Some megabytes of documents are a block. Its texts are cut where both vocabularies' tokens must end (before white
+    space), and each different unit is aligned once; a large group's repeated ids are counted, not paired. A block keeps
+    its units' pairs and the number of its documents for each pair. 2. Blocks' counts are added up by salted pairs, then by pairs; the
     highest count is found for each A id. 3. Counts go back to the blocks, not to the documents: pairs, units and
     documents of a block meet sorted, pairs become sums of units and these sums of documents.
 

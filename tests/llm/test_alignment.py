@@ -93,18 +93,32 @@ def test_odd_characters(spark, libraries):
     assert 50 < sum(r[1:] == NONE for r in want) < 280
 
 
-def test_small_blocks_and_memory(spark, libraries, monkeypatch):
-    """Several blocks in a task, a memory that forgets, few links at once: the same rows."""
-    for name, value in (("BLOCK_BYTES", 1), ("BLOCK_UNITS", 5), ("REMEMBERED", 10), ("EXPANDED", 3), ("SALTS", 2)):
+def test_small_blocks_and_chunks(spark, libraries, monkeypatch):
+    """Several blocks in a task, units encoded two at a time, few links at once: the same rows."""
+    for name, value in (("BLOCK_BYTES", 1), ("CHUNK_BYTES", 9), ("EXPANDED", 3), ("SALTS", 2)):
         monkeypatch.setattr(alignment, name, value)
     v, texts = alignment.load(A, B), ["alpha beta beta", "zzzzzzqqqq wrtgh", "ééé 漢字漢字 🙂"]
     for text in texts:
         units = v.units(" " + text)
-        assert [x.groups for x in alignment.aligned(units, v)] == [";".join(",".join(map(str, a)) + "|" + ",".join(map(str, b)) for a, b in g) for g in _by_unit(text, units, libraries)]
+        want = ["".join(",".join(map(str, a)) + "|" + ",".join(map(str, b)) + ";" for a, b in g) for g in _by_unit(text, units, libraries)]
+        assert [x.decode() for x in alignment.Units(units, v).text] == want
     data = [(i, t, "en", "s", 1) for i, t in enumerate(texts * 3)]
     assert run(spark, data) == brute(data, libraries)
 
 
+@pytest.mark.parametrize("large", [0, 256])
+def test_large_groups(spark, libraries, monkeypatch, large):
+    """Repeated ids of a large group are counted before they are paired; a group of a long word without common cuts."""
+    monkeypatch.setattr(alignment, "LARGE_GROUP", large)
+    data = [(i, t, "en", "s", 1) for i, t in enumerate(["𝔘𝔫𝔦 " * 40, "qzqzqzqzqzqzqz" * 30, "one", "ᚠᚢᚦ" * 50])] + corpus.rows(n=10)
+    assert run(spark, data) == brute(data, libraries)
+
+
+def test_repeats_are_counted_before_they_are_paired():
+    rows = alignment._links(longs([0] * 1000), longs([7] * 1000), longs([0] * 501), longs([3] * 500 + [4]), 1)
+    assert [x.tolist() for x in rows] == [[0, 0], [7 << 32 | 3, 7 << 32 | 4], [500_000, 1000]]
+
+
 def _by_unit(text, units, libraries):
     """The groups of each unit: groups never cross units, so whole groups are dealt out by their bytes."""
     a, _, byte = libraries
@@ -119,13 +133,6 @@ def _by_unit(text, units, libraries):
     return out
 
 
-def test_a_group_of_many_repeats_stays_small():
-    """Ids repeated in a group are counted before they are paired."""
-    at = alignment._starts(longs([0, 0]), 1)
-    rows = list(alignment._expanded(longs([0]), longs([7]), longs([1000]), at, longs([3, 4]), longs([500, 1]), longs([0])))
-    assert [[x.tolist() for x in r] for r in rows] == [[[0, 0], [7 << 32 | 3, 7 << 32 | 4], [500_000, 1000]]]
-
-
 def test_empty_and_clashing_columns(spark, libraries):
     assert run(spark, []) == []
     data = [(1, "a b", "x", "y", 1), (None, None, "x", "y", 1), (1, "a b", "x", "y", 1)]
