@@ -435,6 +435,6 @@ def canonical_json(spark, sf):
 
 
 # further queries, by subject
-from quillmeter.plans import attribution, checks, cloud, evidence, provider, scalars, state, transcripts, usage  # noqa: E402
+from quillmeter.plans import attribution, checks, cloud, evidence, provider, redaction, scalars, state, transcripts, usage  # noqa: E402
 
-__all__ = ["ORACLE", "QUERIES", "attribution", "checks", "cloud", "evidence", "provider", "scalars", "state", "transcripts", "usage"]
+__all__ = ["ORACLE", "QUERIES", "attribution", "checks", "cloud", "evidence", "provider", "redaction", "scalars", "state", "transcripts", "usage"]
