@@ -21,6 +21,8 @@ from quillmeter.llm.wordhash import _CHUNK, _INVERSE, _POWER, _VALUE, _bytes_of,
 GRAM = 64
 #: Buckets of anchors, and bits of the broadcast bitmap (8 MB): a fixed size. A full one lets all stretches through.
 BUCKET_BITS = 26
+#: Rounds of counting anchors: each counts those that the rounds before let through, so that few are left by chance.
+ROUNDS = 2
 #: Bytes of the stretches whose suffixes are sorted together.
 SHARD_BYTES = 2 << 20
 #: Bytes of an anchor's different stretches above which its windows are dealt out one by one.
@@ -75,16 +77,28 @@ class Stretches:
         return np.array([xxhash.xxh64_intdigest(view[a:b], 7) for a, b in zip(self.start[which].tolist(), end[which].tolist(), strict=True)], np.uint64).view(np.int64)
 
 
-def _buckets(anchor: np.ndarray, bits: int) -> np.ndarray:
-    return (anchor.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
+def _buckets(anchor: np.ndarray, bits: int, round_: int = 0) -> np.ndarray:
+    """Buckets of anchors; anchors that share one in a round hardly do in another."""
+    h = anchor.view(np.uint64) if not round_ else mixed(anchor.view(np.uint64) + np.uint64(round_))
+    return (h >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def _anchor_counts(own: DataFrame, window: int, gram: int, bits: int) -> DataFrame:
+def _may_repeat(anchor: np.ndarray, maps: list, bits: int) -> np.ndarray:
+    ok = np.ones(len(anchor), bool)
+    for round_, bitmap_ in enumerate(maps):
+        ok[ok] = has(bitmap_.value, _buckets(anchor[ok], bits, round_))
+    return ok
+
+
+def _anchor_counts(own: DataFrame, maps: list, window: int, gram: int, bits: int) -> DataFrame:
+    """Bucket counts of the anchors that the bitmaps of earlier rounds let through."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = BucketCounts(2, bits)
         for batch in batches:
             for part in row_slices(batch, size=VECTOR_BYTES):
-                counts.add(_buckets(Stretches(part.column("text"), window, gram).anchor, bits))
+                anchor = Stretches(part.column("text"), window, gram).anchor
+                counts.add(_buckets(anchor[_may_repeat(anchor, maps, bits)], bits, len(maps)))
         rows = counts.rows()
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], ["chunk", "places", "counts"])
@@ -93,15 +107,15 @@ def _anchor_counts(own: DataFrame, window: int, gram: int, bits: int) -> DataFra
     return own.select("text").mapInArrow(run, COUNT_SCHEMA)
 
 
-def _documents(own: DataFrame, repeated, window: int, gram: int, bits: int) -> DataFrame:
-    """All documents; those with a stretch whose anchor's bucket is full keep their text and these stretches."""
+def _documents(own: DataFrame, maps: list, window: int, gram: int, bits: int) -> DataFrame:
+    """All documents; those with a stretch whose anchor the bitmaps let through keep their text and these stretches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         uid = TaskContext.get().partitionId() << 36
         for batch in batches:
             for part in row_slices(batch, size=VECTOR_BYTES):
                 s, n = Stretches(part.column("text"), window, gram), part.num_rows
-                may = np.flatnonzero(has(repeated.value, _buckets(s.anchor, bits)))
+                may = np.flatnonzero(_may_repeat(s.anchor, maps, bits))
                 row, content = s.row[may], s.contents(may)
                 at = np.searchsorted(row, np.arange(n + 1))
                 flat = pa.StructArray.from_arrays([pa.array(s.anchor[may]), pa.array(content), pa.array((s.start[may] - s.offsets[row]).astype(np.int32)), pa.array(s.windows[may].astype(np.int32))], ["anchor", "content", "at", "windows"])
@@ -119,10 +133,10 @@ def _documents(own: DataFrame, repeated, window: int, gram: int, bits: int) -> D
 
 
 def _stretch_texts(docs: DataFrame, chosen: DataFrame, window: int) -> DataFrame:
-    """(anchor, content, words): the bytes of the chosen stretches, each from the document that stands for it."""
-    lists = chosen.groupBy("uid").agg(F.collect_list(F.struct("anchor", "content", "at", "windows")).alias("own"))
+    """(anchor, content, hot, bytes): the bytes of the chosen stretches, each from the document that stands for it."""
+    lists = chosen.groupBy("uid").agg(F.collect_list(F.struct("anchor", "content", "at", "windows", "hot")).alias("own"))
     met = docs.where("text is not null").select("uid", "text").join(lists.hint("shuffle_hash"), "uid")
-    cut = F.transform("own", lambda s: F.struct(s["anchor"].alias("anchor"), s["content"].alias("content"), F.expr("text").substr(s["at"] + 1, s["windows"] + F.lit(window - 1)).alias("bytes")))
+    cut = F.transform("own", lambda s: F.struct(s["anchor"].alias("anchor"), s["content"].alias("content"), s["hot"].alias("hot"), F.expr("text").substr(s["at"] + 1, s["windows"] + F.lit(window - 1)).alias("bytes")))
     return met.select(F.inline(cut))
 
 
@@ -222,9 +236,9 @@ def dedup_bytes(docs: DataFrame, window: int = 200, gram: int = GRAM, bits: int
     ``n_spans`` counts maximal runs of bytes that go. ``kept_sha256`` is of the bytes that stay, one after the other.
 
     1. Each window is stood for by its gram with the least hash, the anchor. Windows with one anchor at one place form a
-    stretch; each window is in one. Anchors are counted by hashed buckets, and the bitmap of those that come twice is
-    broadcast: other stretches have no partner. 2. Stretches are counted by (anchor, hash of their bytes). One that
-    comes again is repeated as a whole. One bytes' worth of each goes on where its anchor has different stretches.
+    stretch; each window is in one. Anchors are counted by hashed buckets, in two rounds, and the bitmaps of those that come
+    twice are broadcast: other stretches have no partner. 2. Stretches are counted by (anchor, hash of their bytes). One that
+    comes again is repeated as a whole. One occurrence of each goes on where its anchor has different stretches.
     3. These are dealt into shards by anchor; a shard's suffixes are sorted by induced sorting, and common prefixes in
     text order tell which windows are repeated. An anchor with very many different stretches would fill a shard: its
     windows are dealt out one by one, by hash, and counted. 4. The covered bytes are removed.
@@ -234,19 +248,24 @@ def dedup_bytes(docs: DataFrame, window: int = 200, gram: int = GRAM, bits: int
     """
     spark = docs.sparkSession
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    repeated = spark.sparkContext.broadcast(bitmap(full_buckets(_anchor_counts(own, window, gram, bits), 2), bits))
-    all_docs = written(_documents(own, repeated, window, gram, bits), "documents")
-    repeated.destroy()
+    maps: list = []
+    for _ in range(ROUNDS):
+        maps.append(spark.sparkContext.broadcast(bitmap(full_buckets(_anchor_counts(own, maps, window, gram, bits), 2), bits)))
+    all_docs = written(_documents(own, maps, window, gram, bits), "documents")
+    for old in maps:
+        old.destroy()
     stretches = all_docs.select("uid", F.inline("stretches"))
     keys = ["anchor", "content"]
-    counted = stretches.groupBy(*keys).agg(F.count("*").alias("n"), F.min(F.struct("uid", "at", "windows")).alias("one"))
-    counted = written(counted, "stretches")
-    anchors = counted.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum("n").alias("all"), F.sum(F.col("one.windows") + F.lit(window)).alias("bytes")).where("`all` > 1")
-    met = counted.join(anchors, "anchor").select(*keys, "n", "one", "kinds", "bytes")
-    whole, open_ = met.where("n > 1").select(*keys), met.where("kinds > 1").select(*keys, "one.*", (F.col("bytes") > HOT_BYTES).alias("hot"))
-    texts = written(_stretch_texts(all_docs, open_, window).join(open_.where("hot").select(*keys, "hot"), keys, "left"), "texts")
-    total = texts.where("hot is null").agg(F.sum(F.octet_length("bytes"))).first()[0] or 0
-    ranges = _by_suffix_arrays(texts.where("hot is null"), max(1, -(-total // SHARD_BYTES)), window).union(_by_single_windows(texts.where("hot"), window))
+    # one occurrence of each: the least (uid, at), as one number
+    place = F.col("uid").cast("decimal(20,0)") * F.lit(1 << 31) + F.col("at")
+    counted = stretches.groupBy(*keys).agg(F.count("*").alias("n"), F.max("windows").alias("windows"), F.min(place.cast("decimal(30,0)")).alias("one"))
+    anchors = counted.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum("n").alias("all"), F.sum(F.col("windows") + F.lit(window)).alias("bytes")).where("`all` > 1")
+    spot = [F.expr(f"one div {1 << 31}").alias("uid"), F.expr(f"CAST(one % {1 << 31} AS INT)").alias("at")]
+    met = written(counted.join(anchors, "anchor").select(*keys, "n", "windows", *spot, "kinds", (F.col("bytes") > HOT_BYTES).alias("hot")), "stretches")
+    whole, open_ = met.where("n > 1").select(*keys), met.where("kinds > 1").select(*keys, "uid", "at", "windows", "hot")
+    texts = written(_stretch_texts(all_docs, open_, window), "texts")
+    total = texts.where("not hot").agg(F.sum(F.octet_length("bytes"))).first()[0] or 0
+    ranges = _by_suffix_arrays(texts.where("not hot"), max(1, -(-total // SHARD_BYTES)), window).union(_by_single_windows(texts.where("hot"), window))
     ranges = written(ranges.union(whole.select(*keys, F.lit(0).alias("a"), F.lit(None).cast("int").alias("b"))), "ranges")
     drop(texts)
     gone = stretches.join(ranges, keys).select("uid", (F.col("at") + F.col("a")).alias("a"), (F.col("at") + F.coalesce("b", "windows") + F.lit(window - 1)).alias("b"))
