@@ -31,13 +31,13 @@ def provider_facts(spark, sf):
     return attribution.facts(table(spark, sf, "customer"), "c_name", [group]).drop("label", "strength")
 
 
-@query("""WITH w AS (SELECT user_id AS worker, event_type AS kind, 'c' || min(event_id % 4) AS controller FROM events WHERE event_id % 37 = 0 GROUP BY 1, 2), l AS (SELECT worker, min(kind) AS kind, min(controller) AS controller FROM w GROUP BY 1 HAVING count(*) = 1),
+@query("""WITH w AS (SELECT CASE WHEN event_id % 37 = 0 THEN user_id ELSE -1 - event_id END AS worker, event_type AS kind, 'c' || min(event_id % 4) AS controller FROM events GROUP BY 1, 2), l AS (SELECT worker, min(kind) AS kind, min(controller) AS controller FROM w GROUP BY 1 HAVING count(*) = 1),
 s AS (SELECT c_custkey, 'u' || c_custkey || CASE WHEN c_custkey % 4 = 0 THEN '_agent-' || c_custkey ELSE '' END AS session, CASE WHEN c_custkey % 5 = 0 THEN 'root' || c_custkey END AS f FROM customer),
 f AS (SELECT session, unnest([(1, 'root_session_ref', coalesce(f, split_part(session, '_agent-', 1))), (2, 'agent_kind', CASE WHEN c_custkey % 2 = 0 THEN 'Explore' ELSE repeat('é', 65) END), (3, 'agent_ref', session), (4, 'spawn_depth', (c_custkey % 3)::VARCHAR),
 (5, 'parent_session_ref', controller), (6, 'origin_kind', CASE WHEN controller IS NOT NULL THEN 'agent_spawn' END), (7, 'agent_kind', kind)]) AS f FROM s LEFT JOIN l ON worker = c_custkey)
 SELECT session, (row_number() OVER (PARTITION BY session ORDER BY f[1]) - 1)::INTEGER AS place, f[2] AS field, f[3] AS value FROM f WHERE f[3] IS NOT NULL AND strlen(f[3]) BETWEEN 1 AND 128""")
 def subagent_facts(spark, sf):
-    events = table(spark, sf, "events").where("event_id % 37 = 0").groupBy(F.col("user_id").alias("worker"), F.col("event_type").alias("kind")).agg(F.concat(F.lit("c"), F.min(F.col("event_id") % 4)).alias("controller"))
+    events = table(spark, sf, "events").groupBy(F.expr("CASE WHEN event_id % 37 = 0 THEN user_id ELSE -1 - event_id END").alias("worker"), F.col("event_type").alias("kind")).agg(F.concat(F.lit("c"), F.min(F.col("event_id") % 4)).alias("controller"))
     rows = table(spark, sf, "customer").selectExpr("c_custkey", "concat('u', c_custkey, CASE WHEN c_custkey % 4 = 0 THEN concat('_agent-', c_custkey) ELSE '' END) AS session", "CASE WHEN c_custkey % 5 = 0 THEN concat('root', c_custkey) END AS f")
     rows = rows.join(attribution.launched(events, "worker"), F.col("worker") == F.col("c_custkey"), "left")
     kind = F.when(F.col("c_custkey") % 2 == 0, "Explore").otherwise(F.repeat(F.lit("é"), F.lit(65)))

@@ -1,4 +1,4 @@
-"""Queries over pages of remote tasks, made from ``orders``: ten orders of a customer's range to a page."""
+"""Queries over pages of remote tasks, made from all ``orders``: runs of 16 and of 24 orders are pages."""
 
 from __future__ import annotations
 
@@ -13,26 +13,26 @@ _IN, _OUT = (bytes(b ^ x for b in _KEY.ljust(64, b"\0")).hex() for x in (0x36, 0
 _STATUS = "CASE o_orderkey % 7 WHEN 0 THEN 'Pending' WHEN 1 THEN 'in_progress' WHEN 2 THEN 'applied' WHEN 3 THEN 'Error' WHEN 4 THEN 'canceled' WHEN 5 THEN 'queued' ELSE '' END"
 _ITEM = f"""concat('{{', CASE WHEN o_orderkey % 13 = 0 THEN '"id":7' WHEN o_orderkey % 2 = 0 THEN concat('"task_id":"o', o_orderkey, '"') ELSE concat('"id":"o', o_orderkey, '"') END, ',"state":"', {_STATUS}, '","environment":"', CASE o_orderkey % 3 WHEN 0 THEN 'Cloud' WHEN 1 THEN 'containerized' ELSE 'x' END,
 '","attempts":', CASE WHEN o_orderkey % 5 = 0 THEN '100001' ELSE concat('', o_orderkey % 5) END, ',"createdAt":"', substr(concat('', o_orderdate), 1, 10), 'T05:00:00Z","completed_at":"', CASE WHEN o_orderkey % 11 = 0 THEN '1980-01-01T00:00:00Z' WHEN o_orderkey % 11 = 1 THEN 'soon' ELSE '2002-01-01T00:00:00+01:00' END, '"}}')"""
-_PAGES = "o_orderkey % 200"
+_PAGES = "CAST(floor(o_orderkey / 40) * 2 + CASE WHEN o_orderkey % 40 < 16 THEN 0 ELSE 1 END AS BIGINT)"
 
 
-@query(f"""WITH o AS (SELECT *, {_STATUS} AS s, row_number() OVER (PARTITION BY {_PAGES} ORDER BY o_orderkey) - 1 AS place FROM orders WHERE o_orderkey < 5000), g AS (SELECT * FROM o WHERE place < 20 AND o_orderkey % 13 > 0 AND s <> ''),
+@query(f"""WITH o AS (SELECT *, {_STATUS} AS s, row_number() OVER (PARTITION BY {_PAGES} ORDER BY o_orderkey) - 1 AS place FROM orders), g AS (SELECT * FROM o WHERE place < 20 AND o_orderkey % 13 > 0 AND s <> ''),
 t AS (SELECT *, o_orderdate::DATE + INTERVAL 5 HOUR AS c, CASE WHEN o_orderkey % 11 = 0 THEN TIMESTAMP '1980-01-01 00:00:00' WHEN o_orderkey % 11 > 1 THEN TIMESTAMP '2001-12-31 23:00:00' END AS d FROM g)
-SELECT (o_orderkey % 200) AS page, place::INTEGER AS place, sha256(unhex('{_OUT}') || unhex(sha256(unhex('{_IN}') || encode('o' || o_orderkey)))) AS entity, CASE s WHEN 'in_progress' THEN 'running' WHEN 'applied' THEN 'completed' WHEN 'Error' THEN 'failed' WHEN 'canceled' THEN 'cancelled' WHEN 'queued' THEN s ELSE 'unknown' END AS lifecycle,
+SELECT {_PAGES} AS page, place::INTEGER AS place, sha256(unhex('{_OUT}') || unhex(sha256(unhex('{_IN}') || encode('o' || o_orderkey)))) AS entity, CASE s WHEN 'in_progress' THEN 'running' WHEN 'applied' THEN 'completed' WHEN 'Error' THEN 'failed' WHEN 'canceled' THEN 'cancelled' WHEN 'queued' THEN s ELSE 'unknown' END AS lifecycle,
 CASE o_orderkey % 3 WHEN 0 THEN 'hosted' WHEN 1 THEN 'container' ELSE 'unknown' END AS environment, CASE WHEN o_orderkey % 5 > 0 THEN o_orderkey % 5 END AS attempts, CASE WHEN d IS NULL OR c <= d THEN c END AS created, CASE WHEN d IS NULL OR c <= d THEN d END AS completed FROM t""")
 def cloud_rows(spark, sf):
     made, _ = _page_rows(spark, sf)
     return made.drop("started", "updated")
 
 
-@query(f"""SELECT {_PAGES} AS page, count(*)::INTEGER AS items, count(*) FILTER (place < 20 AND (o_orderkey % 13 = 0 OR o_orderkey % 7 = 6)) AS invalid, count(*) > 20 AS truncated FROM (SELECT *, row_number() OVER (PARTITION BY {_PAGES} ORDER BY o_orderkey) - 1 AS place FROM orders WHERE o_orderkey < 5000) GROUP BY 1""")
+@query(f"""SELECT {_PAGES} AS page, count(*)::INTEGER AS items, count(*) FILTER (place < 20 AND (o_orderkey % 13 = 0 OR o_orderkey % 7 = 6)) AS invalid, count(*) > 20 AS truncated FROM (SELECT *, row_number() OVER (PARTITION BY {_PAGES} ORDER BY o_orderkey) - 1 AS place FROM orders) GROUP BY 1""")
 def cloud_pages(spark, sf):
     return _page_rows(spark, sf)[1]
 
 
 def _page_rows(spark, sf):
-    """Pages of up to 25 rows: a bounded list for each."""
-    items = table(spark, sf, "orders").where("o_orderkey < 5000").select(F.expr(_PAGES).alias("page"), "o_orderkey", F.expr(_ITEM).alias("item"))
+    """Pages of up to 24 rows: a bounded list for each."""
+    items = table(spark, sf, "orders").select(F.expr(_PAGES).alias("page"), "o_orderkey", F.expr(_ITEM).alias("item"))
     lists = items.groupBy("page").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "item"))).alias("i"))
     body = F.concat(F.lit("["), F.array_join(F.transform("i", lambda x: x["item"]), ","), F.lit("]"))
     whole = F.when(F.col("page") % 3 == 0, body).otherwise(F.concat(F.lit('{"tasks":7,"items":'), body, F.lit("}")))

@@ -54,10 +54,10 @@ def appended_evidence(spark, sf):
     return evidence.appended(table(spark, sf, "events").select("user_id", "event_id", "props"), sizes, "user_id", "props", "event_id", 500).select("user_id", "event_id")
 
 
-@query("""WITH o AS (SELECT user_id AS request, min(event_type) AS owner FROM events WHERE event_id % 20 = 0 GROUP BY 1 HAVING count(DISTINCT event_type) = 1), t AS (SELECT o_custkey AS request, max(o_totalprice)::DECIMAL(18, 2) AS cost FROM orders GROUP BY 1)
+@query("""WITH o AS (SELECT CASE WHEN event_id % 20 = 0 THEN user_id ELSE -1 - event_id END AS request, min(event_type) AS owner FROM events GROUP BY 1 HAVING count(DISTINCT event_type) = 1), t AS (SELECT o_custkey AS request, max(o_totalprice)::DECIMAL(18, 2) AS cost FROM orders GROUP BY 1)
 SELECT c_custkey AS request, owner, cost FROM customer LEFT JOIN o ON o.request = c_custkey LEFT JOIN t ON t.request = c_custkey""")
 def attributed_requests(spark, sf):
-    owners = table(spark, sf, "events").where("event_id % 20 = 0").select(F.col("user_id").alias("request"), F.col("event_type").alias("owner"))
+    owners = table(spark, sf, "events").select(F.expr("CASE WHEN event_id % 20 = 0 THEN user_id ELSE -1 - event_id END").alias("request"), F.col("event_type").alias("owner"))
     costs = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("request")).agg(F.max("o_totalprice").cast("decimal(18,2)").alias("cost"))
     return evidence.attributed(table(spark, sf, "customer").select(F.col("c_custkey").alias("request")), owners, costs, "request")
 

@@ -83,15 +83,16 @@ def call_result_join(spark, sf):
     return joined.groupBy(F.coalesce("o_orderpriority", F.lit("other")).alias("category")).agg(F.count("*").alias("results"), F.sum("event_id").alias("total"))
 
 
-@query("""WITH o AS (SELECT user_id AS k, min(event_type) AS v, count(DISTINCT event_type) AS n FROM events WHERE event_id % 5 = 0 GROUP BY 1),
-u AS (SELECT o_custkey AS k, min(o_orderpriority) AS v, count(DISTINCT o_orderpriority) AS n, count(*) FILTER (o_orderkey % 11 = 0) AS gaps FROM orders WHERE o_orderkey % 7 = 0 GROUP BY 1),
+@query("""WITH o AS (SELECT CASE WHEN event_id % 5 = 0 THEN user_id ELSE -1 - event_id END AS k, min(event_type) AS v, count(DISTINCT event_type) AS n FROM events GROUP BY 1),
+u AS (SELECT CASE WHEN o_orderkey % 7 = 0 THEN o_custkey ELSE -1 - o_orderkey END AS k, min(o_orderpriority) AS v, count(DISTINCT o_orderpriority) AS n, count(*) FILTER (o_orderkey % 11 = 0) AS gaps FROM orders GROUP BY 1),
 s AS (SELECT c_custkey, c_mktsegment, coalesce(o.n, 0) AS no, o.v AS ov, CASE WHEN u.k IS NULL THEN 0 WHEN u.gaps > 0 OR u.n > 1 THEN 2 ELSE 1 END AS nu, u.v AS uv, coalesce(p.n, 0) AS np, p.v AS pv
 FROM customer LEFT JOIN o ON o.k = c_custkey LEFT JOIN u ON u.k = c_custkey LEFT JOIN o p ON p.k = c_custkey - 1 AND c_custkey % 3 = 0),
 r AS (SELECT CASE WHEN no > 1 OR nu > 1 OR (no = 1 AND nu = 1 AND ov <> uv) THEN 'conflict' WHEN no = 1 THEN 'observation' WHEN nu = 1 THEN 'usage' WHEN np > 1 THEN 'conflict' WHEN np = 1 THEN 'lineage' WHEN c_mktsegment = 'BUILDING' THEN 'login' ELSE 'none' END AS origin, * FROM s)
 SELECT origin, CASE origin WHEN 'observation' THEN ov WHEN 'usage' THEN uv WHEN 'lineage' THEN pv WHEN 'login' THEN c_mktsegment END AS account, count(*) AS n FROM r GROUP BY 1, 2""")
 def account_precedence(spark, sf):
-    seen = table(spark, sf, "events").where("event_id % 5 = 0").select(F.col("user_id").alias("c_custkey"), F.col("event_type").alias("account"))
-    used = table(spark, sf, "orders").where("o_orderkey % 7 = 0").select(F.col("o_custkey").alias("c_custkey"), F.when(F.col("o_orderkey") % 11 != 0, F.col("o_orderpriority")).alias("account"))
+    # every row is an observation; those of other sessions than the customers' find no partner
+    seen = table(spark, sf, "events").select(F.expr("CASE WHEN event_id % 5 = 0 THEN user_id ELSE -1 - event_id END").alias("c_custkey"), F.col("event_type").alias("account"))
+    used = table(spark, sf, "orders").select(F.expr("CASE WHEN o_orderkey % 7 = 0 THEN o_custkey ELSE -1 - o_orderkey END").alias("c_custkey"), F.when(F.col("o_orderkey") % 11 != 0, F.col("o_orderpriority")).alias("account"))
     parents = seen.select((F.col("c_custkey") + 1).alias("c_custkey"), "account").where("c_custkey % 3 = 0")
     login = F.when(F.col("c_mktsegment") == "BUILDING", F.col("c_mktsegment"))
     rows = joins.account_of(table(spark, sf, "customer"), "c_custkey", "account", seen, used, parents, login)

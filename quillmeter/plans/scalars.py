@@ -94,7 +94,7 @@ def retry_delays(spark, sf):
     return rows.select("event_id", times.retry_after(F.col("t"), F.lit("2024-01-01 00:20:00").cast("timestamp")).alias("seconds"), times.is_utc_second(F.col("u")).alias("is_second"))
 
 
-_PROMPT = """CASE doc_id % 7 WHEN 0 THEN concat('/Fix-', doc_id % 5, ': ', substr(text, 1, 80)) WHEN 1 THEN concat('/help ', text) WHEN 2 THEN concat('Run it. Its prompt is: see /usr/lib/x', doc_id, ' and (src/a.py) now ', substr(text, 1, 60))
+_PROMPT = """CASE doc_id % 7 WHEN 0 THEN concat('/Fix-', doc_id % 5, ': ', text) WHEN 1 THEN concat('/help ', text) WHEN 2 THEN concat('Run it. Its prompt is: see /usr/lib/x', doc_id, ' and (src/a.py) now ', text)
 WHEN 3 THEN concat('<environment_context>', text) WHEN 4 THEN '  ' WHEN 5 THEN concat('/a b', text) ELSE text END"""
 
 
@@ -118,11 +118,11 @@ _UNSAFE = " OR ".join(f"contains(lower(x), '{m}')" for m in text.UNSAFE_MARKS)
 
 @query(f"""WITH p AS (SELECT page_id, html, {_PATH} AS t FROM pages),
 c AS (SELECT page_id, html, CASE WHEN t LIKE '/ws/app/_%' THEN replace(substr(t, 9), chr(92), '/') ELSE nullif(regexp_extract(t, '([^/]+)/*$', 1), '') END AS c FROM p),
-x AS (SELECT page_id, array_to_string(list_filter(regexp_split_to_array(substr(html, 1, 300), '{text.WHITE}+'), lambda v: v <> ''), ' ') AS x,
+x AS (SELECT page_id, array_to_string(list_filter(regexp_split_to_array(html, '{text.WHITE}+'), lambda v: v <> ''), ' ') AS x,
 CASE WHEN NOT (regexp_matches(c, '^[/~\\\\]') OR contains(c, '..') OR contains(c, ':/') OR contains(c, ':' || chr(92))) THEN c END AS name FROM c)
 SELECT page_id, CASE WHEN NOT ({_UNSAFE}) AND x <> '' THEN left(x, 100) END AS safe, name FROM x""")
 def safe_names(spark, sf):
-    rows = table(spark, sf, "pages").selectExpr("page_id", "substr(html, 1, 300) AS html", f"{_PATH} AS path")
+    rows = table(spark, sf, "pages").selectExpr("page_id", "html", f"{_PATH} AS path")
     return rows.select("page_id", text.safe_text(F.col("html"), 100).alias("safe"), text.relative_or_name(F.lit("/ws/app"), F.col("path")).alias("name"))
 
 

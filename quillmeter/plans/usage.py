@@ -60,13 +60,14 @@ def usage_hours(spark, sf):
     return usage.hourly(rows, "ts", ["event_type", "selector"], ["tokens"], "pico").withColumn("pico", F.col("pico").cast("decimal(38,0)"))
 
 
-@query("""WITH b AS (SELECT DISTINCT o_custkey AS s, o_orderkey AS r FROM orders WHERE o_orderkey % 4 = 0), e AS (SELECT o_custkey AS s, o_orderkey AS r, o_custkey % 7 + CASE WHEN o_orderkey % 60 = 0 THEN 1 ELSE 0 END AS a FROM orders WHERE o_orderkey % 100 <> 4 UNION ALL SELECT o_custkey, o_orderkey, o_custkey % 7 FROM orders WHERE o_orderkey % 84 = 0),
+@query("""WITH b AS (SELECT DISTINCT CASE WHEN o_orderkey % 4 = 0 THEN o_custkey ELSE -1 - o_custkey END AS s, o_orderkey AS r FROM orders), e AS (SELECT o_custkey AS s, o_orderkey AS r, o_custkey % 7 + CASE WHEN o_orderkey % 60 = 0 THEN 1 ELSE 0 END AS a FROM orders WHERE o_orderkey % 100 <> 4 UNION ALL SELECT o_custkey, o_orderkey, o_custkey % 7 FROM orders WHERE o_orderkey % 84 = 0),
 m AS (SELECT b.s, b.r, count(e.a) AS n, min(e.a) AS lo, max(e.a) AS hi FROM b LEFT JOIN e USING (s, r) GROUP BY 1, 2) SELECT s AS session, CASE WHEN bool_and(n = 1) AND min(lo) = max(hi) THEN min(lo) END AS account, bool_and(n = 1) AND coalesce(min(lo) = max(hi), false) AS complete FROM m GROUP BY 1""")
 def request_coverage(spark, sf):
     orders = table(spark, sf, "orders").select(F.col("o_custkey").alias("session"), F.col("o_orderkey").alias("request"))
     account = F.col("session") % 7
     once = orders.where("request % 100 <> 4").withColumn("account", account + F.when(F.col("request") % 60 == 0, 1).otherwise(0))
-    return usage.covered(orders.where("request % 4 = 0"), once.union(orders.where("request % 84 = 0").withColumn("account", account)), "session", "request", "account")
+    billed = orders.select(F.expr("CASE WHEN request % 4 = 0 THEN session ELSE -1 - session END").alias("session"), "request")
+    return usage.covered(billed, once.union(orders.where("request % 84 = 0").withColumn("account", account)), "session", "request", "account")
 
 
 @query("""SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN c_name WHEN c_custkey % 5 = 0 THEN c_mktsegment ELSE 'Tidy [path] up' END AS title FROM customer""")
