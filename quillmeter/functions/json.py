@@ -14,8 +14,12 @@ TEXTS = ("text", "input_text", "output_text")
 
 
 def kind(value: Column) -> Column:
-    """``STRING``, ``BIGINT``, ``BOOLEAN``, ``ARRAY``, ``OBJECT``, ``VOID`` (JSON null) and the like; null where there is nothing."""
-    return F.regexp_extract(F.schema_of_variant(value), "^[A-Z]+", 0)
+    """``STRING``, ``BIGINT``, ``BOOLEAN``, ``ARRAY``, ``OBJECT``, ``VOID`` (JSON null) and the like; null where there is nothing.
+
+    Only scalars and empty arrays get to the schema, which for nested values would be built as a whole.
+    """
+    nested = F.when(F.try_variant_get(value, "$", "struct<>").isNotNull(), "OBJECT").when(F.try_variant_get(value, "$[0]", "variant").isNotNull(), "ARRAY")
+    return F.coalesce(nested, F.regexp_extract(F.schema_of_variant(value), "^[A-Z]+", 0))
 
 
 def at(value: Column, path: str) -> Column:

@@ -107,7 +107,8 @@ def relative_or_name(workspace: Column, path: Column, marks: Sequence[str] = UNS
 
 
 def without_scaffolding(text: Column) -> Column:
-    """A prompt without the blocks that tools put before it, as many as there are."""
+    """A prompt without the blocks that tools put before it, as many as there are; others only lose their leading blanks."""
+    bare = F.regexp_replace(text, f"^{WHITE}+", "")
 
     def end(low: Column, close: str) -> Column:
         at = F.instr(low, close)
@@ -129,8 +130,9 @@ def without_scaffolding(text: Column) -> Column:
         )
         return F.substr(v, at + 1)
 
-    blocks = F.sequence(F.lit(1), F.size(F.split(text, "</")))
-    return F.aggregate(blocks, text, lambda value, _: once(value))
+    blocks = F.sequence(F.lit(1), F.size(F.split(text, "(?i)</(?:recommended_plugins|instructions|environment_context)>")))
+    begins = bare.rlike("(?i)^(?:<recommended_plugins>|# agents\\.md instructions for |<environment_context>)")
+    return F.when(begins, F.aggregate(blocks, text, lambda value, _: once(value))).otherwise(bare)
 
 
 _CHANGING = r"^[^A-Za-z0-9]*(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|(?:[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}|[0-9]{4,}|[0-9A-Fa-f]{16,})[^A-Za-z0-9]*$)"
@@ -161,11 +163,11 @@ def is_local_path(token: Column) -> Column:
 
 def prompt_label(prompt: Column, most_bytes: int = 96) -> Column:
     """The first whole tokens of a prompt within ``most_bytes``, local paths as ``[path]``; null for private scaffolding."""
-    whole = trimmed(prompt)
-    at = F.instr(ascii_lower(whole), "its prompt is:")
-    said = trimmed(F.when(at > 0, F.substr(whole, at + len("its prompt is:"))).otherwise(whole))
+    said = F.when(prompt.rlike("(?i)its prompt is:"), F.regexp_extract(prompt, "(?is)its prompt is:(.*)", 1)).otherwise(prompt)
+    most = most_bytes // 2 + 1
+    head = F.regexp_extract(said, f"^{WHITE}*((?:[^{WHITE[1:]}+{WHITE}*){{1,{most}}})", 1)
     # every token takes two bytes at least
-    safe = F.transform(F.slice(tokens(said), 1, most_bytes // 2 + 1), lambda t: F.when(is_local_path(t), "[path]").otherwise(t))
+    safe = F.transform(F.slice(tokens(head), 1, most), lambda t: F.when(is_local_path(t), "[path]").otherwise(t))
     start = F.struct(F.lit("").alias("label"), F.lit(False).alias("full"))
 
     def add(now: Column, t: Column) -> Column:
@@ -174,7 +176,7 @@ def prompt_label(prompt: Column, most_bytes: int = 96) -> Column:
         return F.struct(F.when(full, now["label"]).otherwise(longer).alias("label"), full.alias("full"))
 
     label = F.aggregate(safe, start, add, lambda now: now["label"])
-    private = has_any(ascii_lower(whole), PRIVATE_MARKS)
+    private = prompt.rlike("(?i)" + "|".join(m.replace(".", r"\.") for m in PRIVATE_MARKS))
     return F.when(~private & (label != ""), label)
 
 

@@ -25,12 +25,13 @@ def attributes(value: Column, path: str) -> Column:
     items = F.coalesce(json.items_at(value, path), F.array().cast("array<variant>"))
     pairs = F.transform(items, lambda a: F.named_struct(F.lit("k"), json.string_at(a, "$.key"), F.lit("v"), any_text(json.at(a, "$.value"))))
     good = F.filter(pairs, lambda p: p["k"].isNotNull() & p["v"].isNotNull())
+    placed = F.array_sort(F.transform(good, lambda p, i: F.struct(p["k"].alias("k"), i.alias("i"), p["v"].alias("v"))))
 
     def last_of_each(found: Column) -> Column:
-        last = F.filter(found, lambda p, i: F.size(F.filter(F.slice(found, i + 2, F.size(found)), lambda q: q["k"] == p["k"])) == 0)
-        return F.map_from_entries(last)
+        last = F.filter(found, lambda p, i: ~F.get(found, i + 1)["k"].eqNullSafe(p["k"]))
+        return F.map_from_entries(F.transform(last, lambda p: F.struct(p["k"].alias("k"), p["v"].alias("v"))))
 
-    return bound(good, last_of_each)
+    return bound(placed, last_of_each)
 
 
 def log_records(bodies: DataFrame, value: str, name: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillmeter.functions.values import bound
 
+
 def last_of(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """For each key the last row in a total order, by one grouped maximum."""
     cols = [c for c in rows.columns if c not in keys]
@@ -45,15 +46,17 @@ def longest_contained(texts: DataFrame, text: str, id_: str, signatures: DataFra
     """(id, label): the longest signature that a text contains; none if two labels share the longest length.
 
     Texts and signatures meet on a hash of words that lie inside the signature (or of its first characters, where it has
-    fewer than three words), by an equi-join of any size; ``contains`` decides. Ids must be unique. Null texts and
-    signatures meet nothing.
+    fewer than three words), by an equi-join of any size: hashes and ids alone. The pairs that met get their texts back,
+    and ``contains`` decides. Ids must be unique. Null texts and signatures meet nothing.
     """
     some = _anchors(signatures.where(F.octet_length(signature) >= least).select(F.col(signature).alias("_s"), F.col(label).alias("label")), "_s")
     sizes = [r["size"] for r in some.select("size").distinct().collect()]  # three at most
     if not sizes:
         return texts.select(id_, F.lit(None).cast(signatures.schema[label].dataType).alias("label")).where("false")
-    offers = texts.where(F.col(text).isNotNull()).select(id_, text, F.explode(_keys(texts, text, sizes)).alias("_k")).select(id_, text, "_k.size", "_k.key")
-    met = offers.join(some, ["size", "key"]).where(F.col(text).contains(F.col("_s")))
+    own = texts.where(F.col(text).isNotNull()).select(id_, text)
+    offers = own.select(id_, F.inline(_keys(own, text, sizes)))
+    pairs = offers.join(some, ["size", "key"]).select(id_, "_s", "label")
+    met = own.join(pairs, id_).where(F.col(text).contains(F.col("_s")))
     per = met.groupBy(id_, F.octet_length("_s").alias("_n")).agg(F.count_distinct("label").alias("_k"), F.min("label").alias("label"))
     return last_of(per, [id_], [F.col("_n")]).where("_k = 1").select(id_, "label")
 
