@@ -28,20 +28,52 @@ def current(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.parquet(f"{root}/v{_versions(spark, root)[-1]}")
 
 
+def _origin(spark: SparkSession, root: str, version: int) -> str:
+    """Which batch of which stream wrote a version."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/v{version}/_origin")
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(path):
+        return ""
+    stream = files.open(path)
+    try:
+        return stream.readUTF()
+    finally:
+        stream.close()
+
+
+def _write_origin(spark: SparkSession, root: str, version: int, origin: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/v{version}/_origin")
+    stream = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path, True)
+    try:
+        stream.writeUTF(origin)
+    finally:
+        stream.close()
+
+
 def upsert(root: str, merge: Callable[[DataFrame | None, DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function: version k of the state is written beside the one before, so a repeated batch is harmless.
+    """A foreachBatch function: each batch writes the next version of the state, from the newest one.
 
-    Late rows change the state like others. The newest version is the state; versions that no repeated batch can need
-    are deleted. ``merge`` gets None where there is no state yet.
+    A version says which batch of which stream wrote it. A batch that comes again, as after a failure, writes its version
+    anew, from the version before; batches of a new stream, whose ids begin at 0, go on from the newest version. Late rows
+    change the state like others. Versions that no repeated batch can need are deleted. ``merge`` gets None where there is
+    no state yet. Every batch writes the whole state: meant for states that are small beside their streams.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        before = [v for v in _versions(spark, root) if v < batch_id]
+        origin = f"{spark.sparkContext.getLocalProperty('sql.streaming.queryId') or 'called'} {batch_id}"
+        versions = _versions(spark, root)
+        again = bool(versions) and _origin(spark, root, versions[-1]) == origin
+        version = versions[-1] if again else (versions[-1] + 1 if versions else 0)
+        before = [v for v in versions if v < version]
         old = spark.read.parquet(f"{root}/v{before[-1]}") if before else None
-        merge(old, batch).write.mode("overwrite").parquet(f"{root}/v{batch_id}")
-        for version in before[:-1]:
-            path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/v{version}")
+        # a version is complete when its origin is written too
+        merge(old, batch).write.mode("overwrite").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(f"{root}/v{version}")
+        _write_origin(spark, root, version, origin)
+        done = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/v{version}/_SUCCESS")
+        done.getFileSystem(spark._jsc.hadoopConfiguration()).create(done, True).close()
+        for stale in before[:-1]:
+            path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/v{stale}")
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
     return run

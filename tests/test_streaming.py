@@ -43,6 +43,22 @@ def test_stream_of_files_into_state(spark, tmp_path):
     assert state() == {3: (1, 9.0), 4: (1, 5.0)}
 
 
+def test_a_new_stream_goes_on_from_the_state(spark, tmp_path):
+    """Batch ids begin anew with a new checkpoint; nothing is lost."""
+    root = str(tmp_path / "state")
+    for k in (56, 57):
+        upserts.upsert(root, merge)(events(spark, [(k, k % 24, 1.0)]), k)
+    events(spark, [(3, 3, 2.0)]).write.parquet(str(tmp_path / "in"))
+    for n, ckpt in ((2, "one"), (3, "two")):
+        query = event_stream(spark, str(tmp_path / "in")).writeStream.foreachBatch(upserts.upsert(root, merge)).option("checkpointLocation", str(tmp_path / ckpt)).trigger(availableNow=True).start()
+        query.awaitTermination(120)
+        assert query.exception() is None
+        assert {r.hour.hour for r in upserts.current(spark, root).collect()} == {8, 9, 3}
+        assert upserts._versions(spark, root)[-1] == n
+    upserts.upsert(root, merge)(events(spark, [(4, 4, 2.0)]), 0)
+    assert {r.hour.hour for r in upserts.current(spark, root).collect()} == {8, 9, 3, 4}
+
+
 def test_a_repeated_batch_changes_nothing(spark, tmp_path):
     run = upserts.upsert(str(tmp_path), merge)
     first, second = events(spark, [(1, 1, 1.0)]), events(spark, [(2, 2, 2.0)])
