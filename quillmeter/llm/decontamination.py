@@ -61,7 +61,8 @@ def contained_items(docs: DataFrame, items: DataFrame, containment: float = CONT
     Shingles are runs of five lower-cased words. Items are sketched by their smallest shingle hashes, with sketch
     lengths by size partition; documents probe the sketches with each shingle hash, whatever their length. Pairs that
     meet are verified on the shingles themselves. The probe side is never shuffled while the sketches have at most
-    BROADCAST_ROWS rows (counted first); beyond that Spark joins both sides by hash value.
+    BROADCAST_ROWS rows (counted first); beyond that Spark joins both sides by hash value. Nor are texts shuffled to be
+    verified while at most as many pairs have met.
 
     Items of fewer than five words count as one shingle of all their words. Null and empty texts hold nothing and items
     without a word are found nowhere. Documents without an id are not searched, as they can't be named. Rows with equal
@@ -84,7 +85,8 @@ def contained_items(docs: DataFrame, items: DataFrame, containment: float = CONT
     met = probes.join(F.broadcast(keys) if rows <= BROADCAST_ROWS else keys, (F.col("h") == F.col("key")) & (F.col("size") == F.col("key_size")) & (F.col("n_words") - F.col("size") + 1 >= F.ceil(F.col("n") * containment - 1e-9)))
     pairs = written(met.select("doc_id", "item_id").distinct(), "pairs")
     seen = pairs.groupBy("doc_id").agg(F.collect_set("item_id").alias("items"))
-    texts = own.join(seen.hint("shuffle_hash"), "doc_id").select("doc_id", word_array(F.col("text")).alias("w"), F.explode("items").alias("item_id"))
+    few = pairs.count() <= BROADCAST_ROWS  # then no text is shuffled to be verified
+    texts = own.join(F.broadcast(seen) if few else seen.hint("shuffle_hash"), "doc_id").select("doc_id", word_array(F.col("text")).alias("w"), F.explode("items").alias("item_id"))
     grams = index.select("item_id", "size", "n", F.col("grams").alias("wanted"))
     both = texts.join(F.broadcast(grams) if rows <= BROADCAST_ROWS else grams, "item_id")
     held = F.lit(None)
