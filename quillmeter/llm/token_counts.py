@@ -61,8 +61,8 @@ def encoded_counts(texts: DataFrame, tokenizer: str) -> DataFrame:
 def token_counts(docs: DataFrame, tokenizer: str, cache: CountCache | None = None, limit: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: ``doc_id, n_bytes, n_tokens, over_limit``.
 
-    Digests are joined to the stored counts. For each digest without one, one document stands; only these documents'
-    texts move and are encoded, and their counts are appended to the cache. Then every digest has a stored count.
+    Digests are joined to the stored counts. For each digest without one, one document stands (of rows without an id any
+    one, if all its rows are such); only these documents' texts are encoded, and their counts are appended to the cache. Then every digest has a stored count.
     Rows, not texts, are grouped by digest, so thousands of copies of a text cost a partial minimum.
 
     A null text counts as empty: 0 bytes, 0 tokens. Rows without an id and repeated rows are counted like others; each
@@ -72,10 +72,11 @@ def token_counts(docs: DataFrame, tokenizer: str, cache: CountCache | None = Non
     cache = cache or CountCache(spark)
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), normalised(text_col).alias("text")).withColumn("digest", digest(F.col("text")))
     keyed = own.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "digest")
-    # a digest's smallest id; where no row has one, all its rows stand, and each is encoded
-    stands = keyed.join(cache.read(version), "digest", "left_anti").groupBy("digest").agg(F.min(F.coalesce("doc_id", F.lit(1 << 62))).alias("stand"))
-    mine = own.withColumn("stand", F.coalesce("doc_id", F.lit(1 << 62)))
-    misses = mine.join(stands.hint("shuffle_hash"), ["digest", "stand"], "left_semi")
+    # a digest's smallest id; where no row has one, one of its rows is taken, whichever
+    stands = keyed.join(cache.read(version), "digest", "left_anti").groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
+    named = own.join(stands.where("doc_id is not null").hint("shuffle_hash"), ["digest", "doc_id"], "left_semi")
+    nameless = own.where("doc_id is null").join(stands.where("doc_id is null").select("digest").hint("shuffle_hash"), "digest", "left_semi").dropDuplicates(["digest"])
+    misses = named.select("digest", "text").union(nameless.select("digest", "text"))
     new = encoded_counts(misses, tokenizer).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
     cache.append(new, version)
     counts = cache.read(version)

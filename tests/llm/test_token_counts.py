@@ -32,3 +32,12 @@ def test_empty_and_clashing_columns(spark):
     assert token_counts.token_counts(corpus.table(spark, []), PATH).count() == 0
     docs = corpus.table(spark, [(1, "a b", "x", "y", 1)]).selectExpr("doc_id", "text", "1 AS digest", "2 AS stand", "3 AS n_tokens")
     assert [tuple(r) for r in token_counts.token_counts(docs, PATH).collect()] == [(1, 3, 2, False)]
+
+
+def test_rows_without_an_id_are_encoded_once(spark, tmp_path, monkeypatch):
+    """Many nameless copies of a text give one row to encode."""
+    data = [(None, "the same text", "en", "s", 1)] * 50 + [(None, "another", "en", "s", 1), (3, "named", "en", "s", 1), (None, "named", "en", "s", 1)]
+    encoded, seen = token_counts.encoded_counts, []
+    monkeypatch.setattr(token_counts, "encoded_counts", lambda texts, path: (seen.append(texts.count()), encoded(texts, path))[1])
+    assert sorted(map(tuple, token_counts.token_counts(corpus.table(spark, data), PATH).collect()), key=str) == want(data)
+    assert seen == [3]
