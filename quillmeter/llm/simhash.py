@@ -150,14 +150,14 @@ def shingle_set(hashes: np.ndarray) -> np.ndarray:
     return np.unique(run_hashes(hashes, min(5, len(hashes)))) if len(hashes) else np.zeros(1, np.uint64)
 
 
-def _stars(rows: DataFrame, group: str) -> DataFrame:
+def _stars(rows: DataFrame, group: str, similarity: float) -> DataFrame:
     """(u, v): the members of each group with its first and its last one in the order of a hash; never all pairs.
 
-    rows: (group, c, n). Pairs whose numbers of shingles rule a similarity of 0.8 out are left out.
+    rows: (group, c, n). Pairs whose numbers of shingles rule the similarity out are left out.
     """
     by, place = Window.partitionBy(group), F.struct(F.xxhash64("c", group).alias("h"), "c", "n")
     ends = rows.select("c", "n", F.min(place).over(by).alias("a"), F.max(place).over(by).alias("b"))
-    each = ends.select("c", "n", F.explode(F.array("a", "b")).alias("o")).where("c <> o.c and least(n, o.n) >= 0.8 * greatest(n, o.n)")
+    each = ends.select("c", "n", F.explode(F.array("a", "b")).alias("o")).where((F.col("c") != F.col("o.c")) & (F.least("n", "o.n") >= similarity * F.greatest("n", "o.n")))
     return each.select(F.least("c", "o.c").alias("u"), F.greatest("c", "o.c").alias("v"))
 
 
@@ -183,8 +183,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
 def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8) -> DataFrame:
     """The rows of ``docs``, one of each group of near-duplicates: the one with the smallest id, those without an id last.
 
-    Two texts are linked if their sets of five-word shingles (lower-cased) have a Jaccard similarity of 0.8 or more, and
-    groups are what links connect. Texts with one set are a class; classes are compared if their SimHashes lie at most two
+    Two texts are linked if their sets of five-word shingles (lower-cased) have a Jaccard similarity of ``similarity`` or more,
+    and groups are what links connect. The bands are chosen for 0.8; below that more links are missed. Texts with one set are a class; classes are compared if their SimHashes lie at most two
     bits apart (pivot distance tables) or if they share a band of their MinHash signatures, as SimHashes of texts with
     that similarity lie up to a dozen bits apart. In a band each class is compared with two others at most, and in forty
     bands with others each time; every pair is verified on the whole texts.
@@ -204,9 +204,9 @@ def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     pairs = linked_pairs(classes.select("fp").distinct())
     near = classes.groupBy("fp").agg(F.min(F.struct("c", "n")).alias("m"))
     mine = near.select(F.col("fp").alias("a"), F.col("m").alias("ma")), near.select(F.col("fp").alias("b"), F.col("m").alias("mb"))
-    bits = pairs.join(mine[0], "a").join(mine[1], "b").where("least(ma.n, mb.n) >= 0.8 * greatest(ma.n, mb.n)").select(F.least("ma.c", "mb.c").alias("u"), F.greatest("ma.c", "mb.c").alias("v"))
+    bits = pairs.join(mine[0], "a").join(mine[1], "b").where(F.least("ma.n", "mb.n") >= similarity * F.greatest("ma.n", "mb.n")).select(F.least("ma.c", "mb.c").alias("u"), F.greatest("ma.c", "mb.c").alias("v"))
     bands = classes.select("c", "n", F.explode("bands").alias("band"))
-    met = _stars(bands, "band").union(_stars(classes.select("c", "n", "fp"), "fp")).union(bits)
+    met = _stars(bands, "band", similarity).union(_stars(classes.select("c", "n", "fp"), "fp", similarity)).union(bits)
     met = written(met.distinct(), "met")
     asked = met.select(F.explode(F.array("u", "v")).alias("c")).distinct().join(classes.select("c", F.col("rep.key").alias("key")), "c")
     texts = own.select("key", "text").join(asked.hint("shuffle_hash"), "key").groupBy("c").agg(F.min("text").alias("text"))
