@@ -55,8 +55,11 @@ def probability(model: np.ndarray, rows: list[np.ndarray], earlier: np.ndarray)
 
 
 def _probability(model: np.ndarray, flat: np.ndarray, at: np.ndarray, earlier: np.ndarray) -> np.ndarray:
-    sums = np.concatenate((np.zeros(1), np.cumsum(model[flat])))
-    z = sums[at[1:]] - sums[at[:-1]] + earlier @ model[len(model) - 1 - earlier.shape[1] : -1] + model[-1]
+    some = at[1:] > at[:-1]
+    z = np.zeros(len(some))
+    if some.any():
+        z[some] = np.add.reduceat(model[flat], at[:-1][some])  # of a row's own features alone, so that no neighbour changes its last bits
+    z += (earlier * model[len(model) - 1 - earlier.shape[1] : -1]).sum(axis=1) + model[-1]
     with np.errstate(over="ignore"):
         return 1 / (1 + np.exp(-z))
 

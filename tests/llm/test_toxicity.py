@@ -75,3 +75,15 @@ def test_chain_matches_brute_force(spark):
     second = p(brute_fit(xl, out, toxic), x, first[:, None])
     assert max(abs(got[i].p_low_quality - first[i]) for i in range(240)) < 1e-6
     assert max(abs(got[i].p_toxic - second[i]) for i in range(240)) < 1e-6
+
+
+def test_a_score_is_its_texts_alone():
+    """The same text has the same probability to the last bit, whatever stands beside it."""
+    rng = np.random.default_rng(4)
+    model = rng.normal(size=toxicity.FEATURES + 2)
+    rows = [rng.integers(0, toxicity.FEATURES, rng.integers(0, 400)).astype(np.int32) for _ in range(200)]
+    earlier = rng.random((200, 1))
+    whole = toxicity.probability(model, rows, earlier)
+    for order in (rng.permutation(200), np.arange(7)):
+        assert np.array_equal(toxicity.probability(model, [rows[i] for i in order], earlier[order]), whole[order])
+    assert toxicity.probability(model, [rows[3]], earlier[3:4])[0] == whole[3]
