@@ -38,6 +38,30 @@ def without_echoes(rows: DataFrame, group: str, time: str, tie: str, seconds: fl
     return rows.withColumn("_gap", gap).where(F.col("_gap").isNull() | (F.col("_gap") > int(seconds * 1e6))).drop("_gap")
 
 
+def paired(rows: DataFrame, group: str, time: str, tie: str, current: Column, seconds: float = 0.1) -> DataFrame:
+    """Events told once: adds ``paired`` and drops the older records that tell of a ``current`` one.
+
+    An older record belongs to the nearest current one of its group within ``seconds``, before or behind it (the earlier
+    of two as near); a current record takes one older record, the nearest (the first of equals). The event keeps the
+    current record's time. Older records that no current one takes stay, and current ones never go.
+    """
+    at, own = F.unix_micros(F.col(time).cast("timestamp")), F.coalesce(current, F.lit(False))
+    order = Window.partitionBy(group).orderBy("_at", tie)
+    place = F.when(F.col("_new"), F.struct("_at", F.col(tie).alias("_id")))
+    marked = rows.withColumns({"_at": at, "_new": own})
+    near = marked.withColumns({
+        "_b": F.last(place, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)),
+        "_f": F.first(place, ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing)),
+    })
+    back, ahead, most = F.col("_at") - F.col("_b._at"), F.col("_f._at") - F.col("_at"), int(seconds * 1e6)
+    partner = F.when((back <= most) & (ahead.isNull() | (back <= ahead)), F.col("_b")).when(ahead <= most, F.col("_f"))
+    chosen = near.withColumn("_p", F.when(~F.col("_new"), partner)).withColumn("_to", F.when(F.col("_new"), F.struct("_at", F.col(tie).alias("_id"))).otherwise(F.col("_p")))
+    by = Window.partitionBy(group, F.coalesce(F.col("_to._id"), F.col(tie)), F.col("_to").isNull())
+    first = F.row_number().over(by.orderBy(F.col("_new"), F.abs(F.col("_at") - F.col("_to._at")), "_at", tie))
+    taken = chosen.withColumns({"_n": first, "paired": F.col("_new") & (F.count("*").over(by) > 1)})
+    return taken.where(F.col("_new") | F.col("_p").isNull() | (F.col("_n") > 1)).drop("_at", "_new", "_b", "_f", "_p", "_to", "_n")
+
+
 def chunks(rows: DataFrame, order: list, size: int) -> DataFrame:
     """Adds ``chunk`` and ``place``: rows in order, ``size`` to a chunk, by range partitions and their running totals."""
     spark = rows.sparkSession
