@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from quillmeter.streaming import keyed
 
-#: The outcomes of an answer, those that count as accepted, seconds that a refused item waits (and twice
-#: that at most), and how many are tried again in a cycle.
-OUTCOMES, ACCEPTED = ("accepted", "unchanged", "rejected", "conflict"), ("accepted", "unchanged")
-RETRY_SECONDS, RETRIES = 7 * 86_400, 50
+#: The outcomes of an answer, those that count as accepted, and how many items are tried again in a cycle.
+OUTCOMES, ACCEPTED, RETRIES = ("accepted", "unchanged", "rejected", "conflict"), ("accepted", "unchanged"), 50
+#: Seconds that a refused item waits, and twice that at most: a choice of ours.
+RETRY_SECONDS = 7 * 86_400
 
 
 def ack_faults(request: DataFrame, outcomes: DataFrame, accepted: DataFrame, batch: str) -> DataFrame:

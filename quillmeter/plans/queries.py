@@ -436,6 +436,6 @@ def canonical_json(spark, sf):
 
 
 # further queries, by subject
-from quillmeter.plans import attribution, checks, cloud, evidence, provider, redaction, scalars, state, streams, transcripts, uploads, usage  # noqa: E402
+from quillmeter.plans import attribution, checks, cloud, definitions, evidence, provider, redaction, scalars, state, streams, transcripts, uploads, usage  # noqa: E402
 
-__all__ = ["ORACLE", "QUERIES", "attribution", "checks", "cloud", "evidence", "provider", "redaction", "scalars", "state", "streams", "transcripts", "uploads", "usage"]
+__all__ = ["ORACLE", "QUERIES", "attribution", "checks", "cloud", "definitions", "evidence", "provider", "redaction", "scalars", "state", "streams", "transcripts", "uploads", "usage"]
