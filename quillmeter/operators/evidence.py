@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmeter.functions import json, times
+from quillmeter.functions import json, text, times
 from quillmeter.functions.values import bound
 
 #: Efforts that count.
@@ -90,3 +90,37 @@ def attributed(evidence: DataFrame, owners: DataFrame, transcript: DataFrame, re
     """Evidence with the trace's owner and the transcript's row of the same request; requests with two owners have none."""
     one = owners.groupBy(request).agg(F.min("owner").alias("owner"), F.count_distinct("owner").alias("_k")).where("_k = 1").drop("_k")
     return evidence.join(one, request, "left").join(transcript, request, "left")
+
+
+#: Names of the fields of a request's owner, in the order in which they are looked for, and their bytes at most.
+OWNER_FIELDS = {
+    "session": ("session.id", "session_id"), "request": ("request_id", "gen_ai.response.id"), "client_request": ("client_request_id",), "agent": ("agent.id", "agent_id"),
+    "parent_agent": ("parent_agent_id", "parent.agent.id"), "workflow": ("workflow.run_id", "workflow_run_id"),
+}
+MOST_FIELD = 256
+
+
+def _bounded(found: Column, names: tuple[str, ...]) -> Column:
+    """The attribute under the first name that is there, without blanks at its ends; empty if it is long or holds control characters."""
+    said = F.coalesce(*[F.try_element_at(found, F.lit(n)) for n in names])
+    plain = text.trimmed(said)
+    return F.coalesce(F.when((F.octet_length(plain) <= MOST_FIELD) & ~plain.rlike(r"\p{Cntrl}|[\x{80}-\x{9f}]"), plain), F.lit(""))
+
+
+def trace_owners(bodies: DataFrame, value: str, name: str) -> DataFrame:
+    """(place, session, request, client_request, agent, parent_agent, workflow, observed) of trace bodies' spans called ``name``.
+
+    A span's attributes win over its resource's; arrays, maps and bytes are left out. Spans that failed (``success`` is
+    false), that name no session or have no start are dropped.
+    """
+    by = [c for c in bodies.columns if c != value]
+    resources = bodies.select(*by, F.posexplode(json.items_at(F.col(value), "$.resourceSpans")).alias("r", "res"))
+    scopes = resources.select(*by, "r", attributes(F.col("res"), "$.resource.attributes").alias("_own"), F.posexplode(json.items_at(F.col("res"), "$.scopeSpans")).alias("s", "sc"))
+    spans = scopes.select(*by, "r", "s", "_own", F.posexplode(json.items_at(F.col("sc"), "$.spans")).alias("l", "span")).where(json.string_at(F.col("span"), "$.name") == name)
+    spans = spans.withColumn("_mine", attributes(F.col("span"), "$.attributes"))
+    kept = F.map_filter("_own", lambda k, v: ~F.array_contains(F.map_keys(F.col("_mine")), k))
+    start = F.coalesce(json.string_at(F.col("span"), "$.startTimeUnixNano").try_cast("long"), json.long_at(F.col("span"), "$.startTimeUnixNano"))
+    rows = spans.select(*by, F.struct("r", "s", "l").alias("place"), F.map_concat(kept, "_mine").alias("_a"), times.nanos_text(start).alias("observed"))
+    fields = [_bounded(F.col("_a"), names).alias(n) for n, names in OWNER_FIELDS.items()]
+    owners = rows.where(F.coalesce(F.try_element_at("_a", F.lit("success")) != "false", F.lit(True))).select(*by, "place", *fields, "observed")
+    return owners.where("session <> '' and observed is not null")
