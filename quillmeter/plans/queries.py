@@ -436,6 +436,6 @@ def canonical_json(spark, sf):
 
 
 # further queries, by subject
-from quillmeter.plans import attribution, checks, cloud, definitions, evidence, provider, redaction, rollup, scalars, state, streams, traces, transcripts, uploads, usage  # noqa: E402
+from quillmeter.plans import attribution, canonical, checks, cloud, definitions, evidence, provider, redaction, repositories, rollup, scalars, state, streams, traces, transcripts, uploads, usage  # noqa: E402
 
-__all__ = ["ORACLE", "QUERIES", "attribution", "checks", "cloud", "definitions", "evidence", "provider", "redaction", "rollup", "scalars", "state", "streams", "traces", "transcripts", "uploads", "usage"]
+__all__ = ["ORACLE", "QUERIES", "attribution", "canonical", "checks", "cloud", "definitions", "evidence", "provider", "redaction", "repositories", "rollup", "scalars", "state", "streams", "traces", "transcripts", "uploads", "usage"]
