@@ -62,7 +62,7 @@ def redact_tokens(spark, sf):
 
 #: Keys of an object and what they hold, of a page.
 _FIELDS = {
-    "url": "url", "page": "html", "Session_Token": "url", "config_path": "url", "x_file": "html", "disk_serial": "url", "organization_id": "url", "User_Prompt": "html",
+    "url": "url", "page": "html", "Session_Token": "url", "config_path": "url", "x_file": "url", "disk_serial": "url", "organization_id": "url", "User_Prompt": "url",
     "note": "concat('cookie=', url, ' for acct_', page_id, ' \"token\" ', substr(url, 8))", "pathology": "url", "tokens": "url", "serials": "url",
 }
 
@@ -72,6 +72,6 @@ o AS (SELECT page_id, string_agg('"' || key || '":' || to_json({_MARK.format(_KE
 SELECT page_id, sha256('{{"client_secret":"[REDACTED]","items":[{{' || o || '}},3],"size":' || page_id || '}}') AS redacted_sha256 FROM o""")
 def redact_json(spark, sf):
     inner = F.struct(*[F.expr(v).alias(k) for k, v in _FIELDS.items()])
-    held = F.struct(F.col("page_id").alias("size"), inner.alias("first"))
+    held = F.struct(F.col("page_id").alias("size"), F.struct("url").alias("first"))  # goes as a whole
     whole = F.concat(F.lit('{"size":'), F.col("page_id").cast("string"), F.lit(',"items":['), F.to_json(inner), F.lit(', 3],"client_secret":'), F.to_json(held), F.lit("}"))
     return table(spark, sf, "pages").select("page_id", F.sha2(redaction.redacted_json(whole), 256).alias("redacted_sha256"))
