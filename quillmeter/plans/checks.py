@@ -22,12 +22,23 @@ def launch_inbox(spark, sf):
     return checks.launch_events(files, "name", "body", "launch/v1", {"relay": "relayed"}).drop("body", "name")
 
 
-_MANIFEST = """CASE c_custkey % 6 WHEN 0 THEN concat('{"a":[{"AWS_Secret-Access.Key":', c_custkey, '}]}') WHEN 1 THEN '{"note":"privateKey:","b\\\\"":1}' WHEN 2 THEN '{"x":{"y":{"clientEmail":null}}}' WHEN 3 THEN '["sessionToken"]' WHEN 4 THEN '{"session":{"token":1}}' ELSE '{"accessKeyIds":1}' END"""
+#: Objects with keys of a part's own words, nested by its number, and values that look like keys; every other one has a name of the list, changed in case and marks.
+_KEY = "CASE WHEN p_partkey % 2 = 0 THEN replace(replace(p_name, ' ', '_'), 'a', 'A') WHEN p_partkey % 3 = 0 THEN upper({named}) ELSE concat({named}, CASE WHEN p_partkey % 5 = 0 THEN 's' ELSE '-' END) END"
+_MANIFEST = """CASE p_partkey % 4 WHEN 0 THEN concat('{"a":[{"', {key}, '":', p_partkey, '}]}') WHEN 1 THEN concat('{"note":"', {named}, ':","', {key}, '":{"b":null}}') WHEN 2 THEN concat('{"x":{"y":{"', {key}, '":"', {named}, '"}}}') ELSE concat('["', {named}, '",{"', {key}, '":[]}]') END"""
 
 
-@query("SELECT c_custkey, c_custkey % 6 IN (0, 2) AS secret FROM customer")
+def _manifest(named: str) -> str:
+    return _MANIFEST.replace("{key}", _KEY.format(named=named)).replace("{named}", named)
+
+
+_FIELDS = "'accesskeyid', 'awsaccesskeyid', 'secretaccesskey', 'awssecretaccesskey', 'sessiontoken', 'awssessiontoken', 'privatekey', 'clientemail'"
+
+
+@query(f"""WITH m AS (SELECT p_partkey, {_manifest(f"([{_FIELDS}])[1 + p_partkey % 8]")} AS body FROM part)
+SELECT p_partkey, list_has_any(list_transform(regexp_extract_all(body, '"([^"]*)":', 1), lambda k: lower(regexp_replace(k, '[^A-Za-z0-9]', '', 'g'))), [{_FIELDS}]) AS secret FROM m""")
 def secret_fields(spark, sf):
-    return table(spark, sf, "customer").select("c_custkey", checks.holds_secret(F.try_parse_json(F.expr(_MANIFEST))).alias("secret"))
+    named = f"element_at(array({_FIELDS}), 1 + CAST(p_partkey % 8 AS INT))"
+    return table(spark, sf, "part").select("p_partkey", checks.holds_secret(F.try_parse_json(F.expr(_manifest(named)))).alias("secret"))
 
 
 @query("""SELECT c_custkey, CASE WHEN c_custkey % 9 = 0 THEN 'too many' WHEN c_custkey % 9 = 1 THEN 'value' WHEN c_custkey % 9 = 2 THEN 'label incomplete' WHEN c_custkey % 9 = 3 THEN 'label unsafe' WHEN c_custkey % 9 = 4 THEN 'label source' WHEN c_custkey % 9 = 5 THEN 'too long' END AS fault FROM customer""")

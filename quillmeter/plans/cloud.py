@@ -49,7 +49,10 @@ def cloud_cursors(spark, sf):
     return table(spark, sf, "events").select("event_id", F.try_parse_json(F.expr(_CURSORS)).alias("v")).select("event_id", cloud.cursor(F.col("v")).alias("c")).select("event_id", "c.*")
 
 
-@query("""SELECT c_custkey, c_custkey % 4 > 0 AND c_custkey % 6 > 0 AND c_custkey % 5 > 0 AND c_custkey % 7 > 0 AS valid FROM customer""")
+@query("""WITH v AS (SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN 'odd' ELSE sha256(c_name) END AS entity, CASE WHEN c_custkey % 5 = 0 THEN 'ready' ELSE 'completed' END AS state, c_custkey % 2 = 0 AS timed,
+CASE WHEN c_custkey % 7 = 0 THEN ['identity', 'status', 'attempts'] WHEN c_custkey % 6 = 0 THEN ['identity', 'status', 'status'] WHEN c_custkey % 2 = 0 THEN ['identity', 'status', 'timing'] ELSE ['identity', 'status'] END AS c FROM customer)
+SELECT c_custkey, regexp_matches(entity, '^[0-9a-f]{64}$') AND state IN ('queued', 'running', 'completed', 'failed', 'cancelled', 'unknown') AND len(list_distinct(c)) = len(c) AND list_has_all(['identity', 'status', 'timing', 'attempts'], c)
+AND list_has_all(c, ['identity', 'status']) AND list_contains(c, 'timing') = timed AND NOT list_contains(c, 'attempts') AS valid FROM v""")
 def cloud_valid(spark, sf):
     x = F.expr
     covered = x("CASE WHEN c_custkey % 6 = 0 THEN array('identity', 'status', 'status') WHEN c_custkey % 2 = 0 THEN array('identity', 'status', 'timing') ELSE array('identity', 'status') END")

@@ -62,14 +62,18 @@ def attributed_requests(spark, sf):
     return evidence.attributed(table(spark, sf, "customer").select(F.col("c_custkey").alias("request")), owners, costs, "request")
 
 
-@query("""WITH s AS (SELECT c_custkey % 6 AS k, (SELECT 1) AS x, c_custkey FROM customer) SELECT c_custkey, array_to_string(list_filter([CASE WHEN c_custkey % 5 = 0 OR c_custkey % 2 = 0 THEN 'usage' END, CASE WHEN c_custkey % 2 = 0 OR c_custkey % 3 = 0 THEN 'title' END], lambda v: v IS NOT NULL), ',') AS changed
-FROM s WHERE c_custkey % 2 = 0 OR c_custkey % 3 = 0 OR c_custkey % 5 = 0""")
+#: The seven parts of a snapshot, of a customer's own columns, and what is stored of them: older values, nothing, or the same.
+_PARTS = {"usage": "c_acctbal", "timing": "c_custkey * 7", "model": "c_mktsegment", "compaction": "c_custkey % 11", "title": "c_name", "labels": "c_nationkey", "attribution": "concat(c_mktsegment, c_nationkey)"}
+_STORED = {"usage": "CASE WHEN c_acctbal < 0 THEN 0.5 ELSE c_acctbal END", "timing": "c_custkey * 7 - c_custkey % 9 % 2", "model": "CASE WHEN c_nationkey = 3 THEN NULL ELSE c_mktsegment END", "compaction": "c_custkey % 10", "title": "CASE WHEN c_custkey % 13 = 0 THEN upper(c_name) ELSE c_name END", "labels": "c_nationkey", "attribution": "concat(lower(c_mktsegment), c_nationkey)"}
+_DIFFERS = ", ".join(f"CASE WHEN ({_PARTS[p]}) IS DISTINCT FROM (CASE WHEN c_custkey % 8 > 0 THEN {_STORED[p]} END) THEN '{p}' END" for p in _PARTS)
+
+
+@query(f"""WITH c AS (SELECT c_custkey, array_to_string(list_filter([{_DIFFERS}], lambda x: x IS NOT NULL), ',') AS changed FROM customer) SELECT * FROM c WHERE changed <> ''""")
 def changed_snapshots(spark, sf):
-    k = F.col("c_custkey")
-    parts = snapshots.component_hashes({"usage": F.col("c_acctbal"), "title": F.col("c_name")})
-    fresh = table(spark, sf, "customer").select("c_custkey", *parts.values())
-    stored = fresh.where(k % 2 != 0).select("c_custkey", F.when(k % 5 == 0, "old").otherwise(F.col("usage")).alias("usage"), F.when(k % 3 == 0, None).otherwise(F.col("title")).alias("title"))
-    return snapshots.changed(fresh, stored, "c_custkey", ["usage", "title"]).withColumn("changed", F.array_join("changed", ","))
+    rows = table(spark, sf, "customer")
+    hashed = lambda df, made: df.select("c_custkey", *snapshots.component_hashes({p: F.expr(e) for p, e in made.items()}).values())
+    stored = hashed(rows.where("c_custkey % 8 > 0"), _STORED)
+    return snapshots.changed(hashed(rows, _PARTS), stored, "c_custkey", list(_PARTS)).withColumn("changed", F.array_join("changed", ","))
 
 
 @query("""WITH r AS (SELECT DISTINCT 'machine' || (user_id % 4) AS scope, event_type AS source, 'sha256:' || sha256(user_id::VARCHAR) AS fp FROM events WHERE ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-12')
