@@ -84,6 +84,13 @@ def hours(rows: DataFrame) -> DataFrame:
     return usage.hourly(rows.where("at is not null and model is not null"), "at", ["source", "file", "model"], list(COUNTS), "pico").withColumn("pico", F.col("pico").cast("decimal(38,0)"))
 
 
+def levels(rows: DataFrame) -> DataFrame:
+    """(source, file, model, hour, counts, n): the rows of whole sessions, with a null hour, then those of their hours."""
+    timed = rows.where("at is not null and model is not null")
+    whole = timed.groupBy("source", "file", "model").agg(F.lit(None).cast("timestamp").alias("hour"), *[F.sum(c).alias(c) for c in COUNTS], F.count("*").alias("n"))
+    return whole.unionByName(hours(timed).drop("pico"))
+
+
 def sessions(rows: DataFrame) -> DataFrame:
     """(source, file, models, buckets, agrees): totals by model, hours with their models inside, and whether the hours add up to the totals.
 

@@ -108,3 +108,15 @@ SELECT file, number, section, CASE WHEN number % 6 = 3 THEN 'tool' ELSE 'x' END
 def context_tables(spark, sf):
     lines = table(spark, sf, "customer").select(F.col("c_nationkey").alias("file"), F.col("c_custkey").alias("number"), F.expr(_MARK).alias("line"))
     return reports.context_tables(lines, "file", "number", "line")
+
+
+_HEAD = """CASE c_custkey % 5 WHEN 0 THEN concat(' **Model:** `m-', c_custkey % 7, '` ') WHEN 1 THEN concat('**Tokens:** ', c_custkey % 90, '.5k / ', 1 + c_custkey % 3, 'm (', c_custkey % 100, '%)') WHEN 2 THEN concat('**Tokens:** ', c_custkey, ' / 100k (', c_custkey % 9, '.25 %)')
+WHEN 3 THEN CASE WHEN c_custkey % 3 = 0 THEN '**Tokens:** many / 1m (4%)' ELSE '**Tokens:** 5 / 9' END ELSE '**Model:** ' END"""
+
+
+@query("""WITH c AS (SELECT c_nationkey AS file, c_custkey AS k, CASE WHEN c_custkey % 5 = 0 THEN 'm-' || (c_custkey % 7) END AS model, CASE c_custkey % 5 WHEN 1 THEN (c_custkey % 90) * 1000 + 500 WHEN 2 THEN c_custkey END AS used, CASE c_custkey % 5 WHEN 1 THEN (1 + c_custkey % 3) * 1000000 WHEN 2 THEN 100000 END AS w,
+CASE c_custkey % 5 WHEN 1 THEN (c_custkey % 100)::DOUBLE WHEN 2 THEN c_custkey % 9 + 0.25 END AS percent FROM customer)
+SELECT file, arg_max(model, k) FILTER (model IS NOT NULL) AS model, arg_max(used, k) FILTER (used IS NOT NULL) AS used, arg_max(w, k) FILTER (w IS NOT NULL) AS "window", (arg_max(percent, k) FILTER (percent IS NOT NULL))::DOUBLE AS percent FROM c GROUP BY file""")
+def context_headlines(spark, sf):
+    lines = table(spark, sf, "customer").select(F.col("c_nationkey").alias("file"), F.col("c_custkey").alias("number"), F.expr(_HEAD).alias("line"))
+    return reports.context_headlines(lines, "file", "number", "line")

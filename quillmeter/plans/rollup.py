@@ -47,3 +47,9 @@ def usage_sessions(spark, sf):
     inner = F.flatten(F.transform("buckets", lambda b: b["models"]))
     total = lambda c: F.aggregate(inner, F.lit(0).cast("long"), lambda s, m: s + m[c]).alias(c)
     return made.select("source", "file", F.size("models").alias("models"), F.size("buckets").alias("hours"), total("input"), total("output"), "agrees")
+
+
+@query(f"""WITH {_ROWS}, l AS (SELECT source, file, model, NULL::TIMESTAMP AS hour, input, cached, written, output FROM r UNION ALL SELECT source, file, model, date_trunc('hour', t)::TIMESTAMP, input, cached, written, output FROM r)
+SELECT source, file, model, hour, sum(input)::BIGINT AS input, sum(cached)::BIGINT AS cached, sum(written)::BIGINT AS written, sum(output)::BIGINT AS output, count(*) AS n FROM l GROUP BY 1, 2, 3, 4""")
+def usage_levels(spark, sf):
+    return rollup.levels(rollup.responses(_lines(spark, sf)))

@@ -44,3 +44,21 @@ def context_tables(lines: DataFrame, file: str, number: str, line: str) -> DataF
     counts = F.filter(F.transform(F.slice(cells, 2, 100), text.count_text), lambda n: n.isNotNull())
     rows = placed.where(F.ltrim(F.col(line)).startswith("|") & F.col("section").isNotNull()).select(file, number, "section", text.safe_text(F.replace(F.element_at(cells, 1), F.lit("**"), F.lit("")), 256).alias("name"), F.try_element_at(counts, F.lit(1)).alias("tokens"))
     return rows.where("tokens is not null and name is not null")
+
+
+def context_headlines(lines: DataFrame, file: str, number: str, line: str) -> DataFrame:
+    """(file, model, used, window, percent) of context reports: the last model line, and the last tokens line that can be read.
+
+    A tokens line is ``**Tokens:** used / window (percent%)``, its counts as in tables. Without one the numbers are null.
+    """
+    said = F.trim(F.col(line))
+    after = lambda mark: F.when(said.startswith(mark), F.replace(F.substr(said, F.lit(len(mark) + 1)), F.lit("**"), F.lit("")))
+    model = F.nullif(text.trimmed(F.regexp_replace(after("**Model:**"), "[*`]", "")), F.lit(""))
+    tokens = after("**Tokens:**")
+    part = lambda i: F.regexp_extract(tokens, r"^([^/]*)/([^(]*)\((.*)$", i)
+    used, window = text.count_text(part(1)), text.count_text(part(2))
+    percent = F.regexp_extract(F.trim(F.regexp_replace(part(3), r"\)+$", "")), r"^[~<]*\s*([0-9]+(?:\.[0-9]+)?)\s*%$", 1).try_cast("double")
+    whole = used.isNotNull() & window.isNotNull() & percent.isNotNull()
+    read = lines.select(file, number, model.alias("model"), F.when(whole, F.struct(used.alias("used"), window.alias("window"), percent.alias("percent"))).alias("t"))
+    last = lambda c: F.max(F.when(F.col(c).isNotNull(), F.struct(number, c)))[c]
+    return read.groupBy(file).agg(last("model").alias("model"), last("t").alias("t")).select(file, "model", "t.used", "t.window", "t.percent")
