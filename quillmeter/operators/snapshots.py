@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,18 +51,39 @@ def policy_digests(rows: DataFrame, key: str, columns: dict[str, str]) -> DataFr
     return shown.groupBy(key).agg(F.count_distinct(F.sha2(F.to_json(F.struct(*columns.values())), 256)).alias("digests"))
 
 
+def _frame(said: str) -> bytes:
+    data = said.encode()
+    return len(data).to_bytes(4, "big") + data
+
+
 def manifest(rows: DataFrame, scope: str, source: str, fingerprint: str, active: str, first: Column, until: Column, contract: str) -> DataFrame:
     """(scope, source, digest, n): a digest of contract, scope, source and the distinct fingerprints active in a window.
 
-    Frames have four bytes of length. Rows without a time of activity are left out. A scope's fingerprints meet in one
-    task: a window's snapshots of one source, of 71 bytes each.
+    Frames have four bytes of length. Rows without a time of activity are left out. Fingerprints stream sorted through
+    their scope's hash: a large scope is one task's work, of which nothing is kept but the hash.
     """
-    inside = rows.where((F.col(active) >= first) & (F.col(active) < until))
-    sets = inside.groupBy(scope, source).agg(F.array_sort(F.collect_set(fingerprint)).alias("_f"))
-    frame = lambda c: F.concat(F.unhex(F.lpad(F.hex(F.octet_length(c).cast("long")), 8, "0")), c.cast("binary"))
-    head = F.concat(frame(F.lit(contract)), frame(F.col(scope)), frame(F.col(source)))
-    digest = F.sha2(F.aggregate("_f", head, lambda acc, x: F.concat(acc, frame(x))), 256)
-    return sets.select(scope, source, digest.alias("digest"), F.size("_f").cast("long").alias("n"))
+    inside = rows.where((F.col(active) >= first) & (F.col(active) < until)).select(F.col(scope).alias("scope"), F.col(source).alias("source"), F.col(fingerprint).alias("fp")).distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, digest, n = None, None, 0
+        row = lambda: pa.RecordBatch.from_pylist([{"scope": key[0], "source": key[1], "digest": digest and digest.hexdigest(), "n": n}], pa.schema([("scope", pa.string()), ("source", pa.string()), ("digest", pa.string()), ("n", pa.int64())]))
+        for batch in batches:
+            for now, said in zip(zip(*(batch.column(c).to_pylist() for c in ("scope", "source")), strict=True), batch.column("fp").to_pylist(), strict=True):
+                if now != key:
+                    if key is not None:
+                        yield row()
+                    key, n = now, 0
+                    digest = None if None in now else hashlib.sha256(b"".join(map(_frame, (contract, *now))))
+                if said is not None:
+                    n += 1
+                    if digest:
+                        digest.update(_frame(said))
+        if key is not None:
+            yield row()
+
+    sorted_ = inside.repartition("scope", "source").sortWithinPartitions("scope", "source", "fp")
+    made = sorted_.mapInArrow(run, "scope string, source string, digest string, n long")
+    return made.select(F.col("scope").alias(scope), F.col("source").alias(source), "digest", "n")
 
 
 def file_status(files: DataFrame, key: str, evidence: Column, snapshots: Column, confirmed_empty: Column) -> DataFrame:
