@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillmeter.sources.tables import held
+
 
 def residency(rows: DataFrame, group: str, order: str, is_turn: Column, is_boundary: Column) -> DataFrame:
     """Adds ``residency``: turns strictly after a row and before the next boundary of its group."""
@@ -66,7 +68,7 @@ def chunks(rows: DataFrame, order: list, size: int) -> DataFrame:
     """Adds ``chunk`` and ``place``: rows in order, ``size`` to a chunk, by range partitions and their running totals."""
     spark = rows.sparkSession
     placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_in", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
-    placed = placed.persist()
+    placed = held(placed)  # ranges are sampled: computed again they might be others
     base, at = [], 0
     for r in placed.groupBy("_part").count().orderBy("_part").collect():  # a row for each partition
         base.append((r["_part"], at))
