@@ -34,11 +34,11 @@ def _shown(value):
     return value.isoformat() if isinstance(value, (datetime.date, datetime.time)) else value.hex() if isinstance(value, bytes) else None
 
 
-def parsed(files: DataFrame, kind: str, folder: Column | None = None) -> DataFrame:
+def parsed(files: DataFrame, kind: str, folder: Column | None = None, whole: bool = False) -> DataFrame:
     """(file, value, fault): each file's content as VARIANT, or why there is none: ``large``, ``malformed`` or ``beyond``.
 
-    A folder's first ``MOST_FILES`` files in order count, the others are ``beyond``. A bad file is a row like others, and
-    nothing of it is read. Numbers that aren't finite have no value.
+    A folder's first ``MOST_FILES`` files in order count, the others are ``beyond``; with ``whole`` all of them count. A bad
+    file is a row like others, and nothing of it is read. Numbers that aren't finite have no value.
     """
     most, read = MOST_BYTES[kind], _READERS[kind]
 
@@ -57,9 +57,14 @@ def parsed(files: DataFrame, kind: str, folder: Column | None = None) -> DataFra
 
     of = folder if folder is not None else F.regexp_extract("file", "^(.*)/[^/]*$", 1)
     placed = files.select("file", F.col("content").cast("binary").alias("content"), of.alias("_f"))
-    # names alone are ranked; contents stay where they are
-    ranked = placed.select("file", F.row_number().over(Window.partitionBy("_f").orderBy("file")).alias("_n"))
-    rows = placed.join(ranked, "file").select("file", "content", (F.col("_n") > MOST_FILES).alias("beyond"))
+    if whole:
+        # dealt out anew: parsing is the work, and few blocks of a table may hold all files
+        tasks = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        rows = placed.repartition(tasks, "file").select("file", "content", F.lit(False).alias("beyond"))
+    else:
+        # names alone are ranked; contents stay where they are
+        ranked = placed.select("file", F.row_number().over(Window.partitionBy("_f").orderBy("file")).alias("_n"))
+        rows = placed.join(ranked, "file").select("file", "content", (F.col("_n") > MOST_FILES).alias("beyond"))
     return rows.mapInArrow(run, "file string, written string, fault string").select("file", F.try_parse_json("written").alias("value"), "fault")
 
 
@@ -67,7 +72,7 @@ def _short(value: Column, most: int) -> Column:
     return F.when((value != "") & (F.octet_length(value) <= most), value)
 
 
-def launchd(files: DataFrame) -> DataFrame:
+def launchd(files: DataFrame, whole: bool = False) -> DataFrame:
     """(file, label, command, workspace, place, minute, hour, weekday, day, month) of property lists: a row for each calendar rule.
 
     ``StartCalendarInterval`` is one rule or a list of them; a part that is missing, no whole number or out of range is
@@ -81,16 +86,16 @@ def launchd(files: DataFrame) -> DataFrame:
     interval = json.at(v, "$.StartCalendarInterval")
     rules = F.when(json.kind(interval) == "OBJECT", F.array(interval)).otherwise(F.filter(json.items_at(v, "$.StartCalendarInterval"), lambda x: json.kind(x) == "OBJECT"))
     label = _short(text.trimmed(json.string_at(v, "$.Label")), MOST_LABEL)
-    read = parsed(files, "plist").where("value is not null").select("file", label.alias("label"), F.array_join(F.concat(program, arguments), " ").alias("command"), json.string_at(v, "$.WorkingDirectory").alias("workspace"), F.posexplode_outer(rules).alias("place", "_r"))
+    read = parsed(files, "plist", whole=whole).where("value is not null").select("file", label.alias("label"), F.array_join(F.concat(program, arguments), " ").alias("command"), json.string_at(v, "$.WorkingDirectory").alias("workspace"), F.posexplode_outer(rules).alias("place", "_r"))
     part = lambda name, lo, hi: F.when(json.kind(json.at(F.col("_r"), f"$.{name}")) == "BIGINT", F.try_variant_get("_r", f"$.{name}", "long"))
     fields = [F.when(part(n, lo, hi).between(lo, hi), part(n, lo, hi)).cast("int").alias(n.lower()) for n, lo, hi in CALENDAR]
     return read.where("label is not null").select("file", "label", "command", "workspace", "place", *fields)
 
 
-def automations(files: DataFrame) -> DataFrame:
+def automations(files: DataFrame, whole: bool = False) -> DataFrame:
     """(file, id, signature) of TOML files with an ``id`` of 1 to 128 bytes and a ``prompt``: its template's first characters."""
     v = F.col("value")
-    rows = parsed(files, "toml").where("value is not null").select("file", _short(json.string_at(v, "$.id"), MOST_ID).alias("id"), F.left(text.template(json.string_at(v, "$.prompt")), F.lit(SIGNATURE_CHARS)).alias("signature"))
+    rows = parsed(files, "toml", whole=whole).where("value is not null").select("file", _short(json.string_at(v, "$.id"), MOST_ID).alias("id"), F.left(text.template(json.string_at(v, "$.prompt")), F.lit(SIGNATURE_CHARS)).alias("signature"))
     return rows.where("id is not null and signature is not null")
 
 

@@ -42,3 +42,16 @@ def test_servers_of_three_formats(spark):
         files = spark.createDataFrame([(file, body.encode())], "file string, content binary")
         got = definitions.servers(definitions.parsed(files, kind, F.lit("f")), ["file"], block).collect()
         assert sorted((r.name, r.kind, r.target, r.disabled) for r in got) == want[file]
+
+
+def test_queries_read_all_files_of_a_folder(spark, tmp_path):
+    """More files in a folder than ``MOST_FILES``: the queries read them all, as their SQL does."""
+    from quillmeter.plans import definitions as plans
+
+    n = definitions.MOST_FILES + 44
+    spark.range(n).selectExpr("id * 500 AS p_partkey", "'Small  Box' AS p_name", "'Brand#1' AS p_brand", "'STEEL' AS p_type").write.parquet(f"{tmp_path}/part.parquet")
+    spark.range(n).selectExpr("id * 1000 AS c_custkey", "concat('C', id) AS c_name", "CAST(id % 25 AS INT) AS c_nationkey", "'BUILDING' AS c_mktsegment").write.parquet(f"{tmp_path}/customer.parquet")
+    keys = [i * 500 for i in range(n)]
+    assert plans.automation_rows(spark, str(tmp_path)).count() == sum(k % 19 > 0 and k % 23 > 0 for k in keys)
+    assert plans.configured_servers(spark, str(tmp_path)).count() == sum((k % 23 > 0) * (1 + (k % 3 > 0)) for k in keys)
+    assert {r.label for r in plans.launchd_rules(spark, str(tmp_path)).select("label").collect()} == {f"C{i}" for i in range(n) if i * 1000 % 13 and i * 1000 % 17}
