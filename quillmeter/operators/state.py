@@ -46,8 +46,8 @@ def history(rows: DataFrame, group: str, at: str, seq: str, most: int) -> DataFr
 
 
 def within(rows: DataFrame, at: Column, now: Column, days: Column | int) -> DataFrame:
-    """Rows that are not older than ``days`` (a number, or a column for each kind of row); those without a time go."""
-    return rows.where(F.timestamp_diff("SECOND", at, now) <= F.lit(days) * 86_400)
+    """Rows that are not older than ``days`` (a number, or a column for each kind of row), to the microsecond; those without a time go."""
+    return rows.where(F.unix_micros(now) - F.unix_micros(at) <= F.lit(days).cast("long") * 86_400_000_000)
 
 
 def committable(index: DataFrame, committed: DataFrame, accepted: DataFrame, key: str, mark: str, empty: Column) -> DataFrame:

@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from quillmeter.operators import uploads, windows
+from quillmeter.operators import state, uploads, windows
 
 ENTRY = "destination string, seq long, generation long, fingerprint string, outcome string, at long, witness string"
 
@@ -81,3 +81,8 @@ def test_rows_of_one_name_are_one_record(spark):
     got = sorted((r.i, r.paired) for r in windows.paired(df, "g", "t", "i", F.col("new")).collect())
     # 11 tells of 10 at 10 ms, 5 of 10 at 20 ms: 11 is taken, with the current row of its name
     assert got == [(5, False), (5, False), (7, False), (10, True)]
+
+
+def test_age_to_the_microsecond(spark):
+    rows = spark.createDataFrame([(1, "2024-01-13 00:00:00"), (2, "2024-01-12 23:59:59.999999"), (3, "2024-01-12 23:59:59"), (4, None)], "i int, t string").withColumn("t", F.col("t").cast("timestamp"))
+    assert [r.i for r in state.within(rows, F.col("t"), F.lit("2024-01-20").cast("timestamp"), 7).collect()] == [1]
