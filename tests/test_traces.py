@@ -75,3 +75,11 @@ def test_json_and_protobuf_give_equal_rows(spark):
 def test_numbers_beyond_64_bits_are_no_protobuf(spark):
     rows = spark.createDataFrame([(1, b"\x08" + b"\xff" * 11), (2, b"\x08\x01")], "id int, body binary")
     assert {r.id: r.v for r in protobuf.trace_bodies(rows, "body", F.lit("protobuf")).select("id", F.to_json("value").alias("v")).collect()} == {1: None, 2: None}
+
+
+def test_numbers_of_any_size_are_written_whole(spark):
+    from quillmeter.plans.traces import _varint
+
+    numbers = [0, 127, 128, 2_097_151, 2_097_152, 6_000_001, (1 << 63) - 1, -1]
+    got = spark.createDataFrame([(n,) for n in numbers], "n long").select("n", F.unhex(_varint(F.col("n"))).alias("v")).collect()
+    assert {r.n: bytes(r.v) for r in got} == {n: varint(n & (1 << 64) - 1) for n in numbers}
