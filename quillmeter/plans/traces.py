@@ -15,16 +15,18 @@ _JSON = f"""concat('{{"resourceSpans":[{{"resource":{{"attributes":[{{"key":"ses
 '","attributes":[{{"key":"request_id","value":{{"intValue":"', event_id, '"}}}},{{"key":"success","value":{{"boolValue":', CASE WHEN event_id % 10 = 0 THEN 'false' ELSE 'true' END, '}}}},{{"key":"agent_id","value":{{"stringValue":"', event_type, '"}}}}]}}]}}]}}]}}')"""
 
 
-def _varint(n: Column, at: int = 0) -> Column:
-    """A whole number of 64 bits in hexadecimal digits, seven bits to a byte, from the lowest on."""
-    left = F.shiftrightunsigned(n.cast("long"), 7 * at)
-    low, byte = left.bitwiseAND(127), lambda c: F.lpad(F.hex(c), 2, "0")
-    return byte(low) if at == 9 else F.when(F.shiftrightunsigned(left, 7) == 0, byte(low)).otherwise(F.concat(byte(low + 128), _varint(n, at + 1)))
+def _varint(n: str) -> Column:
+    """A column of whole numbers of 64 bits in hexadecimal digits, seven bits to a byte, from the lowest on."""
+    more = f"CASE WHEN i < 9 AND shiftrightunsigned({n}, 7 * i + 7) <> 0 THEN 128 ELSE 0 END"
+    byte = f"lpad(hex((shiftrightunsigned({n}, 7 * i) & 127) + {more}), 2, '0')"
+    return F.expr(f"array_join(transform(filter(sequence(0, 9), i -> i = 0 OR shiftrightunsigned({n}, 7 * i) <> 0), i -> {byte}), '')")
 
 
 def _size(data: Column) -> Column:
-    """The number of bytes of hexadecimal digits."""
-    return _varint(F.length(data) / 2)
+    """A length below 16,384 in hexadecimal digits, seven bits to a byte."""
+    n = (F.length(data) / 2).cast("int")
+    byte = lambda c: F.lpad(F.hex(c.cast("long")), 2, "0")
+    return F.when(n < 128, byte(n)).otherwise(F.concat(byte(n % 128 + 128), byte(F.floor(n / 128))))
 
 
 def _held(number: int, data: Column) -> Column:
@@ -43,7 +45,7 @@ def _pair(key: str, value: Column) -> Column:
 def _protobuf(rows):
     """Adds ``wire``: the same export in protobuf, put together from the inside."""
     flag = F.concat(F.lit("10"), F.when(F.col("event_id") % 10 == 0, "00").otherwise("01"))
-    number = F.concat(F.lit("18"), _varint(F.col("event_id")))
+    number = F.concat(F.lit("18"), _varint("event_id"))
     nanos = F.lpad(F.hex(F.col("nanos")), 16, "0")
     start = F.concat(F.lit("39"), *[F.substr(nanos, F.lit(i), F.lit(2)) for i in range(15, 0, -2)])
     rows = rows.withColumns({"_a": _pair("session.id", _said(1, F.expr(_SESSION))), "_b": _pair("agent_id", _said(1, F.lit("outer"))), "_c": _pair("request_id", number), "_d": _pair("success", flag), "_e": _pair("agent_id", _said(1, F.col("event_type")))})

@@ -81,5 +81,5 @@ def test_numbers_of_any_size_are_written_whole(spark):
     from quillmeter.plans.traces import _varint
 
     numbers = [0, 127, 128, 2_097_151, 2_097_152, 6_000_001, (1 << 63) - 1, -1]
-    got = spark.createDataFrame([(n,) for n in numbers], "n long").select("n", F.unhex(_varint(F.col("n"))).alias("v")).collect()
+    got = spark.createDataFrame([(n,) for n in numbers], "n long").select("n", F.unhex(_varint("n")).alias("v")).collect()
     assert {r.n: bytes(r.v) for r in got} == {n: varint(n & (1 << 64) - 1) for n in numbers}
