@@ -120,17 +120,19 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 BANDS, BAND_BINS = 40, 8
 
 
-def sketches(docs: DataFrame) -> DataFrame:
-    """(key, doc_id, fp, same, n, bands) from (key, doc_id, text): SimHash, digest and number of the distinct shingles, band keys.
+def sketches(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
+    """(key, doc_id, fp, same, n, bands, least) from (key, doc_id, text): SimHash, digest and number of the distinct shingles, band keys.
 
-    A shingle is five words, all of them where there are fewer; texts without a word have one fixed shingle.
+    A shingle is five words, all of them where there are fewer; texts without a word have one fixed shingle. ``least`` are
+    the smallest hashes of shingles, as many as make sure that two texts with the similarity have one in common.
     """
 
     def one(text: str, hashes: np.ndarray) -> tuple:
         shingles = shingle_set(hashes)
         bins = fingerprints_.signature(hashes)[: BANDS * BAND_BINS].reshape(BANDS, BAND_BINS).astype(np.int64)
         bands = (np.arange(BANDS, dtype=np.int64) << 32) | (bins << (4 * np.arange(BAND_BINS))).sum(axis=1)
-        return simhash64(text, 5), xxhash.xxh3_64_intdigest(shingles.tobytes()), len(shingles), bands
+        least = shingles[: len(shingles) - int(np.ceil(similarity * len(shingles) - 1e-9)) + 1].view(np.int64)
+        return simhash64(text, 5), xxhash.xxh3_64_intdigest(shingles.tobytes()), len(shingles), bands, least
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -140,9 +142,11 @@ def sketches(docs: DataFrame) -> DataFrame:
                 fp, same = (np.array([r[k] for r in rows], np.uint64).view(np.int64) for k in (0, 1))
                 at = pa.array(np.arange(len(rows) + 1, dtype=np.int32) * BANDS)
                 bands = pa.ListArray.from_arrays(at, pa.array(np.concatenate([r[3] for r in rows])))
-                yield pa.RecordBatch.from_arrays([part.column("key"), part.column("doc_id"), pa.array(fp), pa.array(same), pa.array([r[2] for r in rows], pa.int64()), bands], ["key", "doc_id", "fp", "same", "n", "bands"])
+                ends = pa.array(np.cumsum([0, *(len(r[4]) for r in rows)]).astype(np.int32))
+                least = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([r[4] for r in rows])))
+                yield pa.RecordBatch.from_arrays([part.column("key"), part.column("doc_id"), pa.array(fp), pa.array(same), pa.array([r[2] for r in rows], pa.int64()), bands, least], ["key", "doc_id", "fp", "same", "n", "bands", "least"])
 
-    return docs.select("key", "doc_id", "text").mapInArrow(run, "key long, doc_id long, fp long, same long, n long, bands array<long>")
+    return docs.select("key", "doc_id", "text").mapInArrow(run, "key long, doc_id long, fp long, same long, n long, bands array<long>, least array<long>")
 
 
 def shingle_set(hashes: np.ndarray) -> np.ndarray:
@@ -161,6 +165,22 @@ def _stars(rows: DataFrame, group: str, similarity: float) -> DataFrame:
     return each.select(F.least("c", "o.c").alias("u"), F.greatest("c", "o.c").alias("v"))
 
 
+def _left_out(classes: DataFrame, roots: DataFrame, met: DataFrame, similarity: float) -> DataFrame:
+    """(u, v): the pairs that may have the similarity, aren't connected yet and weren't compared: with them no link is lost.
+
+    classes: (c, n, least). Such a pair shares one of its smallest hashes. Groups of a hash whose members are all connected
+    are left; in the others just the members of different components meet.
+    """
+    own = classes.join(roots.select(F.col("node").alias("c"), "root"), "c", "left").select("c", "n", F.coalesce("root", "c").alias("root"), F.explode("least").alias("h"))
+    mixed = own.groupBy("h").agg(F.min("root").alias("_a"), F.max("root").alias("_z")).where("_a <> _z").select("h")
+    some = written(own.join(mixed, "h"), "mixed")
+    a, b = some.select("h", "c", "n", "root"), some.select("h", F.col("c").alias("d"), F.col("n").alias("m"), F.col("root").alias("other"))
+    both = a.join(b, "h").where((F.col("root") < F.col("other")) & (F.least("n", "m") >= similarity * F.greatest("n", "m")))
+    rest = written(both.select(F.least("c", "d").alias("u"), F.greatest("c", "d").alias("v")).distinct().join(met, ["u", "v"], "left_anti"), "rest")
+    drop(some)
+    return rest
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """The pairs (u, v) of classes whose texts (c, text) have shingle sets of at least that Jaccard similarity."""
 
@@ -184,10 +204,11 @@ def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """The rows of ``docs``, one of each group of near-duplicates: the one with the smallest id, those without an id last.
 
     Two texts are linked if their sets of five-word shingles (lower-cased) have a Jaccard similarity of ``similarity`` or more,
-    and groups are what links connect. The bands are chosen for 0.8; below that more links are missed. Texts with one set are a class; classes are compared if their SimHashes lie at most two
+    and groups are what links connect. Texts with one set are a class; classes are compared if their SimHashes lie at most two
     bits apart (pivot distance tables) or if they share a band of their MinHash signatures, as SimHashes of texts with
     that similarity lie up to a dozen bits apart. In a band each class is compared with two others at most, and in forty
-    bands with others each time; every pair is verified on the whole texts.
+    bands with others each time. What these connect needs no more comparing; all other pairs that share one of their
+    smallest shingle hashes, as two texts with the similarity do, are compared then. Every pair is verified on the whole texts.
 
     Rows are told apart by id and whole text: of rows with both equal one stays, and which one isn't fixed; rows with one
     id and different texts are documents of their own. Null and empty texts are one class of texts without a word. An
@@ -198,8 +219,8 @@ def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     keyed = docs.select("*", key.alias(name))
     own = keyed.select(F.col(name).alias("key"), F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
-    rows = written(sketches(own), "sketches")
-    classes = written(rows.groupBy(F.col("same").alias("c")).agg(F.min(rank).alias("rep"), F.min("n").alias("n"), F.min(F.struct("fp", "bands")).alias("s")).select("c", "rep", "n", "s.fp", "s.bands"), "classes")
+    rows = written(sketches(own, similarity), "sketches")
+    classes = written(rows.groupBy(F.col("same").alias("c")).agg(F.min(rank).alias("rep"), F.min("n").alias("n"), F.min(F.struct("fp", "bands", "least")).alias("s")).select("c", "rep", "n", "s.fp", "s.bands", "s.least"), "classes")
     drop(rows)
     pairs = linked_pairs(classes.select("fp").distinct())
     near = classes.groupBy("fp").agg(F.min(F.struct("c", "n")).alias("m"))
@@ -208,11 +229,17 @@ def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     bands = classes.select("c", "n", F.explode("bands").alias("band"))
     met = _stars(bands, "band", similarity).union(_stars(classes.select("c", "n", "fp"), "fp", similarity)).union(bits)
     met = written(met.distinct(), "met")
-    asked = met.select(F.explode(F.array("u", "v")).alias("c")).distinct().join(classes.select("c", F.col("rep.key").alias("key")), "c")
-    texts = own.select("key", "text").join(asked.hint("shuffle_hash"), "key").groupBy("c").agg(F.min("text").alias("text"))
-    links = written(_verified(met, texts, similarity), "links")
-    roots = connected_components(links)
+
+    def linked(pairs: DataFrame, name: str) -> DataFrame:
+        asked = pairs.select(F.explode(F.array("u", "v")).alias("c")).distinct().join(classes.select("c", F.col("rep.key").alias("key")), "c")
+        texts = own.select("key", "text").join(asked.hint("shuffle_hash"), "key").groupBy("c").agg(F.min("text").alias("text"))
+        return written(_verified(pairs, texts, similarity), name)
+
+    links = linked(met, "links")
+    rest = _left_out(classes.select("c", "n", "least"), connected_components(links), met, similarity)
+    more = linked(rest, "more")
+    roots = connected_components(links.union(more))
     grouped = classes.select("c", "rep").join(roots.select(F.col("node").alias("c"), "root"), "c", "left")
     kept = written(grouped.groupBy(F.coalesce("root", "c").alias("root")).agg(F.min("rep").alias("rep")).select(F.col("rep.key").alias(name)), "kept")
-    drop(classes, met, links)
+    drop(classes, met, links, rest, more)
     return keyed.join(kept.hint("shuffle_hash"), name, "left_semi").dropDuplicates([name]).select(docs.columns)

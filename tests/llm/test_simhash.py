@@ -2,6 +2,7 @@ import random
 import re
 
 import xxhash
+from pyspark.sql import functions as F
 
 import corpus
 from quillmeter.llm import simhash
@@ -120,3 +121,16 @@ def test_components_of_a_long_chain(spark):
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == dict.fromkeys(range(120), 0) | {500: 500, 501: 500, 502: 500}
     assert connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_links_that_no_star_forms(spark, monkeypatch):
+    """Every pair with the similarity counts, whether or not a first or last member of a group has a part in it."""
+    rng, rows = random.Random(5), []
+    for g in range(6):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(60)]
+        rows += [(10 * g + k, " ".join([*words, *(f"x{g}y{k}z{i}" for i in range(5))]), "en", "s", 1) for k in range(4)]
+    rows += [(90 + k, " ".join(f"v{k}u{i}" for i in range(40)), "en", "s", 1) for k in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    monkeypatch.setattr(simhash, "_stars", lambda rows, group, similarity: rows.where("false").select(F.col("c").alias("u"), F.col("c").alias("v")))
+    got = sorted(r.doc_id for r in simhash.one_of_each_group(docs).collect())
+    assert got == sorted(near_groups(rows)) == [*range(0, 60, 10), 90, 91, 92]
