@@ -45,10 +45,16 @@ def projected(rows: DataFrame, columns: dict[str, str], kept: dict[str, Column])
 
 def policy_digests(rows: DataFrame, key: str, columns: dict[str, str]) -> DataFrame:
     """(key, digests): the distinct digests that a snapshot may have had under any policy, for those whose policy isn't known."""
-    flags = F.array(*[F.struct(*[F.lit(flag).alias(part) for part, flag in zip(POLICY_PARTS, p, strict=True)]) for p in policies()])
-    each = rows.select(key, *columns.values(), F.explode(flags).alias("p"))
-    shown = projected(each, columns, {part: F.col("p")[part] for part in columns})
-    return shown.groupBy(key).agg(F.count_distinct(F.sha2(F.to_json(F.struct(*columns.values())), 256)).alias("digests"))
+    names = list(columns.values())
+
+    def digest(row: Column, policy: tuple[bool, ...]) -> Column:
+        kept = dict(zip(POLICY_PARTS, policy, strict=True))
+        return F.sha2(F.to_json(F.struct(*[F.when(F.lit(kept[part]), row[c]).alias(c) for part, c in columns.items()])), 256)
+
+    # a snapshot's rows, mostly one, come together; its digests are made and counted inside of it
+    own = rows.groupBy(key).agg(F.collect_list(F.struct(*names)).alias("_r"))
+    made = F.flatten(F.transform("_r", lambda r: F.array(*[digest(r, p) for p in policies()])))
+    return own.select(key, F.size(F.array_distinct(made)).cast("long").alias("digests"))
 
 
 def _frame(said: str) -> bytes:

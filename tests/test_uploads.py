@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from quillmeter.operators import state, uploads, windows
+from quillmeter.operators import snapshots, state, uploads, windows
 
 ENTRY = "destination string, seq long, generation long, fingerprint string, outcome string, at long, witness string"
 
@@ -86,3 +86,11 @@ def test_rows_of_one_name_are_one_record(spark):
 def test_age_to_the_microsecond(spark):
     rows = spark.createDataFrame([(1, "2024-01-13 00:00:00"), (2, "2024-01-12 23:59:59.999999"), (3, "2024-01-12 23:59:59"), (4, None)], "i int, t string").withColumn("t", F.col("t").cast("timestamp"))
     assert [r.i for r in state.within(rows, F.col("t"), F.lit("2024-01-20").cast("timestamp"), 7).collect()] == [1]
+
+
+def test_policy_digests_stay_in_their_row(spark):
+    """A snapshot's digests are counted without a row for each policy; rows of one snapshot count together."""
+    rows = spark.createDataFrame([(1, "t", "l"), (1, "t", "m"), (2, "t", None)], "i int, t string, l string").withColumns({c: F.lit(c) for c in ("a", "f", "d")})
+    got = snapshots.policy_digests(rows, "i", dict(zip(snapshots.POLICY_PARTS, ("t", "l", "a", "f", "d"), strict=True)))
+    assert {r.i: r.digests for r in got.collect()} == {1: 30, 2: 10}
+    assert "Generate" not in got._jdf.queryExecution().toString()
