@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmeter.llm import fingerprints as fingerprints_
-from quillmeter.llm.common import drop, free_name, row_slices, text_or_empty, words, written
+from quillmeter.llm.buckets import BucketCounts, bitmap, full_buckets, has
+from quillmeter.llm.common import drop, free_name, give_back, row_slices, text_or_empty, words, written
 from quillmeter.llm.components import connected_components
 from quillmeter.llm.wordhash import Words, run_hashes
 
@@ -118,21 +119,50 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 #: Pieces of a MinHash signature that near-duplicates meet on, and bins of each. Of pairs with a similarity of 0.8, which
 #: agree in a bin with 0.81, one in 5,000 meets nowhere.
 BANDS, BAND_BINS = 40, 8
+#: A shingle is frequent if its bucket holds so many; the bitmap of 2^BUCKET_BITS buckets (8 MB) is broadcast.
+FREQUENT, BUCKET_BITS = 127, 26
+
+
+def _shingle_buckets(shingles: np.ndarray) -> np.ndarray:
+    return (shingles >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+
+
+def _shingle_counts(docs: DataFrame) -> DataFrame:
+    """Bucket counts of the texts' shingles of five words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = BucketCounts(FREQUENT, BUCKET_BITS)
+        for batch in batches:
+            for part in row_slices(batch, size=1 << 20):
+                w = Words(part.column("text"), lower=True)
+                h = run_hashes(w.hashes, 5)
+                counts.add(_shingle_buckets(h[w.rows(5) >= 0]))
+        rows = counts.rows()
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], ["chunk", "places", "counts"])
+        give_back()
+
+    return docs.select("text").mapInArrow(run, "chunk int, places binary, counts binary")
 
 
 def sketches(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
-    """(key, doc_id, fp, same, n, bands, least) from (key, doc_id, text): SimHash, digest and number of the distinct shingles, band keys.
+    """(key, doc_id, fp, same, n, bands, least, top, rest) from (key, doc_id, text): SimHash, digest and number of the distinct shingles, band keys.
 
     A shingle is five words, all of them where there are fewer; texts without a word have one fixed shingle. ``least`` are
-    the smallest hashes of shingles, as many as make sure that two texts with the similarity have one in common.
+    the first shingles in one order of all, as many as make sure that two texts with the similarity have one in common;
+    ``top`` is the last of them and ``rest`` the number of the text's other ones. The order is of hashes, with frequent
+    shingles behind all others, so that a text of which a fifth isn't frequent meets no other by a frequent one.
     """
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap(full_buckets(_shingle_counts(docs), FREQUENT), BUCKET_BITS))
 
     def one(text: str, hashes: np.ndarray) -> tuple:
         shingles = shingle_set(hashes)
         bins = fingerprints_.signature(hashes)[: BANDS * BAND_BINS].reshape(BANDS, BAND_BINS).astype(np.int64)
         bands = (np.arange(BANDS, dtype=np.int64) << 32) | (bins << (4 * np.arange(BAND_BINS))).sum(axis=1)
-        least = shingles[: len(shingles) - int(np.ceil(similarity * len(shingles) - 1e-9)) + 1].view(np.int64)
-        return simhash64(text, 5), xxhash.xxh3_64_intdigest(shingles.tobytes()), len(shingles), bands, least
+        rest = int(np.ceil(similarity * len(shingles) - 1e-9)) - 1
+        frequent = has(shared.value, _shingle_buckets(shingles)).astype(np.uint64)
+        least = np.sort(shingles >> np.uint64(2) | frequent << np.uint64(62))[: len(shingles) - rest].view(np.int64)
+        return simhash64(text, 5), xxhash.xxh3_64_intdigest(shingles.tobytes()), len(shingles), bands, least, rest
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -144,9 +174,10 @@ def sketches(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
                 bands = pa.ListArray.from_arrays(at, pa.array(np.concatenate([r[3] for r in rows])))
                 ends = pa.array(np.cumsum([0, *(len(r[4]) for r in rows)]).astype(np.int32))
                 least = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([r[4] for r in rows])))
-                yield pa.RecordBatch.from_arrays([part.column("key"), part.column("doc_id"), pa.array(fp), pa.array(same), pa.array([r[2] for r in rows], pa.int64()), bands, least], ["key", "doc_id", "fp", "same", "n", "bands", "least"])
+                n, top, rest = (pa.array(x, pa.int64()) for x in ([r[2] for r in rows], [r[4][-1] for r in rows], [r[5] for r in rows]))
+                yield pa.RecordBatch.from_arrays([part.column("key"), part.column("doc_id"), pa.array(fp), pa.array(same), n, bands, least, top, rest], ["key", "doc_id", "fp", "same", "n", "bands", "least", "top", "rest"])
 
-    return docs.select("key", "doc_id", "text").mapInArrow(run, "key long, doc_id long, fp long, same long, n long, bands array<long>, least array<long>")
+    return docs.select("key", "doc_id", "text").mapInArrow(run, "key long, doc_id long, fp long, same long, n long, bands array<long>, least array<long>, top long, rest long")
 
 
 def shingle_set(hashes: np.ndarray) -> np.ndarray:
@@ -168,15 +199,19 @@ def _stars(rows: DataFrame, group: str, similarity: float) -> DataFrame:
 def _left_out(classes: DataFrame, roots: DataFrame, met: DataFrame, similarity: float) -> DataFrame:
     """(u, v): the pairs that may have the similarity, aren't connected yet and weren't compared: with them no link is lost.
 
-    classes: (c, n, least). Such a pair shares one of its smallest hashes. Groups of a hash whose members are all connected
-    are left; in the others just the members of different components meet.
+    classes: (c, n, least, top, rest). Such a pair shares one of its first shingles. Groups of a shingle whose members are
+    all connected are left; in the others just the members of different components meet, and a pair's common shingles
+    are counted: whichever text's first ones end earlier has no other in common there, so these and its rest are the
+    most that both can share. Pairs that this leaves below the similarity are ruled out without their texts.
     """
-    own = classes.join(roots.select(F.col("node").alias("c"), "root"), "c", "left").select("c", "n", F.coalesce("root", "c").alias("root"), F.explode("least").alias("h"))
+    own = classes.join(roots.select(F.col("node").alias("c"), "root"), "c", "left").select("c", F.struct("n", "top", "rest").alias("x"), F.coalesce("root", "c").alias("root"), F.explode("least").alias("h"))
     mixed = own.groupBy("h").agg(F.min("root").alias("_a"), F.max("root").alias("_z")).where("_a <> _z").select("h")
     some = written(own.join(mixed, "h"), "mixed")
-    a, b = some.select("h", "c", "n", "root"), some.select("h", F.col("c").alias("d"), F.col("n").alias("m"), F.col("root").alias("other"))
-    both = a.join(b, "h").where((F.col("root") < F.col("other")) & (F.least("n", "m") >= similarity * F.greatest("n", "m")))
-    rest = written(both.select(F.least("c", "d").alias("u"), F.greatest("c", "d").alias("v")).distinct().join(met, ["u", "v"], "left_anti"), "rest")
+    a, b = some.select("h", "c", "x", "root"), some.select("h", F.col("c").alias("d"), F.col("x").alias("y"), F.col("root").alias("other"))
+    both = a.join(b, "h").where((F.col("root") < F.col("other")) & (F.least("x.n", "y.n") >= similarity * F.greatest("x.n", "y.n")))
+    need = F.ceil((F.col("x.n") + F.col("y.n")) * (similarity / (1 + similarity)) - 1e-6) - F.when(F.col("x.top") < F.col("y.top"), F.col("x.rest")).otherwise(F.col("y.rest"))
+    counted = both.groupBy(F.least("c", "d").alias("u"), F.greatest("c", "d").alias("v")).agg(F.count("*").alias("shared"), F.max(need).alias("need"))
+    rest = written(counted.where("shared >= need").select("u", "v").join(met, ["u", "v"], "left_anti"), "rest")
     drop(some)
     return rest
 
@@ -207,8 +242,9 @@ def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     and groups are what links connect. Texts with one set are a class; classes are compared if their SimHashes lie at most two
     bits apart (pivot distance tables) or if they share a band of their MinHash signatures, as SimHashes of texts with
     that similarity lie up to a dozen bits apart. In a band each class is compared with two others at most, and in forty
-    bands with others each time. What these connect needs no more comparing; all other pairs that share one of their
-    smallest shingle hashes, as two texts with the similarity do, are compared then. Every pair is verified on the whole texts.
+    bands with others each time. What these connect needs no more comparing; all other pairs that share enough of their
+    first shingles, rare ones before frequent ones, to have the similarity are compared then. Every pair is verified on the
+    whole texts.
 
     Rows are told apart by id and whole text: of rows with both equal one stays, and which one isn't fixed; rows with one
     id and different texts are documents of their own. Null and empty texts are one class of texts without a word. An
@@ -220,7 +256,7 @@ def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     own = keyed.select(F.col(name).alias("key"), F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
     rows = written(sketches(own, similarity), "sketches")
-    classes = written(rows.groupBy(F.col("same").alias("c")).agg(F.min(rank).alias("rep"), F.min("n").alias("n"), F.min(F.struct("fp", "bands", "least")).alias("s")).select("c", "rep", "n", "s.fp", "s.bands", "s.least"), "classes")
+    classes = written(rows.groupBy(F.col("same").alias("c")).agg(F.min(rank).alias("rep"), F.min("n").alias("n"), F.min(F.struct("fp", "bands", "least", "top", "rest")).alias("s")).select("c", "rep", "n", "s.*"), "classes")
     drop(rows)
     pairs = linked_pairs(classes.select("fp").distinct())
     near = classes.groupBy("fp").agg(F.min(F.struct("c", "n")).alias("m"))
@@ -236,7 +272,7 @@ def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         return written(_verified(pairs, texts, similarity), name)
 
     links = linked(met, "links")
-    rest = _left_out(classes.select("c", "n", "least"), connected_components(links), met, similarity)
+    rest = _left_out(classes.select("c", "n", "least", "top", "rest"), connected_components(links), met, similarity)
     more = linked(rest, "more")
     roots = connected_components(links.union(more))
     grouped = classes.select("c", "rep").join(roots.select(F.col("node").alias("c"), "root"), "c", "left")

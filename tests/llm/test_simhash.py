@@ -134,3 +134,23 @@ def test_links_that_no_star_forms(spark, monkeypatch):
     monkeypatch.setattr(simhash, "_stars", lambda rows, group, similarity: rows.where("false").select(F.col("c").alias("u"), F.col("c").alias("v")))
     got = sorted(r.doc_id for r in simhash.one_of_each_group(docs).collect())
     assert got == sorted(near_groups(rows)) == [*range(0, 60, 10), 90, 91, 92]
+
+
+def test_texts_with_a_common_passage_are_ruled_out_by_counts(spark, monkeypatch):
+    """Texts that share a passage meet, but those below the similarity aren't compared, and none above it is lost."""
+    rng, rows = random.Random(8), []
+    passage = " ".join(f"p{i}" for i in range(14))
+    for g in range(30):
+        own = [f"w{rng.randrange(10**6)}" for _ in range(40)]
+        rows.append((2 * g, " ".join([*own, passage]), "en", "s", 1))
+        if g < 3:
+            rows.append((2 * g + 1, " ".join([*own, passage, f"x{g}"]), "en", "s", 1))
+    docs, seen, verified = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), [], simhash._verified
+    monkeypatch.setattr(simhash, "_stars", lambda rows, group, similarity: rows.where("false").select(F.col("c").alias("u"), F.col("c").alias("v")))
+    monkeypatch.setattr(simhash, "_verified", lambda pairs, *a: seen.append(pairs.count()) or verified(pairs, *a))
+    for frequent in (127, 20):  # the passage's shingles are in their place, then behind all others
+        monkeypatch.setattr(simhash, "FREQUENT", frequent)
+        seen.clear()
+        got = sorted(r.doc_id for r in simhash.one_of_each_group(docs).collect())
+        assert got == sorted(near_groups(rows)) == [2 * g for g in range(30)]
+        assert sum(seen) == 3
