@@ -13,10 +13,12 @@ def messages(lines: DataFrame, order: str = "ordinal") -> DataFrame:
     last line counts. A message that breaks a rule is a conflict, which makes its file one to read again.
     """
     key = ["file", "message_id", "request_id"]
+    # lines of a message are dealt out and sorted once: the window's order serves the grouping too
     before = F.lag("output").over(Window.partitionBy(*key).orderBy(order))
     falls = lines.withColumn("_falls", before.isNotNull() & (F.col("output") < before))
     last = F.max(F.struct(order, "model", "input", "cached", "output")).alias("_l")
-    differs = F.count_distinct(F.struct(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("model", "input", "cached")])) > 1
+    said = F.struct(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("model", "input", "cached")])
+    differs = F.min(said) < F.max(said)
     return falls.groupBy(*key).agg(last, (differs | F.bool_or("_falls")).alias("conflict")).select(*key, "_l.model", "_l.input", "_l.cached", "_l.output", F.col(f"_l.{order}").alias("ordinal"), "conflict")
 
 
@@ -44,13 +46,14 @@ def counter_used(rows: DataFrame, group: str, order: str, total: str, delta: str
     return rows.withColumn("used", F.coalesce(F.col(delta), grown, F.lit(0)))
 
 
-def reconciled(shapes: DataFrame, keys: list[str], shape: str) -> DataFrame:
+def reconciled(shapes: DataFrame, keys: list[str], shape: str, last: Column | None = None) -> DataFrame:
     """(keys, n, retry): how often a response counts; both shapes must name it equally often, where both are there at all.
 
-    shape: ``message`` or ``message_end``. Where the counts differ, the larger one counts and the response is to be read again.
+    last: what else is kept of each response, as ``_l``. shape: ``message`` or ``message_end``. Where the counts differ, the larger one counts and the response is to be read again.
     """
-    n = shapes.groupBy(*keys).agg(F.count_if(F.col(shape) == "message").alias("_a"), F.count_if(F.col(shape) == "message_end").alias("_b"))
-    return n.select(*keys, F.greatest("_a", "_b").alias("n"), ((F.col("_a") > 0) & (F.col("_b") > 0) & (F.col("_a") != F.col("_b"))).alias("retry"))
+    own = [] if last is None else [last.alias("_l")]
+    n = shapes.groupBy(*keys).agg(F.count_if(F.col(shape) == "message").alias("_a"), F.count_if(F.col(shape) == "message_end").alias("_b"), *own)
+    return n.select(*keys, *n.columns[len(keys) + 2 :], F.greatest("_a", "_b").alias("n"), ((F.col("_a") > 0) & (F.col("_b") > 0) & (F.col("_a") != F.col("_b"))).alias("retry"))
 
 
 def hourly(usage: DataFrame, time: str, keys: list[str], sums: list[str], cost: str) -> DataFrame:

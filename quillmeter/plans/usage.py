@@ -21,7 +21,7 @@ def usage_messages(spark, sf):
         F.when(k % 17 == 0, F.col("l_linenumber")).otherwise(1).alias("input"), F.floor("l_quantity").alias("output"),
     )
     key = ["file", "message_id", "request_id", "ordinal"]
-    lines = lines.groupBy(*key).agg(F.max("model").alias("model"), F.max("input").alias("input"), F.lit(0).alias("cached"), (F.max("output") * F.when(F.col("message_id") % 2 == 0, 1).otherwise(F.col("ordinal"))).alias("output"))
+    lines = lines.repartition(*key[:3]).groupBy(*key).agg(F.max("model").alias("model"), F.max("input").alias("input"), F.lit(0).alias("cached"), (F.max("output") * F.when(F.col("message_id") % 2 == 0, 1).otherwise(F.col("ordinal"))).alias("output"))
     return usage.messages(lines).select("file", "message_id", "request_id", "output", "ordinal", "conflict")
 
 
