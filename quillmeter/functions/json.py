@@ -26,6 +26,11 @@ def at(value: Column, path: str) -> Column:
     return F.try_variant_get(value, path, "variant")
 
 
+def string(found: Column) -> Column:
+    """A value's own text; null if it is no string."""
+    return F.when(kind(found) == "STRING", F.try_variant_get(found, "$", "string"))
+
+
 def string_at(value: Column, path: str) -> Column:
     """The text under a path; null if anything but a string is there."""
     found = at(value, path)

@@ -9,6 +9,7 @@ from quillmeter.functions import digests, json, text, times
 
 #: Rows of a page that count, attempts and new keys at most; names of states and environments.
 PAGE_ROWS, MOST_ATTEMPTS, MOST_KEYS = 20, 100_000, 2_000
+_TIMES = ("created", "started", "updated", "completed")
 STATES = {
     "queued": "queued", "running": "running", "in_progress": "running", "ready": "completed", "applied": "completed", "completed": "completed", "succeeded": "completed", "success": "completed",
     "failed": "failed", "error": "failed", "cancelled": "cancelled", "canceled": "cancelled",
@@ -51,11 +52,6 @@ def cursor(page: Column) -> Column:
     return F.struct(state.alias("state"), F.when(error.isNull(), value).alias("next"), error.alias("error"))
 
 
-def _first(row: Column, keys: list[str]) -> Column:
-    """The first key's text that is one; null if that is empty."""
-    return F.nullif(F.coalesce(*[json.string_at(row, f"$.{k}") for k in keys]), F.lit(""))
-
-
 def page_rows(pages: DataFrame, page: str, value: str, key: bytes, observed: Column) -> tuple[DataFrame, DataFrame]:
     """Observations of pages, and (page, items, invalid, truncated): rows without an id or a state don't count.
 
@@ -64,23 +60,20 @@ def page_rows(pages: DataFrame, page: str, value: str, key: bytes, observed: Col
     v = F.col(value)
     items = F.coalesce(F.when(json.kind(v) == "ARRAY", F.try_variant_get(v, "$", "array<variant>")), json.first_items(v, ["tasks", "items", "data"]))
     rows = pages.select(page, F.posexplode(F.slice(items, 1, PAGE_ROWS)).alias("place", "row"))
+    # each step is a column of its own: a field is looked up once, its text made once, though an instant needs it often
+    named = {"id": ["id", "task_id"], "status": ["status", "state"], "environment": ["environment_kind", "environment"]} | {n: [f"{n}_at", f"{n}At"] for n in _TIMES}
     r = F.col("row")
-
-    def moment(keys: list[str]) -> Column:
-        said = _first(r, keys)
-        at = F.when(F.octet_length(said) <= 64, times.instant(said))
-        return F.when(at <= observed, at)
-
     attempts = F.coalesce(*[json.long_at(r, f"$.{k}") for k in ("attempt_total", "attempt_count", "attempts")])
-    read = rows.select(
-        page, "place", _first(r, ["id", "task_id"]).alias("id"), _first(r, ["status", "state"]).alias("status"), environment(_first(r, ["environment_kind", "environment"])).alias("environment"), F.when(attempts <= MOST_ATTEMPTS, attempts).alias("attempts"),
-        *[moment([f"{n}_at", f"{n}At"]).alias(n) for n in ("created", "started", "updated", "completed")],
-    )
+    fields = rows.select(page, "place", attempts.alias("_n"), *[json.at(r, f"$.{k}").alias(f"_v_{k}") for keys in named.values() for k in keys])
+    first = lambda keys: F.nullif(F.coalesce(*[json.string(F.col(f"_v_{k}")) for k in keys]), F.lit(""))
+    said = fields.select(page, "place", "_n", *[first(keys).alias(n) for n, keys in named.items()])
+    dated = said.withColumns({n: F.when(F.octet_length(n) <= 64, times.instant(F.col(n))) for n in _TIMES})
+    read = dated.select(page, "place", "id", "status", environment(F.col("environment")).alias("environment"), F.when(F.col("_n") <= MOST_ATTEMPTS, F.col("_n")).alias("attempts"), *[F.when(F.col(n) <= observed, F.col(n)).alias(n) for n in _TIMES])
     good = F.col("id").isNotNull() & F.col("status").isNotNull()
     later = lambda a, b: F.coalesce(F.col(a) > F.col(b), F.lit(False))
     wrong = later("created", "started") | later("started", "completed") | later("created", "completed")
     timed = read.withColumn("_w", wrong)
-    kept = [F.when(~F.col("_w"), F.col(n)).alias(n) for n in ("created", "started", "updated", "completed")]
+    kept = [F.when(~F.col("_w"), F.col(n)).alias(n) for n in _TIMES]
     made = timed.where(good).select(page, "place", digests.hmac_sha256(key, F.col("id")).alias("entity"), lifecycle(F.col("status")).alias("lifecycle"), "environment", "attempts", *kept)
     counted = pages.select(page, F.coalesce(F.size(items), F.lit(0)).alias("items")).join(read.groupBy(page).agg(F.count_if(~good).alias("invalid")), page, "left")
     return made, counted.select(page, "items", F.coalesce("invalid", F.lit(0)).alias("invalid"), (F.col("items") > PAGE_ROWS).alias("truncated"))
