@@ -4,7 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from quillmeter.operators import rollup
+from quillmeter.operators import cloud, rollup, usage
 
 
 def lines(spark, rows):
@@ -52,3 +52,26 @@ def test_hours_and_sessions_agree(spark):
     assert all(r.agrees for r in made.values()) and set(made) == {"a", "b", "c"}
     assert [(m.model, m.n, m.output) for m in made["a"].models] == [("m", 4, 15)] and made["a"].buckets[0].models[0].output == 15
     assert rollup.sessions(rows.where("false")).count() == 0
+
+
+def test_lines_are_read_once_for_each_kind(spark):
+    """Levels and sessions add up one reading of the responses; a response's shapes need no second one."""
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    rows = rollup.responses(lines(spark, ROWS))
+    for made in (rows, rollup.levels(rows), rollup.sessions(rows), rollup.hours(rows)):
+        assert plan(made).count("LogicalRDD") == 3 and "Join" not in plan(made)
+
+
+def test_messages_are_dealt_out_once(spark):
+    rows = [(1, "a", "r", 0, "m", 1, 0, 5), (1, "a", "r", 1, "m", 1, 0, 7), (1, "b", "r", 0, None, 1, 0, 5), (1, "b", "r", 1, "", 1, 0, 5), (1, "c", "r", 0, "m", 1, 0, 5), (1, "c", "r", 1, "n", 1, 0, 5)]
+    made = usage.messages(spark.createDataFrame(rows, "file long, message_id string, request_id string, ordinal long, model string, input long, cached long, output long"))
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert {r.message_id: r.conflict for r in made.collect()} == {"a": False, "b": False, "c": True}
+    assert plan.count("Exchange hashpartitioning") <= 1 and "Expand" not in plan
+
+
+def test_fields_of_a_page_are_looked_up_once(spark):
+    pages = spark.createDataFrame([(1, '[{"id":"a","status":"ready","created_at":"2001-01-01T00:00:00Z","completedAt":"2000-01-01T00:00:00Z"}]')], "page long, j string").select("page", F.try_parse_json("j").alias("v"))
+    made, _ = cloud.page_rows(pages, "page", "v", b"k", F.lit("2003-01-01").cast("timestamp"))
+    assert [(r.lifecycle, r.created, r.completed) for r in made.collect()] == [("completed", None, None)]
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("$.created_at") <= 2
