@@ -68,6 +68,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def freed(df: DataFrame, name: str) -> DataFrame:
+    """``written``, and the driver collects its garbage: Spark then deletes the files of shuffles that nothing refers to."""
+    table = written(df, name)
+    del df
+    table.sparkSession._jvm.System.gc()
+    return table
+
+
 def shuffle_width(spark: SparkSession) -> int:
     """Partitions of a shuffle, as the cluster's owner set them for its data."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))

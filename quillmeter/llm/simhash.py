@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from quillmeter.llm import fingerprints as fingerprints_
 from quillmeter.llm.buckets import BucketCounts, bitmap, full_buckets, has
-from quillmeter.llm.common import drop, free_name, give_back, row_slices, text_or_empty, words, written
+from quillmeter.llm.common import drop, free_name, freed, give_back, row_slices, text_or_empty, words, written
 from quillmeter.llm.components import connected_components
 from quillmeter.llm.wordhash import Words, run_hashes
 
@@ -196,6 +196,38 @@ def _stars(rows: DataFrame, group: str, similarity: float) -> DataFrame:
     return each.select(F.least("c", "o.c").alias("u"), F.greatest("c", "o.c").alias("v"))
 
 
+def _shared_shingles(classes: DataFrame) -> DataFrame:
+    """(c, root, h) from (c, root, least): a row for each of the first shingles whose bucket two classes or more have."""
+
+    def flat(column: pa.Array) -> np.ndarray:
+        return column.flatten().to_numpy().view(np.uint64)
+
+    def buckets(keys: np.ndarray) -> np.ndarray:
+        return _shingle_buckets(keys << np.uint64(2))  # the order's own bits are left out
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = BucketCounts(2, BUCKET_BITS)
+        for batch in batches:
+            counts.add(buckets(flat(batch.column("least"))))
+        rows = counts.rows()
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], ["chunk", "places", "counts"])
+        give_back()
+
+    full = bitmap(full_buckets(classes.select("least").mapInArrow(count, "chunk int, places binary, counts binary"), 2), BUCKET_BITS)
+    shared = classes.sparkSession.sparkContext.broadcast(full)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = flat(batch.column("least"))
+            row = np.repeat(np.arange(batch.num_rows), batch.column("least").value_lengths().to_numpy())
+            some = np.flatnonzero(has(shared.value, buckets(keys)))
+            own = batch.select(["c", "root"]).take(pa.array(row[some]))
+            yield pa.RecordBatch.from_arrays([*own.columns, pa.array(keys[some].view(np.int64))], ["c", "root", "h"])
+
+    return classes.select("c", "root", "least").mapInArrow(run, "c long, root long, h long")
+
+
 def _left_out(classes: DataFrame, roots: DataFrame, met: DataFrame, similarity: float) -> DataFrame:
     """(u, v): the pairs that may have the similarity, aren't connected yet and weren't compared: with them no link is lost.
 
@@ -204,14 +236,15 @@ def _left_out(classes: DataFrame, roots: DataFrame, met: DataFrame, similarity:
     are counted: whichever text's first ones end earlier has no other in common there, so these and its rest are the
     most that both can share. Pairs that this leaves below the similarity are ruled out without their texts.
     """
-    own = classes.join(roots.select(F.col("node").alias("c"), "root"), "c", "left").select("c", F.struct("n", "top", "rest").alias("x"), F.coalesce("root", "c").alias("root"), F.explode("least").alias("h"))
+    named = classes.join(roots.select(F.col("node").alias("c"), "root"), "c", "left").select("c", F.coalesce("root", "c").alias("root"), "least")
+    own = _shared_shingles(named)
     mixed = own.groupBy("h").agg(F.min("root").alias("_a"), F.max("root").alias("_z")).where("_a <> _z").select("h")
-    some = written(own.join(mixed, "h"), "mixed")
+    some = freed(own.join(mixed, "h").join(classes.select("c", F.struct("n", "top", "rest").alias("x")), "c"), "mixed")
     a, b = some.select("h", "c", "x", "root"), some.select("h", F.col("c").alias("d"), F.col("x").alias("y"), F.col("root").alias("other"))
     both = a.join(b, "h").where((F.col("root") < F.col("other")) & (F.least("x.n", "y.n") >= similarity * F.greatest("x.n", "y.n")))
     need = F.ceil((F.col("x.n") + F.col("y.n")) * (similarity / (1 + similarity)) - 1e-6) - F.when(F.col("x.top") < F.col("y.top"), F.col("x.rest")).otherwise(F.col("y.rest"))
     counted = both.groupBy(F.least("c", "d").alias("u"), F.greatest("c", "d").alias("v")).agg(F.count("*").alias("shared"), F.max(need).alias("need"))
-    rest = written(counted.where("shared >= need").select("u", "v").join(met, ["u", "v"], "left_anti"), "rest")
+    rest = freed(counted.where("shared >= need").select("u", "v").join(met, ["u", "v"], "left_anti"), "rest")
     drop(some)
     return rest
 
@@ -255,8 +288,8 @@ def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     keyed = docs.select("*", key.alias(name))
     own = keyed.select(F.col(name).alias("key"), F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
-    rows = written(sketches(own, similarity), "sketches")
-    classes = written(rows.groupBy(F.col("same").alias("c")).agg(F.min(rank).alias("rep"), F.min("n").alias("n"), F.min(F.struct("fp", "bands", "least", "top", "rest")).alias("s")).select("c", "rep", "n", "s.*"), "classes")
+    rows = freed(sketches(own, similarity), "sketches")
+    classes = freed(rows.groupBy(F.col("same").alias("c")).agg(F.min(rank).alias("rep"), F.min("n").alias("n"), F.min(F.struct("fp", "bands", "least", "top", "rest")).alias("s")).select("c", "rep", "n", "s.*"), "classes")
     drop(rows)
     pairs = linked_pairs(classes.select("fp").distinct())
     near = classes.groupBy("fp").agg(F.min(F.struct("c", "n")).alias("m"))
@@ -264,12 +297,12 @@ def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     bits = pairs.join(mine[0], "a").join(mine[1], "b").where(F.least("ma.n", "mb.n") >= similarity * F.greatest("ma.n", "mb.n")).select(F.least("ma.c", "mb.c").alias("u"), F.greatest("ma.c", "mb.c").alias("v"))
     bands = classes.select("c", "n", F.explode("bands").alias("band"))
     met = _stars(bands, "band", similarity).union(_stars(classes.select("c", "n", "fp"), "fp", similarity)).union(bits)
-    met = written(met.distinct(), "met")
+    met = freed(met.distinct(), "met")
 
     def linked(pairs: DataFrame, name: str) -> DataFrame:
         asked = pairs.select(F.explode(F.array("u", "v")).alias("c")).distinct().join(classes.select("c", F.col("rep.key").alias("key")), "c")
         texts = own.select("key", "text").join(asked.hint("shuffle_hash"), "key").groupBy("c").agg(F.min("text").alias("text"))
-        return written(_verified(pairs, texts, similarity), name)
+        return freed(_verified(pairs, texts, similarity), name)
 
     links = linked(met, "links")
     rest = _left_out(classes.select("c", "n", "least", "top", "rest"), connected_components(links), met, similarity)

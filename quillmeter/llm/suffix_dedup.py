@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmeter.llm.buckets import BucketCounts, bitmap, full_buckets, has
-from quillmeter.llm.common import drop, give_back, row_slices, shuffle_width, text_or_empty, written
+from quillmeter.llm.common import drop, freed, give_back, row_slices, shuffle_width, text_or_empty
 from quillmeter.llm.induced import common_prefixes, suffix_array
 from quillmeter.llm.wordhash import _CHUNK, _INVERSE, _POWER, _VALUE, _bytes_of, mixed, sliding
 
@@ -251,7 +251,7 @@ def dedup_bytes(docs: DataFrame, window: int = 200, gram: int = GRAM, bits: int
     maps: list = []
     for _ in range(ROUNDS):
         maps.append(spark.sparkContext.broadcast(bitmap(full_buckets(_anchor_counts(own, maps, window, gram, bits), 2), bits)))
-    all_docs = written(_documents(own, maps, window, gram, bits), "documents")
+    all_docs = freed(_documents(own, maps, window, gram, bits), "documents")
     for old in maps:
         old.destroy()
     stretches = all_docs.select("uid", F.inline("stretches"))
@@ -261,12 +261,12 @@ def dedup_bytes(docs: DataFrame, window: int = 200, gram: int = GRAM, bits: int
     counted = stretches.groupBy(*keys).agg(F.count("*").alias("n"), F.max("windows").alias("windows"), F.min(place.cast("decimal(30,0)")).alias("one"))
     anchors = counted.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum("n").alias("all"), F.sum(F.col("windows") + F.lit(window)).alias("bytes")).where("`all` > 1")
     spot = [F.expr(f"one div {1 << 31}").alias("uid"), F.expr(f"CAST(one % {1 << 31} AS INT)").alias("at")]
-    met = written(counted.join(anchors, "anchor").select(*keys, "n", "windows", *spot, "kinds", (F.col("bytes") > HOT_BYTES).alias("hot")), "stretches")
+    met = freed(counted.join(anchors, "anchor").select(*keys, "n", "windows", *spot, "kinds", (F.col("bytes") > HOT_BYTES).alias("hot")), "stretches")
     whole, open_ = met.where("n > 1").select(*keys), met.where("kinds > 1").select(*keys, "uid", "at", "windows", "hot")
-    texts = written(_stretch_texts(all_docs, open_, window), "texts")
+    texts = freed(_stretch_texts(all_docs, open_, window), "texts")
     total = texts.where("not hot").agg(F.sum(F.octet_length("bytes"))).first()[0] or 0
     ranges = _by_suffix_arrays(texts.where("not hot"), max(1, -(-total // SHARD_BYTES)), window).union(_by_single_windows(texts.where("hot"), window))
-    ranges = written(ranges.union(whole.select(*keys, F.lit(0).alias("a"), F.lit(None).cast("int").alias("b"))), "ranges")
+    ranges = freed(ranges.union(whole.select(*keys, F.lit(0).alias("a"), F.lit(None).cast("int").alias("b"))), "ranges")
     drop(texts)
     gone = stretches.join(ranges, keys).select("uid", (F.col("at") + F.col("a")).alias("a"), (F.col("at") + F.coalesce("b", "windows") + F.lit(window - 1)).alias("b"))
     done = all_docs.where("text is null").select("doc_id", "n_bytes", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), "kept_sha256")

@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmeter.llm.common import drop, row_slices, shuffle_width, text_or_empty, written
+from quillmeter.llm.common import drop, freed, row_slices, shuffle_width, text_or_empty
 from quillmeter.llm.wordhash import Index, Words
 
 #: Sizes of what is broadcast: frequent tokens, values of frequent word runs, 64-bit words of a filter. They are shortcuts
@@ -45,14 +45,6 @@ def _tokens(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return out, first
 
 
-def _freed(df: DataFrame, name: str) -> DataFrame:
-    """``written``, and the driver collects its garbage: Spark then deletes the files of shuffles that nothing refers to."""
-    table = written(df, name)
-    del df
-    table.sparkSession._jvm.System.gc()
-    return table
-
-
 def _pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Spark's xxhash64(a, b) of two columns of longs."""
     p1, p2, p3, p4, p5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
@@ -131,7 +123,7 @@ def _summed(own: DataFrame, columns_of: Callable[[pa.RecordBatch], list[np.ndarr
             yield out(merged(held))
 
     rows = own.select("text").mapInArrow(run, ", ".join(f"{c} long" for c in [*names, "n"]))
-    return _freed(rows.groupBy(*names).agg(F.sum("n").alias("n")).where(F.col("n") >= least), name)
+    return freed(rows.groupBy(*names).agg(F.sum("n").alias("n")).where(F.col("n") >= least), name)
 
 
 def _level(n: Column) -> Column:
@@ -266,10 +258,10 @@ def train(own: DataFrame, depth: int = DEPTH) -> tuple[Model, int, int]:
 
         pairs = _summed(own, columns_of, ["context", "shorter"], "pairs", LEAST_NEXT)
         # every next symbol comes as often after the shorter context, which is as frequent: it has an entry there
-        entries = _freed(pairs.join(parent, "shorter"), "entries")
+        entries = freed(pairs.join(parent, "shorter"), "entries")
         drop(pairs)
         shared.destroy()  # pairs are written; nothing asks for these filters again
-        states = _freed(_retained(entries, contexts), "states")
+        states = freed(_retained(entries, contexts), "states")
         kept = F.col("backoff").isNotNull()
         state = F.when(kept, F.ln((F.col("n") - DISCOUNT) / F.col("total"))).otherwise(F.col("parent"))
         more = F.when(kept, state - F.col("parent") - F.col("backoff")).otherwise(0.0)
@@ -282,7 +274,7 @@ def train(own: DataFrame, depth: int = DEPTH) -> tuple[Model, int, int]:
     weight = lambda d: levels[d][0].select(F.col("context").alias("key"), "backoff")
     none = F.lit(0.0)
     tokens = counts.join(weight(0), "key", "left") if levels else counts.withColumn("backoff", none)
-    tokens = _freed(tokens.select("key", "n", (root / _LN10).alias("base"), (F.coalesce("backoff", none) / _LN10).alias("more")), "tokens")
+    tokens = freed(tokens.select("key", "n", (root / _LN10).alias("base"), (F.coalesce("backoff", none) / _LN10).alias("more")), "tokens")
     runs = counts.select("key", "n", none.alias("more")).where("false")
     for d, (_, table) in enumerate(levels):
         longer = table.join(weight(d + 1), "key", "left") if d + 1 < len(levels) else table.withColumn("backoff", none)
@@ -291,7 +283,7 @@ def train(own: DataFrame, depth: int = DEPTH) -> tuple[Model, int, int]:
     top, level = _most_frequent(tokens, HEAD, 1)
     key, base, more = _columns(top, "key", "base", "more")  # at most HEAD rows
     unknown = float(np.log10(ADDED / (n_tokens + ADDED * (distinct + 1))))
-    model = Model(Index(key), np.append(base, 0.0), np.append(more, 0.0), unknown, filters, tokens, *([x[i] for x in levels] for i in (0, 1)), _freed(runs, "runs"))
+    model = Model(Index(key), np.append(base, 0.0), np.append(more, 0.0), unknown, filters, tokens, *([x[i] for x in levels] for i in (0, 1)), freed(runs, "runs"))
     return model, n_tokens, level
 
 
