@@ -45,12 +45,21 @@ def _packed(most: int) -> str:
     return "<u4" if most > 127 else "u1"
 
 
-def full_buckets(rows: DataFrame, most: int) -> DataFrame:
-    """(bucket): those whose counts reach ``most``. All tasks' counts of a chunk meet sorted and are added up one by one."""
+def full_buckets(rows: DataFrame, most: int, some: int = 0, bits: int = 0) -> DataFrame:
+    """(bucket): those whose counts reach ``most``. All tasks' counts of a chunk meet sorted and are added up one by one.
+
+    some, bits: of 2^bits buckets those whose counts reach ``some``, a smaller number, come too, as 2^bits + bucket.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk, n = -1, np.zeros(CHUNK, np.int64)
-        full = lambda: pa.RecordBatch.from_arrays([pa.array(chunk * CHUNK + np.flatnonzero(n >= most))], ["bucket"])
+
+        def full() -> pa.RecordBatch:
+            found = chunk * CHUNK + np.flatnonzero(n >= most)
+            if some:
+                found = np.concatenate((found, (1 << bits) + chunk * CHUNK + np.flatnonzero(n >= some)))
+            return pa.RecordBatch.from_arrays([pa.array(found)], ["bucket"])
+
         for batch in batches:
             for c, places, counts in zip(*(batch.column(x).to_pylist() for x in ("chunk", "places", "counts")), strict=True):
                 if c != chunk:
@@ -73,3 +82,18 @@ def bitmap(buckets: DataFrame, bits: int) -> np.ndarray:
     for r in rows.collect():
         out[(r.k - 1) * CHUNK // 8 :][: CHUNK // 8] = np.frombuffer(bytes(r.bits), np.uint8)
     return out
+
+
+def only(rows: DataFrame, key: str, keys: DataFrame, bits: int = 26) -> DataFrame:
+    """The rows whose ``key``, a 64-bit hash, is among ``keys`` (key), and a few more: others needn't be dealt out to meet these.
+
+    A bitmap of fixed size (8 MB) is broadcast. ``keys`` should be a written table, as it is read for this alone.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast(bitmap(keys.select(F.shiftrightunsigned(key, 64 - bits).alias("bucket")), bits))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            place = (batch.column(key).to_numpy().view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
+            yield batch.filter(pa.array(has(shared.value, place), pa.bool_()))
+
+    return rows.mapInArrow(run, rows.schema)

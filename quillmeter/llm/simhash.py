@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmeter.llm import fingerprints as fingerprints_
-from quillmeter.llm.buckets import BucketCounts, bitmap, full_buckets, has
+from quillmeter.llm.buckets import BucketCounts, bitmap, full_buckets, has, only
 from quillmeter.llm.common import drop, free_name, freed, give_back, row_slices, text_or_empty, words, written
 from quillmeter.llm.components import connected_components
 from quillmeter.llm.wordhash import Words, run_hashes
@@ -119,7 +119,8 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 #: Pieces of a MinHash signature that near-duplicates meet on, and bins of each. Of pairs with a similarity of 0.8, which
 #: agree in a bin with 0.81, one in 5,000 meets nowhere.
 BANDS, BAND_BINS = 40, 8
-#: A shingle is frequent if its bucket holds so many; the bitmap of 2^BUCKET_BITS buckets (8 MB) is broadcast.
+#: A shingle is frequent if its bucket holds so many, and surely single if it holds one; both bitmaps of 2^BUCKET_BITS
+#: buckets (8 MB each) are broadcast.
 FREQUENT, BUCKET_BITS = 127, 26
 
 
@@ -149,20 +150,23 @@ def sketches(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     """(key, doc_id, fp, same, n, bands, least, top, rest) from (key, doc_id, text): SimHash, digest and number of the distinct shingles, band keys.
 
     A shingle is five words, all of them where there are fewer; texts without a word have one fixed shingle. ``least`` are
-    the first shingles in one order of all, as many as make sure that two texts with the similarity have one in common;
-    ``top`` is the last of them and ``rest`` the number of the text's other ones. The order is of hashes, with frequent
-    shingles behind all others, so that a text of which a fifth isn't frequent meets no other by a frequent one.
+    the first shingles in one order of all, as many as make sure that two texts with the similarity have one in common,
+    without those that surely come once, which no two texts have. ``top`` is the last of the first shingles and ``rest`` the
+    number of the text's other ones. The order is of hashes, with those that come once before and frequent ones behind all
+    others: a text of which a fifth comes once meets no other, and one of which a fifth isn't frequent none by a frequent one.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap(full_buckets(_shingle_counts(docs), FREQUENT), BUCKET_BITS))
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap(full_buckets(_shingle_counts(docs), FREQUENT, 2, BUCKET_BITS), BUCKET_BITS + 1))
+    once = 1 << 61  # smaller ones of the order come once
 
     def one(text: str, hashes: np.ndarray) -> tuple:
         shingles = shingle_set(hashes)
         bins = fingerprints_.signature(hashes)[: BANDS * BAND_BINS].reshape(BANDS, BAND_BINS).astype(np.int64)
         bands = (np.arange(BANDS, dtype=np.int64) << 32) | (bins << (4 * np.arange(BAND_BINS))).sum(axis=1)
         rest = int(np.ceil(similarity * len(shingles) - 1e-9)) - 1
-        frequent = has(shared.value, _shingle_buckets(shingles)).astype(np.uint64)
-        least = np.sort(shingles >> np.uint64(2) | frequent << np.uint64(62))[: len(shingles) - rest].view(np.int64)
-        return simhash64(text, 5), xxhash.xxh3_64_intdigest(shingles.tobytes()), len(shingles), bands, least, rest
+        buckets = _shingle_buckets(shingles)
+        often = has(shared.value, buckets + (1 << BUCKET_BITS)).astype(np.uint64) + has(shared.value, buckets)
+        first = np.sort(shingles >> np.uint64(3) | often << np.uint64(61))[: len(shingles) - rest].view(np.int64)
+        return simhash64(text, 5), xxhash.xxh3_64_intdigest(shingles.tobytes()), len(shingles), bands, first[first >= once], first[-1], rest
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -174,7 +178,7 @@ def sketches(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
                 bands = pa.ListArray.from_arrays(at, pa.array(np.concatenate([r[3] for r in rows])))
                 ends = pa.array(np.cumsum([0, *(len(r[4]) for r in rows)]).astype(np.int32))
                 least = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([r[4] for r in rows])))
-                n, top, rest = (pa.array(x, pa.int64()) for x in ([r[2] for r in rows], [r[4][-1] for r in rows], [r[5] for r in rows]))
+                n, top, rest = (pa.array(x, pa.int64()) for x in ([r[k] for r in rows] for k in (2, 5, 6)))
                 yield pa.RecordBatch.from_arrays([part.column("key"), part.column("doc_id"), pa.array(fp), pa.array(same), n, bands, least, top, rest], ["key", "doc_id", "fp", "same", "n", "bands", "least", "top", "rest"])
 
     return docs.select("key", "doc_id", "text").mapInArrow(run, "key long, doc_id long, fp long, same long, n long, bands array<long>, least array<long>, top long, rest long")
@@ -203,7 +207,7 @@ def _shared_shingles(classes: DataFrame) -> DataFrame:
         return column.flatten().to_numpy().view(np.uint64)
 
     def buckets(keys: np.ndarray) -> np.ndarray:
-        return _shingle_buckets(keys << np.uint64(2))  # the order's own bits are left out
+        return _shingle_buckets(keys << np.uint64(3))  # the order's own bits are left out
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = BucketCounts(2, BUCKET_BITS)
@@ -300,9 +304,11 @@ def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     met = freed(met.distinct(), "met")
 
     def linked(pairs: DataFrame, name: str) -> DataFrame:
-        asked = pairs.select(F.explode(F.array("u", "v")).alias("c")).distinct().join(classes.select("c", F.col("rep.key").alias("key")), "c")
-        texts = own.select("key", "text").join(asked.hint("shuffle_hash"), "key").groupBy("c").agg(F.min("text").alias("text"))
-        return freed(_verified(pairs, texts, similarity), name)
+        asked = freed(pairs.select(F.explode(F.array("u", "v")).alias("c")).distinct().join(classes.select("c", F.col("rep.key").alias("key")), "c"), "asked")
+        texts = only(own.select("key", "text"), "key", asked.select("key")).join(asked.hint("shuffle_hash"), "key").groupBy("c").agg(F.min("text").alias("text"))
+        found = freed(_verified(pairs, texts, similarity), name)
+        drop(asked)
+        return found
 
     links = linked(met, "links")
     rest = _left_out(classes.select("c", "n", "least", "top", "rest"), connected_components(links), met, similarity)

@@ -154,3 +154,14 @@ def test_texts_with_a_common_passage_are_ruled_out_by_counts(spark, monkeypatch)
         got = sorted(r.doc_id for r in simhash.one_of_each_group(docs).collect())
         assert got == sorted(near_groups(rows)) == [2 * g for g in range(30)]
         assert sum(seen) == 3
+
+
+def test_shingles_that_come_once_meet_nothing(spark):
+    """Texts of which a fifth comes once have no pair, whatever passage they share; a repeated text keeps its first shingles."""
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = [(k, " ".join([passage, *(f"w{k}x{i}" for i in range(20))]), "en", "s", 1) for k in range(8)]
+    rows += [(50 + k, " ".join([*(f"v{i}" for i in range(60)), f"u{k}"]), "en", "s", 1) for k in range(2)]
+    docs = corpus.table(spark, rows)
+    found = {r.doc_id: len(r.least) for r in simhash.sketches(docs.select(F.col("doc_id").alias("key"), "doc_id", "text")).collect()}
+    assert {found[k] for k in range(8)} == {0} and found[50] == found[51] > 0
+    assert sorted(r.doc_id for r in simhash.one_of_each_group(docs).collect()) == near_groups(rows) == [*range(8), 50]
