@@ -8,11 +8,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmeter.llm.buckets import BucketCounts, bitmap, full_buckets, has
+from quillmeter.llm.buckets import BucketCounts, bitmap, full_buckets, has, only
 from quillmeter.llm.common import drop, freed, give_back, row_slices, shuffle_width, text_or_empty
 from quillmeter.llm.induced import common_prefixes, suffix_array
 from quillmeter.llm.wordhash import _CHUNK, _INVERSE, _POWER, _VALUE, _bytes_of, mixed, sliding
@@ -30,7 +29,7 @@ HOT_BYTES = 1 << 20
 VECTOR_BYTES = 2 << 20
 
 COUNT_SCHEMA = "chunk int, places binary, counts binary"
-DOC_SCHEMA = "uid long, doc_id long, n_bytes long, kept_sha256 string, text binary, stretches array<struct<anchor:long,content:long,at:int,windows:int>>"
+DOC_SCHEMA = "uid long, doc_id long, n_bytes long, kept_sha256 string, stretches array<struct<anchor:long,content:long,at:int,windows:int>>"
 _STRETCHES = pa.list_(pa.struct([("anchor", pa.int64()), ("content", pa.int64()), ("at", pa.int32()), ("windows", pa.int32())]))
 
 
@@ -108,10 +107,9 @@ def _anchor_counts(own: DataFrame, maps: list, window: int, gram: int, bits: int
 
 
 def _documents(own: DataFrame, maps: list, window: int, gram: int, bits: int) -> DataFrame:
-    """All documents; those with a stretch whose anchor the bitmaps let through keep their text and these stretches."""
+    """All documents without their texts; those with a stretch whose anchor the bitmaps let through have these stretches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        uid = TaskContext.get().partitionId() << 36
         for batch in batches:
             for part in row_slices(batch, size=VECTOR_BYTES):
                 s, n = Stretches(part.column("text"), window, gram), part.num_rows
@@ -119,25 +117,27 @@ def _documents(own: DataFrame, maps: list, window: int, gram: int, bits: int) ->
                 row, content = s.row[may], s.contents(may)
                 at = np.searchsorted(row, np.arange(n + 1))
                 flat = pa.StructArray.from_arrays([pa.array(s.anchor[may]), pa.array(content), pa.array((s.start[may] - s.offsets[row]).astype(np.int32)), pa.array(s.windows[may].astype(np.int32))], ["anchor", "content", "at", "windows"])
-                texts = [s.data[a:b].tobytes() for a, b in zip(s.offsets[:-1], s.offsets[1:], strict=True)]
-                open_ = (at[1:] > at[:-1]).tolist()
-                sha = [None if o else hashlib.sha256(t).hexdigest() for t, o in zip(texts, open_, strict=True)]
+                sha = [hashlib.sha256(s.data[a:b]).hexdigest() for a, b in zip(s.offsets[:-1], s.offsets[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(uid, uid + n)), part.column("doc_id"), pa.array(np.diff(s.offsets)), pa.array(sha, pa.string()), pa.array([t if o else None for t, o in zip(texts, open_, strict=True)], pa.binary()), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), flat).cast(_STRETCHES)],
+                    [part.column("uid"), part.column("doc_id"), pa.array(np.diff(s.offsets)), pa.array(sha, pa.string()), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), flat).cast(_STRETCHES)],
                     [c.split()[0] for c in DOC_SCHEMA.split(", ")],
                 )
-                uid += n
         give_back()
 
     return own.mapInArrow(run, DOC_SCHEMA)
 
 
-def _stretch_texts(docs: DataFrame, chosen: DataFrame, window: int) -> DataFrame:
-    """(anchor, content, hot, bytes): the bytes of the chosen stretches, each from the document that stands for it."""
-    lists = chosen.groupBy("uid").agg(F.collect_list(F.struct("anchor", "content", "at", "windows", "hot")).alias("own"))
-    met = docs.where("text is not null").select("uid", "text").join(lists.hint("shuffle_hash"), "uid")
+def _stretch_texts(own: DataFrame, chosen: DataFrame, window: int) -> DataFrame:
+    """(anchor, content, hot, bytes): the bytes of the chosen stretches, from each row of the document that stands for it.
+
+    Only those documents' texts are dealt out.
+    """
+    lists = freed(chosen.groupBy("uid").agg(F.collect_list(F.struct("anchor", "content", "at", "windows", "hot")).alias("own")), "chosen")
+    met = only(own.select("uid", "text"), "uid", lists.select("uid")).join(lists.hint("shuffle_hash"), "uid").select("own", F.col("text").cast("binary").alias("text"))
     cut = F.transform("own", lambda s: F.struct(s["anchor"].alias("anchor"), s["content"].alias("content"), s["hot"].alias("hot"), F.expr("text").substr(s["at"] + 1, s["windows"] + F.lit(window - 1)).alias("bytes")))
-    return met.select(F.inline(cut))
+    texts = freed(met.select(F.inline(cut)), "texts")
+    drop(lists)
+    return texts
 
 
 def repeated_windows(stretches: list[bytes], window: int) -> list[np.ndarray]:
@@ -174,6 +174,8 @@ def _by_suffix_arrays(texts: DataFrame, shards: int, window: int) -> DataFrame:
         shard, size, keys, held = None, 0, [], []
         for batch in batches:
             for k, anchor, content, data in zip(*(batch.column(c).to_pylist() for c in ("shard", "anchor", "content", "bytes")), strict=True):
+                if held and keys[-1] == (anchor, content):  # of another row with the same id and text
+                    continue
                 if held and (k != shard or size >= SHARD_BYTES and anchor != keys[-1][0]):
                     yield decided()
                     size, keys, held = 0, [], []
@@ -186,7 +188,7 @@ def _by_suffix_arrays(texts: DataFrame, shards: int, window: int) -> DataFrame:
 
     spark = texts.sparkSession
     dealt = texts.select(F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard"), "anchor", "content", "bytes")
-    met = dealt.repartition(max(shuffle_width(spark), shards // 16), "shard").sortWithinPartitions("shard", "anchor")
+    met = dealt.repartition(max(shuffle_width(spark), shards // 16), "shard").sortWithinPartitions("shard", "anchor", "content")
     return met.mapInArrow(run, "anchor long, content long, a int, b int")
 
 
@@ -205,28 +207,27 @@ def _by_single_windows(texts: DataFrame, window: int) -> DataFrame:
     return rows.join(twice, ["anchor", "h"]).select("anchor", "content", "a", (F.col("a") + 1).alias("b"))
 
 
-def _kept(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """Documents without the bytes in any of their ranges."""
+def _kept(own: DataFrame, lists: DataFrame) -> DataFrame:
+    """The documents of ``lists`` (uid, gone) without the bytes in any of their ranges; no other text is dealt out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for text, ranges in zip(batch.column("text").to_pylist(), batch.column("gone").to_pylist(), strict=True):
                 parts, at, removed, spans = [], 0, 0, 0
-                for r in sorted((r["a"], r["b"]) for r in ranges or ()):
+                for r in sorted((r["a"], r["b"]) for r in ranges):
                     if r[0] > at or not spans:  # a run that touches the last one goes on with it
                         parts.append(text[at : r[0]])
                         at, spans = r[0], spans + 1
                     removed += max(r[1] - at, 0)
                     at = max(r[1], at)
                 left = b"".join([*parts, text[at:]])
-                out.append((removed, spans, hashlib.sha256(left).hexdigest()))
-            n, spans, sha = zip(*out, strict=True) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), pa.array(n, pa.int64()), pa.array(spans, pa.int64()), pa.array(sha, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+                out.append((len(text), removed, spans, hashlib.sha256(left).hexdigest()))
+            size, n, spans, sha = zip(*out, strict=True) if out else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(n, pa.int64()), pa.array(spans, pa.int64()), pa.array(sha, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    lists = gone.groupBy("uid").agg(F.collect_list(F.struct("a", "b")).alias("gone"))
-    met = docs.where("text is not null").select("uid", "doc_id", "n_bytes", "text").join(lists.hint("shuffle_hash"), "uid", "left")
-    return met.select("doc_id", "n_bytes", "text", "gone").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    met = only(own, "uid", lists.select("uid")).join(lists.hint("shuffle_hash"), "uid")
+    return met.select("doc_id", F.col("text").cast("binary").alias("text"), "gone").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def dedup_bytes(docs: DataFrame, window: int = 200, gram: int = GRAM, bits: int = BUCKET_BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -243,11 +244,15 @@ def dedup_bytes(docs: DataFrame, window: int = 200, gram: int = GRAM, bits: int
     text order tell which windows are repeated. An anchor with very many different stretches would fill a shard: its
     windows are dealt out one by one, by hash, and counted. 4. The covered bytes are removed.
 
+    Texts aren't written: a row is named by a 64-bit hash of id and text (so ``docs`` should give the same rows each time it
+    is read), and only the texts that stand for a stretch or lose bytes are read again and dealt out.
+
     A null or empty text has 0 bytes. Rows without an id and repeated rows are documents like others. Other columns are
     not read. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
+    own = own.select(F.xxhash64("doc_id", "text").alias("uid"), "doc_id", "text")
     maps: list = []
     for _ in range(ROUNDS):
         maps.append(spark.sparkContext.broadcast(bitmap(full_buckets(_anchor_counts(own, maps, window, gram, bits), 2), bits)))
@@ -260,14 +265,16 @@ def dedup_bytes(docs: DataFrame, window: int = 200, gram: int = GRAM, bits: int
     place = F.col("uid").cast("decimal(20,0)") * F.lit(1 << 31) + F.col("at")
     counted = stretches.groupBy(*keys).agg(F.count("*").alias("n"), F.max("windows").alias("windows"), F.min(place.cast("decimal(30,0)")).alias("one"))
     anchors = counted.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum("n").alias("all"), F.sum(F.col("windows") + F.lit(window)).alias("bytes")).where("`all` > 1")
-    spot = [F.expr(f"one div {1 << 31}").alias("uid"), F.expr(f"CAST(one % {1 << 31} AS INT)").alias("at")]
+    spot = [F.expr(f"(one - pmod(one, {1 << 31})) div {1 << 31}").alias("uid"), F.expr(f"CAST(pmod(one, {1 << 31}) AS INT)").alias("at")]  # hashes may be negative
     met = freed(counted.join(anchors, "anchor").select(*keys, "n", "windows", *spot, "kinds", (F.col("bytes") > HOT_BYTES).alias("hot")), "stretches")
     whole, open_ = met.where("n > 1").select(*keys), met.where("kinds > 1").select(*keys, "uid", "at", "windows", "hot")
-    texts = freed(_stretch_texts(all_docs, open_, window), "texts")
+    texts = _stretch_texts(own, open_, window)
     total = texts.where("not hot").agg(F.sum(F.octet_length("bytes"))).first()[0] or 0
     ranges = _by_suffix_arrays(texts.where("not hot"), max(1, -(-total // SHARD_BYTES)), window).union(_by_single_windows(texts.where("hot"), window))
     ranges = freed(ranges.union(whole.select(*keys, F.lit(0).alias("a"), F.lit(None).cast("int").alias("b"))), "ranges")
     drop(texts)
     gone = stretches.join(ranges, keys).select("uid", (F.col("at") + F.col("a")).alias("a"), (F.col("at") + F.coalesce("b", "windows") + F.lit(window - 1)).alias("b"))
-    done = all_docs.where("text is null").select("doc_id", "n_bytes", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), "kept_sha256")
-    return done.union(_kept(all_docs, gone))
+    lists = freed(gone.groupBy("uid").agg(F.collect_list(F.struct("a", "b")).alias("gone")), "gone")
+    drop(met, ranges)
+    whole = all_docs.join(lists.select("uid"), "uid", "left_anti")
+    return whole.select("doc_id", "n_bytes", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), "kept_sha256").union(_kept(own, lists))

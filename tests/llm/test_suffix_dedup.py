@@ -92,3 +92,16 @@ def test_empty_and_clashing_columns(spark):
     data = [(1, "a b" * 100, "x", "y", 1), (2, None, "x", "y", 1)]
     docs = corpus.table(spark, data).selectExpr("doc_id", "text", "1 AS uid", "2 AS anchor", "3 AS content", "4 AS at")
     assert sorted(map(tuple, suffix_dedup.dedup_bytes(docs).collect()), key=str) == brute(data)
+
+
+def test_no_text_is_written_whole_and_copies_count(spark, monkeypatch):
+    """Written tables hold no whole text, and rows with equal ids and texts are documents of their own."""
+    seen, write = [], suffix_dedup.freed
+    monkeypatch.setattr(suffix_dedup, "freed", lambda df, name: seen.append(df.columns) or write(df, name))
+    rng = random.Random(4)
+    t = "".join(rng.choice("abcdefgh ") for _ in range(700))
+    rows = [(1, t, "en", "s", 1)] * 3 + [(None, t[:500] + "#" + t[500:], "en", "s", 1)] * 2 + [(7, t[100:400], "en", "s", 1), (8, "x" * 150, "en", "s", 1)]
+    for hot in (0, 1 << 20):
+        monkeypatch.setattr(suffix_dedup, "HOT_BYTES", hot)
+        assert run(spark, rows) == brute(rows)
+    assert not any("text" in columns for columns in seen)
