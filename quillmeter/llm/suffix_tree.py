@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import cached_property
+from functools import cached_property, partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +25,8 @@ LEAST_CONTEXT, LEAST_NEXT, DISCOUNT = 50, 2, 0.75
 ADDED = 0.1
 #: Tokens of the longest context.
 DEPTH = 4
+#: A pass over the texts counts the runs of one share of keys, so many for each token of the texts; the others have own passes.
+PASS_SHARE = 0.5
 #: Keys with their values that make a bucket: a task holds them while it looks up keys.
 BUCKET_ROWS = 1 << 20
 #: Hash of the end token, no word's.
@@ -88,10 +90,11 @@ def _runs(tokens: np.ndarray, first: np.ndarray, filters: list[np.ndarray]) -> I
         yield at, context, shorter, key
 
 
-def _summed(own: DataFrame, columns_of: Callable[[pa.RecordBatch], list[np.ndarray]], names: list[str], name: str, least: int = 1) -> DataFrame:
+def _summed(own: DataFrame, columns_of: Callable[[pa.RecordBatch], list[np.ndarray]], names: list[str], name: str, least: int = 1, passes: int = 1) -> DataFrame:
     """(names, n): how often each row of ``names`` comes, if ``least`` times; tasks add up their rows, by a key, before the shuffle.
 
-    columns_of: the key alone, where it is the one name, or a key and the columns that make it up.
+    columns_of: the key alone, where it is the one name, or a key and the columns that make it up. Each of ``passes`` over the
+    texts counts its share of the keys, so that just this share lies in a shuffle at once.
     """
 
     def merged(blocks: list[list[np.ndarray]]) -> list[np.ndarray]:
@@ -108,11 +111,14 @@ def _summed(own: DataFrame, columns_of: Callable[[pa.RecordBatch], list[np.ndarr
             n, more = n[order], [x[order] for x in more]
         return pa.RecordBatch.from_arrays([pa.array(x) for x in (*(more or [key]), n)], [*names, "n"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch], turn: int) -> Iterator[pa.RecordBatch]:
         held = []
         for batch in batches:
             for part in row_slices(batch, size=_VECTOR_BYTES):
                 key, *more = columns_of(part)
+                if passes > 1:
+                    some = np.flatnonzero((key & ((1 << 63) - 1)) % passes == turn)
+                    key, *more = (x[some] for x in (key, *more))
                 held.append(merged([[key, np.ones(len(key), np.int64), *more]]))
                 if sum(len(b[0]) for b in held) > _HELD_ROWS:
                     held = [merged(held)]
@@ -122,8 +128,11 @@ def _summed(own: DataFrame, columns_of: Callable[[pa.RecordBatch], list[np.ndarr
         if held:
             yield out(merged(held))
 
-    rows = own.select("text").mapInArrow(run, ", ".join(f"{c} long" for c in [*names, "n"]))
-    return freed(rows.groupBy(*names).agg(F.sum("n").alias("n")).where(F.col("n") >= least), name)
+    def counted(turn: int) -> DataFrame:
+        rows = own.select("text").mapInArrow(partial(run, turn=turn), ", ".join(f"{c} long" for c in [*names, "n"]))
+        return freed(rows.groupBy(*names).agg(F.sum("n").alias("n")).where(F.col("n") >= least), name)
+
+    return reduce(DataFrame.union, [counted(turn) for turn in range(passes)])
 
 
 def _level(n: Column) -> Column:
@@ -256,7 +265,8 @@ def train(own: DataFrame, depth: int = DEPTH) -> tuple[Model, int, int]:
             *_, (_, context, shorter, key) = _runs(*_tokens(part), shared.value)
             return [key, context, shorter]
 
-        pairs = _summed(own, columns_of, ["context", "shorter"], "pairs", LEAST_NEXT)
+        runs = contexts.agg(F.coalesce(F.sum("total"), F.lit(0))).first()[0]  # those that may follow a context
+        pairs = _summed(own, columns_of, ["context", "shorter"], "pairs", LEAST_NEXT, max(1, -int(-runs // (PASS_SHARE * n_tokens))))
         # every next symbol comes as often after the shorter context, which is as frequent: it has an entry there
         entries = freed(pairs.join(parent, "shorter"), "entries")
         drop(pairs)

@@ -133,3 +133,15 @@ def test_scores_match_brute_force_beyond_broadcasts(spark, monkeypatch):
             monkeypatch.setattr(suffix_tree, name, size, raising=False)
         got = suffix_tree.scores(corpus.table(spark, data), crc_bucket("doc_id", 10) == 0).collect()
         assert sorted(((r.doc_id, round(r.score, 5)) for r in got), key=str) == sorted(want, key=str)
+
+
+def test_shares_of_keys_give_the_same_scores(spark, monkeypatch):
+    """Runs counted in several passes, each of which deals out a share of them."""
+    data, write, found, seen = chains(), suffix_tree.freed, [], []
+    monkeypatch.setattr(suffix_tree, "freed", lambda df, name: seen.append(name) or write(df, name))
+    for share in (10.0, 0.2):
+        monkeypatch.setattr(suffix_tree, "PASS_SHARE", share)
+        seen.clear()
+        found.append(sorted(((r.doc_id, r.n_known, round(r.score, 6)) for r in suffix_tree.scores(corpus.table(spark, data), crc_bucket("doc_id", 10) == 0).collect()), key=str))
+        assert (seen.count("pairs") > seen.count("entries") > 0) == (share < 1)
+    assert found[0] == found[1]
