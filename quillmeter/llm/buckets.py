@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmeter.llm.common import shuffle_width
+from quillmeter.llm.common import give_back, shuffle_width
 
 #: Buckets that are summed and sent together; Spark's bitmaps hold as many.
 CHUNK = 1 << 15
+#: Rows that a task sends at once.
+_SENT_ROWS = 1 << 11
 
 
 def has(bitmap: np.ndarray, places: np.ndarray) -> np.ndarray:
@@ -89,11 +92,19 @@ def only(rows: DataFrame, key: str, keys: DataFrame, bits: int = 26) -> DataFram
 
     A bitmap of fixed size (8 MB) is broadcast. ``keys`` should be a written table, as it is read for this alone.
     """
+    return parted(rows, key, keys, bits)[1]
+
+
+def parted(rows: DataFrame, key: str, keys: DataFrame, bits: int = 26) -> tuple[DataFrame, DataFrame]:
+    """The rows whose ``key`` is surely not among ``keys``, and all others; see ``only``."""
     shared = rows.sparkSession.sparkContext.broadcast(bitmap(keys.select(F.shiftrightunsigned(key, 64 - bits).alias("bucket")), bits))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch], among: bool) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             place = (batch.column(key).to_numpy().view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
-            yield batch.filter(pa.array(has(shared.value, place), pa.bool_()))
+            inside = has(shared.value, place) == among
+            for i in range(0, batch.num_rows, _SENT_ROWS):
+                yield batch.slice(i, _SENT_ROWS).filter(pa.array(inside[i : i + _SENT_ROWS], pa.bool_()))
+        give_back()
 
-    return rows.mapInArrow(run, rows.schema)
+    return tuple(rows.mapInArrow(partial(run, among=among), rows.schema) for among in (False, True))

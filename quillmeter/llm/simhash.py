@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmeter.llm import fingerprints as fingerprints_
-from quillmeter.llm.buckets import BucketCounts, bitmap, full_buckets, has, only
+from quillmeter.llm.buckets import BucketCounts, bitmap, full_buckets, has, only, parted
 from quillmeter.llm.common import drop, free_name, freed, give_back, row_slices, text_or_empty, words, written
 from quillmeter.llm.components import connected_components
 from quillmeter.llm.wordhash import Words, run_hashes
@@ -180,6 +180,7 @@ def sketches(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
                 least = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([r[4] for r in rows])))
                 n, top, rest = (pa.array(x, pa.int64()) for x in ([r[k] for r in rows] for k in (2, 5, 6)))
                 yield pa.RecordBatch.from_arrays([part.column("key"), part.column("doc_id"), pa.array(fp), pa.array(same), n, bands, least, top, rest], ["key", "doc_id", "fp", "same", "n", "bands", "least", "top", "rest"])
+        give_back()
 
     return docs.select("key", "doc_id", "text").mapInArrow(run, "key long, doc_id long, fp long, same long, n long, bands array<long>, least array<long>, top long, rest long")
 
@@ -266,6 +267,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
                     met = len(np.intersect1d(x, y, assume_unique=True))
                     good.append(met >= similarity * (len(x) + len(y) - met))
                 yield part.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
+        give_back()
 
     ends = pairs.select("u", "v", F.explode(F.array("u", "v")).alias("c")).join(texts, "c")
     both = ends.groupBy("u", "v").agg(F.min(F.when(F.col("c") == F.col("u"), F.col("text"))).alias("text"), F.min(F.when(F.col("c") == F.col("v"), F.col("text"))).alias("other"))
@@ -294,6 +296,7 @@ def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
     rows = freed(sketches(own, similarity), "sketches")
     classes = freed(rows.groupBy(F.col("same").alias("c")).agg(F.min(rank).alias("rep"), F.min("n").alias("n"), F.min(F.struct("fp", "bands", "least", "top", "rest")).alias("s")).select("c", "rep", "n", "s.*"), "classes")
+    keys = freed(rows.select("key"), "keys")
     drop(rows)
     pairs = linked_pairs(classes.select("fp").distinct())
     near = classes.groupBy("fp").agg(F.min(F.struct("c", "n")).alias("m"))
@@ -316,5 +319,10 @@ def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     roots = connected_components(links.union(more))
     grouped = classes.select("c", "rep").join(roots.select(F.col("node").alias("c"), "root"), "c", "left")
     kept = written(grouped.groupBy(F.coalesce("root", "c").alias("root")).agg(F.min("rep").alias("rep")).select(F.col("rep.key").alias(name)), "kept")
-    drop(classes, met, links, rest, more)
-    return keyed.join(kept.hint("shuffle_hash"), name, "left_semi").dropDuplicates([name]).select(docs.columns)
+    # only rows that go or come again are dealt out by their key, with those that share a bit of the bitmap; all others stay
+    again = keys.groupBy(F.col("key").alias(name)).count().join(kept.withColumn("stays", F.lit(True)), name, "left")
+    asked = freed(again.where("stays is null or count > 1").select(name), "asked")
+    surely, others = parted(keyed, name, asked)
+    drop(classes, met, links, rest, more, keys, asked)
+    stay = others.join(kept.hint("shuffle_hash"), name, "left_semi").dropDuplicates([name])
+    return surely.select(docs.columns).union(stay.select(docs.columns))

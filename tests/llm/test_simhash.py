@@ -165,3 +165,15 @@ def test_shingles_that_come_once_meet_nothing(spark):
     found = {r.doc_id: len(r.least) for r in simhash.sketches(docs.select(F.col("doc_id").alias("key"), "doc_id", "text")).collect()}
     assert {found[k] for k in range(8)} == {0} and found[50] == found[51] > 0
     assert sorted(r.doc_id for r in simhash.one_of_each_group(docs).collect()) == near_groups(rows) == [*range(8), 50]
+
+
+def test_texts_that_surely_stay_are_not_dealt_out(spark, monkeypatch):
+    """Only rows that go or come again meet the kept keys; all others pass where they are read."""
+    rng = random.Random(12)
+    rows = [(i, corpus.prose(rng, 60), "en", "s", 1) for i in range(30)]
+    rows += [rows[3], rows[3], (40, rows[5][1], "en", "s", 1), (41, rows[6][1] + " more", "en", "s", 1), (None, rows[7][1], "en", "s", 1), (None, "alone", "en", "s", 1)]
+    docs, seen, parted = corpus.table(spark, rows), [], simhash.parted
+    monkeypatch.setattr(simhash, "parted", lambda *a: seen.append([x.count() for x in parted(*a)]) or parted(*a))
+    got = simhash.one_of_each_group(docs).collect()
+    assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted(((r[0], r[1]) for r in [*rows[:30], rows[-1]]), key=str)
+    assert seen == [[30, 6]]  # the row that comes three times and three that go
