@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmeter.llm.common import drop, freed, row_slices, shuffle_width, text_or_empty
+from quillmeter.llm.common import drop, freed, give_back, row_slices, shuffle_width, text_or_empty
 from quillmeter.llm.wordhash import Index, Words
 
 #: Sizes of what is broadcast: frequent tokens, values of frequent word runs, 64-bit words of a filter. They are shortcuts
@@ -28,11 +28,12 @@ DEPTH = 4
 #: A pass over the texts counts the runs of one share of keys, so many for each token of the texts; the others have own passes.
 PASS_SHARE = 0.5
 #: Keys with their values that make a bucket: a task holds them while it looks up keys.
-BUCKET_ROWS = 1 << 20
+BUCKET_ROWS = 1 << 19
 #: Hash of the end token, no word's.
 END = -1
 _VECTOR_BYTES = 2 << 20
-_HELD_ROWS = 1 << 21
+#: Rows that a task holds to add them up, and rows that it sends at once.
+_HELD_ROWS, _SENT_ROWS = 1 << 21, 1 << 17
 _LN10 = float(np.log(10))
 
 
@@ -90,6 +91,30 @@ def _runs(tokens: np.ndarray, first: np.ndarray, filters: list[np.ndarray]) -> I
         yield at, context, shorter, key
 
 
+def _merged(blocks: list[list[np.ndarray]]) -> list[np.ndarray]:
+    """Keys, sums of their counts and their other columns from blocks of such columns, which are used up one by one.
+
+    A column's parts are given back when they are joined: few copies lie there at once.
+    """
+
+    def column() -> np.ndarray:
+        return np.concatenate([b.pop(0) for b in blocks])
+
+    key = column()
+    order = np.argsort(key)
+    key = key[order]
+    heads = np.flatnonzero(np.concatenate((np.ones(min(len(key), 1), bool), key[1:] != key[:-1])))
+    out = [key[heads]]
+    del key
+    n = column()[order]
+    out.append(np.add.reduceat(n, heads) if len(heads) else n)
+    first = order[heads]
+    del n, order, heads
+    while blocks[0]:
+        out.append(column()[first])
+    return out
+
+
 def _summed(own: DataFrame, columns_of: Callable[[pa.RecordBatch], list[np.ndarray]], names: list[str], name: str, least: int = 1, passes: int = 1) -> DataFrame:
     """(names, n): how often each row of ``names`` comes, if ``least`` times; tasks add up their rows, by a key, before the shuffle.
 
@@ -97,19 +122,14 @@ def _summed(own: DataFrame, columns_of: Callable[[pa.RecordBatch], list[np.ndarr
     texts counts its share of the keys, so that just this share lies in a shuffle at once.
     """
 
-    def merged(blocks: list[list[np.ndarray]]) -> list[np.ndarray]:
-        key, n, *more = (np.concatenate(x) for x in zip(*blocks, strict=True))
-        order = np.argsort(key)
-        key = key[order]
-        heads = np.flatnonzero(np.concatenate((np.ones(min(len(key), 1), bool), key[1:] != key[:-1])))
-        return [key[heads], np.add.reduceat(n[order], heads) if len(heads) else n, *(x[order[heads]] for x in more)]
-
-    def out(block: list[np.ndarray]) -> pa.RecordBatch:
+    def out(block: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         key, n, *more = block
         if more:  # sorted by the first column, rows take less room in the shuffle
             order = np.argsort(more[0])
             n, more = n[order], [x[order] for x in more]
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (*(more or [key]), n)], [*names, "n"])
+        whole = pa.RecordBatch.from_arrays([pa.array(x) for x in (*(more or [key]), n)], [*names, "n"])
+        for i in range(0, whole.num_rows, _SENT_ROWS):
+            yield whole.slice(i, _SENT_ROWS)
 
     def run(batches: Iterator[pa.RecordBatch], turn: int) -> Iterator[pa.RecordBatch]:
         held = []
@@ -119,14 +139,16 @@ def _summed(own: DataFrame, columns_of: Callable[[pa.RecordBatch], list[np.ndarr
                 if passes > 1:
                     some = np.flatnonzero((key & ((1 << 63) - 1)) % passes == turn)
                     key, *more = (x[some] for x in (key, *more))
-                held.append(merged([[key, np.ones(len(key), np.int64), *more]]))
+                held.append(_merged([[key, np.ones(len(key), np.int64), *more]]))
+                del key, more
                 if sum(len(b[0]) for b in held) > _HELD_ROWS:
-                    held = [merged(held)]
+                    held = [_merged(held)]
                     if len(held[0][0]) > _HELD_ROWS // 2:
-                        yield out(held[0])
-                        held = []
+                        yield from out(held.pop())
         if held:
-            yield out(merged(held))
+            yield from out(_merged(held))
+        held = []
+        give_back()
 
     def counted(turn: int) -> DataFrame:
         rows = own.select("text").mapInArrow(partial(run, turn=turn), ", ".join(f"{c} long" for c in [*names, "n"]))
@@ -380,16 +402,19 @@ class _Values:
         key, more = np.frombuffer(a, np.int64), np.frombuffer(b, np.float64)
         if kind == VALUES:
             base, more = more.reshape(-1, 2).T
-            self.parts.append((key, np.stack((base, base + more, np.ones(len(key))))))
+            self.parts.append((key.copy(), [base.copy(), base + more], 1.0))
         else:
-            self.parts.append((key, np.stack((np.zeros(len(key)), more, np.zeros(len(key))))))
+            self.parts.append((key.copy(), [np.zeros(len(key)), more.copy()], 0.0))
 
     def find(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if self.keys is None:
-            keys = np.concatenate([np.empty(0, np.int64), *(k for k, _ in self.parts)])
+            keys = np.concatenate([np.empty(0, np.int64), *(k for k, _, _ in self.parts)])
             order = np.argsort(keys)
-            self.keys = keys[order]
-            self.adds = np.concatenate((np.concatenate([np.empty((3, 0)), *(x for _, x in self.parts)], axis=1)[:, order], np.zeros((3, 1))), axis=1)
+            self.keys, keys = keys[order], None
+            self.adds = np.zeros((3, len(order) + 1))
+            for row in self.adds[:2]:
+                row[:-1] = np.concatenate([np.empty(0), *(x.pop(0) for _, x, _ in self.parts)])[order]
+            self.adds[2, :-1] = np.concatenate([np.empty(0), *(np.full(len(k), known) for k, _, known in self.parts)])[order]
             self.parts = []
         at = np.searchsorted(self.keys, key)
         found = at < len(self.keys)
@@ -426,6 +451,8 @@ def _looked_up(unknown: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
                 yield batch.take(pa.array(keep))
             if made["kind"]:
                 yield _rows(len(made["kind"]), **made)
+        values = None
+        give_back()
 
     return run
 

@@ -1,10 +1,12 @@
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
 import corpus
+import numpy as np
 from quillmeter.llm import suffix_tree
 from quillmeter.llm.common import crc_bucket
 
@@ -145,3 +147,29 @@ def test_shares_of_keys_give_the_same_scores(spark, monkeypatch):
         found.append(sorted(((r.doc_id, r.n_known, round(r.score, 6)) for r in suffix_tree.scores(corpus.table(spark, data), crc_bucket("doc_id", 10) == 0).collect()), key=str))
         assert (seen.count("pairs") > seen.count("entries") > 0) == (share < 1)
     assert found[0] == found[1]
+
+
+def test_few_copies_of_counts_and_values_lie_in_memory_at_once():
+    """Blocks are used up as they are joined, and a bucket's values are put in order column by column."""
+    rng = np.random.default_rng(4)
+    keys = [rng.integers(0, 200_000, 50_000) for _ in range(20)]
+    want, sizes = np.unique(np.concatenate(keys), return_counts=True)
+    tracemalloc.start()
+    try:
+        key, n, a, b = suffix_tree._merged([[k.copy(), np.ones(len(k), np.int64), k + 1, k + 2] for k in keys])
+        assert tracemalloc.get_traced_memory()[1] < 32e6 * 2  # all blocks are 32 MB; joined as a whole they took over three times that
+        assert [x.tolist() for x in (key, n, a, b)] == [x.tolist() for x in (want, sizes, want + 1, want + 2)]
+        distinct, values = rng.permutation(400_000) * 3, suffix_tree._Values()
+        tracemalloc.reset_peak()
+        before = tracemalloc.get_traced_memory()[0]
+        for i in range(0, 200_000, 20_000):
+            k = distinct[i : i + 20_000]
+            values.take(suffix_tree.VALUES, k.tobytes(), np.stack((-k, k / 2), axis=1).tobytes())
+            k = distinct[200_000 + i :][:20_000]
+            values.take(suffix_tree.RUN_VALUES, k.tobytes(), (k / 4).tobytes())
+        adds, found = values.find(np.array([distinct[7], distinct[200_007], 1]))
+        assert tracemalloc.get_traced_memory()[1] - before < 100 * 400_000  # bytes a key; 136 before
+    finally:
+        tracemalloc.stop()
+    assert found.tolist() == [True, True, False]
+    assert adds.T.tolist() == [[-distinct[7], -distinct[7] / 2, 1], [0, distinct[200_007] / 4, 0], [0, 0, 0]]
